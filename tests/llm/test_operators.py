@@ -1,0 +1,343 @@
+"""Each operator on small tables with nulls, empty and long texts, ties, repeated rows, no rows and extra columns."""
+
+import datetime
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from loomgraph.llm import decontamination, htmlcut, idcoder, jaccard, mixing, quality, repetition, sharding, tokens, urlfilter
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, shard string, words string, key int"
+RNG = random.Random(5)
+VOCABULARY = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCABULARY) for _ in range(n))
+
+
+def rows():
+    base = prose(120, 1).split(" ")
+    near = [*base]
+    near[60] = "changed"
+    far = base[:60] + prose(60, 2).split(" ")
+    texts = [None, "", "   ", "one", "one two", "one two", " ".join(base), " ".join(base), " ".join(near), " ".join(far), prose(3000, 3), "über  naïve\n\nCafé ﬁ́ x", "same line\nsame line\n\n same line", "a b c d e f g h " * 30, "x" * 5000]
+    texts += [prose(random.Random(k).randint(1, 90), 50 + k) for k in range(40)]
+    return [(k, t, ["en", "de", None][k % 3], ["s0", "s1", None, "s0"][k % 4], 0, 1, "s", "w", 2) for k, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    data = rows()
+    return spark.createDataFrame([*data, data[7]], DOCS).repartition(3)  # one row twice
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_sharding(docs, empty):
+    out = sharding.shard_documents(docs, 4).collect()
+    assert len(out) == docs.count()
+    text = {r[0]: r[1] or "" for r in rows()}
+    for r in out:
+        assert r["size"] == len(text[r["doc_id"]].encode()) + 16 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode()) and r["grown_shard"] is None
+    for s in range(4):
+        slots = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    assert len({r["shard"] for r in out if text[r["doc_id"]] == text[6]}) == 1
+    assert sharding.shard_documents(empty, 4).count() == 0
+
+
+def test_sharding_splits_a_group_over_half_a_shard(spark):
+    d = spark.createDataFrame([(k, "hot " * 50 if k % 3 else prose(30, k)) for k in range(600)], "doc_id bigint, text string")
+    loads = Counter()
+    for r in sharding.shard_documents(d, 8).collect():
+        loads[r["shard"]] += r["size"]
+    assert len(loads) == 8 and max(loads.values()) < 1.1 * sum(loads.values()) / 8
+
+
+def test_pack_vectors_balances_all_sizes():
+    r = np.random.default_rng(1)
+    items = np.stack([r.lognormal(5, 1, 3000), r.lognormal(3, 1, 3000), np.ones(3000)], axis=1)
+    where = sharding.pack_vectors(items, 10)
+    for c, most in ((0, 1.001), (1, 1.1), (2, 1.2)):
+        load = np.bincount(where, items[:, c])
+        assert load.max() < most * load.mean()
+
+
+def longest_common(a, b, used_a, used_b):
+    best = (0, 0, 0)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not used_a[i + n] and not used_b[j + n]:
+                n += 1
+            best = max(best, (n, -i, -j))
+    return best[0], -best[1], -best[2]
+
+
+def test_tiles_cover_as_much_as_plain_greedy_tiling():
+    r = random.Random(3)
+    for _ in range(150):
+        item = [r.randint(0, 30) for _ in range(r.randint(5, 40))]
+        cut = r.randint(0, len(item))
+        doc = [r.randint(0, 30) for _ in range(10)] + item[cut:] + [99] + item[:cut] + [r.randint(0, 30) for _ in range(10)]
+        used_i, used_d, plain = [False] * len(item), [False] * len(doc), 0
+        while (m := longest_common(item, doc, used_i, used_d))[0] >= 5:
+            plain += m[0]
+            used_i[m[1] : m[1] + m[0]] = used_d[m[2] : m[2] + m[0]] = [True] * m[0]
+        windows = {tuple(item[k : k + 5]) for k in range(len(item) - 4)}
+        starts = np.array([k for k in range(len(doc) - 4) if tuple(doc[k : k + 5]) in windows], np.int64)
+        tiles = decontamination.tile(np.array(doc), np.array(item), starts, 5)
+        assert sum(n for *_, n in tiles) == plain
+        assert all(item[a : a + n] == doc[b : b + n] for a, b, n in tiles)
+
+
+def test_decontamination(spark, docs, empty):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards juggle tiny boxes of glass"
+    w = item.split()
+    leaks = [(100, f"before {item.upper()}! after"), (101, " ".join(w[9:]) + ". Other words here. " + " ".join(w[:9])), (102, " ".join(w[:6]) + " only"), (103, None)]
+    bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (10, ""), (11, prose(30, 900))], "item_id bigint, text string")
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(leaks, "doc_id bigint, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["matched"]) for r in decontamination.contaminated(d, bench).collect()) == [(100, 7, len(w)), (101, 7, len(w))]
+    assert {r[0] for r in d.select("doc_id").collect()} - {r["doc_id"] for r in decontamination.drop_contaminated(d, bench).collect()} == {100, 101}
+    assert decontamination.contaminated(empty, bench).count() == 0
+    assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
+    assert decontamination.drop_contaminated(docs, bench).columns == docs.columns
+
+
+def test_mixing(docs, empty):
+    out = mixing.mixed(docs).collect()
+    assert len(out) == docs.count() and all(0 < r["p"] <= 1 for r in out) and any(r["source"] == "(none)" for r in out)
+    assert mixing.mixed(empty).count() == 0
+    assert {r[0] for r in mixing.mix(docs).collect()} == {r["doc_id"] for r in out if r["kept"]} and mixing.mix(docs).columns == docs.columns
+
+
+def test_raking_meets_the_targets(spark):
+    r = random.Random(1)
+    cells = [(s, g, t, float(r.randint(1, 1000))) for s in "abc" for g in ("en", "de") for t in "xyz"]
+    targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"x": 0.2}}
+    d = spark.createDataFrame(cells, "source string, lang string, topic string, words double")
+    out = mixing.rake(d.coalesce(1), targets, sweeps=25).collect()
+    total = sum(x["weight"] for x in out)
+    for dim, goal in targets.items():
+        for value, share in goal.items():
+            assert abs(sum(x["weight"] for x in out if x[dim] == value) / total - share) < 1e-4
+    assert max(x["p"] for x in out) == 1
+
+
+def test_token_counts(docs, empty):
+    tok = tokens.load(tokens.default_path())
+    text = {r[0]: r[1] or "" for r in rows()}
+    out = tokens.count_tokens(docs, chunk=300, overlap=16, limit=50).collect()
+    assert len(out) == docs.count()
+    for r in out:
+        n = len(tok.encode(text[r["doc_id"]], add_special_tokens=False).ids)
+        assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(text[r["doc_id"]].encode()), n > 50)
+    assert tokens.count_tokens(empty).count() == 0
+
+
+def test_spliced_ids_are_those_of_the_whole():
+    tok = tokens.load(tokens.default_path())
+    r = random.Random(2)
+    alphabet = ["a", "Be", " ", "\n", "  ", "1", "é", "é", "'s", "<|endoftext|>", "!", "ß", "　", "漢字", "́"]
+    for k in range(150):
+        t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 900)))
+        whole = tok.encode(t, add_special_tokens=False).ids
+        assert tokens.encode_long(tok, t, 60, 12) == whole, k
+        assert idcoder.WordIds(tokens.default_path()).batch([t])[0].tolist() == [*whole, 2]
+
+
+def test_coder_round_trip():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 2, 255, 257, 1000, 5000, 70_000):
+        for ids in (r.integers(0, 49_408, n), r.zipf(1.3, n) % 49_408, np.zeros(n, np.int64), np.arange(n) % 7):
+            data = idcoder.encode_block(ids)
+            back, at = idcoder.decode_block(data)
+            assert at == len(data) and (back == ids).all()
+    data = bytearray(idcoder.encode_block(np.arange(1000) % 50))
+    data[-30] ^= 255
+    with pytest.raises(ValueError):
+        idcoder.decode_block(bytes(data))
+    with pytest.raises(ValueError):
+        idcoder.encode_block(np.array([50_000]))
+    # a block decodes without those before it
+    ids = [r.integers(0, 100, 700), np.array([], np.int64), r.integers(0, 100, 300)]
+    assert [x.tolist() for x in idcoder.unpack(idcoder.pack([5, None, 6], ids, block=256))[1]] == [x.tolist() for x in ids]
+
+
+def test_token_ids(docs, empty, tmp_path):
+    tok = tokens.load(tokens.default_path())
+    text = {r[0]: r[1] or "" for r in rows()}
+    out = sorted(idcoder.read_ids(idcoder.write_ids(docs, at=f"file://{tmp_path}/ids")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == sorted(r[0] for r in docs.select("doc_id").collect())
+    start = 0
+    for r in out:
+        ids = [*tok.encode(text[r["doc_id"]], add_special_tokens=False).ids, 2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert idcoder.read_ids(idcoder.write_ids(empty)).count() == 0
+
+
+def test_url_filter(spark):
+    day = datetime.date
+    caps = [(1, "http://A.b.com/x/y", day(2023, 1, 5)), (2, "http://a.b.com:80/x", day(2023, 2, 5)), (3, "https://u@a.b.com/q", day(2023, 3, 5)), (4, "http://b.com", day(2023, 1, 5)), (5, None, day(2023, 1, 1)), (6, "nonsense", day(2023, 1, 1)), (7, "http://a.b.com/x", None), (8, "http://notb.com/", day(2023, 1, 5)), (1, "http://A.b.com/x/y", day(2023, 1, 5))]
+    log = [("domain", "b.com", "block", day(2023, 1, 1)), ("host", "a.b.com", "allow", day(2023, 1, 5)), ("host", "a.b.com", "drop", day(2023, 2, 20)), ("prefix", "a.b.com/x", "block", day(2023, 2, 1)), ("domain", "b.com", "drop", day(2023, 3, 5)), ("domain", "b.com", "allow", day(2023, 3, 5)), (None, "b.com", "block", day(2023, 1, 1))]
+    c = spark.createDataFrame(caps, "page_id bigint, url string, fetched date")
+    e = spark.createDataFrame(log, "scope string, value string, action string, since date")
+    got = Counter((r["page_id"], r["verdict"], r["scope"]) for r in urlfilter.verdicts(c, e).collect())
+    assert got == Counter([(1, "allow", "host"), (1, "allow", "host"), (2, "block", "prefix"), (3, "allow", "domain"), (4, "block", "domain"), (5, "none", None), (6, "none", None), (7, "none", None), (8, "none", None)])
+    assert urlfilter.verdicts(c, e.limit(0)).filter("verdict <> 'none'").count() == 0 and urlfilter.verdicts(c.limit(0), e).count() == 0
+
+
+def test_min_cut_is_least():
+    r = random.Random(8)
+    for _ in range(60):
+        n = r.randint(1, 9)
+        gain = [r.uniform(-3, 3) for _ in range(n)]
+        edges = [(i, j, r.uniform(0, 2)) for i in range(n) for j in range(i) if r.random() < 0.5]
+
+        def cost(x):
+            return sum(max(g, 0) if not k else max(-g, 0) for g, k in zip(gain, x)) + sum(w for u, v, w in edges if x[u] != x[v])
+
+        assert abs(cost(htmlcut.min_cut(gain, edges)) - min(map(cost, itertools.product((False, True), repeat=n)))) < 1e-6
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Site name</a> Slogan of the site, in some words.</header>
+<div class="cookie-notice">We use cookies. Please accept them all, as they taste good.</div><nav><ul><li><a href=/a>Alpha</a><li><a href=/b>Beta</a></ul></nav>
+<div class="wrap"><article class="post"><h1>Head &amp; title</h1><p>First <b>para</b>graph&nbsp;with   many words, and more words.<p>Second one &mdash; it is<br>longer and goes on for a while.</p>
+<aside>Related: something else that has a full sentence.</aside><script>var x = "<p>no</p>";</script><ul><li>an item of the list</li><li>another one of them</li></ul></article>
+<div class="sidebar"><p>About the author of this site. A long line of text, with commas.</p></div><section id="comments"><p>Great post, thank you so much for it!</p></section></div>
+<form><p>Subscribe to our letter now.</p><input name=q></form><footer>&copy; 2024 Site. All rights are reserved.</footer></body></html>"""
+
+
+def test_html_text(spark):
+    want = "Head & title First paragraph with many words, and more words. Second one — it is longer and goes on for a while. an item of the list another one of them"
+    assert htmlcut.main_text(PAGE) == want
+    for odd in (None, "", "  ", "<", "<p", "</p></p>", "<script>", "<!-- never ends", "<b><i></b></i>", "&", "<div" * 50, "<div>" * 3000):
+        htmlcut.main_text(odd)
+    assert htmlcut.main_text("<body><p>One sentence, of some words, without any article around it.</p></body>").startswith("One")
+    d = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", "")], "page_id bigint, url string, html string")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmlcut.extract(d).collect())
+    assert got == [(1, want, len(want)), (1, want, len(want)), (2, "", 0), (3, "", 0)]
+    assert htmlcut.extract(d.limit(0)).count() == 0
+
+
+def test_quality_on_held_out_labels(spark, sf):
+    sf = sf.replace("0.001", "0.1")
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = quality.classify(d, labels).join(labels, "doc_id").filter("held_out").collect()
+    good = [r["score"] for r in out if r["quality"] == 1]
+    bad = [r["score"] for r in out if r["quality"] == 0]
+    assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / len(good) / len(bad) > 0.98
+    assert sum((r["score"] >= 0.3) == r["quality"] for r in out) > 0.95 * len(out)
+    assert sum(s < 0.3 for s in good) < 0.01 * len(good)
+
+
+def test_quality_edges(spark, docs, empty):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(3, None, 0), (None, 1, 0), (4, 1, 0)], "doc_id bigint, quality int, toxic int")
+    out = quality.classify(docs, labels).collect()
+    assert len(out) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in out)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+    assert {r["score"] for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.classify(empty, labels).count() == 0
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def brute_links(data, threshold=0.8):
+    sets = {}
+    for k, t, *_ in data:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        n = min(5, len(w))
+        sets.setdefault(t or "", (k, {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()))
+    links = Counter()
+    up = {k: k for k, _ in sets.values()}
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for (a, x), (b, y) in itertools.combinations(sets.values(), 2):
+        if x and y and len(x & y) >= threshold * len(x | y) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    rep = {k: sets[t or ""][0] for k, t, *_ in data}
+    return {k: (rep[k], find(rep[k]), links[rep[k]]) for k in rep}
+
+
+def variants(n, words, seed):
+    r, base, out = random.Random(seed), prose(words, seed).split(" "), []
+    for _ in range(n):
+        w = [*base]
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice(VOCABULARY)
+        out.append(" ".join(w))
+    return out
+
+
+def test_jaccard_join(spark, docs, empty, monkeypatch):
+    texts = variants(60, 240, 11) + variants(20, 30, 12) + variants(5, 8, 13) + [prose(20, 14) + " " + prose(40, 100 + k) for k in range(30)]
+    extra = [(1000 + k, t, "en", "s", 0, 1, "s", "w", 2) for k, t in enumerate(texts)]
+    d = docs.union(spark.createDataFrame(extra, DOCS))
+    want = brute_links([*rows(), *extra])
+    for side in (1024, 16):  # the second cuts buckets into blocks
+        monkeypatch.setattr(jaccard, "SIDE", side)
+        out = jaccard.near_duplicates(d).collect()
+        assert len(out) == d.count()
+        assert {r["doc_id"]: (r["rep_id"], r["class_id"], r["n_links"]) for r in out} == want
+    assert max(v[2] for v in want.values()) > 20
+    one = jaccard.keep_one(d)
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted(k for k, v in want.items() if v[1] == k) and one.columns == d.columns
+    assert jaccard.near_duplicates(empty).count() == 0
+
+
+def test_posterior_bound():
+    m = jaccard.least_matches(0.8, 128)
+    s = np.linspace(0, 1, 200_001)
+    for k, below in ((m, False), (m - 1, True)):
+        p = s**k * (1 - s) ** (128 - k)
+        assert (p[s >= 0.8].sum() / p.sum() < jaccard.TOLERANCE) == below
+
+
+def brute_repeats(w, k=8):
+    c = Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    inside = {j for i in range(len(w) - k + 1) if c[tuple(w[i : i + k])] > 1 for j in range(i, i + k)}
+    most = 0
+    for i in range(len(w)):
+        for j in range(i):
+            n = 0
+            while i + n < len(w) and w[i + n] == w[j + n]:
+                n += 1
+            most = max(most, n)
+    return len(inside), most if most >= k else 0
+
+
+def test_repetition(docs, empty):
+    text = {r[0]: r[1] or "" for r in rows()}
+    out = repetition.judge(docs).collect()
+    assert len(out) == docs.count()
+    for r in out:
+        t = text[r["doc_id"]]
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        inside, most = brute_repeats(w) if len(w) < 400 else (r["n_repeat_words"], r["longest"])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)))
+        assert (r["n_repeat_words"], r["longest"]) == (inside, most)
+        assert r["base_failed"] == (len(w) < 20 or 100 * inside > 30 * len(w)) and not (r["base_failed"] and r["kept"])
+    assert repetition.judge(empty).count() == 0
+
+
+def test_repeats_against_brute_force():
+    r = random.Random(9)
+    texts = [[r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(0, 90))] for _ in range(120)] + [[b"x"] * 40, [], [b"y"]]
+    for t, (inside, covered, most) in zip(texts, repetition.repeats(texts)):
+        assert (inside, most) == brute_repeats(t) and covered == inside
