@@ -1,6 +1,836 @@
-def queries():
-    return {}
+"""The registered queries: each operator over whole tables, and the SQL that gives the same rows in DuckDB."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.weights import edge_importance, importance_sql
+from ..operators import analyze, claims, community, dedup, graph, learn, resolution, retrieval, traverse
+from ..sources import extract, testgraph
+from ..sources.storage import table
+from ..sources.testgraph import DIALOGUE_SQL, FEEDBACK_SQL, MEMORY_SQL, TRADE_SQL
+from ..streaming import streams
+
+
+@dataclass(frozen=True)
+class Query:
+    run: Callable[[SparkSession, str], DataFrame]
+    sql: str | None
+
+
+CATALOGUE: dict[str, Query] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        CATALOGUE[f.__name__] = Query(f, sql)
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: q.run for k, q in CATALOGUE.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: q.sql for k, q in CATALOGUE.items() if q.sql}
+
+
+def longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+TRADE = "WITH " + TRADE_SQL
+DIALOGUE = "WITH " + DIALOGUE_SQL
+DEG = "deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)"
+IMP = importance_sql("relation", "confidence")
+TRADE_IMP = TRADE + f", best AS (SELECT src, dst, max({IMP}) AS importance FROM edges GROUP BY src, dst)"
+
+# ---- graph: degrees, validation, survivors, set operations ----
+
+
+@query(TRADE + f", {DEG} SELECT n.id, label, degree FROM deg d JOIN nodes n ON n.id = d.id WHERE file_type <> 'concept' ORDER BY degree DESC, n.id LIMIT 10")
+def god_nodes(spark, d):
+    g = testgraph.trade(spark, d)
+    return graph.god_nodes(g.nodes, g.edges)
+
+
+@query(TRADE + f", {DEG} SELECT degree, count(*) AS nodes FROM deg GROUP BY degree")
+def degree_histogram(spark, d):
+    return graph.degrees(testgraph.trade(spark, d).edges).groupBy("degree").agg(F.count("*").alias("nodes"))
+
+
+def _pct(c):
+    return f"round_even(100.0 * count(*) FILTER (confidence = '{c}') / count(*), 0)::BIGINT"
+
+
+@query(TRADE + f" SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(DISTINCT community) FROM nodes) AS communities, count(*) AS edges, {_pct('EXTRACTED')} AS extracted, {_pct('INFERRED')} AS inferred, {_pct('AMBIGUOUS')} AS ambiguous FROM edges")
+def graph_stats(spark, d):
+    g = testgraph.trade(spark, d)
+    return graph.stats(g.nodes, g.edges)
+
+
+@query(TRADE + f", {DEG}, alld AS (SELECT coalesce(degree, 0) AS degree, row_number() OVER (ORDER BY coalesce(degree, 0)) - 1 AS k FROM nodes LEFT JOIN deg USING (id)) SELECT greatest(50, (SELECT degree FROM alld WHERE k = floor(0.99 * (SELECT count(*) FROM nodes))::BIGINT))::BIGINT AS threshold")
+def hub_threshold(spark, d):
+    g = testgraph.trade(spark, d)
+    return graph.hub_threshold(g.nodes, g.edges)
+
+
+def _spoiled(spark, d):
+    """Nodes and edges with faults: of every hundredth customer the label, of debtors the type, of line 7 an end."""
+    c = table(spark, d, "customer")
+    bad = c.select(
+        F.concat(F.lit("customer_"), F.col("c_custkey").cast("string")).alias("id"),
+        F.when(F.col("c_custkey") % 100 != 0, F.col("c_name")).alias("label"),
+        F.when(F.col("c_acctbal") < 0, "table").otherwise("code").alias("file_type"),
+        F.when(F.col("c_custkey") % 7 != 0, F.lit("customer.py")).otherwise("").alias("source_file"),
+    )
+    o = table(spark, d, "orders")
+    e = o.select(
+        F.concat(F.lit("customer_"), (F.col("o_custkey") + F.when(F.col("o_orderkey") % 50 == 0, 100000000).otherwise(0)).cast("string")).alias("src"),
+        F.when(F.col("o_orderkey") % 40 != 0, F.concat(F.lit("customer_"), F.col("o_custkey").cast("string"))).alias("dst"),
+        F.lit("calls").alias("relation"),
+        F.when(F.col("o_orderstatus") == "P", "MAYBE").otherwise("EXTRACTED").alias("confidence"),
+    )
+    return bad, e
+
+
+SPOILED = """WITH nodes AS (SELECT 'customer_' || c_custkey AS id, CASE WHEN c_custkey % 100 <> 0 THEN c_name END AS label, CASE WHEN c_acctbal < 0 THEN 'table' ELSE 'code' END AS file_type, CASE WHEN c_custkey % 7 <> 0 THEN 'customer.py' ELSE '' END AS source_file FROM customer),
+edges AS (SELECT 'customer_' || (o_custkey + CASE WHEN o_orderkey % 50 = 0 THEN 100000000 ELSE 0 END) AS src, CASE WHEN o_orderkey % 40 <> 0 THEN 'customer_' || o_custkey END AS dst, 'calls' AS relation, CASE WHEN o_orderstatus = 'P' THEN 'MAYBE' ELSE 'EXTRACTED' END AS confidence FROM orders),
+keyed AS (SELECT *, coalesce(src, '') || '>' || coalesce(dst, '') AS id FROM edges)"""
+
+
+@query(
+    SPOILED
+    + """ SELECT 'node' AS kind, id, 'missing label' AS problem FROM nodes WHERE label IS NULL UNION ALL SELECT 'node', id, 'missing source_file' FROM nodes WHERE source_file = ''
+UNION ALL SELECT 'node', id, 'unknown file_type' FROM nodes WHERE file_type = 'table' UNION ALL SELECT 'edge', id, 'missing dst' FROM keyed WHERE dst IS NULL UNION ALL SELECT 'edge', id, 'unknown confidence' FROM keyed WHERE confidence = 'MAYBE'
+UNION ALL SELECT 'edge', id, 'dangling src' FROM keyed WHERE src NOT IN (SELECT id FROM nodes) UNION ALL SELECT 'edge', id, 'dangling dst' FROM keyed WHERE dst IS NOT NULL AND dst NOT IN (SELECT id FROM nodes)"""
+)
+def validation_violations(spark, d):
+    return graph.violations(*_spoiled(spark, d))
+
+
+@query(SPOILED + " SELECT src, dst, relation, confidence FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)")
+def prune_dangling(spark, d):
+    return graph.prune_dangling(*_spoiled(spark, d))
+
+
+FAM = "CASE WHEN source_file LIKE '%.py' THEN 'py' WHEN source_file LIKE '%.java' THEN 'jvm' END AS fam"
+
+
+@query(
+    TRADE
+    + f""", f AS (SELECT id, {FAM} FROM nodes) SELECT relation, confidence, count(*) AS n FROM edges e JOIN f a ON a.id = src JOIN f b ON b.id = dst
+WHERE NOT (coalesce(a.fam <> b.fam, false) AND ((relation = 'calls' AND confidence = 'INFERRED') OR relation IN ('imports', 'references'))) GROUP BY ALL"""
+)
+def edge_admission(spark, d):
+    g = testgraph.trade(spark, d)
+    return graph.admit(g.nodes, g.edges).groupBy("relation", "confidence").agg(F.count("*").alias("n"))
+
+
+@query(TRADE + " SELECT src, dst, relation, confidence, context FROM edges WHERE context IN ('field', 'import')")
+def context_filtered_edges(spark, d):
+    return graph.in_context(testgraph.trade(spark, d).edges, ["field", "import"])
+
+
+@query(
+    TRADE
+    + """, p AS (SELECT DISTINCT source_file, string_split(source_file, '/') AS parts FROM nodes), e AS (SELECT source_file, k, array_to_string(parts[len(parts) - k + 1:], '/') AS short FROM p, unnest(range(1, len(parts) + 1)) AS u(k)),
+a AS (SELECT *, count(*) OVER (PARTITION BY short) AS n FROM e) SELECT p.source_file, coalesce((SELECT arg_min(short, k) FROM a WHERE a.source_file = p.source_file AND n = 1), p.source_file) AS short FROM p"""
+)
+def file_label_suffix(spark, d):
+    return graph.short_paths(testgraph.trade(spark, d).nodes)
+
+
+@query("SELECT 'part_' || p_partkey AS id, p_name || CASE WHEN p_size > 25 THEN ' x' ELSE '' END AS label, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS seq FROM part")
+def dedupe_nodes_last_wins(spark, d):
+    p = table(spark, d, "part")
+    key = F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("id")
+    twice = p.select(key, F.col("p_name").alias("label"), F.lit(0).alias("seq")).union(p.filter("p_size > 25").select(key, F.concat("p_name", F.lit(" x")), F.lit(1)))
+    return graph.last_wins(twice, ["id"])
+
+
+@query("SELECT o_custkey AS src, l_partkey AS dst, arg_min(o_orderstatus, o_orderkey * 10 + l_linenumber) AS status, min(o_orderkey * 10 + l_linenumber)::BIGINT AS seq FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def dedupe_edges_first_wins(spark, d):
+    e = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return graph.first_wins(e.select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("seq")), ["src", "dst"])
+
+
+@query("""WITH r AS (SELECT p_name AS id, p_type AS label, p_brand AS source_file, CASE WHEN contains(p_name, lower(p_type)) THEN 0 ELSE 1 END AS own FROM part)
+SELECT id, label, source_file FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY own, length(label), label, source_file) = 1""")
+def id_collision_survivor(spark, d):
+    p = table(spark, d, "part").select(F.col("p_name").alias("id"), F.col("p_type").alias("label"), F.col("p_brand").alias("source_file"))
+    return graph.survivors(p)
+
+
+@query(TRADE + f" SELECT src, dst, round(max({IMP}), 6) AS importance FROM edges GROUP BY src, dst")
+def best_edge_importance(spark, d):
+    return graph.best_edges(testgraph.trade(spark, d).edges).withColumn("importance", F.round("importance", 6))
+
+
+@query(TRADE + f" SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(min(1.0 / {IMP}), 6) AS cost FROM edges GROUP BY 1, 2")
+def undirected_cost_graph(spark, d):
+    return graph.undirected_costs(testgraph.trade(spark, d).edges).withColumn("cost", F.round("cost", 6))
+
+
+@query(TRADE + f", {DEG} SELECT n.id, label, coalesce(degree, 0)::BIGINT AS degree FROM nodes n LEFT JOIN deg d ON n.id = d.id WHERE coalesce(degree, 0) <= 1")
+def isolated_nodes(spark, d):
+    g = testgraph.trade(spark, d)
+    return longs(graph.isolated(g.nodes, g.edges), "degree")
+
+
+def _cuts(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    e = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("calls").alias("relation"), "o_orderdate")
+    return e.filter("o_orderdate < '1996-01-01'").drop("o_orderdate"), e.filter("o_orderdate >= '1994-01-01'").drop("o_orderdate")
+
+
+CUTS = """WITH e AS (SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst, 'calls' AS relation, o_orderdate AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+old AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, relation FROM e WHERE t < '1996-01-01'), new AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, relation FROM e WHERE t >= '1994-01-01')"""
+
+
+@query(CUTS + " SELECT *, 'added' AS change FROM (FROM new EXCEPT FROM old) UNION ALL SELECT *, 'removed' FROM (FROM old EXCEPT FROM new)")
+def graph_diff(spark, d):
+    old, new = _cuts(spark, d)
+    return graph.graph_diff(graph.edge_keys(old), graph.edge_keys(new), ["a", "b", "relation"])
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size >= 20 THEN p_type ELSE p_name END AS label FROM part")
+def compose_graphs(spark, d):
+    p = table(spark, d, "part").filter("p_size IS NOT NULL")
+    return graph.compose(p.filter("p_size < 30").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")), p.filter("p_size >= 20").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("label")), ["id"])
+
+
+@query(TRADE + " SELECT 'a::' || id AS id, id AS local_id, 'a' AS repo FROM nodes UNION ALL SELECT 'b::' || id, id, 'b' FROM nodes WHERE file_type = 'concept'")
+def prefix_merge(spark, d):
+    g = testgraph.trade(spark, d)
+    a, _ = graph.prefixed(g.nodes, g.edges, "a")
+    b, _ = graph.prefixed(g.nodes, g.edges, "b")
+    return a.unionByName(b.filter("file_type = 'concept'")).select("id", "local_id", "repo")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'new' ELSE p_name END AS label, p_brand AS source_file FROM part WHERE p_brand <> 'Brand#3' AND (p_brand NOT IN ('Brand#1', 'Brand#2') OR p_size > 10)")
+def replace_by_source(spark, d):
+    p = table(spark, d, "part")
+    old = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_brand").alias("source_file"))
+    new = p.filter("p_brand IN ('Brand#1', 'Brand#2') AND p_size > 10").select(F.col("p_partkey").alias("id"), F.lit("new").alias("label"), F.col("p_brand").alias("source_file"))
+    return graph.replace_sources(old, new, spark.createDataFrame([("Brand#3",), ("Brand#1",)], "source_file string").filter("source_file <> 'Brand#1'"))
+
+
+@query("SELECT p_partkey AS id, p_brand AS source_file FROM part WHERE p_size <= 10 AND p_brand NOT IN ('Brand#1', 'Brand#2')")
+def shrink_guard_lost(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("source_file"), "p_size")
+    return graph.unexplained_losses(p, p.filter("p_size > 10"), p.filter("source_file IN ('Brand#1', 'Brand#2')"))
+
+
+@query(
+    """WITH e AS (SELECT 'c' || o_custkey AS src, CASE WHEN o_orderkey % 30 = 0 THEN 'c' || o_custkey ELSE 'p' || l_partkey END AS dst, CASE WHEN l_linenumber = 1 THEN 'calls' ELSE 'uses' END AS relation FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+n AS (SELECT 'c' || c_custkey AS id FROM customer UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_size <> 7), g AS (SELECT src, dst, count(*) AS n, count(DISTINCT relation) AS k FROM e GROUP BY 1, 2)
+SELECT sum(n)::BIGINT AS edges, sum(CASE WHEN src = dst THEN n ELSE 0 END)::BIGINT AS loops, sum(n - k)::BIGINT AS repeats, count(*) FILTER (k > 1) AS variants, sum(n - 1)::BIGINT AS collapsed, (SELECT count(*) FROM e WHERE src NOT IN (SELECT id FROM n) OR dst NOT IN (SELECT id FROM n)) AS dangling FROM g"""
+)
+def multigraph_diagnostics(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    c, p = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    e = o.select(c.alias("src"), F.when(F.col("o_orderkey") % 30 == 0, c).otherwise(p).alias("dst"), F.when(F.col("l_linenumber") == 1, "calls").otherwise("uses").alias("relation"))
+    n = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id")).union(table(spark, d, "part").filter("p_size <> 7").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"))))
+    return graph.diagnose(n, e)
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem), s AS (SELECT src, dst, CASE WHEN length(dst) % 2 = 0 THEN 'imports' ELSE 'manages' END AS relation FROM e)
+SELECT src, dst, 'imports' AS relation, 'EXTRACTED' AS confidence FROM e UNION ALL SELECT src, dst, relation, 'INFERRED' FROM s WHERE relation = 'manages'"""
+)
+def secondary_explode(spark, d):
+    li = table(spark, d, "lineitem")
+    e = li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    s = F.struct(F.when(F.length("dst") % 2 == 0, "imports").otherwise("manages").alias("relation"), F.lit("INFERRED").alias("confidence"))
+    return graph.explode_secondary(e.withColumns({"relation": F.lit("imports"), "confidence": F.lit("EXTRACTED"), "secondary": F.array(s)}))
+
+
+@query(
+    """WITH n AS (SELECT 'p' || p_partkey AS id FROM part WHERE p_size > 5 UNION ALL SELECT 's' || s_suppkey FROM supplier), l AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS p, l_linenumber AS k FROM lineitem),
+prev AS (SELECT DISTINCT p AS src, s AS dst, 'r' || k AS relation FROM l WHERE p IN (SELECT id FROM n)), e AS (SELECT DISTINCT s AS src, p AS dst, 'imports' AS relation FROM l WHERE k > 1 AND p IN (SELECT id FROM n)),
+notes AS (SELECT src, dst, list_sort(list(relation)) AS r FROM prev GROUP BY 1, 2)
+SELECT e.src, e.dst, e.relation, coalesce(array_to_string(r[1:8], ','), '') AS secondary FROM e LEFT JOIN notes n2 ON n2.src = e.dst AND n2.dst = e.src
+UNION ALL SELECT src, dst, r[1], array_to_string(r[2:9], ',') FROM notes WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = notes.dst AND e.dst = notes.src)"""
+)
+def semantic_restore(spark, d):
+    s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    n = table(spark, d, "part").filter("p_size > 5").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id")).union(table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))))
+    li = table(spark, d, "lineitem")
+    prev = li.select(p.alias("src"), s.alias("dst"), F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("relation"))
+    e = li.filter("l_linenumber > 1").select(s.alias("src"), p.alias("dst"), F.lit("imports").alias("relation")).distinct()
+    return graph.restore_layer(prev, graph.prune_dangling(n, e), n).withColumn("secondary", F.array_join("secondary", ","))
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT l_orderkey AS id, 'p' || l_partkey AS node FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 25)
+SELECT id, array_to_string(list_sort(list(node)), ',') AS members FROM m GROUP BY id HAVING count(*) >= 2"""
+)
+def hyperedge_cleanup(spark, d):
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    hyper = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(part).alias("nodes"))
+    known = table(spark, d, "part").filter("p_size > 25").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
+    return graph.clean_hyperedges(hyper, known).select("id", F.array_join("nodes", ",").alias("members"))
+
+
+@query(TRADE + " SELECT 'out' AS direction, dst AS id, relation, confidence FROM edges WHERE src = 'part_1' UNION ALL SELECT 'in', src, relation, confidence FROM edges WHERE dst = 'part_1'")
+def node_neighbours(spark, d):
+    return graph.neighbours(testgraph.trade(spark, d).edges, "part_1")
+
+
+@query(TRADE + " SELECT array_to_string(string_split(source_file, '/')[:k], '/') AS prefix, k::BIGINT AS depth, count(*) AS n FROM nodes, unnest(range(1, len(string_split(source_file, '/')) + 1)) AS u(k) GROUP BY 1, 2")
+def path_tree_rollup(spark, d):
+    return graph.tree_counts(testgraph.trade(spark, d).nodes)
+
+
+@query(TRADE + """, ch(change, path) AS (VALUES ('a', 'customer.py'), ('b', 'region.md'), ('b', 'Brand#2/part.py'), ('c', 'nothing.py')) SELECT change, count(DISTINCT community) AS communities, count(*) AS nodes FROM
+(SELECT DISTINCT change, id, community FROM ch JOIN nodes ON source_file = path OR ends_with(source_file, '/' || path)) GROUP BY change""")
+def change_impact(spark, d):
+    changed = spark.createDataFrame([("a", "customer.py"), ("b", "region.md"), ("b", "Brand#2/part.py"), ("c", "nothing.py")], "change string, path string")
+    return graph.change_impact(testgraph.trade(spark, d).nodes, changed)
+
+
+@query(TRADE + " SELECT string_split(a.source_file, '/')[1] AS section_a, string_split(b.source_file, '/')[1] AS section_b, relation, count(*) AS n FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst GROUP BY ALL")
+def section_edge_summary(spark, d):
+    g = testgraph.trade(spark, d)
+    return graph.section_summary(g.nodes, g.edges)
+
+
+@query(TRADE + f" SELECT id, round(sum(w), 4) AS weight FROM (SELECT src AS id, {IMP} AS w FROM edges UNION ALL SELECT dst, {IMP} FROM edges) GROUP BY id")
+def weighted_degree(spark, d):
+    return graph.weighted_degrees(testgraph.trade(spark, d).edges).withColumn("weight", F.round("weight", 4))
+
+
+# ---- traversal ----
+
+HUBS = f"{DEG}, alld AS (SELECT coalesce(degree, 0) AS degree, row_number() OVER (ORDER BY coalesce(degree, 0)) - 1 AS k FROM nodes LEFT JOIN deg USING (id)), hub AS (SELECT id FROM deg WHERE degree >= greatest(50, (SELECT degree FROM alld WHERE k = floor(0.99 * (SELECT count(*) FROM nodes))::BIGINT)))"
+
+
+def _bfs_sql(weighted: bool) -> str:
+    order = "-ie.importance, src" if weighted else "src"
+    imp = "ie.importance" if weighted else "1.0"
+    step = lambda k, known: f"f{k} AS MATERIALIZED (SELECT id, {k} AS distance, importance, parent FROM (SELECT dst AS id, {imp}::DOUBLE AS importance, src AS parent, row_number() OVER (PARTITION BY dst ORDER BY {order}) AS rn FROM ie JOIN f{k - 1} f ON f.id = src WHERE src NOT IN (SELECT id FROM hub WHERE id <> 'customer_7') AND dst NOT IN ({known})) WHERE rn = 1)"
+    return TRADE + f", {HUBS}, ie AS (SELECT src, dst, {IMP} AS importance FROM edges), f0 AS (SELECT 'customer_7' AS id, 0 AS distance, 1.0::DOUBLE AS importance, NULL::VARCHAR AS parent), {step(1, 'SELECT id FROM f0')}, {step(2, 'SELECT id FROM f0 UNION ALL SELECT id FROM f1')} SELECT id, distance::BIGINT AS distance, round(importance, 6) AS importance, parent FROM (FROM f0 UNION ALL FROM f1 UNION ALL FROM f2)"
+
+
+@query(_bfs_sql(False))
+def bfs_unweighted(spark, d):
+    g = testgraph.trade(spark, d)
+    return longs(traverse.expand(g.nodes, g.edges, ["customer_7"], 2), "distance")
+
+
+@query(_bfs_sql(True))
+def bfs_weighted(spark, d):
+    g = testgraph.trade(spark, d)
+    return longs(traverse.expand(g.nodes, g.edges, ["customer_7"], 2, weighted=True), "distance").withColumn("importance", F.round("importance", 6))
+
+
+@query(TRADE + """, h1 AS (SELECT src AS id, min(relation) AS relation FROM edges WHERE dst = 'supplier_3' AND src <> 'supplier_3' GROUP BY src), h2 AS (SELECT src AS id, min(relation) AS relation FROM edges WHERE dst IN (SELECT id FROM h1) AND src <> 'supplier_3' AND src NOT IN (SELECT id FROM h1) GROUP BY src)
+SELECT id, 1::BIGINT AS depth, relation FROM h1 UNION ALL SELECT id, 2, relation FROM h2""")
+def affected(spark, d):
+    g = testgraph.trade(spark, d)
+    return longs(traverse.affected(g.nodes, g.edges, "supplier_3"), "depth")
+
+
+def _relax_sql(rounds: int, weighted: bool) -> str:
+    cost = f"min(1.0 / {IMP})" if weighted else "1.0"
+    sql = TRADE + f", c AS MATERIALIZED (SELECT a, b, cost FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, {cost}::DOUBLE AS cost FROM edges GROUP BY 1, 2)), bo AS MATERIALIZED (SELECT a, b, cost FROM c UNION ALL SELECT b, a, cost FROM c), k0 AS (SELECT 'customer_7' AS id, 0.0::DOUBLE AS distance)"
+    for k in range(rounds):
+        sql += f", k{k + 1} AS MATERIALIZED (SELECT id, min(distance) AS distance FROM (FROM k{k} UNION ALL SELECT b, distance + cost FROM bo JOIN k{k} x ON x.id = a) GROUP BY id)"
+    return sql + f" SELECT id, round(distance, 6) AS distance FROM k{rounds}"
+
+
+@query(_relax_sql(7, False))
+def shortest_hops(spark, d):
+    return traverse.distances(testgraph.trade(spark, d).edges, "customer_7", weighted=False).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query(_relax_sql(10, True))
+def shortest_costs(spark, d):
+    return traverse.distances(testgraph.trade(spark, d).edges, "customer_7").select("id", F.round("distance", 6).alias("distance"))
+
+
+@query(DIALOGUE + " SELECT (row_number() OVER (ORDER BY turn) - 1)::BIGINT AS step, id, (turn - first) * 1.0::DOUBLE AS distance FROM (SELECT *, min(turn) OVER () AS first FROM turns WHERE conv_id = 0)")
+def shortest_path(spark, d):
+    g = testgraph.dialogue(spark, d)
+    ends = g.nodes.filter("source_file = 'conv/0'").agg(F.min("id"), F.max("id")).first()
+    return longs(traverse.shortest_path(g.edges, ends[0], ends[1]), "step")
+
+
+@query(TRADE_IMP + """, p AS (SELECT n_name AS path, 'customer_' || c_custkey AS src, 'nation_' || c_nationkey AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_name, 'nation_' || n_nationkey, 'region_' || n_regionkey FROM nation)
+SELECT path, round(exp(avg(ln(importance))), 6) AS score FROM p JOIN best USING (src, dst) GROUP BY path""")
+def path_geometric_mean(spark, d):
+    e = testgraph.trade(spark, d).edges
+    n = table(spark, d, "nation")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}_"), F.col(c).cast("string"))
+    paths = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("path"), name("customer", "c_custkey").alias("src"), name("nation", "c_nationkey").alias("dst"))
+    return traverse.path_score(e, paths.union(n.select("n_name", name("nation", "n_nationkey"), name("region", "n_regionkey")))).withColumn("score", F.round("score", 6))
+
+
+@query(DIALOGUE + ", r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, first_value(id) OVER (PARTITION BY conv_id ORDER BY turn) AS root FROM turns) SELECT root, k AS position, id, k AS depth FROM r WHERE k <= 6")
+def dfs_preorder(spark, d):
+    g = testgraph.dialogue(spark, d)
+    part = F.substring("src", 1, 9)
+    roots = g.nodes.groupBy(F.substring("id", 1, 9).alias("part")).agg(F.min("id").alias("root"))
+    return traverse.depth_first(g.edges.select(part.alias("part"), "src", "dst"), roots)
+
+
+def _ppr_sql(n: int) -> str:
+    sql = TRADE_IMP + ", sh AS MATERIALIZED (SELECT src, dst, importance / sum(importance) OVER (PARTITION BY src) AS share FROM best), r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM nodes) AS score, id NOT IN (SELECT src FROM sh) AS dang, CASE WHEN id IN ('customer_7', 'part_3') THEN 0.5 ELSE 0 END AS home FROM nodes)"
+    for k in range(n):
+        sql += f", r{k + 1} AS MATERIALIZED (SELECT r.id, 0.85 * coalesce(g.got, 0) + (0.85 * (SELECT sum(score) FROM r{k} WHERE dang) + 0.15) * home AS score, dang, home FROM r{k} r LEFT JOIN (SELECT dst, sum(score * share) AS got FROM sh JOIN r{k} x ON x.id = src GROUP BY dst) g ON g.dst = r.id)"
+    return sql + f" SELECT id, round(score, 7) AS score FROM r{n}"
+
+
+@query(_ppr_sql(5))
+def personalized_pagerank(spark, d):
+    g = testgraph.trade(spark, d)
+    return traverse.pagerank(g.nodes, g.edges, ["customer_7", "part_3"], iterations=5).withColumn("score", F.round("score", 7))
+
+
+@query(DIALOGUE + ", g AS (SELECT *, sum(gap) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, CASE WHEN turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN 0 ELSE 1 END AS gap FROM turns)) SELECT id, min(id) OVER (PARTITION BY conv_id, run) AS component FROM g")
+def connected_components(spark, d):
+    g = testgraph.dialogue(spark, d)
+    return traverse.components(g.nodes, g.edges)
+
+
+CYCLE_PAIRS = "p AS MATERIALIZED (SELECT DISTINCT s.s_nationkey AS a, c.c_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c.c_custkey JOIN supplier s ON l_suppkey = s.s_suppkey WHERE l_quantity = 50 AND l_discount > 0.07)"
+
+
+@query(f"WITH {CYCLE_PAIRS} SELECT 1::BIGINT AS length, a::VARCHAR AS cycle FROM p WHERE a = b UNION ALL SELECT 2, x.a || '>' || x.b FROM p x JOIN p y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b UNION ALL SELECT 3, x.a || '>' || x.b || '>' || y.b FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b")
+def import_cycles(spark, d):
+    """Cycles of nations that supply each other; nations stand for files."""
+    li = table(spark, d, "lineitem").filter("l_quantity = 50 AND l_discount > 0.07")
+    p = li.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = p.select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b"))
+    return longs(traverse.file_cycles(pairs), "length").withColumn("cycle", F.col("cycle").cast("string"))
+
+
+# ---- communities ----
+
+
+@query(TRADE + """, c AS (SELECT id, community FROM nodes), i AS (SELECT DISTINCT a.community, least(src, dst) AS x, greatest(src, dst) AS y FROM edges JOIN c a ON a.id = src JOIN c b ON b.id = dst WHERE a.community = b.community AND src <> dst)
+SELECT n.community, n.size, coalesce(k, 0)::BIGINT AS inside, round(coalesce(k, 0) / (size * (size - 1) / 2.0), 8) AS cohesion FROM (SELECT community, count(*) AS size FROM nodes GROUP BY 1) n LEFT JOIN (SELECT community, count(*) AS k FROM i GROUP BY 1) j USING (community)""")
+def community_cohesion(spark, d):
+    g = testgraph.trade(spark, d)
+    return longs(community.cohesion(g.nodes, g.edges), "inside").withColumn("cohesion", F.round("cohesion", 8))
+
+
+@query(TRADE + f", {DEG} SELECT community, arg_min(label, (-coalesce(degree, 0), n.id)) AS label FROM nodes n LEFT JOIN deg d ON d.id = n.id GROUP BY community")
+def community_labels(spark, d):
+    g = testgraph.trade(spark, d)
+    return community.hub_labels(g.nodes, g.edges)
+
+
+@query(TRADE + ", parts AS (SELECT community, sha256(id)[1:4] AS part, sha256(string_agg(id, chr(10) ORDER BY id)) AS h FROM nodes GROUP BY 1, 2) SELECT community, sha256(string_agg(h, chr(10) ORDER BY part))[1:16] AS signature FROM parts GROUP BY community")
+def community_fingerprints(spark, d):
+    return community.fingerprints(testgraph.trade(spark, d).nodes)
+
+
+def _partitions(spark, d):
+    c = table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community")), c.select(F.col("c_custkey").alias("id"), F.length("c_mktsegment").alias("community"))
+
+
+@query("SELECT c_nationkey::BIGINT AS old, length(c_mktsegment) AS new, count(*) AS n FROM customer GROUP BY 1, 2")
+def community_overlap(spark, d):
+    return longs(community.overlap(*_partitions(spark, d)), "old", "new")
+
+
+@query()
+def community_remap(spark, d):
+    return longs(community.matched(community.overlap(*_partitions(spark, d))), "old", "new")
+
+
+@query(TRADE + f", {DEG}, r AS (SELECT community, row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, n.id) AS place, n.id, label FROM nodes n LEFT JOIN deg d ON d.id = n.id) SELECT * FROM r WHERE place <= 3")
+def community_representatives(spark, d):
+    g = testgraph.trade(spark, d)
+    return community.representatives(g.nodes, g.edges)
+
+
+@query(TRADE + f""", {DEG}, r AS (SELECT community, row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, n.id) AS place, n.id, label FROM nodes n LEFT JOIN deg d ON d.id = n.id),
+h AS (SELECT *, contains(lower(label), 'ring')::INT + contains(lower(label), 'red')::INT AS h FROM r), o AS (SELECT community, h, row_number() OVER (PARTITION BY community ORDER BY id) AS k FROM h WHERE place > 3),
+x AS (SELECT community, 3 * h AS s FROM h WHERE place = 1 UNION ALL SELECT community, 2 * h FROM h WHERE place <= 3 UNION ALL SELECT community, h FROM o WHERE k <= 8 UNION ALL SELECT community, 10 FROM nodes WHERE id IN ('part_1', 'part_2', 'customer_7'))
+SELECT community, (SELECT count(*) FROM nodes n WHERE n.community = x.community AND id IN ('part_1', 'part_2', 'customer_7')) AS seeds, sum(s)::BIGINT AS score FROM x GROUP BY community""")
+def community_scores(spark, d):
+    g = testgraph.trade(spark, d)
+    return longs(community.scores(g.nodes, g.edges, ["part_1", "part_2", "customer_7"], ["ring", "red"]), "seeds")
+
+
+@query(TRADE + ", s AS (SELECT id FROM nodes WHERE community = 1) SELECT src, dst, relation, confidence, context FROM edges WHERE src IN (FROM s) AND dst IN (FROM s)")
+def community_restricted(spark, d):
+    g = testgraph.trade(spark, d)
+    return community.restrict(g.nodes, g.edges, [1])[1]
+
+
+@query(TRADE + " SELECT least(a.community, b.community) AS c1, greatest(a.community, b.community) AS c2, count(*) AS n FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.community <> b.community GROUP BY 1, 2")
+def cross_community_links(spark, d):
+    g = testgraph.trade(spark, d)
+    return community.cross_links(g.nodes, g.edges)
+
+
+@query(DIALOGUE + """, bo AS MATERIALIZED (SELECT src, dst FROM links UNION SELECT dst, src FROM links UNION SELECT id, id FROM turns), l0 AS (SELECT id, id AS label FROM turns),
+l1 AS MATERIALIZED (SELECT src AS id, arg_min(label, (-n, label)) AS label FROM (SELECT src, label, count(*) AS n FROM bo JOIN l0 ON l0.id = dst GROUP BY 1, 2) GROUP BY src),
+l2 AS MATERIALIZED (SELECT src AS id, arg_min(label, (-n, label)) AS label FROM (SELECT src, label, count(*) AS n FROM bo JOIN l1 ON l1.id = dst GROUP BY 1, 2) GROUP BY src),
+l3 AS MATERIALIZED (SELECT src AS id, arg_min(label, (-n, label)) AS label FROM (SELECT src, label, count(*) AS n FROM bo JOIN l2 ON l2.id = dst GROUP BY 1, 2) GROUP BY src) SELECT id, label AS community FROM l3""")
+def label_propagation(spark, d):
+    g = testgraph.dialogue(spark, d)
+    return community.label_propagation(g.nodes, g.edges, rounds=3)
+
+
+@query()
+def louvain_communities(spark, d):
+    g = testgraph.dialogue(spark, d)
+    return community.louvain(g.nodes, g.edges, rounds=4, levels=2)
+
+
+# ---- analysis ----
+
+
+@query(TRADE + f""", {DEG}, f AS (SELECT id, source_file, community, {FAM}, CASE WHEN source_file LIKE '%.md' THEN 'doc' ELSE 'code' END AS cat, string_split(source_file, '/')[1] AS top FROM nodes),
+e AS (SELECT src, dst, relation, confidence, a.cat <> b.cat AS dc, coalesce(a.fam <> b.fam, false) OR a.cat <> b.cat AS across, a.top <> b.top AS dt, a.community <> b.community AS dm, least(da.degree, db.degree) <= 2 AND greatest(da.degree, db.degree) >= 5 AS quiet FROM edges JOIN f a ON a.id = src JOIN f b ON b.id = dst JOIN deg da ON da.id = src JOIN deg db ON db.id = dst WHERE relation <> 'imports' AND a.source_file <> b.source_file)
+SELECT src, dst, relation, confidence, ((CASE WHEN confidence = 'INFERRED' AND relation IN ('calls', 'uses') AND across THEN 0 ELSE CASE confidence WHEN 'AMBIGUOUS' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END + 2 * dc::INT + 2 * dt::INT + dm::INT END) + quiet::INT)::BIGINT AS score FROM e""")
+def surprise_scores(spark, d):
+    g = testgraph.trade(spark, d)
+    return analyze.surprises(g.nodes, g.edges)
+
+
+@query(TRADE + """, e AS (SELECT least(a.community, b.community) AS c1, greatest(a.community, b.community) AS c2, CASE confidence WHEN 'AMBIGUOUS' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END AS r, src, dst, relation FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.community <> b.community)
+SELECT c1, c2, src, dst, relation FROM e QUALIFY row_number() OVER (PARTITION BY c1, c2 ORDER BY r, src, dst, relation) = 1""")
+def community_bridges(spark, d):
+    g = testgraph.trade(spark, d)
+    return analyze.bridges(g.nodes, g.edges)
+
+
+@query(TRADE + f""", {DEG}, am AS (SELECT src, dst, relation FROM edges WHERE confidence = 'AMBIGUOUS' ORDER BY src, dst, relation LIMIT 5), bz AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 5), inf AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges WHERE confidence = 'INFERRED' UNION ALL SELECT dst FROM edges WHERE confidence = 'INFERRED') GROUP BY id HAVING count(*) >= 2), al AS (SELECT id, label FROM nodes WHERE id NOT IN (SELECT id FROM deg) ORDER BY id LIMIT 5)
+SELECT 'ambiguous_edge' AS kind, src AS subject, printf('What is the exact relation of `%s` and `%s`?', a.label, b.label) AS question FROM am JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst
+UNION ALL SELECT 'inferred_hub', bz.id, printf('Are the %d inferred relations of `%s` right?', n, label) FROM bz JOIN inf USING (id) JOIN nodes USING (id) UNION ALL SELECT 'isolated', id, printf('What connects `%s` to the rest?', label) FROM al""")
+def suggested_questions(spark, d):
+    g = testgraph.trade(spark, d)
+    return analyze.questions(g.nodes, g.edges)
+
+
+# ---- retrieval ----
+
+PARTS = "SELECT 'part_' || p_partkey AS id, p_name AS label, p_brand || '/ring.py' AS source_file FROM part"
+
+
+def _parts(spark, d):
+    return table(spark, d, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), F.concat("p_brand", F.lit("/ring.py")).alias("source_file"))
+
+
+@query("SELECT term, df, round(ln(1 + (SELECT count(*) FROM documents) / (1 + df)), 6) AS idf FROM (SELECT term, (SELECT count(*) FROM documents WHERE contains(lower(text), term)) AS df FROM (VALUES ('the'), ('license'), ('zzz')) t(term))")
+def idf_terms(spark, d):
+    return retrieval.term_weights(table(spark, d, "documents"), ["the", "license", "zzz"], "text").withColumn("idf", F.round("idf", 6))
+
+
+def _score_sql(*terms: str) -> str:
+    q = " ".join(terms)
+    sql = f"WITH n AS (SELECT *, lower(label) AS l, lower(source_file) AS f FROM ({PARTS})), w AS (SELECT " + ", ".join(f"ln(1 + count(*) / (1 + count(*) FILTER (contains(l, '{t}')))) AS w{k}" for k, t in enumerate(terms)) + " FROM n)"
+    tiers = " + ".join(f"CASE WHEN l = '{t}' THEN 1000 * w{k} WHEN starts_with(l, '{t}') THEN 100 * w{k} ELSE 0 END" for k, t in enumerate(terms))
+    direct = " + ".join(f"CASE WHEN NOT starts_with(l, '{t}') AND contains(l, '{t}') THEN w{k} ELSE 0 END + CASE WHEN contains(f, '{t}') THEN 0.5 * w{k} ELSE 0 END" for k, t in enumerate(terms))
+    matched = " + ".join(f"contains(l, '{t}')::INT" for t in terms)
+    top = f"greatest({', '.join(f'w{k}' for k in range(len(terms)))})"
+    return sql + f", s AS (SELECT id, label, CASE WHEN l = '{q}' THEN 10000 * {top} WHEN starts_with(l, '{q}') THEN 1000 * {top} ELSE 0 END + ({tiers}) * pow(({matched}) / {float(len(terms))}, 2) + {direct} AS score FROM n, w)"
+
+
+@query(_score_sql("red", "ring") + " SELECT id, label, round(score, 5) AS score FROM s WHERE score > 0")
+def node_scores(spark, d):
+    return retrieval.score_nodes(_parts(spark, d), ["red", "ring"]).withColumn("score", F.round("score", 5))
+
+
+@query(_score_sql("red", "ring") + ", o AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, length(label), id) = 1) SELECT id, label, round(score, 5) AS score FROM o WHERE score >= 0.2 * (SELECT max(score) FROM o) ORDER BY o.score DESC, length(label), id LIMIT 3")
+def pick_seeds(spark, d):
+    return retrieval.pick_seeds(retrieval.score_nodes(_parts(spark, d), ["red", "ring"])).withColumn("score", F.round("score", 5))
+
+
+@query(f"WITH n AS ({PARTS}) SELECT id, label, (CASE WHEN lower(label) = 'red' THEN 1 WHEN starts_with(lower(label), 'red') THEN 2 ELSE 3 END)::BIGINT AS tier FROM n WHERE contains(lower(label), 'red') ORDER BY tier, length(label), id LIMIT 5")
+def find_node(spark, d):
+    return longs(retrieval.find_node(_parts(spark, d), "Red"), "tier")
+
+
+@query(f"WITH n AS ({PARTS}) SELECT id, label FROM n WHERE contains(lower(label), 'idge')")
+def trigram_search(spark, d):
+    p = _parts(spark, d)
+    return retrieval.trigram_search(p, retrieval.trigram_index(p), "idge")
+
+
+TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
+BM25 = f"""WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), f AS (SELECT doc_id, len(w) AS n, len(list_filter(w, x -> x = 'license')) AS a, len(list_filter(w, x -> x = 'public')) AS b FROM t),
+s AS (SELECT count(*) AS c, avg(n) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM f),
+bm AS (SELECT doc_id AS id, ln(1 + (c - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (c - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m)) AS score FROM f, s WHERE a > 0 OR b > 0)"""
+
+
+@query(BM25 + " SELECT id, round(score, 6) AS score FROM bm")
+def bm25_scores(spark, d):
+    return retrieval.bm25(table(spark, d, "documents"), ["license", "public", "license"]).withColumn("score", F.round("score", 6))
+
+
+@query(BM25 + """, r1 AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM bm QUALIFY rank <= 50), r2 AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50)
+SELECT id, round(sum(1.0 / (60 + rank)), 8) AS score FROM (FROM r1 UNION ALL FROM r2) GROUP BY id""")
+def rank_fusion(spark, d):
+    docs = table(spark, d, "documents")
+    a = retrieval.bm25(docs, ["license", "public"]).withColumn("score", F.round("score", 6))
+    b = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
+    return retrieval.fuse([retrieval.top_ranked(a, 50), retrieval.top_ranked(b, 50)]).withColumn("score", F.round("score", 8))
+
+
+@query("WITH l AS (SELECT p_brand, p_partkey AS place, p_name || ' [' || p_type || ']' AS line FROM part), u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY p_brand ORDER BY place) AS used FROM l) SELECT p_brand, place, line, used::BIGINT AS used FROM u WHERE used <= 300")
+def budget_cut(spark, d):
+    lines = table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("place"), F.concat("p_name", F.lit(" ["), "p_type", F.lit("]")).alias("line"))
+    return longs(retrieval.within_budget(lines, 300, "p_brand"), "used")
+
+
+@query("""WITH r AS (SELECT source AS query, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents), rel AS (SELECT DISTINCT source AS query, doc_id AS id FROM documents JOIN labels USING (doc_id) WHERE quality = 0),
+h AS (SELECT r.*, rel.id IS NOT NULL AS hit FROM r LEFT JOIN rel USING (query, id)) SELECT query, round(count(*) FILTER (hit AND rank <= 10) / count(*) FILTER (rank <= 10), 6) AS precision, round(count(*) FILTER (hit AND rank <= 10) / count(*) FILTER (hit), 6) AS recall, round(coalesce(1.0 / min(rank) FILTER (hit), 0), 6) AS reciprocal_rank FROM h GROUP BY query HAVING count(*) FILTER (hit) > 0""")
+def ranking_metrics(spark, d):
+    docs = table(spark, d, "documents")
+    ranked = docs.select(F.col("source").alias("query"), F.col("doc_id").alias("id"), F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    relevant = docs.join(table(spark, d, "labels").filter("quality = 0"), "doc_id").select(F.col("source").alias("query"), F.col("doc_id").alias("id"))
+    out = retrieval.metrics(ranked, relevant)
+    return out.select("query", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")])
+
+
+@query()
+def retrieve_context(spark, d):
+    g = testgraph.trade(spark, d)
+    return retrieval.retrieve(g.nodes, g.edges, "Which customers call the red ring?", depth=1, budget=500)
+
+
+@query("SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS tokens, round(length(text) / greatest(1, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')))::DOUBLE, 6) AS per_word FROM documents")
+def token_estimates(spark, d):
+    docs = table(spark, d, "documents")
+    words = F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))
+    return docs.select("doc_id", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long").alias("tokens"), F.round(F.length("text") / words, 6).alias("per_word"))
+
+
+# ---- text, similarity, deduplication ----
+
+
+@query("""WITH w AS (SELECT p_partkey, unnest(regexp_extract_all(p_name || ' userName HTTPServer x9 snake_case', '[A-Za-z_][A-Za-z0-9_]*')) AS x FROM part), k AS (SELECT p_partkey, x FROM w WHERE length(x) >= 2),
+parts AS (SELECT p_partkey, lower(x) AS t FROM k UNION ALL SELECT p_partkey, v.t FROM k JOIN (VALUES ('userName', 'user'), ('userName', 'name'), ('HTTPServer', 'http'), ('HTTPServer', 'server'), ('snake_case', 'snake'), ('snake_case', 'case')) v(x, t) USING (x)) SELECT t AS token, count(*) AS n FROM parts GROUP BY t""")
+def code_tokens(spark, d):
+    t = T.code_tokens(F.concat("p_name", F.lit(" userName HTTPServer x9 snake_case")))
+    return table(spark, d, "part").select(F.explode(t).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS c FROM part), k AS (SELECT p_partkey, c, count(*) AS n FROM c GROUP BY ALL) SELECT p_partkey, round(-sum(n / t * log2(n / t)), 6) AS bits FROM (SELECT *, sum(n) OVER (PARTITION BY p_partkey) AS t FROM k) GROUP BY p_partkey")
+def label_entropy(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.round(T.entropy(F.col("p_name")), 6).alias("bits"))
+
+
+SHINGLES = "s AS (SELECT label, list_distinct([label[k:k + 2] FOR k IN range(1, greatest(length(label) - 2, 1) + 1)]) AS g FROM (SELECT DISTINCT p_name AS label FROM part))"
+
+
+@query(f"WITH {SHINGLES} SELECT x.label AS a, y.label AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g)))::DOUBLE, 6) AS jaccard FROM s x JOIN s y ON x.label < y.label AND len(list_intersect(x.g, y.g)) > 0")
+def shingle_jaccard(spark, d):
+    s = table(spark, d, "part").select(F.col("p_name").alias("label")).distinct().withColumn("g", T.shingles(F.col("label")))
+    k = s.select("label", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    both = k.withColumnsRenamed({"label": "a", "n": "na"}).join(k.withColumnsRenamed({"label": "b", "n": "nb"}), "gram").filter("a < b")
+    return both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).select("a", "b", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 6).alias("jaccard"))
+
+
+@query()
+def minhash_candidates(spark, d):
+    return dedup.candidates(table(spark, d, "part").select(T.norm_label(F.col("p_name")).alias("label")).distinct())
+
+
+@query("WITH n AS (SELECT DISTINCT lower(p_name) AS l FROM part) SELECT a.l AS a, b.l AS b, round(jaro_winkler_similarity(a.l, b.l), 6) AS jw, round(jaro_similarity(a.l, b.l), 6) AS j FROM n a JOIN n b ON a.l < b.l AND a.l[1:2] = b.l[1:2]")
+def jaro_winkler_pairs(spark, d):
+    n = table(spark, d, "part").select(F.lower("p_name").alias("a")).distinct()
+    pairs = n.withColumn("k", F.substring("a", 1, 2)).join(n.select(F.col("a").alias("b"), F.substring("a", 1, 2).alias("k")), "k").filter("a < b")
+    return pairs.select("a", "b", F.round(T.jaro_winkler("a", "b"), 6).alias("jw"), F.round(T.jaro("a", "b"), 6).alias("j"))
+
+
+@query("WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS s, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents) SELECT doc_id AS id, s AS survivor FROM g WHERE n > 1")
+def exact_label_merge(spark, d):
+    return dedup.exact_groups(table(spark, d, "documents"), F.md5(F.col("text").cast("binary")), "doc_id")
+
+
+@query()
+def dedup_entities(spark, d):
+    name = F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower("p_brand"))
+    n = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), name.alias("label"), F.lit("concept").alias("file_type"), F.col("p_brand").alias("source_file"))
+    return dedup.dedup_entities(n)
+
+
+@query("""WITH n AS (SELECT DISTINCT p_type || p_size AS a FROM part), p AS (SELECT x.a, y.a AS b FROM n x JOIN n y ON x.a < y.a AND x.a[1:4] = y.a[1:4]),
+q AS (SELECT a, b, list_sort(list_transform(regexp_extract_all(a, '[0-9]+'), x -> coalesce(nullif(ltrim(x, '0'), ''), '0'))) AS na, list_sort(list_transform(regexp_extract_all(b, '[0-9]+'), x -> coalesce(nullif(ltrim(x, '0'), ''), '0'))) AS nb,
+regexp_extract(lower(a), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 1) AS sa, regexp_extract(lower(b), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 1) AS sb, regexp_extract(lower(a), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 2) AS ea, regexp_extract(lower(b), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 2) AS eb FROM p)
+SELECT a, b, na <> nb AS numbers, greatest(length(a), length(b)) < 12 AND sa <> '' AND sa = sb AND ea <> eb AS variants FROM q""")
+def merge_guards(spark, d):
+    n = table(spark, d, "part").select(F.concat("p_type", F.col("p_size").cast("string")).alias("a")).distinct()
+    p = n.withColumn("k", F.substring("a", 1, 4)).join(n.select(F.col("a").alias("b"), F.substring("a", 1, 4).alias("k")), "k").filter("a < b")
+    return p.select("a", "b", T.numbers_differ(F.col("a"), F.col("b")).alias("numbers"), T.variant_pair(F.lower("a"), F.lower("b")).alias("variants"))
+
+
+# ---- claims, learning, resolution ----
+
+
+@query(f"""WITH b AS (SELECT item_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS p, len({TOKENS}) AS n FROM benchmark), d AS (SELECT doc_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS t FROM documents) SELECT DISTINCT item_id, doc_id FROM d JOIN b ON n >= 8 AND contains(t, p)""")
+def evidence_binding(spark, d):
+    return claims.evidence(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+def _claims(spark, d):
+    """Claims on nations and their regions, true and false, on customers and on no one."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    own = n.crossJoin(F.broadcast(r)).select((F.col("n_nationkey") * 10 + F.col("r_regionkey")).alias("claim_id"), F.lit("inherits").alias("type"), F.col("n_name").alias("source"), F.col("r_name").alias("target"), F.lit(None).cast("string").alias("relation"))  # 25 by 5 rows
+    c = table(spark, d, "customer")
+    there = c.select((F.col("c_custkey") + 1000).alias("claim_id"), F.lit("exists"), F.when(F.col("c_custkey") % 3 == 0, F.lit("no one")).otherwise(F.col("c_name")), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    refs = c.select((F.col("c_custkey") + 100000000).alias("claim_id"), F.lit("relation"), F.col("c_name"), F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")), F.when(F.col("c_custkey") % 2 == 0, "references").otherwise("calls"))
+    return own.union(there).union(refs)
+
+
+CLAIMS = """v AS (SELECT n_nationkey * 10 + r_regionkey AS claim_id, 'inherits' AS type, CASE WHEN n_regionkey = r_regionkey THEN 'SUPPORTED' ELSE 'CONTRADICTED' END AS verdict FROM nation, region
+UNION ALL SELECT c_custkey + 1000, 'exists', CASE WHEN c_custkey % 3 = 0 THEN 'UNKNOWN' ELSE 'SUPPORTED' END FROM customer UNION ALL SELECT c_custkey + 100000000, 'relation', CASE WHEN c_custkey % 2 = 0 THEN 'SUPPORTED' ELSE 'UNKNOWN' END FROM customer)"""
+
+
+@query(f"WITH {CLAIMS} SELECT claim_id::BIGINT AS claim_id, type, verdict FROM v")
+def claim_verdicts(spark, d):
+    g = testgraph.trade(spark, d)
+    return longs(claims.check(_claims(spark, d), g.nodes, g.edges), "claim_id")
+
+
+@query(f"WITH {CLAIMS} SELECT type, CASE WHEN bool_or(verdict = 'CONTRADICTED') THEN 'CONTRADICTED' WHEN bool_and(verdict = 'SUPPORTED') THEN 'SUPPORTED' ELSE 'UNKNOWN' END AS verdict FROM v GROUP BY type")
+def verdict_roll_up(spark, d):
+    g = testgraph.trade(spark, d)
+    return claims.roll_up(claims.check(_claims(spark, d), g.nodes, g.edges), "type")
+
+
+@query(f"""WITH {FEEDBACK_SQL}, u AS (SELECT useful, unnest(list_distinct(relations)) AS relation FROM log WHERE NOT held_out AND useful IS NOT NULL AND len(relations) > 0 AND source <> 'benchmark'),
+n AS (SELECT relation, count(*) AS exposures, sum(useful::INT)::BIGINT AS positives FROM u GROUP BY relation)
+SELECT relation, exposures, positives, round(least(1.0, greatest(0.05, ((CASE relation WHEN 'imports' THEN 0.4 WHEN 'calls' THEN 1.0 WHEN 'references' THEN 0.6 WHEN 'uses' THEN 0.7 ELSE 0.75 END) * 8 + positives) / (8.0 + exposures))), 6)::DOUBLE AS importance, exposures >= 3 AS active FROM n""")
+def learned_weights(spark, d):
+    return learn.learned_weights(testgraph.feedback(spark, d)).withColumn("importance", F.round("importance", 6))
+
+
+@query(f"""WITH {MEMORY_SQL}, e AS (SELECT date, unnest(source_nodes) AS node, CASE WHEN outcome = 'useful' THEN 1 ELSE -1 END AS sign, pow(0.5, greatest(0, date_diff('day', date::DATE, DATE '2024-02-01')) / 30.0) AS w FROM docs),
+g AS (SELECT node, round(sum(sign * w), 4) AS score, count(*) FILTER (sign > 0) AS positives, count(*) FILTER (sign < 0) AS negatives, max(date) AS last FROM e GROUP BY node)
+SELECT *, CASE WHEN positives > 0 AND negatives > 0 THEN 'contested' WHEN negatives > 0 THEN 'avoid' WHEN positives >= 2 THEN 'preferred' ELSE 'tentative' END AS status FROM g""")
+def lessons_decay(spark, d):
+    return learn.lessons(testgraph.memory_docs(spark, d), "2024-02-01").withColumn("score", F.round("score", 4))
+
+
+@query(f"WITH {MEMORY_SQL} SELECT question, date, event_id, outcome FROM docs QUALIFY row_number() OVER (PARTITION BY question ORDER BY date DESC, event_id DESC) = 1")
+def latest_per_question(spark, d):
+    return learn.latest(testgraph.memory_docs(spark, d))
+
+
+@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, p_name AS callee, p_brand AS b FROM lineitem JOIN part ON p_partkey = l_partkey), defs AS (SELECT 'def_' || p_partkey AS id, p_name AS callee, p_brand AS b FROM part),
+m AS (SELECT call_id, id, CASE WHEN c.b = d.b THEN 1 ELSE 0 END AS near FROM c JOIN defs d USING (callee)), t AS (SELECT *, max(near) OVER (PARTITION BY call_id) AS best FROM m) SELECT call_id::BIGINT AS call_id, min(id) AS id FROM t WHERE near = best GROUP BY call_id HAVING count(*) = 1""")
+def name_resolution(spark, d):
+    file = F.concat(F.lit("src/"), "p_brand", F.lit("/a.py"))
+    calls = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.col("p_name").alias("callee"), file.alias("source_file"))
+    defs = table(spark, d, "part").select(F.concat(F.lit("def_"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), file.alias("source_file"))
+    return resolution.resolve_calls(calls, defs)
+
+
+@query("SELECT 'stub_' || n_nationkey AS stub, 'nation_' || n_nationkey AS id FROM nation WHERE regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') IN (SELECT regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') FROM nation GROUP BY 1 HAVING count(*) = 1)")
+def stub_rewiring(spark, d):
+    n = table(spark, d, "nation")
+    real = n.select(F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("label"), F.lit("n.py").alias("source_file"))
+    stubs = n.select(F.concat(F.lit("stub_"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.initcap("n_name"), F.lit("()")).alias("label"), F.lit(None).cast("string").alias("source_file"))
+    return resolution.rewire_stubs(real.union(stubs))
+
+
+@query("WITH n AS (SELECT DISTINCT p_name AS id, p_brand || '.py' AS source_file FROM part) SELECT id, source_file, regexp_replace(lower(regexp_replace(source_file, '\\.py$', '')), '[^a-z0-9]+', '_', 'g') || '_' || id AS new_id FROM n WHERE id IN (SELECT id FROM n GROUP BY id HAVING count(*) > 1)")
+def collision_split(spark, d):
+    return resolution.split_collisions(table(spark, d, "part").select(F.col("p_name").alias("id"), F.concat("p_brand", F.lit(".py")).alias("source_file")))
+
+
+@query("""WITH a AS (SELECT 'ast_' || p_partkey AS id, p_name AS label, p_type || p_size AS f FROM part WHERE p_partkey % 2 = 0), g AS (SELECT 'sem_' || p_partkey AS ghost, p_name AS label, p_type || p_size AS f FROM part WHERE p_partkey % 2 = 1), one AS (SELECT f, label, min(id) AS id FROM a GROUP BY 1, 2 HAVING count(*) = 1) SELECT ghost, id FROM g JOIN one USING (f, label)""")
+def ghost_merge(spark, d):
+    odd = F.col("p_partkey") % 2 == 1
+    n = table(spark, d, "part").select(F.concat(F.when(odd, "sem_").otherwise("ast_"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), F.concat("p_type", F.col("p_size").cast("string")).alias("source_file"), F.when(odd, "llm").otherwise("ast").alias("origin"))
+    return resolution.merge_ghosts(n)
+
+
+# ---- sources ----
+
+
+@query("""WITH a AS (SELECT doc_id, md5(text || CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END) AS h FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, md5(text) AS old FROM documents WHERE doc_id % 7 <> 0)
+SELECT 'doc/' || doc_id AS path, CASE WHEN old IS NULL THEN 'new' WHEN h IS NULL THEN 'deleted' WHEN h = old THEN 'unchanged' ELSE 'changed' END AS status FROM a FULL JOIN b USING (doc_id)""")
+def incremental_scan(spark, d):
+    docs = table(spark, d, "documents")
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path")
+    now = docs.filter("doc_id % 5 <> 0").select(path, F.md5(F.concat("text", F.when(F.col("doc_id") % 3 == 0, "x").otherwise("")).cast("binary")).alias("hash"))
+    return extract.scan_status(now, docs.filter("doc_id % 7 <> 0").select(path, F.md5(F.col("text").cast("binary")).alias("hash")))
+
+
+@query("""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, CASE WHEN contains(lower(url), 'arxiv.org') THEN 'paper' WHEN contains(lower(url), 'github.com') THEN 'repository' WHEN regexp_matches(lower(url), '\\.pdf($|[?#])') THEN 'pdf' WHEN regexp_matches(lower(url), '\\.(png|jpe?g|gif|webp)($|[?#])') THEN 'image' WHEN regexp_matches(lower(url), '[?&]page=') THEN 'listing' ELSE 'webpage' END AS kind,
+md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))) AS plain FROM pages""")
+def html_strip(spark, d):
+    return table(spark, d, "pages").select("page_id", extract.html_title(F.col("html")).alias("title"), extract.url_kind(F.col("url")).alias("kind"), F.md5(extract.html_plain(F.col("html")).cast("binary")).alias("plain"))
+
+
+def _paper_sql():
+    return " + ".join(f"regexp_matches(left(text, 3000), '{s}')::INT" for s in extract.PAPER_SIGNS)
+
+
+@query(f"SELECT doc_id, ({_paper_sql()}) >= 3 AS paper, ({_paper_sql().replace('left(text, 3000)', 'h')}) >= 3 AS forced FROM (SELECT doc_id, text, 'abstract: arxiv preprint [' || doc_id || ']' AS h FROM documents)")
+def paper_heuristic(spark, d):
+    docs = table(spark, d, "documents")
+    forced = F.concat(F.lit("abstract: arxiv preprint ["), F.col("doc_id").cast("string"), F.lit("]"))
+    return docs.select("doc_id", extract.looks_like_paper(F.col("text")).alias("paper"), extract.looks_like_paper(forced).alias("forced"))
+
+
+@query("""WITH n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name || '.pem' WHEN 1 THEN 'api_token.json' WHEN 2 THEN 'token-notes-of-' || p_partkey || '.md' WHEN 3 THEN 'token.py' ELSE p_name || '.txt' END AS f FROM part) SELECT p_partkey, (p_partkey % 5) IN (0, 1) AS secret FROM n""")
+def secret_files(spark, d):
+    k = F.col("p_partkey") % 5
+    f = F.when(k == 0, F.concat("p_name", F.lit(".pem"))).when(k == 1, "api_token.json").when(k == 2, F.concat(F.lit("token-notes-of-"), F.col("p_partkey").cast("string"), F.lit(".md"))).when(k == 3, "token.py").otherwise(F.concat("p_name", F.lit(".txt")))
+    return table(spark, d, "part").select("p_partkey", extract.is_secret(f).alias("secret"))
+
+
+@query("""WITH t AS (SELECT doc_id, '## Part ' || doc_id || chr(10) || text || chr(10) || '# End' AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM t)
+SELECT doc_id, line::BIGINT AS line, length(regexp_extract(x, '^(#+)', 1)) AS level, trim(regexp_replace(x, '^#+ +', '')) AS title FROM l WHERE regexp_matches(x, '^#{1,6} +\\S')""")
+def markdown_headings(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("## Part "), F.col("doc_id").cast("string"), F.lit("\n"), "text", F.lit("\n# End")).alias("text"))
+    return extract.headings(docs)
+
+
+@query()
+def text_slices(spark, d):
+    return extract.slices(table(spark, d, "documents"))
+
+
+# ---- streams, run to the end of what is there, and extensions ----
+
+
+@query(f"WITH {FEEDBACK_SQL} SELECT relation, count(*) AS exposures, sum(useful::INT)::BIGINT AS positives FROM (SELECT useful, unnest(list_distinct(relations)) AS relation FROM log WHERE useful IS NOT NULL) GROUP BY relation")
+def feedback_counts(spark, d):
+    return streams.feedback_counts(testgraph.feedback(spark, d))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def ext_tumbling_windows(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streams.windowed(e, "6 hours")
+    return out.withColumns({"total": F.round("total", 2), "start": F.col("start").cast("timestamp_ntz")})
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def ext_session_windows(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.sessions(e, "6 hours").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def ext_cube(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events")
+def ext_asof_previous(spark, d):
+    return table(spark, d, "events").select("event_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
+
+
+def _importance_with_secondary(e: DataFrame) -> DataFrame:
+    return e.withColumn("importance", edge_importance(F.col("relation"), F.col("confidence"), secondary=F.col("secondary")))
