@@ -148,7 +148,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 10, levels: int =
     for _ in range(levels):
         strength = materialise(links.groupBy("a").agg(F.sum("w").alias("k")), "strength")
         label = materialise(strength.select(F.col("a").alias("id"), F.col("a").alias("c")), "label")
-        moved_any = False
+        moved_any, quiet = False, 0
         for r in range(rounds):
             sums = label.join(strength, F.col("id") == F.col("a")).groupBy("c").agg(F.sum("k").alias("tot"))
             toward = links.filter("a <> b").join(label.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("kin"))
@@ -163,7 +163,8 @@ def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 10, levels: int =
             moved = step.filter("mine <> c").limit(1).count()
             moved_any = moved_any or bool(moved)
             label = step.select("id", "c")
-            if not moved and r:
+            quiet = 0 if moved else quiet + 1
+            if quiet == 2:  # neither half wants to move
                 break
         if not moved_any:
             break

@@ -195,11 +195,9 @@ def unexplained_losses(old: DataFrame, new: DataFrame, rebuilt: DataFrame) -> Da
 
 def diagnose(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of counts: edges, loops, dangling ones, repeated (src, dst, relation), pairs with several relations."""
-    ids = nodes.select(F.col("id").alias("node"))
     dangling = edges.count() - prune_dangling(nodes, edges).count()
     by_pair = edges.groupBy("src", "dst").agg(F.count("*").alias("n"), F.countDistinct("relation").alias("kinds"))
     pairs = by_pair.agg(F.sum("n").alias("edges"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("n")).otherwise(0)).alias("loops"), F.sum(F.col("n") - F.col("kinds")).alias("repeats"), F.sum((F.col("kinds") > 1).cast("long")).alias("variants"), F.sum(F.col("n") - 1).alias("collapsed"))
-    del ids
     return pairs.withColumn("dangling", F.lit(dangling).cast("long"))
 
 

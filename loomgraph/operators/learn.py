@@ -29,7 +29,7 @@ def lessons(docs: DataFrame, now: str, half_life: float = 30.0, least: int = 2)
     sign = F.when(F.col("outcome") == "useful", 1).when(F.col("outcome").isin("dead_end", "corrected"), -1)
     each = docs.select("date", sign.alias("sign"), decay.alias("decay"), F.explode(F.array_distinct("source_nodes")).alias("node")).filter("sign IS NOT NULL")
     out = each.groupBy("node").agg(
-        F.round(F.sum(F.col("sign") * F.col("decay")), 6).alias("score"), F.sum((F.col("sign") > 0).cast("long")).alias("positives"), F.sum((F.col("sign") < 0).cast("long")).alias("negatives"), F.max("date").alias("last")
+        F.round(F.sum(F.col("sign") * F.col("decay")), 9).alias("score"), F.sum((F.col("sign") > 0).cast("long")).alias("positives"), F.sum((F.col("sign") < 0).cast("long")).alias("negatives"), F.max("date").alias("last")
     )
     status = F.when((F.col("positives") > 0) & (F.col("negatives") > 0), "contested").when(F.col("negatives") > 0, "avoid").when(F.col("positives") >= least, "preferred").otherwise("tentative")
     return out.withColumn("status", status)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.weights import edge_importance, importance_sql
+from ..functions.weights import importance_sql
 from ..operators import analyze, claims, community, dedup, graph, learn, resolution, retrieval, traverse
 from ..sources import extract, testgraph
 from ..sources.storage import table
@@ -563,7 +563,7 @@ def trigram_search(spark, d):
 
 
 TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
-BM25 = f"""WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), f AS (SELECT doc_id, len(w) AS n, len(list_filter(w, x -> x = 'license')) AS a, len(list_filter(w, x -> x = 'public')) AS b FROM t),
+BM25 = f"""WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), f AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'license')) AS a, len(list_filter(w, lambda x: x = 'public')) AS b FROM t),
 s AS (SELECT count(*) AS c, avg(n) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM f),
 bm AS (SELECT doc_id AS id, ln(1 + (c - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (c - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m)) AS score FROM f, s WHERE a > 0 OR b > 0)"""
 
@@ -662,7 +662,7 @@ def dedup_entities(spark, d):
 
 
 @query("""WITH n AS (SELECT DISTINCT p_type || p_size AS a FROM part), p AS (SELECT x.a, y.a AS b FROM n x JOIN n y ON x.a < y.a AND x.a[1:4] = y.a[1:4]),
-q AS (SELECT a, b, list_sort(list_transform(regexp_extract_all(a, '[0-9]+'), x -> coalesce(nullif(ltrim(x, '0'), ''), '0'))) AS na, list_sort(list_transform(regexp_extract_all(b, '[0-9]+'), x -> coalesce(nullif(ltrim(x, '0'), ''), '0'))) AS nb,
+q AS (SELECT a, b, list_sort(list_transform(regexp_extract_all(a, '[0-9]+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0'))) AS na, list_sort(list_transform(regexp_extract_all(b, '[0-9]+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0'))) AS nb,
 regexp_extract(lower(a), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 1) AS sa, regexp_extract(lower(b), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 1) AS sb, regexp_extract(lower(a), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 2) AS ea, regexp_extract(lower(b), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 2) AS eb FROM p)
 SELECT a, b, na <> nb AS numbers, greatest(length(a), length(b)) < 12 AND sa <> '' AND sa = sb AND ea <> eb AS variants FROM q""")
 def merge_guards(spark, d):
@@ -831,6 +831,3 @@ def ext_cube(spark, d):
 def ext_asof_previous(spark, d):
     return table(spark, d, "events").select("event_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
 
-
-def _importance_with_secondary(e: DataFrame) -> DataFrame:
-    return e.withColumn("importance", edge_importance(F.col("relation"), F.col("confidence"), secondary=F.col("secondary")))

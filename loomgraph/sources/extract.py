@@ -37,7 +37,7 @@ def is_secret(path: Column) -> Column:
 def scan(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, mtime, size, kind, words) of all files below root."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     return f.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), file_class(F.col("path")).alias("kind"), F.regexp_count(text, F.lit(r"\S+")).alias("words"))
 
 
@@ -144,4 +144,4 @@ def extract_sql(files: DataFrame) -> DataFrame:
     tables = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?is)(create\s+table\s+(?:if\s+not\s+exists\s+)?[\w.\"]+\s*\([^;]*)"), 1)).alias("ddl"))
     name = F.lower(F.regexp_extract("ddl", r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?([\w.\"]+)", 1))
     t = tables.select("path", name.alias("name"), F.regexp_extract_all("ddl", F.lit(r"(?is)references\s+([\w.\"]+)"), 1).alias("refs"))
-    return t.select("path", F.lit("table").alias("kind"), "name", F.lit("").alias("target")).union(t.select("path", F.lit("references"), "name", F.lower(F.explode("refs"))))
+    return t.select("path", F.lit("table").alias("kind"), "name", F.lit("").alias("target")).union(t.select("path", F.lit("references"), "name", F.explode(F.transform("refs", F.lower))))
