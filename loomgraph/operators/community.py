@@ -136,7 +136,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> Da
     return label.select("id", F.col("label").alias("community"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 10, levels: int = 3, resolution: float = 1.0) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: int = 3, resolution: float = 1.0) -> DataFrame:
     """(id, community) by modularity: synchronous local moves on DataFrames, half of the nodes a round so that neighbours
     don't swap, then communities become the nodes of the next level. Names are least members."""
     w = edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").cast("double").alias("w"))
@@ -158,13 +158,13 @@ def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 10, levels: int =
             rest = F.col("tot") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)
             gain = F.round(F.col("kin") - resolution * F.col("k") * rest / total, 9)
             best = options.withColumn("gain", gain).groupBy("a", "mine").agg(F.min_by("c", F.struct((-F.col("gain")).alias("g"), (F.col("c") != F.col("mine")).alias("m"), "c")).alias("new"))
-            turn = F.pmod(F.xxhash64("a"), F.lit(2)) == r % 2
+            turn = F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2)) == 0  # another half each round
             step = materialise(best.select(F.col("a").alias("id"), "mine", F.when(turn, F.col("new")).otherwise(F.col("mine")).alias("c")), "label")
             moved = step.filter("mine <> c").limit(1).count()
             moved_any = moved_any or bool(moved)
             label = step.select("id", "c")
             quiet = 0 if moved else quiet + 1
-            if quiet == 2:  # neither half wants to move
+            if quiet == 4:  # whichever half, none wants to move
                 break
         if not moved_any:
             break

@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import family
 
 
+def _places(path) -> F.Column:
+    """The places of a file that a definition may share with a call, as array<struct<near, place>>: itself, its folder, and
+    everything below each of its parents. The nearer, the greater the number."""
+    parts = F.split(path, "/")
+    below = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("near"), F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")).alias("place")))
+    own = F.array(F.struct(F.lit(1000).alias("near"), path.alias("place")), F.struct(F.lit(900).alias("near"), F.regexp_replace(path, "[^/]*$", "").alias("place")))
+    return F.concat(own, below)
+
+
 def resolve_calls(calls: DataFrame, defs: DataFrame) -> DataFrame:
     """(call_id, id) for calls (call_id, callee, source_file) with one definition (id, label, source_file) of that name in the
-    same language family, or one that is nearest: in the same file, folder, or with the longest common path."""
-    d = defs.select("id", F.col("label").alias("callee"), F.col("source_file").alias("def_file"))
-    c = calls.join(d, "callee").filter(F.coalesce(family(F.col("source_file")) == family(F.col("def_file")), F.lit(True)))
-    folder = lambda p: F.regexp_replace(p, "[^/]*$", "")
-    same = F.aggregate(F.sequence(F.lit(1), F.least(F.size(F.split("source_file", "/")), F.size(F.split("def_file", "/")))), F.lit(0), lambda s, k: F.when((s == k - 1) & (F.element_at(F.split("source_file", "/"), k) == F.element_at(F.split("def_file", "/"), k)), s + 1).otherwise(s))
-    near = F.when(F.col("source_file") == F.col("def_file"), 1000).when(folder(F.col("source_file")) == folder(F.col("def_file")), 900).otherwise(same)
-    best = c.withColumn("near", near).withColumn("most", F.max("near").over(Window.partitionBy("call_id"))).filter("near = most")
-    return best.groupBy("call_id").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").select("call_id", "id")
+    same language family, or one that is nearest: in the same file, folder, or with the longest common path.
+
+    Definitions are counted by name and place, calls look their places up: however many calls and definitions share a name,
+    no pairs of them are made.
+    """
+    fam = lambda c: family(F.col(c))
+    d = defs.select("id", F.col("label").alias("callee"), F.explode(F.array(F.coalesce(fam("source_file"), F.lit("none")), F.lit("any"))).alias("fam"), "source_file")
+    d = d.select("id", "callee", "fam", F.explode(_places(F.col("source_file"))).alias("p"))
+    d = d.groupBy("callee", "fam", "p.near", "p.place").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    c = calls.select("callee", "source_file").distinct()
+    look = F.when(fam("source_file").isNull(), F.array(F.lit("any"))).otherwise(F.array(fam("source_file"), F.lit("none")))
+    c = c.select("callee", "source_file", F.explode(look).alias("fam")).select("callee", "source_file", "fam", F.explode(_places(F.col("source_file"))).alias("p"))
+    c = c.select("callee", "source_file", "fam", "p.near", "p.place")
+    best = c.join(d, ["callee", "fam", "near", "place"]).groupBy("callee", "source_file", "near").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+    best = best.groupBy("callee", "source_file").agg(F.max_by(F.struct("near", "n", "id"), F.col("near")).alias("b")).select("callee", "source_file", "b.*")
+    # rows of one call_id are one call
+    rows = calls.select("call_id", "callee", "source_file").join(best, ["callee", "source_file"]).groupBy("call_id", "near").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+    return rows.groupBy("call_id").agg(F.max_by(F.struct("n", "id"), F.col("near")).alias("b")).filter("b.n = 1").select("call_id", "b.id")
 
 
 def rewire_stubs(nodes: DataFrame) -> DataFrame:
