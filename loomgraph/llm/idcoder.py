@@ -17,6 +17,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -39,6 +40,8 @@ REFRESH = 4
 GAIN = 32
 TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 U0, U16, U48 = np.uint64(0), np.uint64(16), np.uint64(48)
+#: Frequencies of the three cases add up to 2 ** CASES, those of all ids to 2 ** ALL, so that ranges are shifted, not divided.
+CASES, ALL = np.uint64(12), np.uint64(22)
 WORDS_KEPT = 1_000_000
 
 
@@ -48,7 +51,7 @@ class Model:
     def __init__(self, vocabulary: int, lanes: int):
         self.v = vocabulary
         self.count = np.ones(vocabulary, np.int64)
-        self.cum = np.arange(vocabulary + 1, dtype=np.uint64)
+        self.scale()
         self.one, self.sure1 = np.full(vocabulary + 1, -1, np.int32), np.zeros(vocabulary + 1, np.int8)
         self.two, self.sure2 = np.full(1 << HASH_BITS, -1, np.int32), np.zeros(1 << HASH_BITS, np.int8)
         self.mix = np.full((128, 3), 8, np.int64)  # by confidences: how often order 2, order 1, neither was right
@@ -57,6 +60,13 @@ class Model:
         self.waiting: list[np.ndarray] = []
         self.steps = 0
 
+    def scale(self) -> None:
+        """cum: where the interval of each id begins, at least 1 long, the whole 2 ** ALL."""
+        upto = np.cumsum(self.count)
+        room = (1 << int(ALL)) - self.v
+        self.cum = np.zeros(self.v + 1, np.uint64)
+        self.cum[1:] = upto * room // upto[-1] + np.arange(1, self.v + 1)
+
     def predict(self, n: int) -> None:
         """For the first n lanes: what orders 2 and 1 say, and the intervals of the three cases."""
         a, b = self.a[:n], self.b[:n]
@@ -65,11 +75,12 @@ class Model:
         s1 = np.where((self.p1 < 0) | (self.p1 == self.p2), 0, self.sure1[a] + 1)
         s2 = np.where(self.p2 < 0, 0, self.sure2[self.slot] + 1)
         self.state = (s2.astype(np.int64) * 8 + s1) + 64 * (self.p1 == self.p2)
-        m = self.mix[self.state]
-        self.f2 = np.where(self.p2 >= 0, m[:, 0], 0).astype(np.uint64)
-        self.f1 = np.where(s1 > 0, m[:, 1], 0).astype(np.uint64)
-        self.f0 = m[:, 2].astype(np.uint64)
-        self.all = self.f2 + self.f1 + self.f0
+        # the least share of a case is one part; a case that can't be gets none, and the last one what is left
+        m = self.mix * ((1 << int(CASES)) - 3) // self.mix.sum(axis=1, keepdims=True) + 1
+        two, one = m[:, 0][self.state], m[:, 1][self.state]
+        self.f2 = np.where(self.p2 >= 0, two, 0).astype(np.uint64)
+        self.f1 = np.where(s1 > 0, one, 0).astype(np.uint64)
+        self.f0 = np.uint64(1 << int(CASES)) - self.f2 - self.f1
 
     def learn(self, ids: np.ndarray, case: np.ndarray) -> None:
         n = len(ids)
@@ -88,7 +99,7 @@ class Model:
         self.steps += 1
         if self.steps % REFRESH == 0 or self.steps < REFRESH:
             self.count += GAIN * np.bincount(np.concatenate(self.waiting), minlength=self.v)
-            np.cumsum(self.count, out=self.cum[1:].view(np.int64))
+            self.scale()
             self.waiting = []
 
 
@@ -117,6 +128,14 @@ def settle(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
     return done
 
 
+def divided(x: np.ndarray, r: np.ndarray, bits: np.uint64) -> np.ndarray:
+    """x // r, under 2 ** bits: by floating point, which is off by one at most, and put right."""
+    q = (x.astype(np.float64) / r.astype(np.float64)).astype(np.uint64)
+    q -= q * r > x
+    q += (q + np.uint64(1)) * r <= x
+    return np.minimum(q, (np.uint64(1) << bits) - np.uint64(1))
+
+
 def encode_block(ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
     ids = np.ascontiguousarray(ids, np.int64)
     n = len(ids)
@@ -132,10 +151,10 @@ def encode_block(ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
     filled = np.zeros(lanes, np.int64)
     every = np.arange(lanes)
 
-    def code(which, cum, freq, total) -> None:
+    def code(which, cum, freq, bits) -> None:
         nonlocal out
         lo, r = low[which], rng[which]
-        r = r // total
+        r = r >> bits
         lo = lo + r * cum
         r *= freq
         w = at = np.flatnonzero(settle(lo, r))
@@ -160,11 +179,11 @@ def encode_block(ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
         case = np.where(model.p2 == x, 0, np.where((model.p1 == x) & (model.f1 > 0), 1, 2))
         cum = np.where(case == 0, U0, np.where(case == 1, model.f2, model.f2 + model.f1))
         freq = np.where(case == 0, model.f2, np.where(case == 1, model.f1, model.f0))
-        code(slice(0, k), cum, freq, model.all)
+        code(slice(0, k), cum, freq, CASES)
         rest = np.flatnonzero(case == 2)
         if len(rest):
             y = x[rest]
-            code(rest, model.cum[y], model.cum[y + 1] - model.cum[y], model.cum[-1])
+            code(rest, model.cum[y], model.cum[y + 1] - model.cum[y], ALL)
         model.learn(x, case)
     if int(filled.max()) + 4 > out.shape[1]:
         out = np.concatenate([out, np.zeros((lanes, 4), np.uint16)], axis=1)
@@ -216,8 +235,8 @@ def decode_block(data: bytes, at: int = 0, vocabulary: int = VOCABULARY) -> tupl
             k = lanes if s < steps - 1 else int((length == steps).sum())
             model.predict(k)
             which = slice(0, k)
-            lo, r = low[which], rng[which] // np.maximum(model.all, np.uint64(1))
-            v = np.minimum((seen[which] - lo) // np.maximum(r, np.uint64(1)), model.all - np.uint64(1))
+            lo, r = low[which], rng[which] >> CASES
+            v = divided(seen[which] - lo, r, CASES)
             case = (v >= model.f2).astype(np.int64) + (v >= model.f2 + model.f1)
             cum = np.where(case == 0, U0, np.where(case == 1, model.f2, model.f2 + model.f1))
             freq = np.where(case == 0, model.f2, np.where(case == 1, model.f1, model.f0))
@@ -225,9 +244,8 @@ def decode_block(data: bytes, at: int = 0, vocabulary: int = VOCABULARY) -> tupl
             x = np.where(case == 0, model.p2, model.p1).astype(np.int64)
             rest = np.flatnonzero(case == 2)
             if len(rest):
-                total = model.cum[-1]
-                lo, r = low[rest], rng[rest] // total
-                v = np.minimum((seen[rest] - lo) // np.maximum(r, np.uint64(1)), total - np.uint64(1))
+                lo, r = low[rest], rng[rest] >> ALL
+                v = divided(seen[rest] - lo, r, ALL)
                 y = np.searchsorted(model.cum, v, side="right") - 1
                 shift(rest, model.cum[y], model.cum[y + 1] - model.cum[y], r, lo)
                 x[rest] = y
@@ -272,28 +290,54 @@ class WordIds:
     the library together, with an added token between them, which parts a text before anything else is done to it."""
 
     def __init__(self, path: str, mark: str = "<|endoftext|>"):
-        self.tok, self.known, self.mark = load(path), {}, mark
+        self.tok, self.mark = load(path), mark
         self.mark_id = self.tok.token_to_id(mark)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}  # word -> place in store << 20 | ids
+        self.store, self.used = np.empty(1 << 16, np.int32), 0
+
+    def put(self, ids: np.ndarray) -> int:
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store, np.empty_like(self.store)])
+        self.store[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
 
     def add(self, new: list[str]) -> None:
         plain = [w for w in new if "<|" not in w]
-        ids = self.tok.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)[0].ids if plain else []
-        ends = np.flatnonzero(np.array(ids, np.int64) == self.mark_id).tolist()
-        for w, a, b in zip(plain, [0, *(e + 1 for e in ends)], [*ends, len(ids)]):
-            self.known[w] = ids[a:b]
-        if len(plain) < len(new):
-            odd = [w for w in new if "<|" in w]
-            for w, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False)):
-                self.known[w] = e.ids
+        ids = np.array(self.tok.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)[0].ids if plain else [], np.int64)
+        base = self.put(ids)
+        ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        self.known.update(zip(plain, ((starts + base) << 20 | (ends - starts)).tolist()))
+        odd = [w for w in new if "<|" in w]
+        for w, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False)):
+            self.known[w] = self.put(np.array(e.ids, np.int64)) << 20 | len(e.ids)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        known, parts = self.known, [t.replace("\n", " ").split(" ") for t in texts]
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = {w for words in parts for w in words if w not in known}
-        if new:
+        if len(self.known) > WORDS_KEPT:
+            self.clear()
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        words = list(chain.from_iterable(parts))
+        code = list(map(self.known.get, words))
+        if new := {w for w, c in zip(words, code) if c is None}:
             self.add(list(new))
-        return [np.array([*chain.from_iterable(map(known.__getitem__, words)), END], np.int64) for words in parts]
+            code = list(map(self.known.__getitem__, words))
+        code = np.array(code, np.int64)
+        size = code & ((1 << 20) - 1)
+        upto = np.cumsum(size)
+        flat = self.store[np.repeat((code >> 20) - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+        cuts = np.cumsum([len(p) for p in parts])
+        cuts = np.concatenate([[0], upto[cuts - 1]]) if parts else [0]
+        return [np.append(flat[a:b], np.int32(END)) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each process, so that tasks that it runs one after another know each other's words."""
+    return WordIds(path)
 
 
 def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None) -> DataFrame:
@@ -308,7 +352,7 @@ def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, part, record = WordIds(path), TaskContext.get().partitionId(), 0
+        ids_of, part, record = word_ids(path), TaskContext.get().partitionId(), 0
         doc_ids, ids, size = [], [], 0
 
         def close() -> pa.RecordBatch:
