@@ -19,17 +19,19 @@ def exact_groups(docs: DataFrame, key: Column, id_column: str) -> DataFrame:
     return g.join(least, "key").select("id", "survivor")
 
 
-def band_keys(text: Column, bands: int = BANDS, hashes: int = HASHES) -> Column:
-    """Keys of MinHash bands over character trigrams: equal in each band with the chance similarity ** rows."""
+def min_hashes(text: Column, hashes: int = HASHES) -> Column:
+    """MinHash values over the character trigrams of a text without blanks."""
     grams = shingles(F.replace(text, F.lit(" "), F.lit("")), 3)
-    rows = hashes // bands
-    mins = F.transform(F.sequence(F.lit(0), F.lit(bands * rows - 1)), lambda i: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, i))))
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.array_join(F.slice(mins, b * rows + 1, rows), ",")).alias("key")))
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, i))))
 
 
-def candidates(labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of labels (label) that share a band, a < b; buckets hold distinct labels, which copies don't swell."""
-    k = labels.select("label", F.explode(band_keys(F.col("label"))).alias("k")).select("label", "k.band", "k.key")
+def candidates(labels: DataFrame, bands: int = BANDS, hashes: int = HASHES) -> DataFrame:
+    """Pairs (a, b) of labels (label) that share a band, a < b; buckets hold distinct labels, which copies don't swell. The
+    hashes of a label are computed once, below the generator of its bands."""
+    rows = hashes // bands
+    k = labels.select("label", min_hashes(F.col("label"), bands * rows).alias("mins"))
+    k = k.select("label", "mins", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+    k = k.select("label", "band", F.xxhash64(F.array_join(F.slice("mins", F.col("band") * rows + 1, rows), ",")).alias("key"))
     k = materialise(k, "bands")
     o = k.withColumnRenamed("label", "b")
     return k.withColumnRenamed("label", "a").join(o, ["band", "key"]).filter("a < b").select("a", "b").distinct()
