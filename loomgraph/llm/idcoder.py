@@ -17,7 +17,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -42,7 +41,7 @@ TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 U0, U16, U48 = np.uint64(0), np.uint64(16), np.uint64(48)
 #: Frequencies of the three cases add up to 2 ** CASES, those of all ids to 2 ** ALL, so that ranges are shifted, not divided.
 CASES, ALL = np.uint64(12), np.uint64(22)
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 500_000
 
 
 class Model:
@@ -334,12 +333,6 @@ class WordIds:
         return [np.append(flat[a:b], np.int32(END)) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-@lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    """One for each process, so that tasks that it runs one after another know each other's words."""
-    return WordIds(path)
-
-
 def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None) -> DataFrame:
     """Write the ids of docs (doc_id, text) in the format above, to `at` or the shared folder, and read the file back.
 
@@ -352,7 +345,7 @@ def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, part, record = word_ids(path), TaskContext.get().partitionId(), 0
+        ids_of, part, record = WordIds(path), TaskContext.get().partitionId(), 0
         doc_ids, ids, size = [], [], 0
 
         def close() -> pa.RecordBatch:
