@@ -3,17 +3,19 @@
 A block's ids are cut into lanes of equal length that are coded in step, so each operation is one on an array. The lanes
 share one model, which learns after each step: order-2 and order-1 contexts each predict the id that last followed them;
 the chance of "as order 2 says", "as order 1 says" and "neither" is learned for each state of confidence of the two;
-for neither, an adaptive order-0 distribution over all ids is used. Each lane has its own carry-less range coder.
+for neither, an adaptive order-0 distribution over all ids is used. Each lane has its own range coder with carries.
 
 Block:  u32 tokens, u32 lanes, u32 crc32 of the ids as little-endian u32, u32 bytes of body; body: u32 words of each
-        lane, then the lanes' 16-bit words. A block is decoded by itself; a wrong checksum raises ValueError.
-Record: b"LGTK0001", u32 documents, u32 blocks, u32 bytes of table; the table, deflated: i64 doc_id of each document,
+        lane, then the lanes' 32-bit words. A block is decoded by itself; a wrong checksum raises ValueError.
+Record: b"LGTK0002", u32 documents, u32 blocks, u32 bytes of table; the table, deflated: i64 doc_id of each document,
         u32 ids of each, u8 whether the doc_id is null; then the blocks.
 File:   a Parquet table of records (part, record, n_docs, n_tokens, payload), ascending doc_id over part and record.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,112 +29,112 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches, text_of
 from .tokens import default_path, load
 
-MAGIC = b"LGTK0001"
+MAGIC = b"LGTK0002"
 VOCABULARY = 49_408
 END = 2
 BLOCK = 1 << 21
 LANES, LANE = 4096, 256
 #: Ids that a record holds before it is closed at the end of a document.
 RECORD = 1 << 22
-HASH_BITS = 20
-REFRESH = 4
+HASH_BITS = 18
+REFRESH = 16
 GAIN = 32
-TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 32)
-U0, U16, U48 = np.uint64(0), np.uint64(16), np.uint64(48)
-#: Frequencies of the three cases add up to 2 ** CASES, those of all ids to 2 ** ALL, so that ranges are shifted, not divided.
-CASES, ALL = np.uint64(12), np.uint64(22)
-WORDS_KEPT = 500_000
+#: Lengths of the three cases add up to 2 ** CASES, those of all ids to 2 ** ALL at most. A range of 2 ** 32 or more keeps
+#: 2 ** (32 - CASES - ALL) after a step at least, so that one 32-bit word, put out where it is under 2 ** 32, restores it.
+CASES, ALL = 10, 20
+UCASES, UALL = np.uint64(CASES), np.uint64(ALL)
+BOT, LOW32 = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
+U0, U1, U32 = np.uint64(0), np.uint64(1), np.uint64(32)
+PIECES_KEPT = 300_000
+#: Characters, in lower case or not, and pieces for which the tokenizer file's rules are these.
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
+NONE = re.compile("(?!)")
+PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾ \t\n\r]+")
+EXPECTED = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
 
 
 class Model:
-    """What both sides know of a block so far."""
+    """What both sides know of a block so far. Tables of intervals hold start << 32 | length."""
 
-    def __init__(self, vocabulary: int, lanes: int):
-        self.v = vocabulary
+    def __init__(self, vocabulary: int, lanes: int, ranks: bool = False):
+        if not 0 < vocabulary < 1 << (ALL - 1):
+            raise ValueError("the vocabulary is too large for this coder")
+        self.v, self.ranks = vocabulary, ranks
         self.count = np.ones(vocabulary, np.int64)
-        self.scale()
-        self.one, self.sure1 = np.full(vocabulary + 1, -1, np.int32), np.zeros(vocabulary + 1, np.int8)
-        self.two, self.sure2 = np.full(1 << HASH_BITS, -1, np.int32), np.zeros(1 << HASH_BITS, np.int8)
-        self.mix = np.full((128, 3), 8, np.int64)  # by confidences: how often order 2, order 1, neither was right
+        # context -> id << 3 | how often in a row it followed, 7 at most; 0: none yet
+        self.one, self.two = np.zeros(vocabulary + 1, np.int32), np.zeros(1 << HASH_BITS, np.int32)
+        self.mix = np.full((128, 4), 8, np.int64)  # by confidences: how often order 2, order 1, neither was right
         self.a = np.full(lanes, vocabulary, np.int64)  # last id of each lane, and the one before
         self.b = np.full(lanes, vocabulary, np.int64)
         self.waiting: list[np.ndarray] = []
         self.steps = 0
+        self.scale()
 
     def scale(self) -> None:
-        """cum: where the interval of each id begins, at least 1 long, the whole 2 ** ALL."""
+        """The intervals of all ids, at least 1 long each, and of the three cases in each state, likewise."""
         upto = np.cumsum(self.count)
-        room = (1 << int(ALL)) - self.v
-        self.cum = np.zeros(self.v + 1, np.uint64)
-        self.cum[1:] = upto * room // upto[-1] + np.arange(1, self.v + 1)
+        cum = np.zeros(self.v + 1, np.uint64)
+        cum[1:] = (upto * (((1 << ALL) - self.v) / upto[-1])).astype(np.uint64)
+        cum[1:] += np.arange(1, self.v + 1, dtype=np.uint64)
+        self.ids = cum[:-1] << U32 | np.diff(cum)
+        if self.ranks:  # one bit where an interval starts: the id at v is the number of such bits up to v
+            starts = np.zeros(1 << ALL, np.uint8)
+            starts[cum[:-1].astype(np.int64)] = 1
+            self.bits = np.packbits(starts, bitorder="little").view("<u8")
+            n = np.bitwise_count(self.bits).astype(np.int64)
+            self.before = np.cumsum(n) - n - 1
+        m = self.mix[:, :3]
+        f = m * ((1 << CASES) - 3) // m.sum(axis=1, keepdims=True) + 1
+        two, both = f[:, 0], f[:, 0] + f[:, 1]
+        rest = (1 << CASES) - both
+        self.cases = np.stack([two, two << 32 | f[:, 1], both << 32 | rest, rest], axis=1).astype(np.uint64).ravel()
+        self.limits = (both << 32 | two).astype(np.uint64)
+
+    def id_at(self, v: np.ndarray) -> np.ndarray:
+        w = v >> 6
+        upto = (np.uint64(2) << (v.view(np.uint64) & np.uint64(63))) - np.uint64(1)
+        return self.before[w] + np.bitwise_count(self.bits[w] & upto)
 
     def predict(self, n: int) -> None:
-        """For the first n lanes: what orders 2 and 1 say, and the intervals of the three cases."""
-        a, b = self.a[:n], self.b[:n]
-        self.slot = ((a * 0x2F0B4C47 + b * 0x1B873593) >> 7) & ((1 << HASH_BITS) - 1)
-        self.p2, self.p1 = self.two[self.slot], self.one[a]
-        s1 = np.where((self.p1 < 0) | (self.p1 == self.p2), 0, self.sure1[a] + 1)
-        s2 = np.where(self.p2 < 0, 0, self.sure2[self.slot] + 1)
-        self.state = (s2.astype(np.int64) * 8 + s1) + 64 * (self.p1 == self.p2)
-        # the least share of a case is one part; a case that can't be gets none, and the last one what is left
-        m = self.mix * ((1 << int(CASES)) - 3) // self.mix.sum(axis=1, keepdims=True) + 1
-        two, one = m[:, 0][self.state], m[:, 1][self.state]
-        self.f2 = np.where(self.p2 >= 0, two, 0).astype(np.uint64)
-        self.f1 = np.where(s1 > 0, one, 0).astype(np.uint64)
-        self.f0 = np.uint64(1 << int(CASES)) - self.f2 - self.f1
-
-    def learn(self, ids: np.ndarray, case: np.ndarray) -> None:
-        n = len(ids)
-        hits = np.bincount(self.state * 3 + case, minlength=384).reshape(128, 3)
-        self.mix += hits * 4
-        if (big := self.mix.sum(axis=1) > 1 << 16).any():
-            self.mix[big] = (self.mix[big] >> 1) + 1
+        """For the first n lanes: what orders 2 and 1 say, and the state of confidence."""
         a = self.a[:n]
-        self.sure1[a] = np.where(self.p1 == ids, np.minimum(self.sure1[a] + 1, 6), 0)
-        self.one[a] = ids
-        self.sure2[self.slot] = np.where(self.p2 == ids, np.minimum(self.sure2[self.slot] + 1, 6), 0)
-        self.two[self.slot] = ids
+        self.slot = (a * 0x2F0B4C47 + self.b[:n] * 0x1B873593) >> 7 & ((1 << HASH_BITS) - 1)
+        self.e2, self.e1 = self.two[self.slot], self.one[a]
+        self.p2, self.p1 = self.e2 >> 3, self.e1 >> 3
+        self.state = ((self.e2 & 7) << 3 | self.e1 & 7 | (self.p1 == self.p2).astype(np.int32) << 6).astype(np.int64)
+
+    def learn(self, ids: np.ndarray, key: np.ndarray) -> None:
+        """ids: what came (i64). key: state << 2 | case."""
+        n, x = len(ids), ids.astype(np.int32)
+        first, a = x << 3 | 1, self.a[:n]
+        self.one[a] = np.where(self.p1 == x, self.e1 + ((self.e1 & 7) < 7), first)
+        self.two[self.slot] = np.where(self.p2 == x, self.e2 + ((self.e2 & 7) < 7), first)
+        self.mix += np.bincount(key, minlength=512).reshape(128, 4) * 4
         self.waiting.append(ids)
         self.b[:n] = a
         self.a[:n] = ids
         self.steps += 1
-        if self.steps % REFRESH == 0 or self.steps < REFRESH:
+        if self.steps % REFRESH == 0 or self.steps < REFRESH and self.steps & (self.steps - 1) == 0:
+            if (big := self.mix.sum(axis=1) > 1 << 16).any():
+                self.mix[big] = (self.mix[big] >> 1) + 1
             self.count += GAIN * np.bincount(np.concatenate(self.waiting), minlength=self.v)
             self.scale()
             self.waiting = []
 
 
-def lanes_of(n: int) -> tuple[int, int]:
-    """Lanes and ids in each but the last ones, which may be shorter; the longer lanes come first."""
+def grid(n: int) -> tuple[int, int, int]:
+    """Lanes, steps, and how many lanes, the first ones, have an id at the last step; the others are one shorter."""
     lanes = max(1, min(LANES, n // LANE))
-    return lanes, -(-n // lanes)
-
-
-def grid(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each lane starts, and its length: lengths differ by one at most."""
-    lanes, _ = lanes_of(n)
-    length = np.full(lanes, n // lanes, np.int64)
-    length[: n % lanes] += 1
-    return np.concatenate([[0], np.cumsum(length)[:-1]]), length
-
-
-def settle(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
-    """Which lanes have their top 16 bits settled; ranges that got too short without that are cut so that they have."""
-    done = (low ^ (low + rng)) < TOP
-    short = rng < BOT
-    short &= ~done
-    if short.any():
-        rng[short] = (U0 - low[short]) & (BOT - np.uint64(1))
-        done |= short
-    return done
-
-
-def divided(x: np.ndarray, r: np.ndarray, bits: np.uint64) -> np.ndarray:
-    """x // r, under 2 ** bits: by floating point, which is off by one at most, and put right."""
-    q = (x.astype(np.float64) / r.astype(np.float64)).astype(np.uint64)
-    q -= q * r > x
-    q += (q + np.uint64(1)) * r <= x
-    return np.minimum(q, (np.uint64(1) << bits) - np.uint64(1))
+    return lanes, -(-n // lanes), n % lanes or lanes
 
 
 def encode_block(ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
@@ -143,54 +145,51 @@ def encode_block(ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
     crc = zlib.crc32(ids.astype("<u4").tobytes())
     if not n:
         return struct.pack("<4I", 0, 0, crc, 0)
-    start, length = grid(n)
-    lanes, steps = len(start), int(length[0])
+    lanes, steps, full = grid(n)
+    rows = np.zeros((lanes, steps), np.int64)
+    rows[:full] = ids[: full * steps].reshape(full, steps)
+    rows[full:, : steps - 1] = ids[full * steps :].reshape(lanes - full, steps - 1)
+    columns = np.ascontiguousarray(rows.T)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out = np.zeros((lanes, steps + 8), np.uint16)
-    filled = np.zeros(lanes, np.int64)
-    every = np.arange(lanes)
-
-    def code(which, cum, freq, bits) -> None:
-        nonlocal out
-        lo, r = low[which], rng[which]
-        r = r >> bits
-        lo = lo + r * cum
-        r *= freq
-        w = at = np.flatnonzero(settle(lo, r))
-        if not isinstance(which, slice):
-            w = which[at]
-        while len(at):
-            if int(filled[w].max()) >= out.shape[1]:
-                out = np.concatenate([out, np.zeros_like(out)], axis=1)
-            out[w, filled[w]] = (lo[at] >> U48).astype(np.uint16)
-            filled[w] += 1
-            l2, r2 = lo[at] << U16, r[at] << U16
-            more = np.flatnonzero(settle(l2, r2))
-            lo[at], r[at] = l2, r2
-            at, w = at[more], w[more]
-        low[which], rng[which] = lo, r
-
+    width = steps + 2  # a step gives a word at most, the end two
+    out = np.zeros(lanes * width, np.uint32)
+    base = np.arange(lanes) * width
+    at = base.copy()
     model = Model(vocabulary, lanes)
     for s in range(steps):
-        k = lanes if s < steps - 1 else int((length == steps).sum())
-        x = ids[start[:k] + s]
+        k = lanes if s < steps - 1 else full
+        x = columns[s, :k]
         model.predict(k)
-        case = np.where(model.p2 == x, 0, np.where((model.p1 == x) & (model.f1 > 0), 1, 2))
-        cum = np.where(case == 0, U0, np.where(case == 1, model.f2, model.f2 + model.f1))
-        freq = np.where(case == 0, model.f2, np.where(case == 1, model.f1, model.f0))
-        code(slice(0, k), cum, freq, CASES)
-        rest = np.flatnonzero(case == 2)
-        if len(rest):
-            y = x[rest]
-            code(rest, model.cum[y], model.cum[y + 1] - model.cum[y], ALL)
-        model.learn(x, case)
-    if int(filled.max()) + 4 > out.shape[1]:
-        out = np.concatenate([out, np.zeros((lanes, 4), np.uint16)], axis=1)
-    for _ in range(4):
-        out[every, filled] = (low >> U48).astype(np.uint16)
-        filled += 1
-        low <<= U16
-    body = filled.astype("<u4").tobytes() + out[np.arange(out.shape[1])[None, :] < filled[:, None]].astype("<u2").tobytes()
+        case = np.where(model.p2 == x, 0, np.where(model.p1 == x, 1, 2))
+        key = model.state << 2 | case
+        part = model.cases[key]
+        r = rng[:k] >> UCASES
+        up = r * (part >> U32)
+        r *= part & LOW32
+        neither = case == 2
+        part = np.where(neither, model.ids[x], U1)
+        r >>= np.where(neither, UALL, U0)
+        up += r * (part >> U32)
+        r *= part & LOW32
+        lo = low[:k]
+        lo += up
+        c = at[np.flatnonzero(lo < up)]
+        while len(c):  # a carry goes to the words before
+            c = c - 1
+            out[c] += np.uint32(1)
+            c = c[out[c] == 0]
+        w = np.flatnonzero(r < BOT)
+        if len(w):
+            top = lo[w]
+            out[at[w]] = (top >> U32).astype(np.uint32)
+            at[w] += 1
+            lo[w] = top << U32
+            r[w] <<= U32
+        rng[:k] = r
+        model.learn(x, key)
+    out[at], out[at + 1] = (low >> U32).astype(np.uint32), (low & LOW32).astype(np.uint32)
+    filled = at + 2 - base
+    body = filled.astype("<u4").tobytes() + out.reshape(lanes, width)[np.arange(width)[None, :] < filled[:, None]].astype("<u4").tobytes()
     return struct.pack("<4I", n, lanes, crc, len(body)) + body
 
 
@@ -200,57 +199,53 @@ def decode_block(data: bytes, at: int = 0, vocabulary: int = VOCABULARY) -> tupl
     at += 16
     ids = np.zeros(n, np.int64)
     if n:
-        start, length = grid(n)
-        if lanes != len(start) or at + size > len(data) or size < 4 * lanes:
+        if lanes != grid(n)[0] or at + size > len(data) or size < 4 * lanes:
             raise ValueError("damaged block")
+        lanes, steps, full = grid(n)
         filled = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
-        words = np.frombuffer(data, "<u2", (size - 4 * lanes) // 2, at + 4 * lanes).astype(np.uint64)
-        if int(filled.sum()) != len(words):
+        words = np.frombuffer(data, "<u4", size // 4 - lanes, at + 4 * lanes).astype(np.uint64)
+        if int(filled.sum()) != len(words) or int(filled.min()) < 2:
             raise ValueError("damaged block")
-        words = np.concatenate([words, np.zeros(8, np.uint64)])
+        words = np.append(words, U0)
         last = len(words) - 1
-        ptr = np.concatenate([[0], np.cumsum(filled)[:-1]])
-        steps = int(length[0])
-        low, rng, seen = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64), np.zeros(lanes, np.uint64)
-        for _ in range(4):
-            seen = (seen << U16) | words[np.minimum(ptr, last)]
-            ptr += 1
-        def shift(which, cum, freq, r, lo) -> None:
-            lo = lo + r * cum
-            r = r * freq
-            c, p = seen[which], ptr[which]
-            at = np.flatnonzero(settle(lo, r))
-            while len(at):
-                l2, r2, p2 = lo[at] << U16, r[at] << U16, p[at]
-                c[at] = (c[at] << U16) | words[np.minimum(p2, last)]
-                p[at] = p2 + 1
-                more = np.flatnonzero(settle(l2, r2))
-                lo[at], r[at] = l2, r2
-                at = at[more]
-            low[which], rng[which], seen[which], ptr[which] = lo, r, c, p
-
-        model = Model(vocabulary, lanes)
+        ptr = np.cumsum(filled) - filled
+        above = words[ptr] << U32 | words[ptr + 1]  # how far the code lies above the low end of each lane's range
+        ptr += 2
+        rng = np.full(lanes, 2**64 - 1, np.uint64)
+        columns = np.zeros((steps, lanes), np.int64)
+        model = Model(vocabulary, lanes, ranks=True)
         for s in range(steps):
-            k = lanes if s < steps - 1 else int((length == steps).sum())
+            k = lanes if s < steps - 1 else full
             model.predict(k)
-            which = slice(0, k)
-            lo, r = low[which], rng[which] >> CASES
-            v = divided(seen[which] - lo, r, CASES)
-            case = (v >= model.f2).astype(np.int64) + (v >= model.f2 + model.f1)
-            cum = np.where(case == 0, U0, np.where(case == 1, model.f2, model.f2 + model.f1))
-            freq = np.where(case == 0, model.f2, np.where(case == 1, model.f1, model.f0))
-            shift(which, cum, freq, r, lo)
-            x = np.where(case == 0, model.p2, model.p1).astype(np.int64)
-            rest = np.flatnonzero(case == 2)
-            if len(rest):
-                lo, r = low[rest], rng[rest] >> ALL
-                v = divided(seen[rest] - lo, r, ALL)
-                y = np.searchsorted(model.cum, v, side="right") - 1
-                shift(rest, model.cum[y], model.cum[y + 1] - model.cum[y], r, lo)
-                x[rest] = y
-            np.clip(x, 0, vocabulary - 1, out=x)  # only in a damaged block is one outside
-            ids[start[:k] + s] = x
-            model.learn(x, case)
+            r, d, limit = rng[:k] >> UCASES, above[:k], model.limits[model.state]
+            two, neither = d < r * (limit & LOW32), d >= r * (limit >> U32)
+            key = model.state << 2 | np.where(neither, 2, np.where(two, 0, 1))
+            part = model.cases[key]
+            d -= r * (part >> U32)
+            r *= part & LOW32
+            r >>= np.where(neither, UALL, U0)
+            v = np.minimum(d.astype(np.float64) / r.astype(np.float64), (1 << ALL) - 1).astype(np.int64)
+            y = model.id_at(v)
+            part = np.where(neither, model.ids[y], U1)
+            rest = d - r * (part >> U32)
+            length = r * (part & LOW32)
+            if len(w := np.flatnonzero(rest >= length)):  # the floating-point quotient was off by one
+                w = w[neither[w]]
+                y[w] = model.id_at(np.minimum(d[w] // r[w], np.uint64((1 << ALL) - 1)).astype(np.int64))
+                part = model.ids[y[w]]
+                rest[w], length[w] = d[w] - r[w] * (part >> U32), r[w] * (part & LOW32)
+            x = np.where(neither, y, np.where(two, model.p2, model.p1))
+            if len(w := np.flatnonzero(length < BOT)):
+                p = ptr[w]
+                rest[w] = rest[w] << U32 | words[np.minimum(p, last)]
+                ptr[w] = p + 1
+                length[w] <<= U32
+            above[:k], rng[:k] = rest, length
+            columns[s, :k] = x
+            model.learn(x, key)
+        rows = columns.T
+        ids[: full * steps] = rows[:full].ravel()
+        ids[full * steps :] = rows[full:, : steps - 1].ravel()
     out = ids.astype("<u4")
     if zlib.crc32(out.tobytes()) != crc:
         raise ValueError("a block's checksum doesn't match")
@@ -283,54 +278,72 @@ def unpack(data: bytes, vocabulary: int = VOCABULARY) -> tuple[list, list[np.nda
     return doc_ids, np.split(flat, np.cumsum(lengths)[:-1]) if n else []
 
 
-class WordIds:
-    """Ids of whole texts. ASCII blanks and line ends part words that the library encodes one by one, as no merge,
-    normalisation or added token of this tokenizer crosses them; words met before are looked up. New words are given to
-    the library together, with an added token between them, which parts a text before anything else is done to it."""
+class Numbers(dict):
+    """piece -> its number, the next one for a new piece, which is then noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = n = len(self)
+        return n
+
 
-    def __init__(self, path: str, mark: str = "<|endoftext|>"):
-        self.tok, self.mark = load(path), mark
-        self.mark_id = self.tok.token_to_id(mark)
+class Pieces:
+    """Ids of whole texts, through ids that the library gave for their pieces.
+
+    For texts of PLAIN characters the file's normaliser (NFC, white space, lower case) does no more than lower case, and
+    its splitter cuts them as PIECE does. Pieces met before are looked up; the library's model encodes the new ones
+    together, as words of one text, and each ends at the id that ends a word. Any other text, one that could hold an added
+    token, and every text of a tokenizer of another build than EXPECTED, goes to the library whole.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tok = load(path)
+        config = json.loads(self.tok.to_str())
+        suffix = config["model"].get("end_of_word_suffix")
+        self.plain = PLAIN if bool(suffix) and config["model"]["type"] == "BPE" and [config["normalizer"], config["pre_tokenizer"]] == EXPECTED and all(t["content"].startswith("<|") for t in config["added_tokens"]) else NONE
+        self.words = Tokenizer(self.tok.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tok.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}  # word -> place in store << 20 | ids
-        self.store, self.used = np.empty(1 << 16, np.int32), 0
-
-    def put(self, ids: np.ndarray) -> int:
-        while self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.empty_like(self.store)])
-        self.store[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return self.used - len(ids)
+        self.known = Numbers()
+        self.starts, self.sizes, self.store = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def add(self, new: list[str]) -> None:
-        plain = [w for w in new if "<|" not in w]
-        ids = np.array(self.tok.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)[0].ids if plain else [], np.int64)
-        base = self.put(ids)
-        ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        self.known.update(zip(plain, ((starts + base) << 20 | (ends - starts)).tolist()))
-        odd = [w for w in new if "<|" in w]
-        for w, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False)):
-            self.known[w] = self.put(np.array(e.ids, np.int64)) << 20 | len(e.ids)
+        ids = np.array(self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(new):
+            raise ValueError("pieces and ends of words don't match")
+        starts = np.concatenate([[0], ends[:-1]])
+        self.sizes = np.append(self.sizes, ends - starts)
+        self.starts = np.append(self.starts, starts + len(self.store))
+        self.store = np.append(self.store, ids)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > WORDS_KEPT:
+        if len(self.known) > PIECES_KEPT:
             self.clear()
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        words = list(chain.from_iterable(parts))
-        code = list(map(self.known.get, words))
-        if new := {w for w, c in zip(words, code) if c is None}:
-            self.add(list(new))
-            code = list(map(self.known.__getitem__, words))
-        code = np.array(code, np.int64)
-        size = code & ((1 << 20) - 1)
+        whole = {k for k, t in enumerate(texts) if "<|" in t or not self.plain.fullmatch(t)}
+        parts = [[] if k in whole else PIECE.findall(t.lower()) for k, t in enumerate(texts)]
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        if self.known.new:
+            self.add(self.known.new)
+            self.known.new = []
+        size = self.sizes[number]
         upto = np.cumsum(size)
-        flat = self.store[np.repeat((code >> 20) - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
-        cuts = np.cumsum([len(p) for p in parts])
-        cuts = np.concatenate([[0], upto[cuts - 1]]) if parts else [0]
-        return [np.append(flat[a:b], np.int32(END)) for a, b in zip(cuts[:-1], cuts[1:])]
+        flat = self.store[np.repeat(self.starts[number] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+        cuts = np.concatenate([[0], upto])[np.cumsum([0, *map(len, parts)])]
+        out = [np.append(flat[a:b], np.int32(END)) for a, b in zip(cuts[:-1], cuts[1:])]
+        whole = sorted(whole)
+        for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
+            out[k] = np.array([*e.ids, END], np.int32)
+        return out
 
 
 def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None) -> DataFrame:
@@ -345,7 +358,7 @@ def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, part, record = WordIds(path), TaskContext.get().partitionId(), 0
+        ids_of, part, record = Pieces(path), TaskContext.get().partitionId(), 0
         doc_ids, ids, size = [], [], 0
 
         def close() -> pa.RecordBatch:

@@ -153,7 +153,20 @@ def test_spliced_ids_are_those_of_the_whole():
         t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 900)))
         whole = tok.encode(t, add_special_tokens=False).ids
         assert tokens.encode_long(tok, t, 60, 12) == whole, k
-        assert idcoder.WordIds(tokens.default_path()).batch([t])[0].tolist() == [*whole, 2]
+        assert idcoder.Pieces(tokens.default_path()).batch([t])[0].tolist() == [*whole, 2]
+
+
+def test_pieces_are_those_of_the_library(monkeypatch):
+    tok, pieces, r = tokens.load(tokens.default_path()), idcoder.Pieces(tokens.default_path()), random.Random(3)
+    assert pieces.plain is idcoder.PLAIN  # the file's rules are those that the quick way mirrors
+    plain = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x100))]
+    texts = ["".join(r.choices(plain, k=r.randint(0, 60))) for _ in range(3000)]
+    texts += ["".join(r.choices("'strevmld <|>Á", k=30)) for _ in range(1000)]
+    texts += ["it's they'RE ''s 'll'd x'sab", "İstanbul", "a\u00a0b", "a\x1cb", "x<|endoftext|>y", "½ ²x ªº µΜ", "ÀÉß ẞ", ""]
+    whole = [[*e.ids, 2] for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in pieces.batch(texts)] == whole
+    monkeypatch.setattr(idcoder, "PIECES_KEPT", 10)  # pieces are forgotten and met again
+    assert [x.tolist() for k in range(0, len(texts), 100) for x in pieces.batch(texts[k : k + 100])] == whole
 
 
 def test_coder_round_trip():
