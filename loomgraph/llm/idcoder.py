@@ -19,10 +19,10 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,10 +46,12 @@ UCASES, UALL = np.uint64(CASES), np.uint64(ALL)
 BOT, LOW32 = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
 U0, U1, U32 = np.uint64(0), np.uint64(1), np.uint64(32)
 PIECES_KEPT = 300_000
+#: Characters of texts that are cut into pieces together, and new pieces that the library encodes together.
+AT_ONCE, NEW_AT_ONCE = 4 << 20, 20_000
 #: Characters, in lower case or not, and pieces for which the tokenizer file's rules are these.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
 NONE = re.compile("(?!)")
-PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾ \t\n\r]+")
+NOT_LETTERS = "'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾ \t\n\r]+"
 EXPECTED = [
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {
@@ -281,7 +283,8 @@ def unpack(data: bytes, vocabulary: int = VOCABULARY) -> tuple[list, list[np.nda
 class Numbers(dict):
     """piece -> its number, the next one for a new piece, which is then noted."""
 
-    def __init__(self):
+    def __init__(self, known: dict[str, int]):
+        super().__init__(known)
         self.new: list[str] = []
 
     def __missing__(self, piece: str) -> int:
@@ -294,9 +297,9 @@ class Pieces:
     """Ids of whole texts, through ids that the library gave for their pieces.
 
     For texts of PLAIN characters the file's normaliser (NFC, white space, lower case) does no more than lower case, and
-    its splitter cuts them as PIECE does. Pieces met before are looked up; the library's model encodes the new ones
-    together, as words of one text, and each ends at the id that ends a word. Any other text, one that could hold an added
-    token, and every text of a tokenizer of another build than EXPECTED, goes to the library whole.
+    its splitter cuts at white space and before and after NOT_LETTERS. Pieces met before are looked up; the library's model
+    encodes the new ones together, as words of one text, and each ends at the id that ends a word. Any other text, one that
+    could hold an added token, and every text of a tokenizer of another build than EXPECTED, goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -313,8 +316,8 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.known = Numbers()
-        self.starts, self.sizes, self.store = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.known = Numbers({"": 0})  # what white space at either end of a text leaves has no ids
+        self.starts, self.sizes, self.store = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.int32)
 
     def add(self, new: list[str]) -> None:
         ids = np.array(self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int32)
@@ -329,23 +332,38 @@ class Pieces:
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > PIECES_KEPT:
             self.clear()
-        whole = {k for k, t in enumerate(texts) if "<|" in t or not self.plain.fullmatch(t)}
-        parts = [[] if k in whole else PIECE.findall(t.lower()) for k, t in enumerate(texts)]
-        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
-        if self.known.new:
-            self.add(self.known.new)
-            self.known.new = []
+        whole = [k for k, t in enumerate(texts) if "<|" in t or not self.plain.fullmatch(t)]
+        skip = set(whole)
+        lower = pc.utf8_lower(pa.array(["" if k in skip else t for k, t in enumerate(texts)], pa.large_string()))
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, NOT_LETTERS, r" \0 "))
+        pieces = parts.flatten().dictionary_encode()
+        number = np.array([self.known[p] for p in pieces.dictionary.to_numpy(zero_copy_only=False)], np.int64)
+        for k in range(0, len(self.known.new), NEW_AT_ONCE):
+            self.add(self.known.new[k : k + NEW_AT_ONCE])
+        self.known.new = []
+        number = number[pieces.indices.to_numpy()]
         size = self.sizes[number]
-        upto = np.cumsum(size)
-        flat = self.store[np.repeat(self.starts[number] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
-        cuts = np.concatenate([[0], upto])[np.cumsum([0, *map(len, parts)])]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        flat = self.store[np.repeat(self.starts[number] - upto[:-1], size) + np.arange(upto[-1])]
+        cuts = upto[np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])]
         out = [np.append(flat[a:b], np.int32(END)) for a, b in zip(cuts[:-1], cuts[1:])]
-        whole = sorted(whole)
         for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
             out[k] = np.array([*e.ids, END], np.int32)
         return out
 
 
+def by_bytes(texts: list[str], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Slices of texts of about as many characters at most; a longer text is one by itself."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        if k > first and size + len(t) > most:
+            yield first, k
+            first, size = k, 0
+        size += len(t)
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None) -> DataFrame:
     """Write the ids of docs (doc_id, text) in the format above, to `at` or the shared folder, and read the file back.
 
@@ -365,9 +383,9 @@ def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None) -
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([record], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(doc_ids, ids)], pa.binary())], names=["part", "record", "n_docs", "n_tokens", "payload"])
 
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                some = b.slice(k, 256)
-                for d, x in zip(some.column("doc_id").to_pylist(), ids_of.batch(some.column("text").to_pylist())):
+            all_ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            for k, far in by_bytes(texts):
+                for d, x in zip(all_ids[k:far], ids_of.batch(texts[k:far])):
                     doc_ids.append(d)
                     ids.append(x)
                     size += len(x)
