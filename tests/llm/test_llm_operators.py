@@ -354,3 +354,10 @@ def test_repeats_against_brute_force():
     texts = [[r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(0, 90))] for _ in range(120)] + [[b"x"] * 40, [], [b"y"]]
     for t, (inside, covered, most) in zip(texts, repetition.repeats(texts)):
         assert (inside, most) == brute_repeats(t) and covered == inside
+
+
+def test_slices_of_texts_are_whole():
+    texts = ["ab", "", "c" * 20, "d", "e", "", "f" * 9, "g"]
+    slices = list(idcoder.by_bytes(texts, 10))
+    assert slices == [(0, 2), (2, 3), (3, 6), (6, 8)]
+    assert list(idcoder.by_bytes([])) == []
