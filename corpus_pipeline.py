@@ -24,8 +24,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose words follow the target shares of sources, languages and topics."""
-    return mixing.mix(docs)
+    """The documents without the words over the target shares of sources, languages and topics."""
+    return mixing.mix(docs, whole=True)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

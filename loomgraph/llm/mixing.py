@@ -46,11 +46,13 @@ def features(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     return out.select("doc_id", "source", "lang", (topic_of(F.col("text"), F.col("words")) if topic is None else topic).alias("topic"), "words")
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, temper: float = TEMPER) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, temper: float = TEMPER, whole: bool = False) -> DataFrame:
     """cells (source, lang, topic, words) with `weight` raked to the targets, `factor` = weight / words and `p`.
 
     targets: shares for values of a dimension, those not named sharing what is left as they do now; a dimension without
     targets gets its present shares to the power `temper`, scaled to 1. Cells without words weigh nothing and have p = 1.
+    whole: p is the factor, at most 1, so that a cell gives up only its words over its target, whatever the others need. Else
+    p is the factor over the largest one, as in `mixed_sql`, and the cell with the largest factor sets the size of the result.
     """
     out = cells.withColumn("weight", F.col("words").cast("double"))
     everything = Window.partitionBy(F.lit(1))
@@ -72,15 +74,15 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
             share = F.sum("weight").over(Window.partitionBy(d))
             out = out.withColumn("weight", F.when(share > 0, F.col("weight") * F.col(f"to_{d}") * F.col("total") / share).otherwise(0.0))
     out = out.withColumn("factor", F.when(F.col("words") > 0, F.col("weight") / F.col("words")))
-    p = F.coalesce(F.col("factor") / F.max("factor").over(everything), F.lit(1.0))
+    p = F.coalesce(F.least("factor", F.lit(1.0)) if whole else F.col("factor") / F.max("factor").over(everything), F.lit(1.0))
     return out.select(*DIMENSIONS, "words", "weight", "factor", p.alias("p"))
 
 
-def cell_rates(seen: DataFrame, targets=None, sweeps: int = SWEEPS, temper: float = TEMPER) -> DataFrame:
+def cell_rates(seen: DataFrame, targets=None, sweeps: int = SWEEPS, temper: float = TEMPER, whole: bool = False) -> DataFrame:
     cells = materialise(seen.groupBy(*DIMENSIONS).agg(F.sum("words").alias("words")), "mix-cells")
     if cells.count() <= LOCAL_CELLS:
         cells = cells.coalesce(1)
-    return materialise(rake(cells, targets, sweeps, temper), "mix-rates")
+    return materialise(rake(cells, targets, sweeps, temper, whole), "mix-rates")
 
 
 def chance(doc_id: Column, seed: str = SEED) -> Column:
@@ -107,9 +109,9 @@ def mixed(docs: DataFrame, targets=None, sweeps: int = SWEEPS, temper: float = T
     return out.select("doc_id", *DIMENSIONS, F.col("words").alias("n_words"), F.round("__p", 6).alias("p"), kept.alias("kept"))
 
 
-def mix(docs: DataFrame, targets=None, sweeps: int = SWEEPS, temper: float = TEMPER, seed: str = SEED) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    rates = cell_rates(features(docs), targets, sweeps, temper)
+def mix(docs: DataFrame, targets=None, sweeps: int = SWEEPS, temper: float = TEMPER, seed: str = SEED, whole: bool = False) -> DataFrame:
+    """The rows of docs that stay, with all their columns; each once at most, so that ids stay unique."""
+    rates = cell_rates(features(docs), targets, sweeps, temper, whole)
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = ["__source", "__lang", "__topic"]
     rows = docs.withColumns({"__source": named("source"), "__lang": named("lang"), "__topic": topic_of(text, n_words(text))})

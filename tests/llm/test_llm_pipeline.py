@@ -43,3 +43,14 @@ def test_stages(spark, sf):
     for r in sorted(last, key=lambda r: r["doc_id"]):
         assert r["start"] == at
         at += r["n_tokens"]
+
+
+def test_a_tiny_cell_does_not_empty_the_mixture(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tiny = spark.createDataFrame([(10**9, "word " * 20, "xx", "nowhere", 100)], docs.schema)
+    words = lambda df: {r["doc_id"]: len(r["text"].split()) for r in df.collect()}
+    total = sum(words(docs).values())
+    before = words(corpus_pipeline.mixing_sources(spark, docs, sf))
+    after = words(corpus_pipeline.mixing_sources(spark, docs.union(tiny), sf))
+    assert 10**9 in after and sum(before.values()) > 0.8 * total
+    assert abs(sum(after.values()) - sum(before.values())) < 0.02 * total
