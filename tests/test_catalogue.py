@@ -80,3 +80,23 @@ def test_streams_agree_with_batches(spark, sf, tmp_path):
         assert k == 1 or streams.current(spark, f"file://{tmp_path}/t").count() == 2
     assert sorted(map(tuple, streams.current(spark, f"file://{tmp_path}/t").collect())) == [(2, "b", "y"), (3, "c", "x")]
     assert os.path.isdir(f"{tmp_path}/t")
+
+
+def test_import_cycles_whole(spark, sf, con):
+    pairs = con.sql("SELECT DISTINCT s_nationkey, c_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey").fetchall()
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, []).append(b)
+    want = []
+
+    def walk(path):
+        for b in after.get(path[-1], []):
+            if b == path[0]:
+                want.append((len(path), ">".join(map(str, path))))
+            elif b > path[0] and b not in path and len(path) < 5:
+                walk([*path, b])
+
+    for a in after:
+        walk([a])
+    assert max(want)[0] == 5
+    assert sorted(map(tuple, catalogue.queries()["import_cycles_whole"](spark, sf).select("length", "cycle").collect())) == sorted(want)
