@@ -395,6 +395,13 @@ def personalized_pagerank(spark, d):
     return traverse.pagerank(g.nodes, g.edges, ["customer_7", "part_3"], iterations=5).withColumn("score", F.round("score", 7))
 
 
+@query()
+def personalized_pagerank_converged(spark, d):
+    """Until the scores are stable; `personalized_pagerank` stops after the five rounds that its SQL has."""
+    g = testgraph.trade(spark, d)
+    return traverse.pagerank(g.nodes, g.edges, ["customer_7", "part_3"]).withColumn("score", F.round("score", 7))
+
+
 @query(DIALOGUE + ", g AS (SELECT *, sum(gap) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, CASE WHEN turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN 0 ELSE 1 END AS gap FROM turns)) SELECT id, min(id) OVER (PARTITION BY conv_id, run) AS component FROM g")
 def connected_components(spark, d):
     g = testgraph.dialogue(spark, d)

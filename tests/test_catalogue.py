@@ -100,3 +100,28 @@ def test_import_cycles_whole(spark, sf, con):
         walk([a])
     assert max(want)[0] == 5
     assert sorted(map(tuple, catalogue.queries()["import_cycles_whole"](spark, sf).select("length", "cycle").collect())) == sorted(want)
+
+
+def test_pagerank_converges(spark, sf):
+    from loomgraph.operators.graph import best_edges
+    from loomgraph.sources import testgraph
+
+    g = testgraph.trade(spark, sf)
+    ids = [r["id"] for r in g.nodes.select("id").collect()]
+    out = {}
+    for r in best_edges(g.edges).collect():
+        out.setdefault(r["src"], {})[r["dst"]] = r["importance"]
+    rank, rounds = {x: 1 / len(ids) for x in ids}, 0
+    while True:
+        new = dict.fromkeys(ids, 0.0)
+        for home in ("customer_7", "part_3"):
+            new[home] = (0.15 + 0.85 * sum(v for x, v in rank.items() if x not in out)) / 2
+        for x, to in out.items():
+            for y, w in to.items():
+                new[y] += 0.85 * rank[x] * w / sum(to.values())
+        change, rank, rounds = sum(abs(new[x] - rank[x]) for x in ids), new, rounds + 1
+        if change < 1e-6 * len(ids):
+            break
+    got = {r["id"]: r["score"] for r in catalogue.queries()["personalized_pagerank_converged"](spark, sf).collect()}
+    assert rounds > 5 and got.keys() == rank.keys()
+    assert all(abs(got[x] - rank[x]) < 2e-7 for x in ids)
