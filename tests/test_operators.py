@@ -140,3 +140,8 @@ def test_ids(spark):
     assert once == ["strasse_x_y", "", "", "a_b"]
     assert [r[0] for r in spark.createDataFrame([(x,) for x in once], "s string").select(T.normal_id("s")).collect()] == once
     assert [r[0] for r in spark.createDataFrame([("Crème Brûlée",)], "s string").select(T.strip_marks("s")).collect()] == ["Creme Brulee"]
+
+
+def test_distances_in_a_deep_graph(spark):
+    chain = spark.createDataFrame([(f"v{k:03}", f"v{k + 1:03}", "calls", "EXTRACTED", "call") for k in range(54)], EDGE)
+    assert {r["id"]: r["distance"] for r in traverse.distances(chain, "v000", weighted=False).collect()} == {f"v{k:03}": k for k in range(55)}
