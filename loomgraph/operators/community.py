@@ -123,33 +123,47 @@ def restrict(nodes: DataFrame, edges: DataFrame, communities: list[int]) -> tupl
     return n, e
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, community) after synchronous rounds: each node takes the label that most neighbours have, its own counting once,
-    ties to the lesser. Counts of a hub's labels are summed before they meet."""
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, community) after synchronous rounds, a fixed number or until no label changes: each node takes the label that most
+    neighbours have, its own counting once, ties to the lesser. Where all labels together come back to what they were before,
+    half of the nodes, another one each round, change from then on. Counts of a hub's labels are summed before they meet."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct()
     loops = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"))
     both = materialise(both.union(loops), "both")
     label = materialise(nodes.select("id", F.col("id").alias("label")), "label")
-    for _ in range(rounds):
+    seen, halves, r = set(), False, 0
+    while rounds is None or r < rounds:
         votes = both.join(label.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("n"))
-        label = materialise(votes.groupBy(F.col("src").alias("id")).agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("label")), "label")
+        best = votes.groupBy(F.col("src").alias("id")).agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("want")).join(label, "id")
+        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0 if halves else F.lit(True)
+        step = materialise(best.select("id", (F.col("want") != F.col("label")).alias("moves"), F.when(turn, F.col("want")).otherwise(F.col("label")).alias("label")), "label")
+        label, r = step.select("id", "label"), r + 1
+        if rounds is None:
+            state = step.agg(F.count_if("moves").alias("n"), F.bit_xor(F.xxhash64("id", "label")).alias("x"), F.bit_xor(F.xxhash64("label", "id")).alias("y")).first()
+            if not state["n"]:
+                break
+            halves = halves or (state["x"], state["y"]) in seen
+            seen.add((state["x"], state["y"]))
     return label.select("id", F.col("label").alias("community"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: int = 3, resolution: float = 1.0) -> DataFrame:
-    """(id, community) by modularity: synchronous local moves on DataFrames, half of the nodes a round so that neighbours
-    don't swap, then communities become the nodes of the next level. Names are least members."""
+def louvain(nodes: DataFrame, edges: DataFrame, levels: int | None = None, resolution: float = 1.0) -> DataFrame:
+    """(id, community) by modularity: synchronous local moves on DataFrames until no node wants to move, half of the nodes a
+    round so that neighbours don't swap, and a smaller part every 12 rounds so that moves made together cannot go on forever;
+    then communities become the nodes of the next level, until none merges or for `levels` levels. Names are least members."""
     w = edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").cast("double").alias("w"))
     links = materialise(w.union(w.select("b", "a", "w")), "links")  # symmetric; loops are (a, a, 2 * inner weight)
     total = links.agg(F.sum("w")).first()[0] or 0.0
     home = materialise(nodes.select("id", F.col("id").alias("community")), "home")
     if not total:
         return home
-    for _ in range(levels):
+    level = 0
+    while levels is None or level < levels:
+        level += 1
         strength = materialise(links.groupBy("a").agg(F.sum("w").alias("k")), "strength")
         label = materialise(strength.select(F.col("a").alias("id"), F.col("a").alias("c")), "label")
-        moved_any, quiet = False, 0
-        for r in range(rounds):
+        moved_any, r = False, 0
+        while True:
             sums = label.join(strength, F.col("id") == F.col("a")).groupBy("c").agg(F.sum("k").alias("tot"))
             toward = links.filter("a <> b").join(label.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("kin"))
             own = label.select(F.col("id").alias("a"), F.col("c").alias("mine"))
@@ -158,14 +172,12 @@ def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: int =
             rest = F.col("tot") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)
             gain = F.round(F.col("kin") - resolution * F.col("k") * rest / total, 9)
             best = options.withColumn("gain", gain).groupBy("a", "mine").agg(F.min_by("c", F.struct((-F.col("gain")).alias("g"), (F.col("c") != F.col("mine")).alias("m"), "c")).alias("new"))
-            turn = F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2)) == 0  # another half each round
-            step = materialise(best.select(F.col("a").alias("id"), "mine", F.when(turn, F.col("new")).otherwise(F.col("mine")).alias("c")), "label")
-            moved = step.filter("mine <> c").limit(1).count()
-            moved_any = moved_any or bool(moved)
-            label = step.select("id", "c")
-            quiet = 0 if moved else quiet + 1
-            if quiet == 4:  # whichever half, none wants to move
+            turn = F.pmod(F.xxhash64("a", F.lit(r)), F.lit(min(64, 2 ** (1 + r // 12)))) == 0  # others each round
+            step = materialise(best.select(F.col("a").alias("id"), (F.col("new") != F.col("mine")).alias("wants"), F.when(turn, F.col("new")).otherwise(F.col("mine")).alias("c")), "label")
+            label, r = step.select("id", "c"), r + 1
+            if not step.filter("wants").limit(1).count():
                 break
+            moved_any = True
         if not moved_any:
             break
         name = label.groupBy("c").agg(F.min("id").alias("name"))

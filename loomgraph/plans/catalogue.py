@@ -502,10 +502,17 @@ def label_propagation(spark, d):
     return community.label_propagation(g.nodes, g.edges, rounds=3)
 
 
+@query()
+def label_propagation_stable(spark, d):
+    """Until no label changes; `label_propagation` stops after the three rounds that its SQL has."""
+    g = testgraph.dialogue(spark, d)
+    return community.label_propagation(g.nodes, g.edges)
+
+
 @query()
 def louvain_communities(spark, d):
     g = testgraph.dialogue(spark, d)
-    return community.louvain(g.nodes, g.edges, rounds=4, levels=2)
+    return community.louvain(g.nodes, g.edges)
 
 
 # ---- analysis ----

@@ -125,3 +125,13 @@ def test_pagerank_converges(spark, sf):
     got = {r["id"]: r["score"] for r in catalogue.queries()["personalized_pagerank_converged"](spark, sf).collect()}
     assert rounds > 5 and got.keys() == rank.keys()
     assert all(abs(got[x] - rank[x]) < 2e-7 for x in ids)
+
+
+def test_communities_of_chains_are_whole(spark, sf, con):
+    chains = con.sql("SELECT conv_id, min(turn), count(*), max(turn) - min(turn) + 1 FROM conversations GROUP BY conv_id").fetchall()
+    assert all(n == span for _, _, n, span in chains) and max(n for _, _, n, _ in chains) > 6
+    for name in ("label_propagation_stable", "louvain_communities"):
+        got = {}
+        for r in catalogue.queries()[name](spark, sf).collect():
+            got.setdefault(r["community"], set()).add(r["id"])
+        assert {k: len(v) for k, v in got.items()} == {f"t{c:08d}_{first:06d}": n for c, first, n, _ in chains}
