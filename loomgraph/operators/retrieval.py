@@ -54,6 +54,44 @@ def pick_seeds(scored: DataFrame, most: int = 3, gap: float = 0.2) -> DataFrame:
     return one.crossJoin(F.broadcast(best)).filter(F.col("score") >= gap * F.col("best")).select("id", "label", "score").orderBy(*order).limit(most)
 
 
+def term_seeds(nodes: DataFrame, edges: DataFrame, terms: list[str]) -> DataFrame:
+    """(term, id, label): the best node of each term by itself: 10000 for an equal label or id, else 1000 for a prefix, and what
+    `score_nodes` gives the term; ties by degree, label length and id. One pass over the nodes for all terms."""
+    from .graph import degrees
+
+    idf = {r["term"]: r["idf"] for r in term_weights(nodes, terms).collect()}
+    label = F.lower(F.coalesce("label", F.lit("")))
+    bare = F.regexp_replace(label, r"[()]+$", "")
+    words = F.array_join(tokens(label), " ")
+    file = F.lower(F.coalesce("source_file", F.lit("")))
+    each = []
+    for t in terms:
+        equal, prefix, part = _tier(label, bare, None, F.col("id"), t)
+        w = F.lit(float(idf[t]))
+        alone = F.when(equal | (words == t) | (F.lower("id") == t), 10000 * w).when(prefix | F.startswith(words, F.lit(t)), 1000 * w).otherwise(0.0)
+        tier = F.when(equal, 1000 * w).when(prefix, 100 * w).when(part, w).otherwise(0.0)
+        each.append(F.struct(F.lit(t).alias("term"), (alone + tier + F.when(F.contains(file, F.lit(t)), 0.5 * w).otherwise(0.0)).alias("score")))
+    if not each:
+        return nodes.select(F.lit("").alias("term"), "id", "label").limit(0)
+    n = nodes.select("id", "label", F.explode(F.filter(F.array(*each), lambda x: x["score"] > 0)).alias("x")).join(degrees(edges), "id", "left")
+    order = F.struct((-F.col("x.score")).alias("s"), (-F.coalesce("degree", F.lit(0))).alias("d"), F.length(F.coalesce("label", "id")).alias("n"), "id")
+    return n.groupBy("x.term").agg(F.min_by(F.struct("id", "label"), order).alias("b")).select("term", "b.id", "b.label")
+
+
+def all_seeds(nodes: DataFrame, edges: DataFrame, terms: list[str], most: int = 3, gap: float = 0.2) -> list[str]:
+    """Ids of `pick_seeds`, then of each term's best node, in the order of terms, if neither it nor its label is there yet, so
+    that one term's match cannot keep out the others'. At most `most` and one for each term."""
+    terms = list(dict.fromkeys(terms))
+    key = lambda r: (r["label"] or "").lower() or r["id"]
+    ranked = pick_seeds(score_nodes(nodes, terms), most, gap).collect()
+    seeds, taken = [r["id"] for r in ranked], {key(r) for r in ranked}
+    for r in term_seeds(nodes, edges, terms).orderBy("term").collect() if seeds else []:
+        if r["id"] not in seeds and key(r) not in taken:
+            seeds.append(r["id"])
+            taken.add(key(r))
+    return seeds
+
+
 def find_node(nodes: DataFrame, query: str, most: int = 5) -> DataFrame:
     """(id, label, tier): source path equal, label equal, label prefix, label part; best tier first."""
     q = query.lower()
@@ -141,7 +179,7 @@ def retrieve(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 2,
     from .graph import degrees, in_context
     from .traverse import expand
 
-    seeds = [r["id"] for r in pick_seeds(score_nodes(nodes, query_terms(question))).collect()]
+    seeds = all_seeds(nodes, edges, query_terms(question))
     spark = nodes.sparkSession
     if not seeds:
         return spark.createDataFrame([], "place bigint, id string, line string")

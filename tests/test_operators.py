@@ -145,3 +145,14 @@ def test_ids(spark):
 def test_distances_in_a_deep_graph(spark):
     chain = spark.createDataFrame([(f"v{k:03}", f"v{k + 1:03}", "calls", "EXTRACTED", "call") for k in range(54)], EDGE)
     assert {r["id"]: r["distance"] for r in traverse.distances(chain, "v000", weighted=False).collect()} == {f"v{k:03}": k for k in range(55)}
+
+
+def test_each_term_has_a_seed(spark):
+    labels = ["token", "load users page", "my users", "store", "storehouse rules", "shadow"]
+    nodes = spark.createDataFrame([(f"n{k}", x, "code", "s.py", 0) for k, x in enumerate(labels)], NODE)
+    edges = spark.createDataFrame([("n2", "n5", "calls", "EXTRACTED", "call"), ("n0", "n3", "calls", "EXTRACTED", "call")], EDGE)
+    assert [r["id"] for r in retrieval.pick_seeds(retrieval.score_nodes(nodes, ["token", "users"])).collect()] == ["n0"]
+    assert retrieval.all_seeds(nodes, edges, ["token", "users"]) == ["n0", "n2"]
+    assert {r["term"]: r["id"] for r in retrieval.term_seeds(nodes, edges, ["token", "users", "nothing"]).collect()} == {"token": "n0", "users": "n2"}
+    got = {r["id"] for r in retrieval.retrieve(nodes, edges, "token users", depth=1).collect()}
+    assert {"n0", "n2", "n5"} <= got
