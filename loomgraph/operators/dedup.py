@@ -37,25 +37,39 @@ def candidates(labels: DataFrame, bands: int = BANDS, hashes: int = HASHES) -> D
     return k.withColumnRenamed("label", "a").join(o, ["band", "key"]).filter("a < b").select("a", "b").distinct()
 
 
-def similar(pairs: DataFrame, least: float = 92.0) -> DataFrame:
-    """(a, b, score) of pairs of normalised labels that pass all guards; Jaro where a label is long, else Jaro-Winkler."""
+def similar(pairs: DataFrame, least: float = 92.0, boost: float = 5.0) -> DataFrame:
+    """(a, b, score) of pairs (a, b, one_file, one_community, anchored) of normalised labels that pass all guards; Jaro where a
+    label is long and the files differ, else Jaro-Winkler. Long labels of one community get the boost; anchored labels, of
+    documents and rationales, merge within a file only."""
     long = F.greatest(F.length("a"), F.length("b")) >= 12
     p = pairs.filter(~variant_pair(F.col("a"), F.col("b")) & ~numbers_differ(F.col("a"), F.col("b")) & ~F.startswith(F.col("b"), F.concat("a", F.lit(" "))))
+    p = p.filter(F.col("one_file") | ~F.col("anchored"))
     p = p.withColumns({"jw": 100 * jaro_winkler("a", "b"), "j": 100 * jaro("a", "b"), "edit": one_edit("a", "b")})
-    p = p.withColumn("score", F.when(long, F.col("j")).otherwise(F.col("jw")))
+    near = F.col("one_community") & (F.least(F.length("a"), F.length("b")) >= 12)
+    p = p.withColumn("score", F.when(long & ~F.col("one_file"), F.col("j")).otherwise(F.col("jw")) + F.when(near, boost).otherwise(0.0))
     return p.filter(F.col("score") >= least).filter(long | ((F.col("jw") >= 97) & F.col("edit"))).select("a", "b", "score")
 
 
 def dedup_entities(nodes: DataFrame, least_entropy: float = 2.5) -> DataFrame:
-    """(id, survivor) for nodes (id, label, file_type, source_file), code never merged: one normalised label in one file, or in
-    any files if it has the entropy, then similar labels, closed over chains. Shortest, then least id survives."""
-    n = nodes.filter("file_type <> 'code'").select("id", "source_file", norm_label(F.col("label")).alias("label")).filter("label <> ''")
-    rich = entropy(F.col("label")) >= least_entropy
-    # a label with entropy is one entity wherever it stands; another one is an entity of its file
-    keyed = materialise(n.withColumn("entity", F.when(rich, F.col("label")).otherwise(F.concat("source_file", F.lit("\n"), "label"))).withColumn("rich", rich), "entities")
-    labels = keyed.filter("rich").select("label").distinct()
-    links = materialise(similar(candidates(labels)).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
-    groups = components(keyed.select(F.col("entity").alias("id")).distinct(), links)
+    """(id, survivor) for nodes (id, label, file_type, source_file and maybe community), code never merged: one normalised label
+    in one file, or in any files if it is a concept's and has the entropy, then similar labels, each by its least node, closed
+    over chains. Shortest, then least id survives."""
+    if "community" not in nodes.columns:
+        nodes = nodes.withColumn("community", F.lit(None).cast("int"))
+    file = F.coalesce("source_file", F.lit(""))
+    n = nodes.filter("file_type <> 'code'").select("id", "file_type", file.alias("source_file"), "community", norm_label(F.col("label")).alias("label")).filter("label <> ''")
+    # an entity is a label of a file, or a node without a file; what stands for a label wherever it is begins with a line end
+    entity = F.when(F.col("source_file") == "", F.concat(F.lit("\n\n"), "id")).otherwise(F.concat("source_file", F.lit("\n"), "label"))
+    keyed = materialise(n.withColumns({"entity": entity, "rich": entropy(F.col("label")) >= least_entropy}), "entities")
+    anywhere = keyed.filter("rich AND file_type = 'concept' AND source_file <> ''").select("entity", F.concat(F.lit("\n"), "label").alias("hub")).distinct()
+    first = materialise(keyed.filter("rich").groupBy("label").agg(F.min_by(F.struct("entity", "file_type", "source_file", "community"), "id").alias("x")), "labels")
+    side = lambda c: first.select(F.col("label").alias(c), F.col("x").alias(f"x{c}"))
+    pairs = candidates(first.select("label")).join(side("a"), "a").join(side("b"), "b")
+    anchored = F.col("xa.file_type").isin("rationale", "document") | F.col("xb.file_type").isin("rationale", "document")
+    pairs = materialise(pairs.select("a", "b", (F.col("xa.source_file") == F.col("xb.source_file")).alias("one_file"), F.coalesce(F.col("xa.community") == F.col("xb.community"), F.lit(False)).alias("one_community"), F.coalesce(anchored, F.lit(False)).alias("anchored")), "pairs")
+    found = similar(pairs).join(side("a"), "a").join(side("b"), "b").select(F.col("xa.entity").alias("src"), F.col("xb.entity").alias("dst"))
+    links = materialise(found.union(anywhere), "links")
+    groups = components(keyed.select(F.col("entity").alias("id")).union(anywhere.select("hub")).distinct(), links)
     g = keyed.join(groups.withColumnRenamed("id", "entity"), "entity").select("id", "component")
     best = g.groupBy("component").agg(F.min_by("id", F.struct(F.rlike("id", F.lit(r"_c\d+$")).alias("x"), F.length("id").alias("n"), "id")).alias("survivor"), F.count("*").alias("n"))
     return g.join(best.filter("n > 1"), "component").select("id", "survivor")

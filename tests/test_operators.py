@@ -156,3 +156,15 @@ def test_each_term_has_a_seed(spark):
     assert {r["term"]: r["id"] for r in retrieval.term_seeds(nodes, edges, ["token", "users", "nothing"]).collect()} == {"token": "n0", "users": "n2"}
     got = {r["id"] for r in retrieval.retrieve(nodes, edges, "token users", depth=1).collect()}
     assert {"n0", "n2", "n5"} <= got
+
+
+def test_files_and_communities_decide_what_merges(spark):
+    pair = "a string, b string, one_file boolean, one_community boolean, anchored boolean"
+    x, y = "graph storage engine", "graph storage enigma"
+    j, jw = 100 * T.jaro_one(x, y), 100 * T.jaro_winkler_one(x, y)
+    assert 87 <= j < 92 <= jw
+    data = [(x, y, False, False, False), (x, y, True, False, False), (x, y, False, True, False), (x, y, False, True, True)]
+    got = [dedup.similar(spark.createDataFrame([d], pair)).count() for d in data]
+    assert got == [0, 1, 1, 0]
+    n = spark.createDataFrame([("d1", "Overview of the service", "document", "a.md"), ("d2", "Overview of the service", "document", "b.md"), ("d3", "overview of the service", "document", "a.md"), ("c1", "Storage of the service", "concept", "a.md"), ("c2", "storage of the service", "concept", "b.md")], "id string, label string, file_type string, source_file string")
+    assert {r["id"]: r["survivor"] for r in dedup.dedup_entities(n).collect()} == {"d1": "d1", "d3": "d1", "c1": "c1", "c2": "c1"}
