@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +17,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one Arrow batch may hold on its way to a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+
+#: Bytes that one task of a shuffle gets at most, where the size of what is shuffled is known.
+PART_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +44,33 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow or an iterator UDF; when its task ends, the worker, which stays for other tasks, gives its free
+    memory back to the system."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
+def parts_for(spark: SparkSession, size: int, least: int = 1) -> int:
+    """Tasks for a shuffle of `size` bytes: PART_BYTES each at most, and at least spark.sql.shuffle.partitions."""
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines see; where unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir, which all machines see; where unset, one of our own if all is on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         import tempfile
 
         at = "file://" + tempfile.gettempdir() + "/loomgraph-shared"
@@ -50,13 +80,20 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
-    The files go when the session ends.
+    The files go when the session ends, or by `discard`.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     atexit.register(_remove, spark, at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that `materialise` wrote, once nothing reads it any more."""
+    _remove(df.sparkSession, df.written_at)
 
 
 def _remove(spark: SparkSession, at: str) -> None:

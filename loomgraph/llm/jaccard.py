@@ -1,15 +1,17 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Equal texts are one class, whose representative has the least doc_id. Representatives with a Jaccard similarity of at
-least `threshold` on five-word shingles are linked.
+Rows with equal texts share one text. Two texts with a Jaccard similarity of at least `threshold` on their five-word
+shingles are linked. A text is known by its place, the number of a row that has it; ids may be null or repeated.
 
 1. Each text gets 128 MinHash values and 32 band keys of four values; a pair at 0.8 shares no band once in 10^7 pairs.
 2. Bands shared by two texts or more are buckets; of buckets with the same members one stays.
-3. Each bucket's texts meet in a Python task, in square blocks if there are many of them. Pairs compare their MinHash
+3. In a bucket of over HOT texts the least one is a pivot. Texts within half the allowed distance of a pivot (of several,
+   the least) are its core: by the triangle inequality they are all linked, so they are counted, not compared.
+4. Other pairs of a bucket meet in Python tasks, in square blocks if there are many. They compare their MinHash
    values 16 at a time and are dropped when the posterior probability of reaching the threshold, from a uniform prior,
    falls below TOLERANCE; the rest are verified exactly on their shingle sets. A pair that meets in several buckets
    counts in the first of them.
-4. A block returns a row for each linked text: its links and the least text of its group there. No pairs are
+5. A block returns a row for each linked text: its links and the least text of its group there. No pairs are
    written. Groups are the connected components of these rows.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialise, small_batches, text_of
+from .common import discard, lean, materialise, parts_for, small_batches, text_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -34,7 +36,9 @@ HASHES, BANDS, ROWS = 128, 32, 4
 STEP = 16
 TOLERANCE = 1e-5
 #: Texts and bytes of text that one side of a block may hold; larger buckets are cut into several.
-SIDE, SIDE_BYTES = 1024, 16 << 20
+SIDE, SIDE_BYTES = 1024, 8 << 20
+#: Texts of a bucket beyond which it gets a pivot.
+HOT = 256
 _RANDOM = np.random.default_rng(20240229)
 MULTIPLY = (_RANDOM.integers(0, 2**32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
 ADD = _RANDOM.integers(0, 2**32, HASHES, np.uint64).astype(np.uint32)
@@ -87,13 +91,15 @@ def least_matches(threshold: float, n: int, tolerance: float = TOLERANCE) -> int
     return n + 1
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray], sl: np.ndarray, sr: np.ndarray, band: int, masks_l: np.ndarray, masks_r: np.ndarray, same: bool, threshold: float) -> np.ndarray:
-    """Index pairs of this bucket (its band given) that are linked and don't meet in a bucket of an earlier band.
+def linked(left: list[np.ndarray], right: list[np.ndarray], sl: np.ndarray, sr: np.ndarray, band: int, masks_l: np.ndarray, masks_r: np.ndarray, cores_l: np.ndarray, cores_r: np.ndarray, same: bool, threshold: float) -> np.ndarray:
+    """Index pairs of this bucket (its band given) that are linked, of no common core, and don't meet in a bucket of an earlier band.
 
-    left, right: shingle sets; sl, sr: signatures; masks: bit b is set if the text's bucket in band b stayed.
+    left, right: shingle sets; sl, sr: signatures; masks: bit b is set if the text's bucket in band b stayed; cores: -1 is none.
     """
     n, m = len(left), len(right)
-    alive = np.triu(np.ones((n, m), bool), 1) if same else np.ones((n, m), bool)
+    alive = (cores_l[:, None] != cores_r[None, :]) | (cores_l[:, None] < 0)
+    if same:
+        alive = np.triu(alive, 1)
     matches = np.zeros((n, m), np.uint8)
     for a in range(0, HASHES, STEP):
         i, j = np.nonzero(alive)
@@ -156,19 +162,19 @@ def groups_of(pairs: list[tuple[int, int]]) -> dict[int, int]:
 
 
 def compare(rows: list[tuple], band: int, i: int, j: int, threshold: float, k: int) -> list[tuple[int, int, int]]:
-    """(id, links, least id of its group here) for the rows (id, side, mask, text) of one block."""
+    """(id, links, least id of its group here) for the rows (id, side, mask, core, text) of one block."""
     made = {}
     for r in rows:
-        if r[0] not in made:
-            s = shingles(r[3], k)
-            made[r[0]] = (s, signature(s))
-    left = sorted({r[0]: r for r in rows if r[1] == i}.values())
-    right = left if i == j else sorted({r[0]: r for r in rows if r[1] == j}.values())
+        s = shingles(r[4], k)
+        made[r[0]] = (s, signature(s))
+    left = sorted(r for r in rows if r[1] == i)
+    right = left if i == j else sorted(r for r in rows if r[1] == j)
     if not left or not right:
         return []
     sl, sr = (np.stack([made[r[0]][1] for r in x]) for x in (left, right))
     ml, mr = (np.array([r[2] for r in x], np.int64) for x in (left, right))
-    found = linked([made[r[0]][0] for r in left], [made[r[0]][0] for r in right], sl, sr, band, ml, mr, i == j, threshold)
+    cl, cr = (np.array([r[3] for r in x], np.int64) for x in (left, right))
+    found = linked([made[r[0]][0] for r in left], [made[r[0]][0] for r in right], sl, sr, band, ml, mr, cl, cr, i == j, threshold)
     if not len(found):
         return []
     pairs = [(left[a][0], right[b][0]) for a, b in found.tolist()]
@@ -180,100 +186,164 @@ def compare(rows: list[tuple], band: int, i: int, j: int, threshold: float, k: i
     return [(x, n, least[x]) for x, n in links.items()]
 
 
+def within(pivot: np.ndarray, s: np.ndarray, threshold: float) -> bool:
+    """Whether the Jaccard distance is at most half of 1 - threshold."""
+    common = len(np.intersect1d(pivot, s, assume_unique=True))
+    union = len(pivot) + len(s) - common
+    return 2 * (union - common) <= (1 - threshold) * union + 1e-9
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, least id of its component) for edges (id, other), other <= id. Rounds of taking the least neighbour's label and
-    then that label's label go on until none changes; each round is written to the shared folder."""
+    then that label's label go on until none changes; each round is written to the shared folder, and the one before goes."""
     edges = materialise(edges.filter("id <> other").distinct(), "links")
     both = edges.union(edges.select("other", "id"))
-    label = materialise(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("label")), "labels")
+    step = materialise(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("new")), "labels")
     while True:
+        label = step.select("id", F.col("new").alias("label"))
         near = both.join(label.select(F.col("id").alias("other"), F.col("label").alias("seen")), "other").groupBy("id").agg(F.min("seen").alias("seen"))
-        step = label.join(near, "id").select("id", "label", F.least("label", "seen").alias("new"))
+        new = label.join(near, "id").select("id", "label", F.least("label", "seen").alias("new"))
         jump = label.select(F.col("id").alias("new"), F.col("label").alias("jumped"))
-        step = materialise(step.join(jump, "new", "left").select("id", "label", F.least("new", F.coalesce("jumped", "new")).alias("new")), "labels")
-        changed = step.filter("label <> new").limit(1).count()
-        label = step.select("id", F.col("new").alias("label"))
-        if not changed:
-            return label
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
-    """doc_id, rep_id, class_id, n_links, n_copies for every row of docs (doc_id, text) with a doc_id.
-
-    rep_id: the least doc_id with the same text; n_copies: rows with that text; n_links: other texts at least `threshold`
-    similar; class_id: the least doc_id of all texts that links lead to. Words are as in common.WORD, case kept.
-    Null texts are empty ones; all texts without words are no one's neighbours but each other's copies only if equal. A
-    text of fewer than k words is one shingle. Rows without a doc_id are left out. An empty table works.
-    """
+        new = materialise(new.join(jump, "new", "left").select("id", "label", F.least("new", F.coalesce("jumped", "new")).alias("new")), "labels")
+        discard(step)
+        step = new
+        if not step.filter("label <> new").limit(1).count():
+            discard(edges)
+            return step.select("id", "label")
+
+
+def groups_in(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], values: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal keys, across batches."""
+    now, held = None, []
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in keys + values)):
+            key = row[: len(keys)]
+            if now != key:
+                if held:
+                    yield now, held
+                now, held = key, []
+            held.append(row[len(keys) :])
+    if held:
+        yield now, held
+
+
+def cores_of(members: DataFrame, kept: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(id, core): core is the least pivot, of the buckets over HOT that hold the text, that it is near enough to."""
+    spark = members.sparkSession
+    hot = kept.filter(F.col("n") > HOT).select("key", F.col("low").alias("pivot"))
+    wish = materialise(members.select("id", "key").join(hot, "key").select("id", "pivot").distinct(), "pivots")
+    salts = wish.groupBy("pivot").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("salts"))
+    one = wish.join(salts, "pivot").select("pivot", "id", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.lit(1).alias("is_member"))
+    head = salts.select("pivot", F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("is_member"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (pivot, _), rows in groups_in(batches, ("pivot", "salt"), ("is_member", "id", "text")):
+            s = shingles(rows[0][2], k)
+            ids = [i for _, i, text in rows[1:] if within(s, shingles(text, k), threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([pivot] * len(ids), pa.int64())], names=["id", "pivot"])
+
+    rows = one.union(head).join(texts.select("id", "text"), "id")
+    rows = rows.repartition(parts_for(spark, wish.count() << 12), "pivot", "salt").sortWithinPartitions("pivot", "salt", "is_member", "id").select("pivot", "salt", "is_member", "id", "text")
+    return rows.mapInArrow(lean(near), "id bigint, pivot bigint").groupBy("id").agg(F.min("pivot").alias("core"))
+
+
+def classes_of(docs: DataFrame, threshold: float, k: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs (place, doc_id, digest, and text or, if whole, `row` with all their columns), and a row for each text:
+    digest, id, rep_id, least (of its rows: doc_id null, doc_id, place), n_copies, n_links, label (the least id that links
+    lead to)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t in b.column("text"):
-                s = shingles(t.as_py(), k)
-                out.append(band_keys(signature(s)) if len(s) else np.empty(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*out, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), b.column("size"), bands], names=["doc_id", "digest", "size", "bands"])
-
-    digest = F.md5(F.col("text").cast("binary"))
-    hashed = rows.select("doc_id", digest.alias("digest"), F.octet_length("text").alias("size"), "text").mapInArrow(keys, "doc_id bigint, digest string, size int, bands array<bigint>")
-    hashed = materialise(hashed, "bands")
-    classes = materialise(hashed.groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
-    bands = classes.select("rep_id", "size", F.posexplode("bands").alias("band", "key"))
-    mark = F.xxhash64("rep_id")
-    buckets = bands.groupBy("key").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("bytes"), F.bit_xor(mark).alias("x"), F.min("rep_id").alias("low"), F.max("rep_id").alias("high")).filter("n > 1")
-    one = buckets.groupBy("n", "x", "low", "high").agg(F.min_by(F.struct("key", "band", "bytes"), F.struct("band", "key")).alias("b"))
-    sides = F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("b.bytes") / SIDE_BYTES)).cast("int")
-    kept = materialise(one.select("b.key", "b.band", sides.alias("sides")), "buckets")
-    members = bands.select("rep_id", "key").join(kept, "key")
-    per_text = members.groupBy("rep_id").agg(F.collect_list(F.struct("key", "band", "sides")).alias("buckets"), F.sum(F.expr("shiftleft(1L, band)")).alias("mask"))  # at most one for each band
-    texts = rows.withColumnRenamed("doc_id", "rep_id").join(per_text, "rep_id").dropDuplicates(["rep_id"])
-    spread = texts.select("rep_id", "mask", "text", F.explode("buckets").alias("b"))
-    side = F.pmod(F.xxhash64("rep_id"), F.col("b.sides")).cast("int")
-    spread = spread.withColumn("side", side)
-    other = F.sequence(F.lit(0), F.col("b.sides") - 1)
-    spread = spread.select("rep_id", "mask", "text", "side", "b.key", "b.band", F.explode(other).alias("with"))
-    blocks = spread.select("key", "band", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "rep_id", "side", "mask", "text")
+
+    @F.arrow_udf("array<bigint>")
+    def bands_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def run(batches):
+            for b in batches:
+                out = [band_keys(signature(s)) if len(s := shingles(t.as_py(), k)) else np.empty(0, np.int64) for t in b]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*out, np.empty(0, np.int64)])))
+
+        return lean(run)(batches)
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    what = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else text.alias("text")
+    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.octet_length(text).alias("size"), bands_of(text).alias("bands"), what)
+    rows = materialise(rows, "bands")
+    texts = rows.select(F.col("place").alias("id"), F.coalesce("row.text", F.lit("")).alias("text") if whole else "text")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
+    every = rows.groupBy("digest").agg(F.min("place").alias("id"), F.min("doc_id").alias("rep_id"), least.alias("least"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    every = materialise(every, "classes")
+    bands = every.select("id", "size", F.posexplode("bands").alias("band", "key"))
+    buckets = bands.groupBy("key").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("low"), F.max("id").alias("high")).filter("n > 1")
+    one = buckets.groupBy("n", "x", "low", "high").agg(F.min(F.struct("band", "key")).alias("b"))
+    kept = materialise(one.select("b.key", "b.band", "n", "low"), "buckets")
+    members = materialise(bands.select("id", "size", "key").join(kept.select("key", "band"), "key"), "members")
+    if kept.filter(F.col("n") > HOT).limit(1).count():
+        core = materialise(cores_of(members, kept, texts, threshold, k), "cores")
+    else:
+        core = spark.createDataFrame([], "id bigint, core bigint")
+    members = members.join(core, "id", "left").withColumn("core", F.coalesce("core", F.lit(-1)))
+    # in each bucket the largest core stands on one side: its texts only meet the others
+    parts = members.groupBy("key", "core").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("bytes"))
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / SIDE), F.ceil(size / SIDE_BYTES)).cast("int")
+    sized = parts.groupBy("key").agg(F.max_by(F.struct("core", "n", "bytes"), F.struct(F.when(F.col("core") >= 0, F.col("n")).otherwise(0), "core")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    none = F.col("top.core") < 0
+    top_n, top_bytes = F.when(none, 0).otherwise(F.col("top.n")), F.when(none, 0).otherwise(F.col("top.bytes"))
+    sized = materialise(sized.select("key", F.when(~none, F.col("top.core")).alias("top"), blocks_of(F.col("n") - top_n, F.col("bytes") - top_bytes).alias("others"), blocks_of(top_n, top_bytes).alias("tops"), "bytes"), "sizes")
+    in_top = F.coalesce(F.col("core") == F.col("top"), F.lit(False))
+    bucket = F.struct("key", "band", "others", "tops", in_top.alias("in_top"))
+    of_text = members.join(sized.drop("bytes"), "key").groupBy("id").agg(F.max("core").alias("core"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"), F.collect_list(bucket).alias("buckets"))  # at most one for each band
+    spread = texts.join(of_text, "id").select("id", "core", "mask", "text", F.explode("buckets").alias("b")).select("id", "core", "mask", "text", "b.*").filter("others > 0")
+    side = F.when(F.col("in_top"), F.col("others") + F.pmod(F.xxhash64("id"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others"))).cast("int")
+    facing = F.sequence(F.lit(0), F.when(F.col("in_top"), F.col("others") - 1).otherwise(F.col("others") + F.col("tops") - 1))
+    spread = spread.select("*", side.alias("side"), F.explode(facing).alias("with"))
+    blocks = spread.select("key", "band", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "id", "side", "mask", "core", "text")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
         found: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
             ids, n, low = (np.array(c, np.int64) for c in zip(*found))
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(low)], names=["id", "n", "other"])
 
-        for b in batches:
-            for key, band, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("key", "band", "i", "j", "rep_id", "side", "mask", "text"))):
-                if now != (key, band, i, j):
-                    if now:
-                        found += compare(held, *now[1:], threshold, k)
-                    now, held = (key, band, i, j), []
-                held.append(tuple(row))
+        for (_, band, i, j), held in groups_in(batches, ("key", "band", "i", "j"), ("id", "side", "mask", "core", "text")):
+            found += compare(held, band, i, j, threshold, k)
             if len(found) > 10_000:
                 yield batch()
                 found = []
-        if now:
-            found += compare(held, *now[1:], threshold, k)
         if found:
             yield batch()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = blocks.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "id bigint, n bigint, other bigint")
-    met = materialise(met, "met")
-    links = met.groupBy("id").agg(F.sum("n").alias("n_links"))
-    label = components(met.select("id", "other"))
-    found = classes.select("digest", "rep_id", "n_copies").join(links, F.col("rep_id") == F.col("id"), "left").drop("id").join(label, F.col("rep_id") == F.col("id"), "left")
-    found = found.select("digest", "rep_id", F.coalesce("label", "rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return hashed.select("doc_id", "digest").join(found, "digest").select("doc_id", "rep_id", "class_id", "n_links", "n_copies")
+    bytes_in_blocks = sized.agg(F.sum(F.col("bytes") * (F.col("others") + F.col("tops")))).first()[0] or 0
+    blocks = blocks.repartition(parts_for(spark, bytes_in_blocks), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    met = materialise(blocks.mapInArrow(lean(meet), "id bigint, n bigint, other bigint"), "met")
+    in_core = core.join(core.groupBy("core").agg((F.count("*") - 1).alias("n")), "core").select("id", "n", F.least("core", "id").alias("other"))
+    of_core = core.select(F.greatest("core", "id").alias("id"), F.least("core", "id").alias("other"))
+    links = met.select("id", "n").union(in_core.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n_links"))
+    label = components(met.select("id", "other").union(of_core))
+    found = every.select("digest", "id", "rep_id", "least", "n_copies").join(links, "id", "left").join(label, "id", "left")
+    found = found.withColumns({"label": F.coalesce("label", "id"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
+    return rows, materialise(found, "found")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
+    """doc_id, rep_id, class_id, n_links, n_copies, class_key for every row of docs (doc_id, text).
+
+    rep_id: the least doc_id with the same text; n_copies: rows with that text; n_links: other texts at least `threshold`
+    similar; class_id: the least doc_id of all texts that links lead to; class_key: a number of the class, which tells
+    classes apart whose ids clash or are null. Words are as in common.WORD, case kept.
+    Null texts are empty ones; texts without words are no one's neighbours but each other's copies if equal. A text of fewer
+    than k words is one shingle. A null doc_id counts after all others, a repeated one like any; repeated rows
+    are copies. Long texts count whole. Other columns of docs are not looked at. An empty table gives an empty result.
+    """
+    rows, found = classes_of(docs, threshold, k)
+    ids = found.groupBy("label").agg(F.min("rep_id").alias("class_id"))
+    found = found.join(ids, "label").select("digest", "rep_id", "class_id", "n_links", "n_copies", F.col("label").alias("class_key"))
+    return rows.select("doc_id", "digest").join(found, "digest").select("doc_id", "rep_id", "class_id", "n_links", "n_copies", "class_key")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of docs, with all its columns, of each class: that of the least doc_id. Rows without a doc_id stay."""
-    keep = near_duplicates(docs, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.filter("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of docs, with all its columns, of each class: that of the least doc_id, nulls last; of several rows with that
+    id any one. Nulls, empty and long texts and empty tables are as in `near_duplicates`."""
+    rows, found = classes_of(docs, threshold, SHINGLE, whole=True)
+    keep = found.groupBy("label").agg(F.min("least").alias("least")).select("least.place")
+    return rows.select("place", "row").join(keep, "place", "left_semi").select("row.*")

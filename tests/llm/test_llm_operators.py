@@ -266,25 +266,33 @@ def test_quality_edges(spark, docs, empty):
 
 
 def brute_links(data, threshold=0.8):
+    """For each row: (least id of its text, least id of its class, links, place of the class)."""
+    big = 10**12
     sets = {}
     for k, t, *_ in data:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         n = min(5, len(w))
-        sets.setdefault(t or "", (k, {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()))
-    links = Counter()
-    up = {k: k for k, _ in sets.values()}
+        k = big if k is None else k
+        if (t or "") not in sets:
+            sets[t or ""] = [k, {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()]
+        sets[t or ""][0] = min(k, sets[t or ""][0])
+    links, texts = Counter(), list(sets)
+    up = {t: t for t in texts}
 
     def find(x):
         return x if up[x] == x else find(up[x])
 
-    for (a, x), (b, y) in itertools.combinations(sets.values(), 2):
+    for a, b in itertools.combinations(texts, 2):
+        x, y = sets[a][1], sets[b][1]
         if x and y and len(x & y) >= threshold * len(x | y) - 1e-9:
             links[a] += 1
             links[b] += 1
-            a, b = sorted((find(a), find(b)))
-            up[b] = a
-    rep = {k: sets[t or ""][0] for k, t, *_ in data}
-    return {k: (rep[k], find(rep[k]), links[rep[k]]) for k in rep}
+            up[find(a)] = find(b)
+    least = {}
+    for t in texts:
+        least[find(t)] = min(sets[t][0], least.get(find(t), big))
+    null = lambda k: None if k == big else k
+    return [(k, null(sets[t or ""][0]), null(least[find(t or "")]), links[t or ""], find(t or "")) for k, t, *_ in data]
 
 
 def variants(n, words, seed):
@@ -301,16 +309,50 @@ def test_jaccard_join(spark, docs, empty, monkeypatch):
     texts = variants(60, 240, 11) + variants(20, 30, 12) + variants(5, 8, 13) + [prose(20, 14) + " " + prose(40, 100 + k) for k in range(30)]
     extra = [(1000 + k, t, "en", "s", 0, 1, "s", "w", 2) for k, t in enumerate(texts)]
     d = docs.union(spark.createDataFrame(extra, DOCS))
-    want = brute_links([*rows(), *extra])
-    for side in (1024, 16):  # the second cuts buckets into blocks
+    data = [*rows(), rows()[7], *extra]
+    want = brute_links(data)
+    for side, hot in ((1024, 256), (16, 256), (16, 8)):  # the second cuts buckets into blocks, the third gives them pivots
         monkeypatch.setattr(jaccard, "SIDE", side)
+        monkeypatch.setattr(jaccard, "HOT", hot)
         out = jaccard.near_duplicates(d).collect()
-        assert len(out) == d.count()
-        assert {r["doc_id"]: (r["rep_id"], r["class_id"], r["n_links"]) for r in out} == want
-    assert max(v[2] for v in want.values()) > 20
+        assert Counter((r["doc_id"], r["rep_id"], r["class_id"], r["n_links"]) for r in out) == Counter(x[:4] for x in want)
+    assert max(x[3] for x in want) > 20
     one = jaccard.keep_one(d)
-    assert sorted(r["doc_id"] for r in one.collect()) == sorted(k for k, v in want.items() if v[1] == k) and one.columns == d.columns
-    assert jaccard.near_duplicates(empty).count() == 0
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted({x[2] for x in want}) and one.columns == d.columns
+    assert jaccard.near_duplicates(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
+
+
+def test_jaccard_join_with_clashing_and_null_ids(spark):
+    a, b = ([prose(200, seed) + end for end in ("", " once", " twice")] for seed in (21, 22))
+    data = [(1, a[0]), (1, b[0]), (2, a[1]), (3, b[1]), (None, a[2]), (None, prose(50, 23)), (None, prose(50, 23)), (5, prose(60, 24)), (5, prose(60, 24)), (None, None)]
+    d = spark.createDataFrame([(*x, "i", 0.5) for x in data], "doc_id bigint, text string, __id string, place double")
+    out = jaccard.near_duplicates(d).collect()
+    want = brute_links(data)
+    assert Counter((r["doc_id"], r["rep_id"], r["class_id"], r["n_links"]) for r in out) == Counter(x[:4] for x in want)
+    assert len({r["class_key"] for r in out}) == len({x[4] for x in want})
+    one = jaccard.keep_one(d)
+    assert one.columns == d.columns
+    kept = [(r["doc_id"], r["text"]) for r in one.collect()]
+    assert sorted(kept, key=str) == sorted([data[0], data[1], data[5], data[7], data[9]], key=str)
+
+
+def test_a_core_is_counted_not_compared(spark, monkeypatch):
+    base, r = prose(300, 31).split(" "), random.Random(31)
+    near = [" ".join([*base[:i], "x", *base[i + 1 : j], "y", *base[j + 1 :]]) for i, j in (sorted(r.sample(range(300), 2)) for _ in range(400))]
+    data = list(enumerate([" ".join(base), *near, prose(200, 32)]))
+    want = brute_links(data)
+    compared = spark.sparkContext.accumulator(0)
+    plain = jaccard.compare
+
+    def counted(rows, *rest):
+        compared.add(len(rows))
+        return plain(rows, *rest)
+
+    monkeypatch.setattr(jaccard, "compare", counted)
+    monkeypatch.setattr(jaccard, "SIDE", 64)
+    out = jaccard.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert Counter((r["doc_id"], r["rep_id"], r["class_id"], r["n_links"]) for r in out) == Counter(x[:4] for x in want)
+    assert compared.value < 400  # 32 buckets of about 350 texts, each in 7 blocks with the others
 
 
 def test_posterior_bound():
