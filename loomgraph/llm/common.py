@@ -65,6 +65,11 @@ def parts_for(spark: SparkSession, size: int, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes that df reads, as the files' sizes tell; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all machines see; where unset, one of our own if all is on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

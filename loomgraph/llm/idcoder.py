@@ -1,13 +1,14 @@
 """Token-id output: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
 A block's ids are cut into lanes of equal length that are coded in step, so each operation is one on an array. The lanes
-share one model, which learns after each step: order-2 and order-1 contexts each predict the id that last followed them;
-the chance of "as order 2 says", "as order 1 says" and "neither" is learned for each state of confidence of the two;
-for neither, an adaptive order-0 distribution over all ids is used. Each lane has its own range coder with carries.
+share one model, which learns after each step. Orders 2 and 1 each predict the id that last followed their context, order 0
+has an adaptive distribution over all ids. The three are mixed: an id's probability is the sum of what each order gives it
+times the order's weight, which is learned for each state of confidence of orders 2 and 1. That one distribution drives
+the arithmetic coding. Each lane has its own range coder with carries.
 
 Block:  u32 tokens, u32 lanes, u32 crc32 of the ids as little-endian u32, u32 bytes of body; body: u32 words of each
         lane, then the lanes' 32-bit words. A block is decoded by itself; a wrong checksum raises ValueError.
-Record: b"LGTK0002", u32 documents, u32 blocks, u32 bytes of table; the table, deflated: i64 doc_id of each document,
+Record: b"LGTK0003", u32 documents, u32 blocks, u32 bytes of table; the table, deflated: i64 doc_id of each document,
         u32 ids of each, u8 whether the doc_id is null; then the blocks.
 File:   a Parquet table of records (part, record, n_docs, n_tokens, payload), ascending doc_id over part and record.
 """
@@ -26,42 +27,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_of
-from .tokens import default_path, load
+from .common import lean, materialise, parts_for, plan_bytes, small_batches, text_of
+from .tokens import default_path, load, rules_known
 
-MAGIC = b"LGTK0002"
+MAGIC = b"LGTK0003"
 VOCABULARY = 49_408
 END = 2
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 LANES, LANE = 4096, 256
 #: Ids that a record holds before it is closed at the end of a document.
-RECORD = 1 << 22
+RECORD = 1 << 21
 HASH_BITS = 18
 REFRESH = 16
 GAIN = 32
-#: Lengths of the three cases add up to 2 ** CASES, those of all ids to 2 ** ALL at most. A range of 2 ** 32 or more keeps
-#: 2 ** (32 - CASES - ALL) after a step at least, so that one 32-bit word, put out where it is under 2 ** 32, restores it.
-CASES, ALL = 10, 20
-UCASES, UALL = np.uint64(CASES), np.uint64(ALL)
+#: The weights of the three orders add up to 2 ** WEIGHTS, the lengths of all ids in order 0 to 2 ** ALL at most. A range of
+#: 2 ** 32 or more keeps 2 ** (32 - WEIGHTS - ALL) after a step at least, so that one 32-bit word, put out where it is under
+#: 2 ** 32, restores it.
+WEIGHTS, ALL = 10, 20
+SCALE, UALL = np.uint64(WEIGHTS + ALL), np.uint64(ALL)
+MOST = (1 << WEIGHTS + ALL) - 1
 BOT, LOW32 = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-U0, U1, U32 = np.uint64(0), np.uint64(1), np.uint64(32)
+U0, U32 = np.uint64(0), np.uint64(32)
 PIECES_KEPT = 300_000
-#: Characters of texts that are cut into pieces together, and new pieces that the library encodes together.
-AT_ONCE, NEW_AT_ONCE = 4 << 20, 20_000
+#: Characters of texts that are cut into pieces together, and new pieces that the library gets as one text.
+AT_ONCE, NEW_AT_ONCE = 4 << 20, 500
 #: Characters, in lower case or not, and pieces for which the tokenizer file's rules are these.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
 NONE = re.compile("(?!)")
 NOT_LETTERS = "'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾ \t\n\r]+"
-EXPECTED = [
-    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
-    {
-        "type": "Sequence",
-        "pretokenizers": [
-            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
-            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-        ],
-    },
-]
 
 
 class Model:
@@ -74,7 +67,7 @@ class Model:
         self.count = np.ones(vocabulary, np.int64)
         # context -> id << 3 | how often in a row it followed, 7 at most; 0: none yet
         self.one, self.two = np.zeros(vocabulary + 1, np.int32), np.zeros(1 << HASH_BITS, np.int32)
-        self.mix = np.full((128, 4), 8, np.int64)  # by confidences: how often order 2, order 1, neither was right
+        self.mix = np.full((128, 4), 8, np.int64)  # by state of confidence: how often order 2, only order 1, neither was right
         self.a = np.full(lanes, vocabulary, np.int64)  # last id of each lane, and the one before
         self.b = np.full(lanes, vocabulary, np.int64)
         self.waiting: list[np.ndarray] = []
@@ -95,11 +88,9 @@ class Model:
             n = np.bitwise_count(self.bits).astype(np.int64)
             self.before = np.cumsum(n) - n - 1
         m = self.mix[:, :3]
-        f = m * ((1 << CASES) - 3) // m.sum(axis=1, keepdims=True) + 1
-        two, both = f[:, 0], f[:, 0] + f[:, 1]
-        rest = (1 << CASES) - both
-        self.cases = np.stack([two, two << 32 | f[:, 1], both << 32 | rest, rest], axis=1).astype(np.uint64).ravel()
-        self.limits = (both << 32 | two).astype(np.uint64)
+        w = (m * ((1 << WEIGHTS) - 3) // m.sum(axis=1, keepdims=True) + 1).astype(np.uint64)
+        self.w2, self.w1 = w[:, 0] << UALL, w[:, 1] << UALL  # what is given to the one id that the order predicts
+        self.w0 = np.uint64(1 << WEIGHTS) - w[:, 0] - w[:, 1]
 
     def id_at(self, v: np.ndarray) -> np.ndarray:
         w = v >> 6
@@ -114,12 +105,29 @@ class Model:
         self.p2, self.p1 = self.e2 >> 3, self.e1 >> 3
         self.state = ((self.e2 & 7) << 3 | self.e1 & 7 | (self.p1 == self.p2).astype(np.int32) << 6).astype(np.int64)
 
-    def learn(self, ids: np.ndarray, key: np.ndarray) -> None:
-        """ids: what came (i64). key: state << 2 | case."""
+    def interval(self, x: np.ndarray, w2: np.ndarray, w1: np.ndarray, w0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of x in the mixture, of 2 ** SCALE."""
+        part = self.ids[x]
+        return w0 * (part >> U32) + w2 * (self.p2 < x) + w1 * (self.p1 < x), w0 * (part & LOW32) + w2 * (self.p2 == x) + w1 * (self.p1 == x)
+
+    def id_in(self, t: np.ndarray, w2: np.ndarray, w1: np.ndarray, w0: np.ndarray) -> np.ndarray:
+        """The id whose interval in the mixture holds t."""
+        one, two = self.ids[self.p1], self.ids[self.p2]
+        from1, from2 = w0 * (one >> U32) + w2 * (self.p2 < self.p1), w0 * (two >> U32) + w1 * (self.p1 < self.p2)
+        same = self.p1 == self.p2
+        to1, to2 = from1 + w0 * (one & LOW32) + w1 + w2 * same, from2 + w0 * (two & LOW32) + w2 + w1 * same
+        less = w1 * (t >= to1) + w2 * (t >= to2)
+        v = ((t - less).astype(np.float64) / w0.astype(np.float64)).astype(np.int64)  # both are exact, under 2 ** 30
+        return np.where((t >= from2) & (t < to2), self.p2, np.where((t >= from1) & (t < to1), self.p1, self.id_at(np.minimum(v, (1 << ALL) - 1))))
+
+    def learn(self, ids: np.ndarray) -> None:
+        """ids: what came (i64)."""
         n, x = len(ids), ids.astype(np.int32)
         first, a = x << 3 | 1, self.a[:n]
-        self.one[a] = np.where(self.p1 == x, self.e1 + ((self.e1 & 7) < 7), first)
-        self.two[self.slot] = np.where(self.p2 == x, self.e2 + ((self.e2 & 7) < 7), first)
+        hit1, hit2 = self.p1 == x, self.p2 == x
+        self.one[a] = np.where(hit1, self.e1 + ((self.e1 & 7) < 7), first)
+        self.two[self.slot] = np.where(hit2, self.e2 + ((self.e2 & 7) < 7), first)
+        key = self.state << 2 | np.where(hit2, 0, np.where(hit1, 1, 2))
         self.mix += np.bincount(key, minlength=512).reshape(128, 4) * 4
         self.waiting.append(ids)
         self.b[:n] = a
@@ -162,17 +170,10 @@ def encode_block(ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
         k = lanes if s < steps - 1 else full
         x = columns[s, :k]
         model.predict(k)
-        case = np.where(model.p2 == x, 0, np.where(model.p1 == x, 1, 2))
-        key = model.state << 2 | case
-        part = model.cases[key]
-        r = rng[:k] >> UCASES
-        up = r * (part >> U32)
-        r *= part & LOW32
-        neither = case == 2
-        part = np.where(neither, model.ids[x], U1)
-        r >>= np.where(neither, UALL, U0)
-        up += r * (part >> U32)
-        r *= part & LOW32
+        start, length = model.interval(x, model.w2[model.state], model.w1[model.state], model.w0[model.state])
+        r = rng[:k] >> SCALE
+        up = r * start
+        r *= length
         lo = low[:k]
         lo += up
         c = at[np.flatnonzero(lo < up)]
@@ -188,7 +189,7 @@ def encode_block(ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
             lo[w] = top << U32
             r[w] <<= U32
         rng[:k] = r
-        model.learn(x, key)
+        model.learn(x)
     out[at], out[at + 1] = (low >> U32).astype(np.uint32), (low & LOW32).astype(np.uint32)
     filled = at + 2 - base
     body = filled.astype("<u4").tobytes() + out.reshape(lanes, width)[np.arange(width)[None, :] < filled[:, None]].astype("<u4").tobytes()
@@ -219,24 +220,15 @@ def decode_block(data: bytes, at: int = 0, vocabulary: int = VOCABULARY) -> tupl
         for s in range(steps):
             k = lanes if s < steps - 1 else full
             model.predict(k)
-            r, d, limit = rng[:k] >> UCASES, above[:k], model.limits[model.state]
-            two, neither = d < r * (limit & LOW32), d >= r * (limit >> U32)
-            key = model.state << 2 | np.where(neither, 2, np.where(two, 0, 1))
-            part = model.cases[key]
-            d -= r * (part >> U32)
-            r *= part & LOW32
-            r >>= np.where(neither, UALL, U0)
-            v = np.minimum(d.astype(np.float64) / r.astype(np.float64), (1 << ALL) - 1).astype(np.int64)
-            y = model.id_at(v)
-            part = np.where(neither, model.ids[y], U1)
-            rest = d - r * (part >> U32)
-            length = r * (part & LOW32)
-            if len(w := np.flatnonzero(rest >= length)):  # the floating-point quotient was off by one
-                w = w[neither[w]]
-                y[w] = model.id_at(np.minimum(d[w] // r[w], np.uint64((1 << ALL) - 1)).astype(np.int64))
-                part = model.ids[y[w]]
-                rest[w], length[w] = d[w] - r[w] * (part >> U32), r[w] * (part & LOW32)
-            x = np.where(neither, y, np.where(two, model.p2, model.p1))
+            r, d = rng[:k] >> SCALE, above[:k]
+            w2, w1, w0 = model.w2[model.state], model.w1[model.state], model.w0[model.state]
+            t = np.minimum(d.astype(np.float64) / r.astype(np.float64), MOST).astype(np.uint64)
+            if len(w := np.flatnonzero(d - r * t >= r)):  # the floating-point quotient was off by one, or the end was met
+                t[w] = np.minimum(d[w] // r[w], np.uint64(MOST))
+            x = model.id_in(t, w2, w1, w0)
+            start, length = model.interval(x, w2, w1, w0)
+            rest = d - r * start
+            length *= r
             if len(w := np.flatnonzero(length < BOT)):
                 p = ptr[w]
                 rest[w] = rest[w] << U32 | words[np.minimum(p, last)]
@@ -244,7 +236,7 @@ def decode_block(data: bytes, at: int = 0, vocabulary: int = VOCABULARY) -> tupl
                 length[w] <<= U32
             above[:k], rng[:k] = rest, length
             columns[s, :k] = x
-            model.learn(x, key)
+            model.learn(x)
         rows = columns.T
         ids[: full * steps] = rows[:full].ravel()
         ids[full * steps :] = rows[full:, : steps - 1].ravel()
@@ -299,16 +291,16 @@ class Pieces:
     For texts of PLAIN characters the file's normaliser (NFC, white space, lower case) does no more than lower case, and
     its splitter cuts at white space and before and after NOT_LETTERS. Pieces met before are looked up; the library's model
     encodes the new ones together, as words of one text, and each ends at the id that ends a word. Any other text, one that
-    could hold an added token, and every text of a tokenizer of another build than EXPECTED, goes to the library whole.
+    could hold an added token, and every text of a tokenizer with rules other than tokens.EXPECTED, goes to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole_texts: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = load(path)
         config = json.loads(self.tok.to_str())
         suffix = config["model"].get("end_of_word_suffix")
-        self.plain = PLAIN if bool(suffix) and config["model"]["type"] == "BPE" and [config["normalizer"], config["pre_tokenizer"]] == EXPECTED and all(t["content"].startswith("<|") for t in config["added_tokens"]) else NONE
+        self.plain = PLAIN if not whole_texts and bool(suffix) and config["model"]["type"] == "BPE" and rules_known(path) and all(t["content"].startswith("<|") for t in config["added_tokens"]) else NONE
         self.words = Tokenizer(self.tok.model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
@@ -320,7 +312,8 @@ class Pieces:
         self.starts, self.sizes, self.store = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.int32)
 
     def add(self, new: list[str]) -> None:
-        ids = np.array(self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int32)
+        some = [" ".join(new[k : k + NEW_AT_ONCE]) for k in range(0, len(new), NEW_AT_ONCE)]
+        ids = np.array([i for e in self.words.encode_batch_fast(some, add_special_tokens=False) for i in e.ids], np.int32)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(new):
             raise ValueError("pieces and ends of words don't match")
@@ -338,8 +331,7 @@ class Pieces:
         parts = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, NOT_LETTERS, r" \0 "))
         pieces = parts.flatten().dictionary_encode()
         number = np.array([self.known[p] for p in pieces.dictionary.to_numpy(zero_copy_only=False)], np.int64)
-        for k in range(0, len(self.known.new), NEW_AT_ONCE):
-            self.add(self.known.new[k : k + NEW_AT_ONCE])
+        self.add(self.known.new)
         self.known.new = []
         number = number[pieces.indices.to_numpy()]
         size = self.sizes[number]
@@ -364,10 +356,12 @@ def by_bytes(texts: list[str], most: int = AT_ONCE) -> Iterator[tuple[int, int]]
         yield first, len(texts)
 
 
-def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None) -> DataFrame:
+def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None, whole_texts: bool = False) -> DataFrame:
     """Write the ids of docs (doc_id, text) in the format above, to `at` or the shared folder, and read the file back.
 
-    A null text has the end id only. Rows are ordered by doc_id, then by text, null ids first.
+    A null or empty text has the end id only. Rows are ordered by doc_id, null ids first, then by a hash of the text. Repeated
+    ids and rows are each written, an empty table gives no records, other columns of docs are not looked at. Long texts are
+    written whole, over as many blocks as they need. whole_texts: give the library each text as it is, not its pieces.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -376,7 +370,7 @@ def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, part, record = Pieces(path), TaskContext.get().partitionId(), 0
+        ids_of, part, record = Pieces(path, whole_texts), TaskContext.get().partitionId(), 0
         doc_ids, ids, size = [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -395,10 +389,11 @@ def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None) -
         if ids:
             yield close()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = text_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    records = rows.mapInArrow(run, "part int, record int, n_docs bigint, n_tokens bigint, payload binary")
+    rows = text_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    keys = ["doc_id", "h", "n"]  # rows with the same id and text are alike: a number parts them
+    rows = rows.withColumns({"h": F.xxhash64("text"), "n": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(parts_for(spark, plan_bytes(docs)), *keys).sortWithinPartitions(*keys).drop("h", "n")
+    records = rows.mapInArrow(lean(run), "part int, record int, n_docs bigint, n_tokens bigint, payload binary")
     if at:
         records.write.parquet(at)
         return spark.read.schema(records.schema).parquet(at)
@@ -406,7 +401,7 @@ def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None) -
 
 
 def read_ids(records: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document in files that `write_ids` wrote.
+    """doc_id, start, n_tokens, ids_crc32 of each document in files that `write_ids` wrote; no rows if they hold none.
 
     start counts the ids of all documents before it: sums of parts (as many as tasks wrote) go to all tasks; within a
     part a window adds up its records.
@@ -432,4 +427,4 @@ def read_ids(records: DataFrame) -> DataFrame:
 
     # a row of `at` for each record, of some millions of ids: small beside the payloads, which stay where they were read
     joined = records.select("part", "record", "payload").join(at.hint("broadcast") if len(parts) <= 10_000 else at, ["part", "record"])
-    return joined.select("first", "payload").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return joined.select("first", "payload").mapInArrow(lean(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -1,30 +1,48 @@
 """Token counts of whole texts, huge ones by overlap resynchronisation.
 
 A text of over CHUNK characters is encoded in chunks that overlap. Two neighbours are spliced at a boundary in their
-overlap that is proven stable: both encodings have the same tokens on either side of it at the same offsets, and an
-ASCII white-space character stands there outside any token, which no token, merge or normalisation of this kind of
-tokenizer crosses. If an overlap holds no such place it is widened, at last to the whole chunk.
+overlap that is proven stable: both encodings have the same tokens on either side of it at the same offsets, and the
+splitter of the tokenizer can't but cut there, whatever stands further off (`boundaries`). A chunk goes on to such a place.
+Where the encodings don't agree the overlap is doubled, at last the chunk: the time stays in proportion to the text.
+
+The rules of `boundaries` hold for a tokenizer whose file has the normaliser and the splitter in EXPECTED; the texts of any
+other go to the library whole, as those up to CHUNK do.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import lean, small_batches, text_of
 
 CHUNK = 32_768
 OVERLAP = 512
 #: Tokens on each side of a splice that must agree.
 AGREE = 4
-#: Characters given to the library at once.
-AT_ONCE = 1 << 20
+#: Characters given to the library at once, and those looked at on each side of a boundary for normalisation.
+AT_ONCE, AROUND = 1 << 20, 16
 LIMIT = 2048
 SPACE = frozenset(" \t\n\r\x0b\x0c")
+#: The rules of the tokenizer file for which `boundaries` is proven.
+EXPECTED = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
 
 
 @lru_cache(maxsize=4)
@@ -45,66 +63,119 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(tok, text: str, start: int) -> list[tuple[int, int, int]]:
-    """(start, end, id) of each token; offsets are those in the whole text."""
-    e = tok.encode(text, add_special_tokens=False)
-    return [(a + start, b + start, i) for (a, b), i in zip(e.offsets, e.ids)]
+@lru_cache(maxsize=4)
+def rules_known(path: str) -> bool:
+    config = json.loads(load(path).to_str())
+    return [config["normalizer"], config["pre_tokenizer"]] == EXPECTED
+
+
+def kind(c: str) -> str:
+    """L, N or O as the splitter sees the character, S if it is ASCII white space, ? where normalisation could change that."""
+    if c in SPACE:
+        return "S"
+    if unicodedata.combining(c) or not unicodedata.is_normalized("NFC", c) or len(c.lower()) > 1:
+        return "?"
+    category, low = unicodedata.category(c)[0], unicodedata.category(c.lower())[0]
+    return "?" if category in "MZ" or category == "C" or category != low else category if category in "LN" else "O"
+
 
+def boundaries(text: str) -> np.ndarray:
+    """The places before which the splitter can't but cut, whatever stands further off.
 
-def splice(text: str, left: list, right: list, lo: int, hi: int) -> tuple[int, int] | None:
-    """(tokens of left to keep, tokens of right to skip) at a stable boundary in text[lo:hi], the middlemost."""
-    at_right = {t[0]: k for k, t in enumerate(right)}
-    first = next((k for k in range(len(left) - 1, -1, -1) if left[k][0] < lo), -1) + 1
-    places = []
-    for k in range(max(first, 1), len(left)):
-        here = left[k][0]
-        if here >= hi:
-            break
-        j = at_right.get(here)
-        if j is None or j < AGREE or left[k - AGREE : k + AGREE] != right[j - AGREE : j + AGREE] or k + AGREE > len(left):
+    White space is in no match. A match that holds a digit holds nothing else. One with a letter holds only letters,
+    but for an apostrophe before it. So a cut stands beside white space and digits, after letters, and before letters
+    if not after an apostrophe. Places beside characters that normalisation may change are left out.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    seen, at = np.unique(codes, return_inverse=True)
+    kinds = np.array([ord(kind(chr(c))) for c in seen.tolist()], np.uint8)[at]
+    left, right = kinds[:-1], kinds[1:]
+    space, digit, letter, other, unsure = map(ord, "SNLO?")
+    cut = (left == space) | (left == digit) | (right == digit) | (left == letter) & (right == other)
+    cut |= (left == other) & (right == letter) & ~np.isin(codes[:-1], [ord(c) for c in "'<|"])
+    return np.flatnonzero(cut & (right != space) & (left != unsure) & (right != unsure)) + 1
+
+
+def apart(text: str, at: int) -> bool:
+    """Whether the text around is normalised as its two halves are: nothing is composed across text[at]."""
+    a, b = text[max(0, at - AROUND) : at], text[at : at + AROUND]
+    return unicodedata.normalize("NFC", a + b) == unicodedata.normalize("NFC", a) + unicodedata.normalize("NFC", b)
+
+
+class Piece:
+    """An encoding of text[start:end], of which tokens are asked for by number; offsets are those in the whole text."""
+
+    def __init__(self, tok, text: str, start: int, end: int):
+        self.start, self.end, self.encoding = start, end, tok.encode(text[start:end], add_special_tokens=False)
+        self.first, self.size = 0, len(self.encoding)
+
+    def token(self, k: int) -> tuple[int, int] | None:
+        span = self.encoding.token_to_chars(k) if 0 <= k < self.size else None
+        return span and (span[0] + self.start, span[1] + self.start)
+
+    def at(self, place: int) -> int | None:
+        """The token that begins at this character."""
+        k = self.encoding.char_to_token(place - self.start)
+        while k and (span := self.token(k - 1)) and span[0] == place:  # several tokens of one character
+            k -= 1
+        return k if k is not None and self.token(k)[0] == place else None
+
+
+def splice(text: str, left: Piece, right: Piece, places: np.ndarray) -> tuple[int, int] | None:
+    """(tokens of left to keep, tokens of right to skip) at a stable boundary in the overlap, the first from its middle on."""
+    inside = places[np.searchsorted(places, right.start, "right") : np.searchsorted(places, left.end)]
+    if not len(inside):
+        return None
+    ids_l, ids_r = left.encoding.ids, right.encoding.ids
+    for place in inside[np.argsort(np.abs(inside - (right.start + left.end) // 2), kind="stable")].tolist():
+        k, j = left.at(place), right.at(place)
+        if k is None or j is None or k - AGREE < left.first or j < AGREE or k + AGREE > left.size or j + AGREE > right.size:
             continue
-        if left[k - 1][1] < here and text[here - 1] in SPACE:
-            places.append((abs(here - (lo + hi) // 2), k, j))
-    return min(places)[1:] if places else None
+        if all(left.token(k + d) == right.token(j + d) and ids_l[k + d] == ids_r[j + d] for d in range(-AGREE, AGREE)) and left.token(k - 1)[1] <= place and apart(text, place):
+            return k, j
+    return None
 
 
 def encode_long(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """The ids of the whole text, encoded in chunks."""
-    done: list[tuple[int, int, int]] = []
-    start, end = 0, min(chunk, len(text))
-    left = encode(tok, text[start:end], start)
-    while end < len(text):
-        width = overlap
+    """The ids of the whole text, encoded in chunks. The tokenizer's rules must be EXPECTED."""
+    places = boundaries(text)
+
+    def upto(end: int) -> int:
+        """Where a chunk ends: at `end`, or so far behind the next boundary that this stands well within the overlap."""
+        k = int(np.searchsorted(places, end - overlap * 3 // 4))
+        return min(len(text), max(end, int(places[k]) + overlap // 2)) if k < len(places) else len(text)
+
+    done: list[int] = []
+    left, size = Piece(tok, text, 0, upto(chunk)), chunk
+    while left.end < len(text):
+        width, cut, floor = overlap, None, left.token(left.first)[0] if left.first else left.start
         while True:
-            lo = max(start, end - width)
-            far = min(len(text), end + chunk)
-            right = encode(tok, text[lo:far], lo)
-            cut = splice(text, left, right, lo, end)
-            if cut or lo == start:
+            lo = max(floor, left.end - width)
+            right = Piece(tok, text, lo, upto(left.end + size))
+            if (cut := splice(text, left, right, places)) or lo == floor:
                 break
             width *= 2
         if cut:
-            done += left[: cut[0]]
-            left = right[cut[1] :]
-            start = left[0][0] if left else lo
-        else:  # no stable place in the whole chunk: it grows
-            left = encode(tok, text[start:far], start)
-        end = far
-    return [t[2] for t in done + left]
+            done += left.encoding.ids[left.first : cut[0]]
+            left, left.first, size = right, cut[1], chunk
+        else:  # nothing in all that is left of the chunk agrees: it grows
+            size = 2 * max(size, left.end - floor)
+            left = Piece(tok, text, floor, upto(floor + size))
+    return done + left.encoding.ids[left.first :]
 
 
-def counts(tok, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+def counts(tok, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP, known: bool = True) -> list[int]:
+    """Tokens of each text. known: the tokenizer's rules are EXPECTED."""
     out = [0] * len(texts)
     batch: list[int] = []
     size = 0
-    fast = getattr(tok, "encode_batch_fast", tok.encode_batch)
 
     def flush() -> None:
-        for k, e in zip(batch, fast([texts[k] for k in batch], add_special_tokens=False)):
-            out[k] = len(e.ids)
+        for k, e in zip(batch, tok.encode_batch_fast([texts[k] for k in batch], add_special_tokens=False)):
+            out[k] = len(e)
 
     for k, t in enumerate(texts):
-        if len(t) > chunk:
+        if len(t) > chunk and known:
             out[k] = len(encode_long(tok, t, chunk, overlap))
             continue
         batch.append(k)
@@ -119,17 +190,19 @@ def counts(tok, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) ->
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs (doc_id, text), as the library counts the whole text.
 
-    A null text counts as an empty one: no bytes, no tokens. Repeated rows are each counted. Nothing is shuffled.
+    A null text counts as an empty one: no bytes, no tokens. A null doc_id stays null. Repeated rows are each counted, an
+    empty table gives an empty result, and other columns of docs are not looked at. Very long texts are counted whole, in
+    chunks: what the library holds at once is bounded, but for a run of characters without any stable boundary.
+    Nothing is shuffled.
     """
     small_batches(docs.sparkSession)
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load(path)
+        tok, known = load(path), rules_known(path)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            n = counts(tok, texts, chunk, overlap)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            n = counts(tok, b.column("text").to_pylist(), chunk, overlap, known)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    rows = text_of(docs, "doc_id")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    rows = text_of(docs, "doc_id").withColumn("n_bytes", F.octet_length("text").cast("long"))
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")

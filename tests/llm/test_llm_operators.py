@@ -4,6 +4,7 @@ import datetime
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -153,9 +154,23 @@ def test_spliced_ids_are_those_of_the_whole():
         t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 900)))
         whole = tok.encode(t, add_special_tokens=False).ids
         assert tokens.encode_long(tok, t, 60, 12) == whole, k
+        assert tokens.counts(tok, [t], 60, 12) == [len(whole)]
         assert idcoder.Pieces(tokens.default_path()).batch([t])[0].tolist() == [*whole, 2]
 
 
+def test_long_texts_of_the_default_sizes():
+    tok, r = tokens.load(tokens.default_path()), random.Random(4)
+    kana = "".join(chr(0x3041 + k) for k in range(80))
+    for characters in (kana, kana + "。、", "ab c", "a", " ", "!?", "12", "'s ", "e\u0301 <|endoftext|>"):
+        t = "".join(r.choices(characters, k=3 * tokens.CHUNK))
+        assert tokens.encode_long(tok, t) == tok.encode(t, add_special_tokens=False).ids
+    t = "".join(r.choices(kana, k=1 << 20))  # nowhere to cut
+    began = time.thread_time()
+    n = len(tok.encode_batch_fast([t], add_special_tokens=False)[0])
+    library = time.thread_time() - began
+    assert tokens.counts(tok, [t]) == [n] and time.thread_time() - began - library < 3 * library
+
+
 def test_pieces_are_those_of_the_library(monkeypatch):
     tok, pieces, r = tokens.load(tokens.default_path()), idcoder.Pieces(tokens.default_path()), random.Random(3)
     assert pieces.plain is idcoder.PLAIN  # the file's rules are those that the quick way mirrors
@@ -182,6 +197,9 @@ def test_coder_round_trip():
         idcoder.decode_block(bytes(data))
     with pytest.raises(ValueError):
         idcoder.encode_block(np.array([50_000]))
+    # what orders 2 and 1 foresee takes next to nothing, random ids no more than their share
+    assert len(idcoder.encode_block(np.arange(200_000) % 7)) < 200_000 / 15
+    assert len(idcoder.encode_block(r.integers(0, 49_408, 200_000))) < 200_000 * 17 / 8
     # a block decodes without those before it
     ids = [r.integers(0, 100, 700), np.array([], np.int64), r.integers(0, 100, 300)]
     assert [x.tolist() for x in idcoder.unpack(idcoder.pack([5, None, 6], ids, block=256))[1]] == [x.tolist() for x in ids]
@@ -190,7 +208,9 @@ def test_coder_round_trip():
 def test_token_ids(docs, empty, tmp_path):
     tok = tokens.load(tokens.default_path())
     text = {r[0]: r[1] or "" for r in rows()}
+    whole = idcoder.read_ids(idcoder.write_ids(docs, whole_texts=True)).collect()
     out = sorted(idcoder.read_ids(idcoder.write_ids(docs, at=f"file://{tmp_path}/ids")).collect(), key=lambda r: r["start"])
+    assert sorted(whole) == sorted(out)
     assert [r["doc_id"] for r in out] == sorted(r[0] for r in docs.select("doc_id").collect())
     start = 0
     for r in out:
