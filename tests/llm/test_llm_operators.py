@@ -105,16 +105,55 @@ def test_tiles_cover_as_much_as_plain_greedy_tiling():
 def test_decontamination(spark, docs, empty):
     item = "the quick brown fox jumps over the lazy dog while seven wizards juggle tiny boxes of glass"
     w = item.split()
-    leaks = [(100, f"before {item.upper()}! after"), (101, " ".join(w[9:]) + ". Other words here. " + " ".join(w[:9])), (102, " ".join(w[:6]) + " only"), (103, None)]
+    leaks = [(100, f"before {item.upper()}! after"), (101, " ".join(w[9:]) + ". Other words here. " + " ".join(w[:9])), (102, " ".join(w[:6]) + " only"), (103, None), (104, "Too, SHORT"), (105, "this is too short")]
     bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (10, ""), (11, prose(30, 900))], "item_id bigint, text string")
     d = docs.select("doc_id", "text").union(spark.createDataFrame(leaks, "doc_id bigint, text string"))
-    assert sorted((r["doc_id"], r["item_id"], r["matched"]) for r in decontamination.contaminated(d, bench).collect()) == [(100, 7, len(w)), (101, 7, len(w))]
-    assert {r[0] for r in d.select("doc_id").collect()} - {r["doc_id"] for r in decontamination.drop_contaminated(d, bench).collect()} == {100, 101}
+    assert sorted((r["doc_id"], r["item_id"], r["matched"]) for r in decontamination.contaminated(d, bench).collect()) == [(100, 7, len(w)), (101, 7, len(w)), (104, 8, 2)]
+    assert {r[0] for r in d.select("doc_id").collect()} - {r["doc_id"] for r in decontamination.drop_contaminated(d, bench).collect()} == {100, 101, 104}
     assert decontamination.contaminated(empty, bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
     assert decontamination.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def plain_tiling(item, doc, k=5):
+    used_i, used_d, total = [False] * len(item), [False] * len(doc), 0
+    while (m := longest_common(item, doc, used_i, used_d))[0] >= k:
+        total += m[0]
+        used_i[m[1] : m[1] + m[0]] = used_d[m[2] : m[2] + m[0]] = [True] * m[0]
+    return total
+
+
+def test_decontamination_against_plain_tiling(spark, monkeypatch):
+    r = random.Random(12)
+    words = VOCABULARY[:40]
+    items = [[r.choice(words) for _ in range(r.randint(1, 30))] for _ in range(12)] + [["x"] * 20]
+    docs = []
+    for _ in range(40):
+        parts = []
+        for _ in range(r.randint(1, 5)):
+            i = r.choice(items)
+            a = r.randrange(len(i))
+            parts += i[a : a + r.randint(1, 20)] + [r.choice(words) for _ in range(r.randint(0, 3))]
+        docs.append(parts)
+    docs += [["x"] * 50, *items[:4]]
+    want = {(d, i, plain_tiling(item, doc) if len(item) >= 5 else len(item)) for d, doc in enumerate(docs) for i, item in enumerate(items) if (2 * plain_tiling(item, doc) >= len(item) if len(item) >= 5 else item == doc)}
+    assert len(want) > 20
+    d = spark.createDataFrame([(k, ", ".join(t), 1) for k, t in enumerate(docs)], "doc_id bigint, text string, item_id int")
+    b = spark.createDataFrame([(k, " ".join(t).upper()) for k, t in enumerate(items)], "item_id bigint, text string")
+    for size in (500_000, 40):  # the second makes several blocks
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", size)
+        assert {(x["doc_id"], x["item_id"], x["matched"]) for x in decontamination.contaminated(d, b).collect()} == want
+        assert {x["doc_id"] for x in decontamination.drop_contaminated(d, b).collect()} == set(range(len(docs))) - {x[0] for x in want}
+
+
+def test_repetitive_texts_are_tiled_soon():
+    began = time.thread_time()
+    r = random.Random(13)
+    for doc, item in (("x " * 200_000, "x " * 500), (" ".join(r.choices("ab", k=20_000)), " ".join(r.choices("ab", k=400)))):
+        assert decontamination.Index([(1, item)], 5).hits(doc, 0.5)[0]["coverage"] > 0.9
+    assert time.thread_time() - began < 5
+
+
 def test_mixing(docs, empty):
     out = mixing.mixed(docs).collect()
     assert len(out) == docs.count() and all(0 < r["p"] <= 1 for r in out) and any(r["source"] == "(none)" for r in out)
