@@ -322,7 +322,8 @@ class Pieces:
         self.starts = np.append(self.starts, starts + len(self.store))
         self.store = np.append(self.store, ids)
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
+    def cut(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Which texts go to the library whole; of the others the numbers of their pieces, and where each text's begin and end."""
         if len(self.known) > PIECES_KEPT:
             self.clear()
         whole = [k for k, t in enumerate(texts) if "<|" in t or not self.plain.fullmatch(t)]
@@ -333,11 +334,24 @@ class Pieces:
         number = np.array([self.known[p] for p in pieces.dictionary.to_numpy(zero_copy_only=False)], np.int64)
         self.add(self.known.new)
         self.known.new = []
-        number = number[pieces.indices.to_numpy()]
+        return whole, number[pieces.indices.to_numpy()], np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Ids of each text."""
+        whole, number, ends = self.cut(texts)
+        upto = np.concatenate([[0], np.cumsum(self.sizes[number])])[ends]
+        out = np.diff(upto).tolist()
+        for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
+            out[k] = len(e)
+        return out
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text and the end id."""
+        whole, number, ends = self.cut(texts)
         size = self.sizes[number]
         upto = np.concatenate([[0], np.cumsum(size)])
         flat = self.store[np.repeat(self.starts[number] - upto[:-1], size) + np.arange(upto[-1])]
-        cuts = upto[np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])]
+        cuts = upto[ends]
         out = [np.append(flat[a:b], np.int32(END)) for a, b in zip(cuts[:-1], cuts[1:])]
         for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
             out[k] = np.array([*e.ids, END], np.int32)

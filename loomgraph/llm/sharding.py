@@ -1,22 +1,27 @@
 """Sharding by vector bin packing.
 
-Groups of equal texts are items with three sizes (bytes, words, rows). Items go, largest first, to the shard with the
+Groups of equal texts are items with three sizes (bytes, tokens of the tokenizer in a file, rows). Items go, largest first, to the shard with the
 highest dot product between the item and the shard's residual capacity, among the shards with room for its bytes.
 
-What is packed is bounded whatever the input: a group of at least 1/(256 * shards) of all bytes is an item of its own,
-of which there can be 256 * shards; smaller groups are dealt by hash into BUNDLES bundles, each an item; a group over
-half a shard is split by a hash of doc_id into pieces of about a quarter of a shard. Only these items reach the driver.
+What is packed is bounded whatever the input, as packing goes item by item: a group of at least 1/(256 * shards) of all
+bytes is an item of its own, of which there can be 256 * shards; smaller groups are dealt by hash into BUNDLES bundles, each
+an item; a group over half a shard is split by a hash of its rows' numbers into pieces of about a quarter of a shard. Only
+these items reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, n_words
+from .common import lean, materialise, small_batches
+from .idcoder import Pieces, by_bytes
+from .tokens import default_path
 
 BUNDLES = 16384
 HEAVY_PER_SHARD = 256
@@ -39,37 +44,53 @@ def pack_vectors(items: np.ndarray, bins: int, weights=(4.0, 1.0, 1.0)) -> np.nd
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs (doc_id, text).
+def shard_documents(docs: DataFrame, shards: int = 40, path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, n_tokens for every row of docs (doc_id, text).
 
     Law `bytes`: the sizes of shards are near equal. Equal texts share a shard unless they alone exceed half of one.
-    A null text has the size 16, as an empty one. Repeated rows each get a slot. An empty table gives an empty result.
+    A null text has the size 16 and no tokens, as an empty one. Null and repeated ids and rows each get a slot; ties go to the
+    shard of the lower number. Long texts count whole; other columns are not looked at. An empty table gives an empty result.
+    path: the file of the tokenizer whose tokens are balanced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
+    path = path or default_path()
+
+    @F.arrow_udf("bigint")
+    def tokens_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def run(batches):
+            pieces = Pieces(path)
+            for b in batches:
+                texts = b.to_pylist()
+                yield pa.array([n for a, z in by_bytes(texts) for n in pieces.counts(texts[a:z])], pa.int64())
+
+        return lean(run)(batches)
+
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = materialise(
         docs.select(
             "doc_id",
             (F.octet_length(text).cast("long") + 16).alias("size"),
             F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-            n_words(text).alias("words"),
+            tokens_of(text).alias("n_tokens"),
             F.md5(text.cast("binary")).alias("key"),
+            F.monotonically_increasing_id().alias("n"),
         ),
         "shard-rows",
     )
-    sums = [F.sum("size").alias("size"), F.sum("words").alias("words"), F.count("*").alias("rows")]
+    sums = [F.sum("size").alias("size"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")]
     groups = slim.groupBy("key").agg(*sums)
     size, rows = slim.agg(F.sum("size"), F.count("*")).first()
     if not rows:
-        return slim.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        return slim.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "n_tokens")
     heavy_at, split_at = max(1, size / (shards * HEAVY_PER_SHARD)), size / (2 * shards)
     heavy = groups.filter(F.col("size") >= heavy_at).collect()  # at most shards * HEAVY_PER_SHARD
     pieces = {r["key"]: math.ceil(r["size"] / (split_at / 2)) if r["size"] > split_at else 1 for r in heavy}
     bundle = F.pmod(F.xxhash64("key"), F.lit(BUNDLES))
-    items = [("g" + r["key"], r["size"], r["words"], r["rows"]) for r in heavy if pieces[r["key"]] == 1]
-    items += [("b" + str(r[0]), *r[1:]) for r in groups.filter(F.col("size") < heavy_at).groupBy(bundle.alias("b")).agg(F.sum("size"), F.sum("words"), F.sum("rows")).collect()]
+    items = [("g" + r["key"], r["size"], r["tokens"], r["rows"]) for r in heavy if pieces[r["key"]] == 1]
+    items += [("b" + str(r[0]), *r[1:]) for r in groups.filter(F.col("size") < heavy_at).groupBy(bundle.alias("b")).agg(F.sum("size"), F.sum("tokens"), F.sum("rows")).collect()]
     known = spark.createDataFrame([*pieces.items()] or [("", 1)], "key string, pieces int")
-    piece = F.concat(F.lit("p"), "key", F.lit("#"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("pieces")).cast("string"))
+    piece = F.concat(F.lit("p"), "key", F.lit("#"), F.pmod(F.xxhash64("n", F.lit(7)), F.col("pieces")).cast("string"))
     if any(n > 1 for n in pieces.values()):  # at most 2 * shards groups are
         split = slim.join(F.broadcast(known.filter("pieces > 1")), "key")
         items += [tuple(r) for r in split.groupBy(piece.alias("item")).agg(*sums).collect()]
@@ -82,13 +103,13 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
         slim.join(F.broadcast(known), "key", "left")
         .withColumn("item", item)
         .join(F.broadcast(homes), "item")
-        .select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run"))
+        .select("doc_id", "size", "text_crc32", "n_tokens", "n", "shard", F.pmod(F.xxhash64("n"), F.lit(runs)).cast("int").alias("run"))
     )
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "run").count().select("shard", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "size"))
+    within = F.row_number().over(Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "size", "n"))
     return (
-        placed.withColumn("n", within)
+        placed.withColumn("at", within)
         .join(F.broadcast(starts), ["shard", "run"])  # shards * runs rows: one for each million documents or so
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("at") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "n_tokens")
     )

@@ -1,6 +1,7 @@
 """Each operator on small tables with nulls, empty and long texts, ties, repeated rows, no rows and extra columns."""
 
 import datetime
+import hashlib
 import itertools
 import random
 import re
@@ -58,13 +59,32 @@ def test_sharding(docs, empty):
 
 
 def test_sharding_splits_a_group_over_half_a_shard(spark):
-    d = spark.createDataFrame([(k, "hot " * 50 if k % 3 else prose(30, k)) for k in range(600)], "doc_id bigint, text string")
+    d = spark.createDataFrame([(7, "hot " * 50) if k % 3 else (k, prose(30, k)) for k in range(600)], "doc_id bigint, text string")
     loads = Counter()
     for r in sharding.shard_documents(d, 8).collect():
         loads[r["shard"]] += r["size"]
     assert len(loads) == 8 and max(loads.values()) < 1.1 * sum(loads.values()) / 8
 
 
+def test_sharding_against_plain_packing(spark):
+    tok = tokens.load(tokens.default_path())
+    data = [(k, prose(random.Random(k % 90).randint(20, 60), k % 90)) for k in range(200)] + [(None, None), (3, "")] * 2
+    size = {t or "": len((t or "").encode()) + 16 for _, t in data}
+    groups = [(n * size[t], n * len(tok.encode(t, add_special_tokens=False).ids), n, t) for t, n in Counter(t or "" for _, t in data).items()]
+    total = [sum(g[c] for g in groups) for c in range(3)]
+    left, where = [[1.0] * 3 for _ in range(4)], {}
+    for g in sorted(groups, key=lambda g: (-g[0], -g[1], hashlib.md5(g[3].encode()).hexdigest())):
+        part = [g[c] / (total[c] / 4) for c in range(3)]
+        scores = [(left[b][0] >= part[0], sum(w * p * x for w, p, x in zip((4, 1, 1), part, left[b])), -b) for b in range(4)]
+        best = -max(scores)[2] if any(x[0] for x in scores) else max(range(4), key=lambda b: (left[b][0], -b))
+        where[g[3]] = best
+        left[best] = [x - p for x, p in zip(left[best], part)]
+    d = spark.createDataFrame([(*x, 7) for x in data], "doc_id bigint, text string, n int")
+    out = sharding.shard_documents(d, 4).collect()
+    assert Counter(r["shard"] for r in out) == Counter(where[t or ""] for _, t in data)
+    assert {(r["doc_id"], r["shard"]) for r in out} == {(k, where[t or ""]) for k, t in data}
+
+
 def test_pack_vectors_balances_all_sizes():
     r = np.random.default_rng(1)
     items = np.stack([r.lognormal(5, 1, 3000), r.lognormal(3, 1, 3000), np.ones(3000)], axis=1)
