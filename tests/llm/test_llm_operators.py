@@ -311,15 +311,77 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <form><p>Subscribe to our letter now.</p><input name=q></form><footer>&copy; 2024 Site. All rights are reserved.</footer></body></html>"""
 
 
+def plain_page(seed):
+    """A page of div, p, ul and a alone, without names, and its main text: paragraphs, short lines and lists between them."""
+    r = random.Random(seed)
+    line = lambda n: " ".join(r.choice(VOCABULARY) for _ in range(n))
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/{k}>{line(2)}</a></li>" for k in range(n)) + "</ul>"
+    body, text = [], []
+    for _ in range(r.randint(3, 7)):
+        if r.random() < 0.7:
+            text.append(line(r.randint(1, 2)))
+            body.append(f"<div>{text[-1]}</div>")
+        text.append(line(r.randint(20, 60)) + ".")
+        body.append(f"<p>{text[-1]}</p>")
+    return f"<body><div>{links(5)}</div><div><div>{''.join(body)}</div></div><div>{links(8)}</div><div>&copy; {line(4)}.</div></body>", text
+
+
+def test_the_cut_decides_where_names_tell_nothing():
+    blocks = turned = 0
+    for seed in range(40):
+        page, want = plain_page(seed)
+        bs = htmlcut.blocks(page)
+        gain, edges = htmlcut.graph(bs)
+        keep = htmlcut.label(gain, edges)
+        assert [b.text for b, k in zip(bs, keep) if k] == want
+        blocks += len(bs)
+        turned += sum((g >= 0) != k for g, k in zip(gain, keep))
+    assert turned > 0.05 * blocks
+
+
+def test_settled_blocks_are_those_of_a_least_cut():
+    r = random.Random(18)
+    for _ in range(300):
+        n = r.randint(1, 9)
+        gain = [r.uniform(-2, 2) for _ in range(n)]
+        edges = [(j, i, r.choice((0.05, 0.3, 1.0))) for i in range(n) for j in range(i) if r.random() < 0.4]
+
+        def cost(x):
+            return sum(max(g, 0) if not k else max(-g, 0) for g, k in zip(gain, x)) + sum(w for u, v, w in edges if x[u] != x[v])
+
+        assert abs(cost(htmlcut.label(gain, edges)) - cost(htmlcut.min_cut(gain, edges))) < 1e-6
+
+
+def test_hostile_pages_take_time_in_proportion():
+    n = 100_000
+    for page in ("<a " * 3 * n, "<div>" * n + "x" + "</div>" * n, "<b>" * n + "<div>" * n + "</b>" * n, "<p title=\"a>Text " * n, "<" * 10 * n, "<!-- " * 2 * n, "<div " * 2 * n, "<script>" * n, "&" * 10 * n, "<li><a href=x>b</a>" * (n // 2)):
+        began = time.thread_time()
+        htmlcut.main_text(page)
+        assert time.thread_time() - began < 5, page[:20]  # of a second or less; the machine may be busy
+
+
+def test_tags_that_are_not_right():
+    for page, want in (
+        ('<p title="a>Text of a page, all of it.', "Text of a page, all of it."),
+        ('<p title="a > b" class=x>Text of a page.<p id=\'y>Another line of it.', "Text of a page. Another line of it."),
+        ("<article><p>Energy <math><mi>E</mi><mo>=</mo>mc</math> is <object>old</object> <svg><text>drawn</text></svg>.</p></article>", "Energy E=mc is old drawn."),
+        ("<html><head><title>T</title><body><p>No end of the head, but text.</p>", "No end of the head, but text."),
+        ("<p>If a < b and c > d, then so be it.</p>", "If a < b and c > d, then so be it."),
+    ):
+        assert htmlcut.main_text(page) == want
+
+
 def test_html_text(spark):
     want = "Head & title First paragraph with many words, and more words. Second one — it is longer and goes on for a while. an item of the list another one of them"
     assert htmlcut.main_text(PAGE) == want
     for odd in (None, "", "  ", "<", "<p", "</p></p>", "<script>", "<!-- never ends", "<b><i></b></i>", "&", "<div" * 50, "<div>" * 3000):
         htmlcut.main_text(odd)
     assert htmlcut.main_text("<body><p>One sentence, of some words, without any article around it.</p></body>").startswith("One")
-    d = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", "")], "page_id bigint, url string, html string")
-    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmlcut.extract(d).collect())
+    long = PAGE.replace("<p>First", "<p>First " + "sentence after sentence. " * 20_000)
+    d = spark.createDataFrame([(1, "u", PAGE, "t", 1), (1, "u", PAGE, "t", 1), (2, None, None, None, 1), (3, "u", "", "", 1), (4, "u", long, "", 1)], "page_id bigint, url string, html string, text string, n_chars int")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmlcut.extract(d).collect() if r["page_id"] < 4)
     assert got == [(1, want, len(want)), (1, want, len(want)), (2, "", 0), (3, "", 0)]
+    assert htmlcut.extract(d.filter("page_id = 4")).first()["n_chars"] == len(want) + len("sentence after sentence. ") * 20_000
     assert htmlcut.extract(d.limit(0)).count() == 0
 
 
