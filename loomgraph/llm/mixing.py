@@ -4,11 +4,14 @@ Documents fall into cells (source, language, topic). The words of the cells are
 sources, languages and topics; a document stays with the probability of its cell, decided by a hash of its id.
 
 Cells are few however many documents there are, and they carry sums. The raking is a chain of window sums over the cell
-table; up to LOCAL_CELLS cells it runs in one partition, so that the chain needs no shuffle.
+table, each within a value of a dimension; up to LOCAL_CELLS cells it runs in one partition, so that the chain needs no
+shuffle. Totals over all cells are one-row aggregates.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +21,13 @@ SWEEPS = 12
 TEMPER = 0.9
 SEED = "mix-1"
 LOCAL_CELLS = 10_000
+#: How far a raked share may be from its target before a warning is given.
+MISS = 0.01
 DIMENSIONS = ("source", "lang", "topic")
 
 
 def topic_of(text: Column, words: Column) -> Column:
-    """A topic from the form of the text; pass another column where documents have a better one."""
+    """A stand-in for a topic, from the form of the text, as these tables have none; pass another column where there is a better one."""
     pipes = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
     low = F.lower(text)
     return (
@@ -54,35 +59,57 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
     whole: p is the factor, at most 1, so that a cell gives up only its words over its target, whatever the others need. Else
     p is the factor over the largest one, as in `mixed_sql`, and the cell with the largest factor sets the size of the result.
     """
-    out = cells.withColumn("weight", F.col("words").cast("double"))
-    everything = Window.partitionBy(F.lit(1))
+    for d, given in (targets or {}).items():
+        if d not in DIMENSIONS or sum(given.values()) > 1 + 1e-9 or min(given.values(), default=0) < 0:
+            raise ValueError(f"targets of {d} aren't shares of a dimension")
+    out = with_total(cells.withColumn("weight", F.col("words").cast("double")), "total", F.sum("words"))
     for d in DIMENSIONS:
-        now = F.sum("weight").over(Window.partitionBy(d)) / F.sum("weight").over(everything)
+        now = F.sum("weight").over(Window.partitionBy(d)) / F.col("total")
         if given := (targets or {}).get(d):
             goal = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])[F.col(d)]
             out = out.withColumn("now", now).withColumn("goal", goal)
-            rest = F.sum(F.when(F.col("goal").isNull(), F.col("weight"))).over(everything) / F.sum("weight").over(everything)
-            out = out.withColumn(f"to_{d}", F.coalesce("goal", F.col("now") * (1 - sum(given.values())) / rest)).drop("now", "goal")
+            out = with_total(out, "rest", F.sum(F.when(F.col("goal").isNull(), F.col("weight"))) / F.max("total"))
+            out = out.withColumn(f"to_{d}", F.coalesce("goal", F.col("now") * (1 - sum(given.values())) / F.col("rest"))).drop("now", "goal", "rest")
         else:  # each cell carries its part of its value's share, so that shares add up over cells
             part = F.when(F.sum("weight").over(Window.partitionBy(d)) > 0, F.col("weight") / F.sum("weight").over(Window.partitionBy(d))).otherwise(0.0)
-            out = out.withColumn("raised", F.pow(now, F.lit(temper))).withColumn("part", part)
-            out = out.withColumn(f"to_{d}", F.col("raised") / F.sum(F.col("raised") * F.col("part")).over(everything)).drop("raised", "part")
-    total = F.sum("words").over(everything)
-    out = out.withColumn("total", total)
+            out = with_total(out.withColumn("raised", F.pow(now, F.lit(temper))).withColumn("part", part), "all_raised", F.sum(F.col("raised") * F.col("part")))
+            out = out.withColumn(f"to_{d}", F.col("raised") / F.col("all_raised")).drop("raised", "part", "all_raised")
     for _ in range(sweeps):
         for d in DIMENSIONS:
             share = F.sum("weight").over(Window.partitionBy(d))
             out = out.withColumn("weight", F.when(share > 0, F.col("weight") * F.col(f"to_{d}") * F.col("total") / share).otherwise(0.0))
     out = out.withColumn("factor", F.when(F.col("words") > 0, F.col("weight") / F.col("words")))
-    p = F.coalesce(F.least("factor", F.lit(1.0)) if whole else F.col("factor") / F.max("factor").over(everything), F.lit(1.0))
-    return out.select(*DIMENSIONS, "words", "weight", "factor", p.alias("p"))
+    out = materialise(out.select(*DIMENSIONS, "words", "weight", "factor", *[f"to_{d}" for d in DIMENSIONS]), "mix-weights")
+    p = F.least("factor", F.lit(1.0)) if whole else F.col("factor") / F.col("most")
+    return with_total(out, "most", F.max("factor")).withColumn("p", F.coalesce(p, F.lit(1.0))).drop("most")
+
+
+def with_total(df: DataFrame, name: str, total: Column) -> DataFrame:
+    return df.crossJoin(F.broadcast(df.agg(total.alias(name))))  # one row
+
+
+def misses(raked: DataFrame, targets: dict[str, dict[str, float]] | None = None, most: float = MISS) -> list[tuple[str, str, float, float]]:
+    """(dimension, value, target, share of the raked weights) where they differ by over `most`: shares that the cells can't
+    meet together, or that need more sweeps; at most 20 for each dimension. A target for a value without cells is one too."""
+    out = []
+    for d in DIMENSIONS:
+        shares = with_total(raked.groupBy(d).agg(F.sum("weight").alias("w"), F.max(f"to_{d}").alias("goal")), "all", F.sum("w"))
+        gap = F.abs(F.col("w") / F.col("all") - F.col("goal"))
+        out += [(d, r[d], r["goal"], r["w"] / r["all"]) for r in shares.filter(gap > most).orderBy(gap.desc(), d).limit(20).collect()]
+        if given := (targets or {}).get(d):
+            found = {r[0] for r in raked.filter(F.col(d).isin(list(given)) & (F.col("words") > 0)).select(d).distinct().collect()}
+            out += [(d, v, x, 0.0) for v, x in given.items() if v not in found and x > most]
+    return out
 
 
 def cell_rates(seen: DataFrame, targets=None, sweeps: int = SWEEPS, temper: float = TEMPER, whole: bool = False) -> DataFrame:
     cells = materialise(seen.groupBy(*DIMENSIONS).agg(F.sum("words").alias("words")), "mix-cells")
     if cells.count() <= LOCAL_CELLS:
         cells = cells.coalesce(1)
-    return materialise(rake(cells, targets, sweeps, temper, whole), "mix-rates")
+    raked = materialise(rake(cells, targets, sweeps, temper, whole), "mix-rates")
+    if missed := misses(raked, targets):
+        warnings.warn(f"target shares that raking has not met: {missed}", stacklevel=3)
+    return raked
 
 
 def chance(doc_id: Column, seed: str = SEED) -> Column:
@@ -101,7 +128,8 @@ def mixed(docs: DataFrame, targets=None, sweeps: int = SWEEPS, temper: float = T
     """doc_id, source, lang, topic, n_words, p and kept for each row of docs (doc_id, text, source, lang).
 
     Rows with a null id stay, as chance decides by id; repeated rows share their fate; an empty
-    table gives an empty result. Empty texts carry no weight: they follow their cell, or stay if it has no words.
+    table gives an empty result. Null and empty texts carry no weight: they follow their cell, or stay if it has no words. Long
+    texts count whole; other columns are not looked at.
     """
     seen = materialise(features(docs), "mix-rows")
     out = with_rates(seen, cell_rates(seen, targets, sweeps, temper), list(DIMENSIONS))
@@ -110,13 +138,14 @@ def mixed(docs: DataFrame, targets=None, sweeps: int = SWEEPS, temper: float = T
 
 
 def mix(docs: DataFrame, targets=None, sweeps: int = SWEEPS, temper: float = TEMPER, seed: str = SEED, whole: bool = False) -> DataFrame:
-    """The rows of docs that stay, with all their columns; each once at most, so that ids stay unique."""
+    """The rows of docs that stay, with all their columns; each once at most, so that ids stay unique. Odd rows are treated as
+    in `mixed`."""
     rates = cell_rates(features(docs), targets, sweeps, temper, whole)
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = ["__source", "__lang", "__topic"]
-    rows = docs.withColumns({"__source": named("source"), "__lang": named("lang"), "__topic": topic_of(text, n_words(text))})
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), named("source").alias("__source"), named("lang").alias("__lang"), topic_of(text, n_words(text)).alias("__topic"))
     out = with_rates(rows, rates, keys)
-    return out.filter(F.coalesce(chance(F.col("doc_id"), seed) < F.col("__p"), F.lit(True))).select(*[out[c] for c in docs.columns])
+    return out.filter(F.coalesce(chance(F.col("row.doc_id"), seed) < F.col("__p"), F.lit(True))).select("row.*")
 
 
 def mixed_sql(sweeps: int = SWEEPS, temper: float = TEMPER, seed: str = SEED) -> str:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import lean, small_batches, text_of
 
 #: Labelled documents that are looked at, chosen by a hash of their id: the bound of what is gathered and broadcast.
 SAMPLE = 4000
@@ -122,7 +123,8 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voters:
     """Learn from at most `sample` labelled documents that aren't held out. Rows without a label or id are passed over; of
-    several labels of one document the least counts. Without labels all scores are 0.5."""
+    several labels of one document the least counts, of several texts of one id that of the least MD5. Without labels all
+    scores are 0.5."""
     chosen = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(sample)
     small_batches(docs.sparkSession)
@@ -131,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voters:
     def vector(texts: pd.Series) -> pd.Series:
         return pd.Series([counts(t) for t in texts])
 
-    rows = text_of(docs, "doc_id").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "quality", vector("text").alias("x")).collect()
+    texts = text_of(docs, "doc_id").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
+    rows = texts.select("doc_id", "quality", vector("text").alias("x")).collect()  # at most `sample`
     rows.sort(key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in rows], np.float32).reshape(len(rows), WIDTH)
     return Voters(x, np.array([r["quality"] for r in rows], np.float32))
@@ -144,19 +147,23 @@ def score_column(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     voters = spark.sparkContext.broadcast(fit(docs, labels, sample))
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(voters.value.scores(texts.tolist()))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return lean(lambda each: (pd.Series(voters.value.scores(texts.tolist())) for texts in each))(batches)
 
     return score
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs (doc_id, text). Null and empty texts get the share of label 1."""
+    """doc_id, held_out, score, predicted for every row of docs (doc_id, text).
+
+    Null and empty texts get the share of label 1. Null ids aren't held out; repeated ids and rows are each scored, by their
+    own texts. Long texts count whole, neighbours at a tie in either order, other columns not at all. An empty table gives an
+    empty result."""
     score = score_column(docs, labels, sample)
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, that the classifier doesn't reject."""
+    """The rows of docs, with all their columns, that the classifier doesn't reject; odd rows are scored as in `classify`."""
     return docs.filter(score_column(docs, labels, sample)("text") >= threshold)

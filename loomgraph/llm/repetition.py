@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, text_of
+from .common import lean, small_batches, text_of
 
 WINDOW = 8
 MIN_WORDS = 8
@@ -146,8 +146,10 @@ def judge(docs: DataFrame, covered: float = COVERED, longest: int = LONGEST) ->
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, covered, longest for every
     row of docs (doc_id, text).
 
-    covered: part of the words in maximal repeats; longest: words of the longest. A null or empty text has no words and
-    fails the base. Repeated rows are each judged. Nothing is shuffled.
+    covered: part of the words in maximal repeats; longest: words of the longest; a text at a limit is kept. Repeats are
+    compared by 64-bit hashes of doubling length. A null or empty text has no words and fails the base. Null ids stay null,
+    repeated rows are each judged, long texts are sorted whole, an empty table gives an empty result, other columns are not
+    looked at. Nothing is shuffled.
     """
     small_batches(docs.sparkSession)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered", "longest"]
@@ -174,4 +176,4 @@ def judge(docs: DataFrame, covered: float = COVERED, longest: int = LONGEST) ->
 
     rows = text_of(docs, "doc_id")
     kinds = [rows.schema["doc_id"].dataType.simpleString(), *["bigint"] * 5, "boolean", "boolean", "double", "bigint"]
-    return rows.mapInArrow(run, ", ".join(f"{a} {b}" for a, b in zip(names, kinds)))
+    return rows.mapInArrow(lean(run), ", ".join(f"{a} {b}" for a, b in zip(names, kinds)))

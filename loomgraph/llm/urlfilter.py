@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Interval rows up to which the list is sent to all tasks, some 100 bytes each; a longer one is joined by key.
 SENT = 100_000
 
@@ -49,20 +51,20 @@ def keys_of(host: Column, segment: Column) -> Column:
 def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, url, fetched, host, verdict (block, allow or none), scope and value that decided, for every row of captures.
 
-    Captures without a host or time have the verdict none. Repeated rows are each returned. Empty tables work.
+    Captures without a host or time have the verdict none, entries without a scope, value, action or date don't count. Null
+    ids stay null, repeated rows are each returned, long URLs are taken whole, other columns are not looked at. Of entries of
+    one moment the strictest holds. Empty tables work. A list over SENT intervals is joined by key; as a key's captures need
+    not meet, Spark can split those of a frequent one.
     """
-    host = host_of(F.col("url"))
-    rows = captures.groupBy("page_id", "url", "fetched").count().withColumn("host", host)
-    keyed = rows.select("page_id", "url", "fetched", F.explode(keys_of(F.col("host"), first_segment(F.col("url")))).alias("k")).select("page_id", "url", "fetched", "k.*")
+    rows = materialise(captures.select("page_id", "url", "fetched", host_of(F.col("url")).alias("host"), F.monotonically_increasing_id().alias("n")), "captures")
+    keyed = rows.select("n", "fetched", F.explode(keys_of(F.col("host"), first_segment(F.col("url")))).alias("k")).select("n", "fetched", "k.*")
     open_at = intervals(entries)
-    if open_at.count() <= SENT:
-        open_at = F.broadcast(open_at)
+    open_at = F.broadcast(open_at) if open_at.count() <= SENT else open_at.hint("merge")
     e = open_at.withColumnsRenamed({"scope": "e_scope", "value": "e_value"})
     active = keyed.join(e, (F.col("scope") == F.col("e_scope")) & (F.col("value") == F.col("e_value")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
-    best = active.groupBy("page_id", "url", "fetched").agg(F.max_by(F.struct("action", "scope", "value"), F.col("rank")).alias("b"))
-    out = rows.alias("r").join(best.alias("d"), F.expr("r.page_id <=> d.page_id AND r.url <=> d.url AND r.fetched <=> d.fetched"), "left")
-    out = out.select("r.page_id", "r.url", "r.fetched", "r.host", F.coalesce("d.b.action", F.lit("none")).alias("verdict"), F.col("d.b.scope").alias("scope"), F.col("d.b.value").alias("value"), F.explode(F.array_repeat(F.lit(0), F.col("r.count").cast("int"))).alias("n"))
-    return out.drop("n")
+    best = active.groupBy("n").agg(F.max_by(F.struct("action", "scope", "value"), F.col("rank")).alias("b"))
+    out = rows.join(best, "n", "left")
+    return out.select("page_id", "url", "fetched", "host", F.coalesce("b.action", F.lit("none")).alias("verdict"), F.col("b.scope").alias("scope"), F.col("b.value").alias("value"))
 
 
 def sample_captures(pages: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import decontamination, htmlcut, idcoder, jaccard, mixing, quality, repetition, sharding, tokens, urlfilter
 
@@ -192,6 +193,19 @@ def test_raking_meets_the_targets(spark):
         for value, share in goal.items():
             assert abs(sum(x["weight"] for x in out if x[dim] == value) / total - share) < 1e-4
     assert max(x["p"] for x in out) == 1
+    raked = mixing.rake(d, targets, sweeps=25)
+    assert mixing.misses(raked, targets) == []
+    assert {x[:2] for x in mixing.misses(mixing.rake(d, targets, sweeps=0), targets)} >= {("source", "a"), ("lang", "en")}
+    assert [x[:3] for x in mixing.misses(raked, {"lang": {"fr": 0.5}})] == [("lang", "fr", 0.5)]
+    for bad in ({"source": {"a": 0.7, "b": 0.5}}, {"colour": {"red": 0.1}}):
+        with pytest.raises(ValueError):
+            mixing.rake(d, bad)
+
+
+def test_mixing_with_clashing_columns(spark, docs):
+    odd = docs.withColumns({"__p": F.lit(1.5), "__source": F.lit("x"), "row": F.lit(3), "words": F.lit(None).cast("string")})
+    kept = mixing.mix(odd)
+    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in mixing.mix(docs).collect())
 
 
 def test_token_counts(docs, empty):
@@ -279,14 +293,16 @@ def test_token_ids(docs, empty, tmp_path):
     assert idcoder.read_ids(idcoder.write_ids(empty)).count() == 0
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     day = datetime.date
     caps = [(1, "http://A.b.com/x/y", day(2023, 1, 5)), (2, "http://a.b.com:80/x", day(2023, 2, 5)), (3, "https://u@a.b.com/q", day(2023, 3, 5)), (4, "http://b.com", day(2023, 1, 5)), (5, None, day(2023, 1, 1)), (6, "nonsense", day(2023, 1, 1)), (7, "http://a.b.com/x", None), (8, "http://notb.com/", day(2023, 1, 5)), (1, "http://A.b.com/x/y", day(2023, 1, 5))]
     log = [("domain", "b.com", "block", day(2023, 1, 1)), ("host", "a.b.com", "allow", day(2023, 1, 5)), ("host", "a.b.com", "drop", day(2023, 2, 20)), ("prefix", "a.b.com/x", "block", day(2023, 2, 1)), ("domain", "b.com", "drop", day(2023, 3, 5)), ("domain", "b.com", "allow", day(2023, 3, 5)), (None, "b.com", "block", day(2023, 1, 1))]
-    c = spark.createDataFrame(caps, "page_id bigint, url string, fetched date")
+    c = spark.createDataFrame([(*x, "h", 5, None) for x in caps], "page_id bigint, url string, fetched date, host string, n int, verdict string")
     e = spark.createDataFrame(log, "scope string, value string, action string, since date")
-    got = Counter((r["page_id"], r["verdict"], r["scope"]) for r in urlfilter.verdicts(c, e).collect())
-    assert got == Counter([(1, "allow", "host"), (1, "allow", "host"), (2, "block", "prefix"), (3, "allow", "domain"), (4, "block", "domain"), (5, "none", None), (6, "none", None), (7, "none", None), (8, "none", None)])
+    for sent in (100_000, 0):  # the second joins by key
+        monkeypatch.setattr(urlfilter, "SENT", sent)
+        got = Counter((r["page_id"], r["verdict"], r["scope"]) for r in urlfilter.verdicts(c, e).collect())
+        assert got == Counter([(1, "allow", "host"), (1, "allow", "host"), (2, "block", "prefix"), (3, "allow", "domain"), (4, "block", "domain"), (5, "none", None), (6, "none", None), (7, "none", None), (8, "none", None)])
     assert urlfilter.verdicts(c, e.limit(0)).filter("verdict <> 'none'").count() == 0 and urlfilter.verdicts(c.limit(0), e).count() == 0
 
 
@@ -396,6 +412,32 @@ def test_quality_on_held_out_labels(spark, sf):
     assert sum(s < 0.3 for s in good) < 0.01 * len(good)
 
 
+def test_quality_against_plain_nearest_neighbours(spark, sf):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    voters = quality.fit(d, labels)
+    known = [r for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    assert len(voters.label) == len({r["doc_id"] for r in known}) and voters.label.sum() == sum(r["quality"] for r in known)
+    texts = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    for r in quality.classify(d, labels).collect():
+        x = quality.counts(texts[r["doc_id"]])
+        if not x.any():
+            assert r["score"] == pytest.approx(voters.prior)
+            continue
+        v = quality.unit(quality.damp(x[None].copy(), voters.idf) @ voters.basis)[0]
+        near = sorted(((sum(a * b for a, b in zip(v.tolist(), w.tolist())), y) for w, y in zip(voters.vectors, voters.label.tolist())), reverse=True)
+        near = [(s, y) for s, y in near if s <= quality.SAME][: quality.NEIGHBOURS]
+        total = sum(max(s, 0) ** quality.POWER for s, _ in near)
+        assert r["score"] == pytest.approx(sum(max(s, 0) ** quality.POWER * y for s, y in near) / total, abs=2e-3)
+
+
+def test_quality_with_repeated_ids_and_long_texts(spark, docs):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    more = spark.createDataFrame([(6, prose(300, 61), None, None, 0, 1, "s", "w", 2), (None, prose(30, 62), None, None, 0, 1, "s", "w", 2), (900, prose(200_000, 63), None, None, 0, 1, "s", "w", 2)], DOCS)
+    both = [sorted((str(r["doc_id"]), r["score"]) for r in quality.classify(x, labels).collect()) for x in (docs.union(more), more.union(docs).repartition(5))]
+    assert [x[0] for x in both[0]] == [x[0] for x in both[1]] and all(abs(a[1] - b[1]) < 1e-3 for a, b in zip(*both))
+    assert sum(x[0] == "6" for x in both[0]) == 2
+
+
 def test_quality_edges(spark, docs, empty):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(3, None, 0), (None, 1, 0), (4, 1, 0)], "doc_id bigint, quality int, toxic int")
     out = quality.classify(docs, labels).collect()
@@ -532,6 +574,21 @@ def test_repetition(docs, empty):
     assert repetition.judge(empty).count() == 0
 
 
+def test_kept_on_both_sides_of_its_limits(spark):
+    free = (f"w{k}" for k in itertools.count())
+    take = lambda n: [next(free) for _ in range(n)]
+
+    def repeated(part, rest):
+        p = take(part)
+        return " ".join(take(rest // 2) + p + take(rest - rest // 2) + p)
+
+    texts = {1: repeated(10, 80), 2: repeated(11, 78), 3: repeated(64, 1000), 4: repeated(65, 1000), 5: " ".join(take(20)), 6: " ".join(take(19)), 7: " ".join(take(60_000))}
+    d = spark.createDataFrame([(k, t, 0.0, "x") for k, t in texts.items()], "doc_id bigint, text string, covered double, kept string")
+    got = {r["doc_id"]: r for r in repetition.judge(d).collect()}
+    assert {k: r["kept"] for k, r in got.items()} == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False, 7: True}
+    assert (got[1]["covered"], got[3]["longest"], got[4]["longest"], got[2]["base_failed"], got[6]["base_failed"]) == (0.2, 64, 65, False, True)
+
+
 def test_repeats_against_brute_force():
     r = random.Random(9)
     texts = [[r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(0, 90))] for _ in range(120)] + [[b"x"] * 40, [], [b"y"]]

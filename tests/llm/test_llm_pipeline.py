@@ -7,11 +7,11 @@ import corpus_pipeline
 from loomgraph.llm import quality
 
 
-def test_stages(spark, sf):
+def test_stages(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, seen = docs.columns, [docs]
     for name, stage in corpus_pipeline.STAGES:
-        at = f"/tmp/loomgraph-test/{re.sub(r'[^a-z0-9]', '-', name)}"
+        at = f"file://{tmp_path}/{re.sub(r'[^a-z0-9]', '-', name)}"
         stage(spark, seen[-1], sf).write.mode("overwrite").parquet(at)
         seen.append(spark.read.parquet(at))
     texts = [{r["doc_id"]: r["text"] for r in d.collect()} for d in seen[:-1]]
