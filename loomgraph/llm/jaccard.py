@@ -281,6 +281,7 @@ def classes_of(docs: DataFrame, threshold: float, k: int, whole: bool = False) -
         core = materialise(cores_of(members, kept, texts, threshold, k), "cores")
     else:
         core = spark.createDataFrame([], "id bigint, core bigint")
+    used = (every, kept, members)
     members = members.join(core, "id", "left").withColumn("core", F.coalesce("core", F.lit(-1)))
     # in each bucket the largest core stands on one side: its texts only meet the others
     parts = members.groupBy("key", "core").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("bytes"))
@@ -292,7 +293,7 @@ def classes_of(docs: DataFrame, threshold: float, k: int, whole: bool = False) -
     in_top = F.coalesce(F.col("core") == F.col("top"), F.lit(False))
     bucket = F.struct("key", "band", "others", "tops", in_top.alias("in_top"))
     of_text = members.join(sized.drop("bytes"), "key").groupBy("id").agg(F.max("core").alias("core"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"), F.collect_list(bucket).alias("buckets"))  # at most one for each band
-    spread = texts.join(of_text, "id").select("id", "core", "mask", "text", F.explode("buckets").alias("b")).select("id", "core", "mask", "text", "b.*").filter("others > 0")
+    spread = texts.join(of_text.hint("merge"), "id").select("id", "core", "mask", "text", F.explode("buckets").alias("b")).select("id", "core", "mask", "text", "b.*").filter("others > 0")
     side = F.when(F.col("in_top"), F.col("others") + F.pmod(F.xxhash64("id"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others"))).cast("int")
     facing = F.sequence(F.lit(0), F.when(F.col("in_top"), F.col("others") - 1).otherwise(F.col("others") + F.col("tops") - 1))
     spread = spread.select("*", side.alias("side"), F.explode(facing).alias("with"))
@@ -322,7 +323,10 @@ def classes_of(docs: DataFrame, threshold: float, k: int, whole: bool = False) -
     label = components(met.select("id", "other").union(of_core))
     found = every.select("digest", "id", "rep_id", "least", "n_copies").join(links, "id", "left").join(label, "id", "left")
     found = found.withColumns({"label": F.coalesce("label", "id"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
-    return rows, materialise(found, "found")
+    found = materialise(found, "found")
+    for done in (*used, sized, met):
+        discard(done)
+    return rows, found
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
@@ -346,4 +350,4 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     id any one. Nulls, empty and long texts and empty tables are as in `near_duplicates`."""
     rows, found = classes_of(docs, threshold, SHINGLE, whole=True)
     keep = found.groupBy("label").agg(F.min("least").alias("least")).select("least.place")
-    return rows.select("place", "row").join(keep, "place", "left_semi").select("row.*")
+    return rows.select("place", "row").join(keep.hint("merge"), "place", "left_semi").select("row.*")
