@@ -5,26 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import degrees, family
+from .graph import degrees, is_concept_node, is_file_node
 
 PLAIN = ("imports", "imports_from", "contains", "method")
 
 
+# The language of each file ending, as surprise tells languages apart.
+LANGUAGE_OF = {
+    "py": "python", "pyw": "python", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "ejs": "js", "ts": "js", "tsx": "js", "mts": "js", "cts": "js", "vue": "js", "svelte": "js",
+    "go": "go", "rs": "rust", "java": "jvm", "kt": "jvm", "kts": "jvm", "scala": "jvm", "c": "c", "h": "c", "cpp": "c", "cc": "c", "cxx": "c", "hpp": "c",
+    "rb": "ruby", "rake": "ruby", "swift": "swift", "cs": "dotnet", "php": "php", "r": "r",
+}
+
+
+def language(path: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in LANGUAGE_OF.items() for x in pair])[F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))]
+
+
 def category(path: Column) -> Column:
     end = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     return F.when(end.isin("py", "js", "ts", "java", "go", "rs", "c", "cpp", "cs", "rb", "kt", "scala", "php", "swift", "sql", "sh"), "code").when(end == "pdf", "paper").when(end.isin("png", "jpg", "jpeg", "gif", "svg", "webp"), "image").otherwise("doc")
 
 
 def surprises(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst, relation, confidence, score) of edges between files, by additive points: confidence, kind of file, top
+    """(src, dst, relation, confidence, score) of edges between files, file and concept nodes left out, by additive points: confidence, kind of file, top
     folder, community, and a quiet node beside a busy one; none of them for inferred calls and uses across languages or
     between code and prose."""
-    side = lambda p: nodes.select(F.col("id").alias(f"{p}_id"), F.col("source_file").alias(f"{p}_file"), F.col("community").alias(f"{p}_community"))
+    side = lambda p: nodes.select(F.col("id").alias(f"{p}_id"), F.col("label").alias(f"{p}_label"), F.col("source_file").alias(f"{p}_file"), F.col("community").alias(f"{p}_community"))
     deg = lambda p: degrees(edges).select(F.col("id").alias(f"{p}_deg_id"), F.col("degree").alias(f"{p}_degree"))
     e = edges.filter(~F.col("relation").isin(*PLAIN)).join(side("s"), F.col("src") == F.col("s_id")).join(side("t"), F.col("dst") == F.col("t_id")).filter("s_file <> t_file AND s_file <> '' AND t_file <> ''")
     e = e.join(deg("s"), F.col("src") == F.col("s_deg_id")).join(deg("t"), F.col("dst") == F.col("t_deg_id"))
+    for p in ("s", "t"):
+        e = e.filter(~is_concept_node(F.col(f"{p}_file")) & ~is_file_node(F.col(f"{p}_label"), F.col(f"{p}_file"), F.col(f"{p}_degree")))
     ca, cb = category(F.col("s_file")), category(F.col("t_file"))
-    across = F.coalesce(family(F.col("s_file")) != family(F.col("t_file")), F.lit(False)) | ((ca == "code") & (cb == "doc")) | ((ca == "doc") & (cb == "code"))
+    across = F.coalesce(language(F.col("s_file")) != language(F.col("t_file")), F.lit(False)) | ((ca == "code") & (cb == "doc")) | ((ca == "doc") & (cb == "code"))
     weak = (F.col("confidence") == "INFERRED") & F.col("relation").isin("calls", "uses") & across
     top = lambda c: F.substring_index(c, "/", 1)
     base = F.when(F.col("confidence") == "AMBIGUOUS", 3).when(F.col("confidence") == "INFERRED", 2).otherwise(1)

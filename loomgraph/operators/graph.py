@@ -15,19 +15,33 @@ CONFIDENCES = ("EXTRACTED", "INFERRED", "AMBIGUOUS")
 NODE_FIELDS = ("id", "label", "file_type", "source_file")
 EDGE_FIELDS = ("src", "dst", "relation", "confidence")
 
-# The language families of file endings, by which edges across families are refused.
-FAMILIES = {
-    "py": ("py", "pyi"), "js": ("js", "mjs", "cjs", "jsx", "ts", "tsx", "mts", "cts"), "go": ("go",), "rs": ("rs",), "jvm": ("java", "kt", "scala"), "lua": ("lua",),
+# The language family of each file ending, by which edges across families are refused.
+FAMILY_OF = {
+    "py": "py", "pyi": "py", "js": "js", "mjs": "js", "cjs": "js", "jsx": "js", "ts": "js", "tsx": "js", "mts": "js", "cts": "js", "go": "go", "rs": "rs",
+    "java": "jvm", "kt": "jvm", "scala": "jvm", "groovy": "jvm", "c": "c", "h": "c", "cc": "c", "cpp": "c", "hpp": "c", "cxx": "c", "hh": "c", "hxx": "c", "cu": "c", "cuh": "c", "metal": "c", "m": "c", "mm": "c",
+    "rb": "rb", "rake": "rb", "php": "php", "cs": "cs", "swift": "swift", "lua": "lua",
 }
-# Labels that are no one's god.
-NOISE_LABELS = ("start", "end", "name", "id", "type", "properties", "value", "key", "data", "items", "title", "description", "version", "dependencies", "str", "int", "float", "bool", "bytes", "object", "True", "False")
+# Keys that JSON files have everywhere; as labels of nodes of such files they are noise.
+JSON_KEYS = (
+    "start", "end", "name", "id", "type", "properties", "value", "key", "data", "items", "title", "description", "version",
+    "dependencies", "devdependencies", "peerdependencies", "optionaldependencies", "bundleddependencies", "bundledependencies",
+)
+# Names of languages and their libraries, which are noise as labels in any file.
+BUILTINS = (
+    "str", "int", "float", "bool", "bytes", "bytearray", "complex", "object", "True", "False",
+    "MagicMock", "Mock", "AsyncMock", "NonCallableMock", "NonCallableMagicMock", "PropertyMock", "patch", "sentinel",
+    "Path", "Any", "Optional", "List", "Dict", "Set", "Tuple", "Union", "Callable", "Type", "ClassVar", "Final", "Literal", "Protocol",
+    "Counter", "defaultdict", "OrderedDict", "datetime", "Enum", "os", "sys", "re", "json", "io", "abc", "typing",
+    "Foundation", "SwiftUI", "UIKit", "AppKit", "Combine", "String", "Int", "Double", "Float", "Bool", "Data", "URL", "Date", "UUID",
+    "Sendable", "Codable", "Decodable", "Encodable", "Equatable", "Hashable", "Identifiable", "Comparable", "AnyObject", "Error", "LocalizedError",
+    "NSObject", "NSString", "NSError", "NSLock", "View", "Color", "Font", "DispatchQueue",
+)
 
 
 def family(path: Column) -> Column:
     """The language family of a file, null if its ending has none."""
     ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    pairs = [x for name, ends in FAMILIES.items() for e in ends for x in (F.lit(e), F.lit(name))]
-    return F.create_map(*pairs)[ending]
+    return F.create_map(*[F.lit(x) for pair in FAMILY_OF.items() for x in pair])[ending]
 
 
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -108,8 +122,25 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def is_file_node(label: Column, path: Column) -> Column:
-    return (label == F.element_at(F.split(path, "/"), -1)) | F.endswith(path, F.concat(F.lit("/"), label))
+def is_file_label(label: Column, path: Column) -> Column:
+    """The label is the file's name, or an ending of its path in whole segments."""
+    unix = F.replace(path, F.lit("\\"), F.lit("/"))
+    return (label == F.element_at(F.split(unix, "/"), -1)) | (F.contains(label, F.lit("/")) & ((unix == label) | F.endswith(unix, F.concat(F.lit("/"), label))))
+
+
+def is_file_node(label: Column, path: Column, degree: Column | None = None) -> Column:
+    """Nodes that stand for a file, and stubs of methods: `.name()`, and `name()` with one edge at most."""
+    named = F.coalesce((path != "") & is_file_label(label, path), F.lit(False))
+    call = F.endswith(label, F.lit("()"))
+    stub = F.startswith(label, F.lit(".")) & call
+    if degree is not None:
+        stub = stub | (call & (F.coalesce(degree, F.lit(0)) <= 1))
+    return F.coalesce((label != "") & (named | stub), F.lit(False))
+
+
+def is_noise(label: Column, path: Column) -> Column:
+    json_key = F.endswith(F.lower(F.coalesce(path, F.lit(""))), F.lit(".json")) & F.lower(F.trim(label)).isin(*JSON_KEYS)
+    return F.coalesce(json_key | label.isin(*BUILTINS), F.lit(False))
 
 
 def is_concept_node(path: Column) -> Column:
@@ -117,9 +148,11 @@ def is_concept_node(path: Column) -> Column:
 
 
 def god_nodes(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
-    """The nodes with the most edges, without file and concept nodes and noise labels; ties go to the lesser id."""
-    real = nodes.filter(~is_file_node(F.col("label"), F.col("source_file")) & ~is_concept_node(F.col("source_file")) & (F.col("file_type") != "concept") & ~F.col("label").isin(*NOISE_LABELS))
-    return degrees(edges).join(real.select("id", "label"), "id").select("id", "label", "degree").orderBy(F.desc("degree"), "id").limit(top)
+    """The nodes with the most edges, without file and concept nodes, method stubs and noise labels; ties go to the lesser id."""
+    label, path = F.coalesce("label", F.lit("")), F.col("source_file")
+    all_ = degrees(edges).join(nodes.select("id", "label", "source_file"), "id")
+    real = all_.filter(~is_file_node(label, path, F.col("degree")) & ~is_concept_node(path) & ~is_noise(label, path))
+    return real.select("id", F.coalesce("label", "id").alias("label"), "degree").orderBy(F.desc("degree"), "id").limit(top)
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -194,11 +227,17 @@ def unexplained_losses(old: DataFrame, new: DataFrame, rebuilt: DataFrame) -> Da
 
 
 def diagnose(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row of counts: edges, loops, dangling ones, repeated (src, dst, relation), pairs with several relations."""
-    dangling = edges.count() - prune_dangling(nodes, edges).count()
+    """One row of counts, from one pass over the edges: edges, loops, repeated (src, dst, relation), pairs with several
+    relations, pairs' other edges, dangling ones."""
+    ids = nodes.select(F.col("id").alias("node"), F.lit(True).alias("known")).distinct()
     by_pair = edges.groupBy("src", "dst").agg(F.count("*").alias("n"), F.countDistinct("relation").alias("kinds"))
-    pairs = by_pair.agg(F.sum("n").alias("edges"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("n")).otherwise(0)).alias("loops"), F.sum(F.col("n") - F.col("kinds")).alias("repeats"), F.sum((F.col("kinds") > 1).cast("long")).alias("variants"), F.sum(F.col("n") - 1).alias("collapsed"))
-    return pairs.withColumn("dangling", F.lit(dangling).cast("long"))
+    for c in ("src", "dst"):
+        by_pair = by_pair.join(ids.withColumnsRenamed({"node": c, "known": f"{c}_known"}), c, "left")
+    lost = F.col("src_known").isNull() | F.col("dst_known").isNull()
+    return by_pair.agg(
+        F.sum("n").alias("edges"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("n")).otherwise(0)).alias("loops"), F.sum(F.col("n") - F.col("kinds")).alias("repeats"),
+        F.sum((F.col("kinds") > 1).cast("long")).alias("variants"), F.sum(F.col("n") - 1).alias("collapsed"), F.sum(F.when(lost, F.col("n")).otherwise(0)).alias("dangling"),
+    )
 
 
 def explode_secondary(edges: DataFrame) -> DataFrame:

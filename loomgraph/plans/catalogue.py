@@ -34,11 +34,17 @@ def query(sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    from . import building  # noqa: F401  it registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return {k: q.run for k, q in CATALOGUE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return {k: q.sql for k, q in CATALOGUE.items() if q.sql}
 
 

@@ -76,6 +76,32 @@ UNION ALL SELECT 'customer_' || o_custkey, 'part_' || l_partkey, 'calls', CASE m
 """
 
 
+_ENDINGS = ("py", "c", "rb", "json", "md", "go", "vue", "cs", "m")
+
+
+def mixed(spark: SparkSession, d: str) -> Graph:
+    """Parts as nodes of files in many languages, some with labels that are noise, stubs or files; lines as edges between them."""
+    k = F.col("p_partkey")
+    ending = F.array(*map(F.lit, _ENDINGS))[(k % len(_ENDINGS)).cast("int")]
+    file = F.when(k % 41 == 0, "").when(k % 43 == 0, "folder/noend").otherwise(F.concat(F.lit("d"), (k % 7).cast("string"), F.lit("/f"), (k % 50).cast("string"), F.lit("."), ending))
+    label = F.when(k % 11 == 0, "data").when(k % 13 == 0, "str").when(k % 17 == 0, ".run()").when(k % 19 == 0, "go()").when(k % 23 == 0, F.element_at(F.split(file, "/"), -1)).when(k % 29 == 0, file).otherwise(F.col("p_name"))
+    name = lambda c: F.concat(F.lit("part_"), c.cast("string"))
+    nodes = table(spark, d, "part").select(name(k).alias("id"), label.alias("label"), F.lit("code").alias("file_type"), file.alias("source_file"), (k % 6).cast("int").alias("community"))
+    other = (F.col("l_partkey") * 7 + F.col("l_linenumber") * F.col("l_linenumber")) % 300 + 1
+    relation = F.array(*map(F.lit, ("calls", "imports", "references", "uses", "semantically_similar_to", "contains", "calls")))[F.col("l_linenumber") - 1]
+    edges = table(spark, d, "lineitem").select(name(F.col("l_partkey")).alias("src"), name(other).alias("dst"), relation.alias("relation"), _confidence(F.col("l_returnflag")).alias("confidence"), F.lit(None).cast("string").alias("context"))
+    return Graph(nodes, edges.distinct())
+
+
+MIXED_SQL = f"""
+parts AS (SELECT p_partkey AS k, p_name, CASE WHEN p_partkey % 41 = 0 THEN '' WHEN p_partkey % 43 = 0 THEN 'folder/noend' ELSE 'd' || (p_partkey % 7) || '/f' || (p_partkey % 50) || '.' || ({list(_ENDINGS)})[p_partkey % {len(_ENDINGS)} + 1] END AS f FROM part),
+nodes AS (SELECT 'part_' || k AS id, CASE WHEN k % 11 = 0 THEN 'data' WHEN k % 13 = 0 THEN 'str' WHEN k % 17 = 0 THEN '.run()' WHEN k % 19 = 0 THEN 'go()' WHEN k % 23 = 0 THEN string_split(f, '/')[-1] WHEN k % 29 = 0 THEN f ELSE p_name END AS label,
+'code' AS file_type, f AS source_file, (k % 6)::INTEGER AS community FROM parts),
+edges AS MATERIALIZED (SELECT DISTINCT 'part_' || l_partkey AS src, 'part_' || ((l_partkey * 7 + l_linenumber * l_linenumber) % 300 + 1) AS dst, (['calls', 'imports', 'references', 'uses', 'semantically_similar_to', 'contains', 'calls'])[l_linenumber] AS relation,
+CASE l_returnflag WHEN 'N' THEN 'EXTRACTED' WHEN 'A' THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence FROM lineitem)
+"""
+
+
 def dialogue(spark: SparkSession, d: str) -> Graph:
     """Turns, each leading to the next one of its conversation."""
     t = table(spark, d, "conversations")
