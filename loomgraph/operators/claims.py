@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Which relations prove which kind of claim.
@@ -10,15 +10,51 @@ GROUPS = {"calls": ("calls", "indirect_call"), "imports": ("imports", "imports_f
 SUPPORTED, CONTRADICTED, UNKNOWN = "SUPPORTED", "CONTRADICTED", "UNKNOWN"
 
 
+def norm(text: Column) -> Column:
+    """Lower case, slashes forward, :: as a dot, single spaces."""
+    return F.trim(F.regexp_replace(F.replace(F.replace(F.lower(text), F.lit("\\"), F.lit("/")), F.lit("::"), F.lit(".")), r"\s+", " "))
+
+
+def bare_name(label: Column) -> Column:
+    """The last part of a label between dots and slashes, without a call's parentheses."""
+    return F.element_at(F.split(F.element_at(F.split(F.regexp_replace(F.trim(label), r"\(\)$", ""), r"\."), -1), "/"), -1)
+
+
+def candidates(names: DataFrame, nodes: DataFrame, most: int = 8) -> DataFrame:
+    """(name, id, tier, place): the nodes that a name may mean, `most` at most: by id (0), label (1), last part of the label (2),
+    ending of the file's path (3), part of the label or id (4); ties by id.
+
+    Names and nodes meet by keys: whole ones, up to twelve last characters of paths, and for parts the first three characters
+    of the name among those of the label; the rest is verified. Names under three characters are tried on all nodes.
+    """
+    n = nodes.select("id", norm(F.col("id")).alias("nid"), norm(F.coalesce("label", "id")).alias("label"), norm(bare_name(F.coalesce("label", "id"))).alias("bare"), norm(F.coalesce("source_file", F.lit(""))).alias("file"))
+    q = names.select("name").distinct().select("name", norm(F.col("name")).alias("q"), norm(bare_name(F.col("name"))).alias("bq")).filter("q <> ''")
+    k = lambda tier, key: F.struct(F.lit(tier).alias("tier"), key.alias("key"))
+    keys = n.select("id", F.explode(F.array(k(0, F.col("nid")), k(0, F.lower("id")), k(1, F.col("label")), k(1, F.regexp_replace("label", r"[()]+$", "")))).alias("k")).select("id", "k.*")
+    exact = q.join(keys, F.col("q") == F.col("key")).select("name", "id", "tier")
+    by_bare = q.filter("bq <> ''").join(n.select("id", "bare"), F.col("bq") == F.col("bare")).select("name", "id", F.lit(2).alias("tier"))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
+    places = n.select("id", "nid", "label", "bare", F.explode(F.array_distinct(F.concat(grams(F.col("label")), grams(F.col("nid"))))).alias("gram"))
+    inside = F.contains("label", F.col("q")) | F.contains("nid", F.col("q")) | ((F.col("bq") != "") & F.contains("bare", F.col("bq")))
+    starts = q.select("name", "q", "bq", F.explode(F.array_distinct(F.array(F.substring("q", 1, 3), F.substring("bq", 1, 3)))).alias("gram"))
+    part = starts.filter(F.length("gram") == 3).join(places, "gram").filter(inside).select("name", "id", F.lit(4).alias("tier"))
+    short = q.filter((F.length("q") < 3) | ((F.length("bq") < 3) & (F.col("bq") != "")))
+    few = short.join(n, inside).select("name", "id", F.lit(4).alias("tier"))
+    tail = q.select("name", "q", F.substring("q", -12, 12).alias("t"))
+    files = n.filter("file <> ''").select("file").distinct()
+    files = files.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("file"), F.lit(12))), lambda i: F.substring(F.col("file"), -i, i))).alias("t"))
+    ended = tail.join(files, "t").filter(F.endswith("file", F.col("q"))).select("name", "file").distinct()
+    cut = ended.join(n.select("id", "file"), "file").select("name", "id", F.lit(3).alias("tier"))
+    hit = exact.union(by_bare).union(part).union(few).union(cut).groupBy("name", "id").agg(F.min("tier").alias("tier"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(32))  # a common name's nodes are ranked in parts first
+    first = hit.withColumn("p", F.row_number().over(Window.partitionBy("name", salt).orderBy("tier", "id"))).filter(F.col("p") <= most)
+    best = first.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("tier", "id")))
+    return best.filter(F.col("place") <= most).select("name", "id", "tier", "place")
+
+
 def resolve(names: DataFrame, nodes: DataFrame, most: int = 4) -> DataFrame:
-    """(name, id): the nodes that a name may mean, by id, else label, else last part of the label; `most` of the best kind."""
-    bare = F.regexp_replace(F.element_at(F.split(F.lower("label"), r"[./:]+"), -1), r"\(\)$", "")
-    n = nodes.select("id", F.lower("label").alias("label"), bare.alias("bare"))
-    q = names.select("name", F.lower("name").alias("low")).distinct()
-    keys = n.select("id", F.explode(F.array(F.struct(F.lit(0).alias("tier"), F.lower("id").alias("key")), F.struct(F.lit(1).alias("tier"), F.col("label").alias("key")), F.struct(F.lit(2).alias("tier"), F.col("bare").alias("key")))).alias("k")).select("id", "k.tier", "k.key")
-    hit = q.join(keys, F.col("low") == F.col("key")).groupBy("name", "id").agg(F.min("tier").alias("tier"))
-    best = hit.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("tier", "id"))).withColumn("least", F.min("tier").over(Window.partitionBy("name")))
-    return best.filter((F.col("place") <= most) & (F.col("tier") == F.col("least"))).select("name", "id")
+    """(name, id): the first `most` of the candidates of each name."""
+    return candidates(names, nodes).filter(F.col("place") <= most).select("name", "id")
 
 
 def check(claims: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -53,14 +89,23 @@ def roll_up(verdicts: DataFrame, group: str) -> DataFrame:
 
 def evidence(items: DataFrame, texts: DataFrame, grams: int = 8) -> DataFrame:
     """(item_id, doc_id) of items (item_id, text) whose words stand in a document in order: an equi-join on the hash of an
-    item's first words finds the candidates, the words decide."""
+    item's first words, or all if it has fewer than `grams`, finds the candidates by number; only then texts are looked at."""
     from ..functions.text import tokens
 
-    def windows(words):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - grams + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, grams), " "))))
+    key = lambda words, start, n: F.xxhash64(n, F.array_join(F.slice(words, start, n), " "))
+    i = items.select("item_id", tokens(F.coalesce("text", F.lit(""))).alias("w")).filter(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(grams)))
+    i = i.select("item_id", F.array_join("w", " ").alias("phrase"), "n", key(F.col("w"), F.lit(1), F.col("n")).alias("key"))
+    sizes = sorted(r[0] for r in i.select("n").distinct().collect())  # grams numbers at most
+    d = texts.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
+
+    def windows_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        return F.when(F.size("w") >= n, F.transform(starts, lambda s: key(F.col("w"), s, F.lit(n)))).otherwise(F.array().cast("array<bigint>"))
 
-    i = items.select("item_id", tokens(F.col("text")).alias("w")).filter(F.size("w") >= grams)
-    i = i.select("item_id", F.array_join("w", " ").alias("phrase"), F.xxhash64(F.array_join(F.slice("w", 1, grams), " ")).alias("key"))
-    d = texts.select("doc_id", tokens(F.col("text")).alias("w")).filter(F.size("w") >= grams)
-    d = d.select("doc_id", F.array_join("w", " ").alias("body"), F.explode(windows(F.col("w"))).alias("key"))
-    return d.join(i, "key").filter(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))).select("item_id", "doc_id").distinct()
+    windows = [windows_of(n) for n in sizes]
+    if not windows:
+        return i.select("item_id").crossJoin(d.select("doc_id")).limit(0)
+    found = d.select("doc_id", F.explode(F.array_distinct(F.concat(*windows))).alias("key")).join(i.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
+    body = d.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("body"))
+    both = found.join(i.select("item_id", "phrase"), "item_id").join(body, "doc_id")
+    return both.filter(F.contains("body", F.concat(F.lit(" "), "phrase", F.lit(" ")))).select("item_id", "doc_id").distinct()

@@ -21,13 +21,15 @@ def learned_weights(log: DataFrame, strength: float = 8.0, least: int = 3) -> Da
     return n.withColumn("importance", F.least(F.lit(1.0), F.greatest(F.lit(0.05), mean))).withColumn("active", F.col("exposures") >= least)
 
 
-def lessons(docs: DataFrame, now: str, half_life: float = 30.0, least: int = 2) -> DataFrame:
+def lessons(docs: DataFrame, now: str, half_life: float = 30.0, least: int = 2, known: DataFrame | None = None) -> DataFrame:
     """(node, score, positives, negatives, last, status): outcomes of memory documents (date, outcome, source_nodes), useful
-    ones +1, others -1, halved each half_life days; contested with both signs, preferred with `least` good ones."""
+    ones +1, others -1, halved each half_life days; contested with both signs, preferred with `least` good ones. known: only nodes with an id in it count."""
     age = F.greatest(F.lit(0), F.datediff(F.lit(now).cast("date"), F.to_date("date")))
     decay = F.pow(F.lit(0.5), F.coalesce(age, F.lit(0)) / F.lit(half_life)) if half_life > 0 else F.lit(1.0)
     sign = F.when(F.col("outcome") == "useful", 1).when(F.col("outcome").isin("dead_end", "corrected"), -1)
     each = docs.select("date", sign.alias("sign"), decay.alias("decay"), F.explode(F.array_distinct("source_nodes")).alias("node")).filter("sign IS NOT NULL")
+    if known is not None:
+        each = each.join(known.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     out = each.groupBy("node").agg(
         F.round(F.sum(F.col("sign") * F.col("decay")), 9).alias("score"), F.sum((F.col("sign") > 0).cast("long")).alias("positives"), F.sum((F.col("sign") < 0).cast("long")).alias("negatives"), F.max("date").alias("last")
     )

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What an academic text shows, three of which are enough.
-PAPER_SIGNS = (r"(?i)\barxiv\b", r"(?i)\bdoi\s*:", r"(?i)\babstract\b", r"(?i)\bproceedings\b", r"(?i)\bjournal\b", r"(?i)\bpreprint\b", r"\\cite\{", r"\[\d+\]", r"(?i)eq\.\s*\d+|equation\s+\d+", r"\d{4}\.\d{4,5}", r"(?i)\bwe propose\b", r"(?i)\bliterature\b")
+PAPER_SIGNS = (r"(?i)\barxiv\b", r"(?i)\bdoi\s*:", r"(?i)\babstract\b", r"(?i)\bproceedings\b", r"(?i)\bjournal\b", r"(?i)\bpreprint\b", r"\\cite\{", r"\[\d+\]", r"\[\n\d+\n\]", r"(?i)eq\.\s*\d+|equation\s+\d+", r"\d{4}\.\d{4,5}", r"(?i)\bwe propose\b", r"(?i)\bliterature\b")
 CODE = ("py", "js", "ts", "tsx", "jsx", "go", "rs", "java", "c", "h", "cpp", "cc", "cs", "rb", "php", "swift", "kt", "scala", "lua", "sh", "sql")
 PROSE = ("md", "txt", "rst", "html", "adoc")
 
@@ -25,13 +26,35 @@ def looks_like_paper(text: Column, least: int = 3) -> Column:
     return sum((F.rlike(head, F.lit(s)).cast("int") for s in PAPER_SIGNS), F.lit(0)) >= least
 
 
+# Folders of credentials; folders that may hold them; names of files that do; words that say so; endings of data.
+CREDENTIAL_DIRS = (".ssh", ".gnupg", ".aws", ".gcloud")
+MAYBE_DIRS = ("secrets", ".secrets", "credentials")
+SECRET_NAMES = (
+    r"(?i)(^|[\\/])\.(env|envrc)(\.|$)", r"(?i)\.(pem|key|p12|pfx|cert|crt|der|p8)$", r"(?i)(^|[^A-Za-z0-9])(id_rsa|id_dsa|id_ecdsa|id_ed25519)(\.pub)?$",
+    r"(?i)^secring(\.(gpg|pgp))?$", r"(?i)(\.netrc|\.pgpass|\.htpasswd|\.npmrc|\.pypirc|\.git-credentials|\.boto)$",
+)
+SECRET_WORDS = (r"(credential|secret|passwd|password|private_key)s?", r"tokens?", r"service[._-]?account")
+NOTES = ("md", "markdown", "rst", "org", "adoc", "tex")
+DATA = ("json", "yaml", "yml", "toml", "ini", "cfg", "conf", "config", "xml", "properties", "env", "txt", "tfvars")
+
+
 def is_secret(path: Column) -> Column:
-    """Names of stores of secrets: key files, or a secret word at the end of the stem or in a name of at most two words."""
-    name = F.element_at(F.split(path, "/"), -1)
-    stem = F.lower(F.regexp_replace(name, r"\.[A-Za-z0-9]+$", ""))
-    word = r"(secret|password|passwd|credential|credentials|token|apikey|private_key)s?"
-    few = F.size(F.filter(F.split(stem, r"[-_\s.]+"), lambda x: x != "")) <= 2
-    return F.lower(name).rlike(r"\.(pem|key|p12|pfx|jks)$|^\.env|^id_(rsa|dsa|ed25519)") | (stem.rlike(word) & (stem.rlike(word + "$") | few) & (F.coalesce(file_class(path), F.lit("")) != "code"))
+    """Stores of secrets: by folder, by name, or by a secret word at the end of the stem or in one of at most two words; source
+    code isn't one for its folder or words, nor are notes for their words, unless the stem is just that word."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    folders = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.lower)
+    end = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    source = (F.coalesce(file_class(path), F.lit("")) == "code") & ~end.isin(*DATA)
+    bare = F.regexp_replace(F.regexp_replace(name, r"(?<=.)\.[^.]+$", ""), r"^\.+", "")
+    few = F.size(F.filter(F.split(bare, r"[-_\s.]+"), lambda x: x != "")) <= 2
+    word = [rf"(?i)(?<![a-zA-Z0-9]){w}(?![a-zA-Z])" for w in SECRET_WORDS]
+    any_of = lambda patterns: reduce(lambda a, b: a | b, patterns)
+    said = any_of([bare.rlike(w + "$") | (few & bare.rlike(w)) for w in word])
+    note = end.isin(*NOTES) & ~any_of([bare.rlike(f"^{w}$") for w in word])
+    in_store = F.arrays_overlap(folders, F.array(*map(F.lit, CREDENTIAL_DIRS)))
+    maybe = F.arrays_overlap(folders, F.array(*map(F.lit, MAYBE_DIRS))) & ~source
+    return F.coalesce(in_store | maybe | any_of([name.rlike(p) for p in SECRET_NAMES]) | (said & ~source & ~note), F.lit(False))
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -63,10 +86,34 @@ def url_kind(url: Column) -> Column:
     return F.when(F.contains(low, F.lit("arxiv.org")), "paper").when(F.contains(low, F.lit("github.com")), "repository").when(low.rlike(r"\.pdf($|[?#])"), "pdf").when(low.rlike(r"\.(png|jpe?g|gif|webp)($|[?#])"), "image").when(low.rlike(r"[?&]page="), "listing").otherwise("webpage")
 
 
+def lines_outside_fences(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, x) of the lines of Markdown texts that stand in no fenced block. Fences are counted within each text's
+    array of lines, so nothing is shuffled."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    fence = lambda x: F.rlike(x, F.lit(r"^\s*(```|~~~)"))
+    state = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<line:int,x:string>>").alias("out"), F.lit(0).alias("k"))
+
+    def step(s, x):
+        keep = ~s["inside"] & ~fence(x)
+        out = F.when(keep, F.concat(s["out"], F.array(F.struct((s["k"] + 1).alias("line"), x.alias("x"))))).otherwise(s["out"])
+        return F.struct((s["inside"] != fence(x)).alias("inside"), out.alias("out"), (s["k"] + 1).alias("k"))
+
+    flagged = docs.filter(F.contains("text", F.lit("```")) | F.contains("text", F.lit("~~~"))).select("doc_id", F.explode(F.aggregate(lines, state, step, lambda s: s["out"])).alias("r")).select("doc_id", "r.line", "r.x")
+    plain = docs.filter(~(F.contains("text", F.lit("```")) | F.contains("text", F.lit("~~~")))).select("doc_id", F.posexplode(lines).alias("line", "x"))
+    return plain.select("doc_id", (F.col("line") + 1).alias("line"), "x").union(flagged)
+
+
 def headings(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, level, title) of Markdown headings."""
-    line = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x"))
-    return line.filter(F.col("x").rlike(r"^#{1,6} +\S")).select("doc_id", (F.col("line") + 1).cast("long").alias("line"), F.length(F.regexp_extract("x", r"^(#+)", 1)).cast("long").alias("level"), F.trim(F.regexp_replace("x", r"^#+ +", "")).alias("title"))
+    """(doc_id, line, level, title) of Markdown headings outside fenced blocks."""
+    line = lines_outside_fences(docs)
+    return line.filter(F.col("x").rlike(r"^#{1,6} +\S")).select("doc_id", F.col("line").cast("long").alias("line"), F.length(F.regexp_extract("x", r"^(#+)", 1)).cast("long").alias("level"), F.trim(F.regexp_replace("x", r"^#+ +", "")).alias("title"))
+
+
+def markdown_links(docs: DataFrame) -> DataFrame:
+    """(doc_id, target) of links to other documents outside fenced blocks: no addresses, no anchors of the same text."""
+    found = lines_outside_fences(docs).select("doc_id", F.explode(F.regexp_extract_all("x", F.lit(r"\[[^\]]*\]\(([^)\s]+)[^)]*\)"), 1)).alias("t"))
+    target = F.regexp_replace(F.col("t"), r"[#?].*$", "")
+    return found.select("doc_id", target.alias("target")).filter((F.col("target") != "") & ~F.col("target").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")).distinct()
 
 
 def cut(text: str, most: int) -> list[tuple[int, int]]:
@@ -140,8 +187,18 @@ def extract_python(files: DataFrame) -> DataFrame:
 
 
 def extract_sql(files: DataFrame) -> DataFrame:
-    """(path, kind, name, target) of tables and foreign keys in DDL (path, text), by patterns in the JVM."""
-    tables = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?is)(create\s+table\s+(?:if\s+not\s+exists\s+)?[\w.\"]+\s*\([^;]*)"), 1)).alias("ddl"))
-    name = F.lower(F.regexp_extract("ddl", r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?([\w.\"]+)", 1))
-    t = tables.select("path", name.alias("name"), F.regexp_extract_all("ddl", F.lit(r"(?is)references\s+([\w.\"]+)"), 1).alias("refs"))
-    return t.select("path", F.lit("table").alias("kind"), "name", F.lit("").alias("target")).union(t.select("path", F.lit("references"), "name", F.explode(F.transform("refs", F.lower))))
+    """(path, kind, name, target) of DDL (path, text), by patterns in the JVM: tables, views, functions, triggers; foreign keys,
+    also of ALTER TABLE; what views and functions read from, and the table a trigger is on."""
+    name = r"[\w.\"`\[\]]+"
+    head = rf"(?is)(?:create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:materialized\s+)?(table|view|function|procedure|trigger)\s+(?:if\s+not\s+exists\s+)?|(alter\s+table)\s+(?:only\s+)?(?:if\s+exists\s+)?)({name})"
+    clean = lambda c: F.lower(F.regexp_replace(c, r"[\"`\[\]]", ""))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)--[^\n]*|/\*.*?\*/", " ")
+    part = files.select("path", F.explode(F.split(text, r"(?i)(?=\b(?:create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:materialized\s+)?(?:table|view|function|procedure|trigger)|alter\s+table)\b)")).alias("ddl"))
+    part = part.filter(F.col("ddl").rlike(r"(?is)^\s*(?:create|alter)\s")).select(
+        "path", "ddl", F.lower(F.coalesce(F.nullif(F.regexp_extract("ddl", head, 1), F.lit("")), F.lit("alter"))).alias("kind"), clean(F.regexp_extract("ddl", head, 3)).alias("name")
+    ).filter("name <> ''")
+    made = part.filter("kind <> 'alter'").select("path", "kind", "name", F.lit("").alias("target"))
+    refs = part.filter("kind IN ('table', 'alter')").select("path", F.lit("references").alias("kind"), "name", F.explode(F.regexp_extract_all("ddl", F.lit(rf"(?is)references\s+({name})"), 1)).alias("target"))
+    reads = part.filter("kind IN ('view', 'function', 'procedure')").select("path", F.lit("reads_from").alias("kind"), "name", F.explode(F.regexp_extract_all("ddl", F.lit(rf"(?is)\b(?:from|join)\s+({name})"), 1)).alias("target"))
+    on = part.filter("kind = 'trigger'").select("path", F.lit("triggers").alias("kind"), "name", F.regexp_extract("ddl", rf"(?is)\bon\s+({name})", 1).alias("target"))
+    return made.union(refs.union(reads).union(on).select("path", "kind", "name", clean(F.col("target")).alias("target")).filter("target <> ''").distinct())
