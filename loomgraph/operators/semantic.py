@@ -21,7 +21,13 @@ def json_blob(text: Column) -> Column:
     raw = F.trim(F.coalesce(text, F.lit("")))
     brace = F.locate("{", raw)
     candidates = F.concat(F.reverse(F.regexp_extract_all(raw, F.lit(FENCE), 1)), F.array(raw, F.when(brace > 0, F.substring(raw, brace, F.length(raw)))))
-    return F.element_at(F.filter(candidates, lambda x: x.isNotNull() & (x != "") & F.try_parse_json(x).isNotNull()), 1)
+
+    def alone(x: Column) -> Column:
+        """As the only member of a list, for the parser doesn't look at what follows a value."""
+        listed = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+        return listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+
+    return F.try_element_at(F.filter(candidates, lambda x: x.isNotNull() & (x != "") & alone(x)), F.lit(1))
 
 
 def parse_relations(responses: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
