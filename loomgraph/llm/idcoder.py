@@ -20,6 +20,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,10 @@ SCALE, UALL = np.uint64(WEIGHTS + ALL), np.uint64(ALL)
 MOST = (1 << WEIGHTS + ALL) - 1
 BOT, LOW32 = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
 U0, U32 = np.uint64(0), np.uint64(32)
-PIECES_KEPT = 300_000
+#: What one more hit adds to a count of seven at most; by hits of order 1 and twice those of order 2: which order was right.
+MORE = np.array([1] * 7 + [0], np.int32)
+CASE = np.array([2, 1, 0, 0], np.int64) << 7
+PIECES_KEPT = 250_000
 #: Characters of texts that are cut into pieces together, and new pieces that the library gets as one text.
 AT_ONCE, NEW_AT_ONCE = 4 << 20, 500
 #: Characters, in lower case or not, and pieces for which the tokenizer file's rules are these.
@@ -71,6 +75,7 @@ class Model:
         self.a = np.full(lanes, vocabulary, np.int64)  # last id of each lane, and the one before
         self.b = np.full(lanes, vocabulary, np.int64)
         self.waiting: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
         self.steps = 0
         self.scale()
 
@@ -103,37 +108,42 @@ class Model:
         self.slot = (a * 0x2F0B4C47 + self.b[:n] * 0x1B873593) >> 7 & ((1 << HASH_BITS) - 1)
         self.e2, self.e1 = self.two[self.slot], self.one[a]
         self.p2, self.p1 = self.e2 >> 3, self.e1 >> 3
-        self.state = ((self.e2 & 7) << 3 | self.e1 & 7 | (self.p1 == self.p2).astype(np.int32) << 6).astype(np.int64)
+        self.same = self.p1 == self.p2
+        self.state = ((self.e2 & 7) << 3 | self.e1 & 7 | self.same.view(np.int8) << np.int32(6)).astype(np.int64)
 
     def interval(self, x: np.ndarray, w2: np.ndarray, w1: np.ndarray, w0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and length of x in the mixture, of 2 ** SCALE."""
-        part = self.ids[x]
-        return w0 * (part >> U32) + w2 * (self.p2 < x) + w1 * (self.p1 < x), w0 * (part & LOW32) + w2 * (self.p2 == x) + w1 * (self.p1 == x)
+        part, y = self.ids[x], x.astype(np.int32)
+        return w0 * (part >> U32) + w2 * (self.p2 < y) + w1 * (self.p1 < y), w0 * (part & LOW32) + w2 * (self.p2 == y) + w1 * (self.p1 == y)
 
     def id_in(self, t: np.ndarray, w2: np.ndarray, w1: np.ndarray, w0: np.ndarray) -> np.ndarray:
         """The id whose interval in the mixture holds t."""
         one, two = self.ids[self.p1], self.ids[self.p2]
-        from1, from2 = w0 * (one >> U32) + w2 * (self.p2 < self.p1), w0 * (two >> U32) + w1 * (self.p1 < self.p2)
-        same = self.p1 == self.p2
-        to1, to2 = from1 + w0 * (one & LOW32) + w1 + w2 * same, from2 + w0 * (two & LOW32) + w2 + w1 * same
-        less = w1 * (t >= to1) + w2 * (t >= to2)
-        v = ((t - less).astype(np.float64) / w0.astype(np.float64)).astype(np.int64)  # both are exact, under 2 ** 30
-        return np.where((t >= from2) & (t < to2), self.p2, np.where((t >= from1) & (t < to1), self.p1, self.id_at(np.minimum(v, (1 << ALL) - 1))))
+        less = self.p2 < self.p1
+        from1, from2 = w0 * (one >> U32) + w2 * less, w0 * (two >> U32) + w1 * ~(less | self.same)
+        to1, to2 = from1 + w0 * (one & LOW32) + w1 + w2 * self.same, from2 + w0 * (two & LOW32) + w2 + w1 * self.same
+        over1, over2 = t >= to1, t >= to2
+        v = ((t - w1 * over1 - w2 * over2).astype(np.float64) / w0.astype(np.float64)).astype(np.int64)  # both are exact, under 2 ** 30
+        y = self.id_at(np.minimum(v, (1 << ALL) - 1))
+        np.copyto(y, self.p1, where=(t >= from1) & ~over1)
+        np.copyto(y, self.p2, where=(t >= from2) & ~over2)
+        return y
 
     def learn(self, ids: np.ndarray) -> None:
         """ids: what came (i64)."""
         n, x = len(ids), ids.astype(np.int32)
         first, a = x << 3 | 1, self.a[:n]
         hit1, hit2 = self.p1 == x, self.p2 == x
-        self.one[a] = np.where(hit1, self.e1 + ((self.e1 & 7) < 7), first)
-        self.two[self.slot] = np.where(hit2, self.e2 + ((self.e2 & 7) < 7), first)
-        key = self.state << 2 | np.where(hit2, 0, np.where(hit1, 1, 2))
-        self.mix += np.bincount(key, minlength=512).reshape(128, 4) * 4
+        self.one[a] = np.where(hit1, MORE[self.e1 & 7] + self.e1, first)
+        self.two[self.slot] = np.where(hit2, MORE[self.e2 & 7] + self.e2, first)
+        self.keys.append(self.state | CASE[hit1.view(np.int8) + 2 * hit2.view(np.int8)])
         self.waiting.append(ids)
         self.b[:n] = a
         self.a[:n] = ids
         self.steps += 1
         if self.steps % REFRESH == 0 or self.steps < REFRESH and self.steps & (self.steps - 1) == 0:
+            self.mix += np.bincount(np.concatenate(self.keys), minlength=512).reshape(4, 128).T * 4
+            self.keys = []
             if (big := self.mix.sum(axis=1) > 1 << 16).any():
                 self.mix[big] = (self.mix[big] >> 1) + 1
             self.count += GAIN * np.bincount(np.concatenate(self.waiting), minlength=self.v)
@@ -358,6 +368,12 @@ class Pieces:
         return out
 
 
+@lru_cache(maxsize=1)
+def pieces_of(path: str, whole_texts: bool = False) -> Pieces:
+    """Pieces that the tasks of a process share; at most PIECES_KEPT stay known after a slice of texts."""
+    return Pieces(path, whole_texts)
+
+
 def by_bytes(texts: list[str], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
     """Slices of texts of about as many characters at most; a longer text is one by itself."""
     first = size = 0
@@ -384,7 +400,7 @@ def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, part, record = Pieces(path, whole_texts), TaskContext.get().partitionId(), 0
+        ids_of, part, record = pieces_of(path, whole_texts), TaskContext.get().partitionId(), 0
         doc_ids, ids, size = [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -432,6 +448,7 @@ def read_ids(records: DataFrame) -> DataFrame:
     at = records.select("part", "record", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("inner")).join(F.broadcast(first), "part").select("part", "record", (F.col("first") + F.col("inner")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces_of.cache_clear()  # the process encodes no more
         for b in batches:
             for first, payload in zip(b.column("first").to_pylist(), b.column("payload")):
                 doc_ids, ids = unpack(payload.as_py())
