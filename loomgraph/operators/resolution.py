@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
 from .graph import family
 
 
@@ -59,3 +60,50 @@ def merge_ghosts(nodes: DataFrame) -> DataFrame:
     """(ghost, id): nodes of another origin than the parser's to the only parsed node with their file and label."""
     parsed = nodes.filter("origin = 'ast'").groupBy("source_file", "label").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
     return nodes.filter("coalesce(origin, '') <> 'ast'").select(F.col("id").alias("ghost"), "source_file", "label").join(parsed, ["source_file", "label"]).filter("ghost <> id").select("ghost", "id")
+
+
+def resolve_imported(calls: DataFrame, imports: DataFrame, defs: DataFrame) -> DataFrame:
+    """(call_id, id): calls (call_id, callee, source_file) of names that their file imports (source_file, module, name, alias) from a
+    module with one definition (module, name, id) of that name."""
+    one = defs.groupBy("module", "name").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).filter("n = 1").drop("n")
+    known = imports.select("source_file", "module", "name", F.coalesce("alias", "name").alias("callee")).distinct().join(one, ["module", "name"])
+    known = known.groupBy("source_file", "callee").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return calls.select("call_id", "callee", "source_file").join(known, ["source_file", "callee"]).select("call_id", "id")
+
+
+def follow_exports(exports: DataFrame, defs: DataFrame, rounds: int = 8) -> DataFrame:
+    """(module, name, id): what modules export, through chains of up to `rounds` re-exports (module, name, from_module,
+    from_name) to a definition (module, name, id). The nearest definition counts; a ring leads nowhere."""
+    known = defs.groupBy("module", "name").agg(F.min("id").alias("id"))
+    hop = exports.groupBy("module", "name").agg(F.min(F.struct("from_module", "from_name")).alias("f")).select("module", "name", "f.from_module", "f.from_name")
+    open_ = hop.join(known.select("module", "name"), ["module", "name"], "left_anti")
+    for _ in range(rounds):
+        step = open_.join(known.select(F.col("module").alias("from_module"), F.col("name").alias("from_name"), "id"), ["from_module", "from_name"], "left")
+        step = materialise(step, "exports")
+        known = known.union(step.filter("id IS NOT NULL").select("module", "name", "id"))
+        open_ = step.filter("id IS NULL").drop("id")
+    return known
+
+
+def resolve_symbols(relations: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ends of relations (document, src, symbol, relation) among symbols (document, symbol, id): the symbol of the same document,
+    else the only one of that name, else a stub. Returns edges (src, dst, relation) and the stubs (id, label)."""
+    same = symbols.groupBy("document", "symbol").agg(F.min("id").alias("same"))
+    only = symbols.groupBy("symbol").agg(F.countDistinct("id").alias("n"), F.min("id").alias("only")).filter("n = 1").drop("n")
+    stub = F.concat(F.lit("external_"), F.regexp_replace(F.regexp_replace(F.lower("symbol"), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", ""))
+    e = relations.join(same, ["document", "symbol"], "left").join(only, "symbol", "left").withColumn("stub", F.coalesce("same", "only").isNull())
+    e = e.select("src", F.coalesce("same", "only", stub).alias("dst"), "relation", "stub", "symbol")
+    stubs = e.filter("stub").groupBy(F.col("dst").alias("id")).agg(F.min("symbol").alias("label"))
+    return e.select("src", "dst", "relation").distinct(), stubs
+
+
+def scip_rows(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(document, symbol, id, line) and (document, src, symbol, relation) of an index's documents (relative_path, symbols array of
+    struct<symbol, relationships array of struct<symbol, is_implementation, is_reference, is_type_definition>, occurrences array of
+    struct<range array<int>>>)."""
+    sid = F.concat_ws("_", *[F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "") for c in (F.col("document"), F.col("s.symbol"))])
+    s = documents.select(F.col("relative_path").alias("document"), F.explode("symbols").alias("s")).filter("s.symbol <> ''").withColumn("id", sid)
+    line = F.try_element_at(F.try_element_at("s.occurrences", F.lit(1))["range"], F.lit(1)) + 1
+    r = s.select("document", F.col("id").alias("src"), F.explode("s.relationships").alias("r"))
+    kind = F.when(F.col("r.is_implementation"), "implements").when(F.col("r.is_type_definition"), "references_type").otherwise("references")
+    return s.select("document", "s.symbol", "id", line.cast("long").alias("line")), r.select("document", "src", "r.symbol", kind.alias("relation"))

@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import answering, building  # noqa: F401  they register their queries
+    from . import answering, building, reading  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
