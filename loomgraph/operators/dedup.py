@@ -54,6 +54,8 @@ def dedup_entities(nodes: DataFrame, least_entropy: float = 2.5) -> DataFrame:
     """(id, survivor) for nodes (id, label, file_type, source_file and maybe community), code never merged: one normalised label
     in one file, or in any files if it is a concept's and has the entropy, then similar labels, each by its least node, closed
     over chains. Shortest, then least id survives."""
+    if "repo" in nodes.columns and nodes.select("repo").distinct().limit(2).count() > 1:
+        raise ValueError("entities of several repositories aren't merged; deduplicate each by itself")
     if "community" not in nodes.columns:
         nodes = nodes.withColumn("community", F.lit(None).cast("int"))
     file = F.coalesce("source_file", F.lit(""))
@@ -80,3 +82,19 @@ def rewire(edges: DataFrame, survivors: DataFrame) -> DataFrame:
     s = survivors.select("id", "survivor")
     e = edges.join(s.withColumnsRenamed({"id": "src", "survivor": "s"}), "src", "left").join(s.withColumnsRenamed({"id": "dst", "survivor": "t"}), "dst", "left")
     return e.withColumns({"src": F.coalesce("s", "src"), "dst": F.coalesce("t", "dst")}).filter("src <> dst").select(*edges.columns).distinct()
+
+
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of sets (label, g array<string>) with a Jaccard similarity of at least `threshold`, a < b. Elements are
+    ordered by how rare they are; similar sets share one of the first n - ceil(threshold * n) + 1 of theirs, so only these are
+    joined, between sets of like sizes; the whole sets decide."""
+    e = sets.select("label", F.size("g").alias("n"), F.explode("g").alias("x"))
+    often = e.groupBy("x").agg(F.count("*").alias("often"))
+    ordered = e.join(often, "x").groupBy("label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("o"))
+    first = ordered.select("label", "n", F.explode(F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("o")).select("label", "n", F.col("o.x").alias("x"))
+    a, b = first.withColumnsRenamed({"label": "a", "n": "na"}), first.withColumnsRenamed({"label": "b", "n": "nb"})
+    pairs = a.join(b, "x").filter((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("label").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("label").alias("b"), F.col("g").alias("gb")), "b")
+    common = F.size(F.array_intersect("ga", "gb"))
+    score = common / (F.size("ga") + F.size("gb") - common)
+    return both.select("a", "b", score.alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9)

@@ -388,22 +388,8 @@ def dfs_preorder(spark, d):
     return traverse.depth_first(g.edges.select(part.alias("part"), "src", "dst"), roots)
 
 
-def _ppr_sql(n: int) -> str:
-    sql = TRADE_IMP + ", sh AS MATERIALIZED (SELECT src, dst, importance / sum(importance) OVER (PARTITION BY src) AS share FROM best), r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM nodes) AS score, id NOT IN (SELECT src FROM sh) AS dang, CASE WHEN id IN ('customer_7', 'part_3') THEN 0.5 ELSE 0 END AS home FROM nodes)"
-    for k in range(n):
-        sql += f", r{k + 1} AS MATERIALIZED (SELECT r.id, 0.85 * coalesce(g.got, 0) + (0.85 * (SELECT sum(score) FROM r{k} WHERE dang) + 0.15) * home AS score, dang, home FROM r{k} r LEFT JOIN (SELECT dst, sum(score * share) AS got FROM sh JOIN r{k} x ON x.id = src GROUP BY dst) g ON g.dst = r.id)"
-    return sql + f" SELECT id, round(score, 7) AS score FROM r{n}"
-
-
-@query(_ppr_sql(5))
-def personalized_pagerank(spark, d):
-    g = testgraph.trade(spark, d)
-    return traverse.pagerank(g.nodes, g.edges, ["customer_7", "part_3"], iterations=5).withColumn("score", F.round("score", 7))
-
-
 @query()
-def personalized_pagerank_converged(spark, d):
-    """Until the scores are stable; `personalized_pagerank` stops after the five rounds that its SQL has."""
+def personalized_pagerank(spark, d):
     g = testgraph.trade(spark, d)
     return traverse.pagerank(g.nodes, g.edges, ["customer_7", "part_3"]).withColumn("score", F.round("score", 7))
 
@@ -414,26 +400,18 @@ def connected_components(spark, d):
     return traverse.components(g.nodes, g.edges)
 
 
-CYCLE_PAIRS = "p AS MATERIALIZED (SELECT DISTINCT s.s_nationkey AS a, c.c_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c.c_custkey JOIN supplier s ON l_suppkey = s.s_suppkey WHERE l_quantity = 50 AND l_discount > 0.07)"
+CYCLES = """WITH p AS MATERIALIZED (SELECT DISTINCT s.s_nationkey AS a, c.c_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c.c_custkey JOIN supplier s ON l_suppkey = s.s_suppkey),
+w2 AS (SELECT a, b, [a, b] AS w FROM p WHERE a < b), w3 AS (SELECT w2.a, p.b, list_append(w, p.b) AS w FROM w2 JOIN p ON p.a = w2.b WHERE p.b > w2.a AND NOT list_contains(w, p.b)),
+w4 AS (SELECT w3.a, p.b, list_append(w, p.b) AS w FROM w3 JOIN p ON p.a = w3.b WHERE p.b > w3.a AND NOT list_contains(w, p.b)), w5 AS (SELECT w4.a, p.b, list_append(w, p.b) AS w FROM w4 JOIN p ON p.a = w4.b WHERE p.b > w4.a AND NOT list_contains(w, p.b)),
+w AS (SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4 UNION ALL SELECT * FROM w5)
+SELECT 1::BIGINT AS length, a::VARCHAR AS cycle FROM p WHERE a = b UNION ALL SELECT len(w), array_to_string(w, '>') FROM w JOIN p ON p.a = w.b AND p.b = w.a"""
 
 
-def _supplies(spark, d, line):
-    p = line.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return p.select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b"))
-
-
-@query(f"WITH {CYCLE_PAIRS} SELECT 1::BIGINT AS length, a::VARCHAR AS cycle FROM p WHERE a = b UNION ALL SELECT 2, x.a || '>' || x.b FROM p x JOIN p y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b UNION ALL SELECT 3, x.a || '>' || x.b || '>' || y.b FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b")
+@query(CYCLES)
 def import_cycles(spark, d):
-    """Cycles of nations that supply each other; nations stand for files. Of a part of the rows and up to three nations, as in
-    its SQL; `import_cycles_whole` has all."""
-    pairs = _supplies(spark, d, table(spark, d, "lineitem").filter("l_quantity = 50 AND l_discount > 0.07"))
-    return longs(traverse.file_cycles(pairs, 3), "length").withColumn("cycle", F.col("cycle").cast("string"))
-
-
-@query()
-def import_cycles_whole(spark, d):
-    """Cycles of up to five nations over all rows."""
-    return longs(traverse.file_cycles(_supplies(spark, d, table(spark, d, "lineitem"))), "length")
+    """Cycles of up to five nations that supply each other; nations stand for files."""
+    p = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return longs(traverse.file_cycles(p.select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b"))), "length").withColumn("cycle", F.col("cycle").cast("string"))
 
 
 # ---- communities ----
@@ -499,18 +477,8 @@ def cross_community_links(spark, d):
     return community.cross_links(g.nodes, g.edges)
 
 
-@query(DIALOGUE + """, bo AS MATERIALIZED (SELECT src, dst FROM links UNION SELECT dst, src FROM links UNION SELECT id, id FROM turns), l0 AS (SELECT id, id AS label FROM turns),
-l1 AS MATERIALIZED (SELECT src AS id, arg_min(label, (-n, label)) AS label FROM (SELECT src, label, count(*) AS n FROM bo JOIN l0 ON l0.id = dst GROUP BY 1, 2) GROUP BY src),
-l2 AS MATERIALIZED (SELECT src AS id, arg_min(label, (-n, label)) AS label FROM (SELECT src, label, count(*) AS n FROM bo JOIN l1 ON l1.id = dst GROUP BY 1, 2) GROUP BY src),
-l3 AS MATERIALIZED (SELECT src AS id, arg_min(label, (-n, label)) AS label FROM (SELECT src, label, count(*) AS n FROM bo JOIN l2 ON l2.id = dst GROUP BY 1, 2) GROUP BY src) SELECT id, label AS community FROM l3""")
-def label_propagation(spark, d):
-    g = testgraph.dialogue(spark, d)
-    return community.label_propagation(g.nodes, g.edges, rounds=3)
-
-
 @query()
-def label_propagation_stable(spark, d):
-    """Until no label changes; `label_propagation` stops after the three rounds that its SQL has."""
+def label_propagation(spark, d):
     g = testgraph.dialogue(spark, d)
     return community.label_propagation(g.nodes, g.edges)
 
@@ -631,7 +599,7 @@ def ranking_metrics(spark, d):
 @query()
 def retrieve_context(spark, d):
     g = testgraph.trade(spark, d)
-    return retrieval.retrieve(g.nodes, g.edges, "Which customers call the red ring?", depth=1, budget=500)
+    return retrieval.retrieve(g.nodes, g.edges, "Which customers call the red ring?")
 
 
 @query("SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS tokens, round(length(text) / greatest(1, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')))::DOUBLE, 6) AS per_word FROM documents")
@@ -659,12 +627,17 @@ def label_entropy(spark, d):
 SHINGLES = "s AS (SELECT label, list_distinct([label[k:k + 2] FOR k IN range(1, greatest(length(label) - 2, 1) + 1)]) AS g FROM (SELECT DISTINCT p_name AS label FROM part))"
 
 
-@query(f"WITH {SHINGLES} SELECT x.label AS a, y.label AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g)))::DOUBLE, 6) AS jaccard FROM s x JOIN s y ON x.label < y.label AND len(list_intersect(x.g, y.g)) > 0")
-def shingle_jaccard(spark, d):
+SIMILAR = f"{SHINGLES}, pairs AS (SELECT x.label AS a, y.label AS b, len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g)))::DOUBLE AS jaccard FROM s x JOIN s y ON x.label < y.label)"
+
+
+def _similar(spark, d, least: float):
     s = table(spark, d, "part").select(F.col("p_name").alias("label")).distinct().withColumn("g", T.shingles(F.col("label")))
-    k = s.select("label", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    both = k.withColumnsRenamed({"label": "a", "n": "na"}).join(k.withColumnsRenamed({"label": "b", "n": "nb"}), "gram").filter("a < b")
-    return both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).select("a", "b", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 6).alias("jaccard"))
+    return dedup.similar_sets(s, least)
+
+
+@query(f"WITH {SIMILAR} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs WHERE jaccard >= 0.5 - 1e-9")
+def shingle_jaccard(spark, d):
+    return _similar(spark, d, 0.5).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query()
@@ -672,11 +645,9 @@ def minhash_candidates(spark, d):
     return dedup.candidates(table(spark, d, "part").select(T.norm_label(F.col("p_name")).alias("label")).distinct())
 
 
-@query("WITH n AS (SELECT DISTINCT lower(p_name) AS l FROM part) SELECT a.l AS a, b.l AS b, round(jaro_winkler_similarity(a.l, b.l), 6) AS jw, round(jaro_similarity(a.l, b.l), 6) AS j FROM n a JOIN n b ON a.l < b.l AND a.l[1:2] = b.l[1:2]")
+@query(f"WITH {SIMILAR} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS jw, round(jaro_similarity(a, b), 6) AS j FROM pairs WHERE jaccard >= 0.4 - 1e-9")
 def jaro_winkler_pairs(spark, d):
-    n = table(spark, d, "part").select(F.lower("p_name").alias("a")).distinct()
-    pairs = n.withColumn("k", F.substring("a", 1, 2)).join(n.select(F.col("a").alias("b"), F.substring("a", 1, 2).alias("k")), "k").filter("a < b")
-    return pairs.select("a", "b", F.round(T.jaro_winkler("a", "b"), 6).alias("jw"), F.round(T.jaro("a", "b"), 6).alias("j"))
+    return _similar(spark, d, 0.4).select("a", "b", F.round(T.jaro_winkler("a", "b"), 6).alias("jw"), F.round(T.jaro("a", "b"), 6).alias("j"))
 
 
 @query("WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS s, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents) SELECT doc_id AS id, s AS survivor FROM g WHERE n > 1")
@@ -691,13 +662,16 @@ def dedup_entities(spark, d):
     return dedup.dedup_entities(n)
 
 
-@query("""WITH n AS (SELECT DISTINCT p_type || p_size AS a FROM part), p AS (SELECT x.a, y.a AS b FROM n x JOIN n y ON x.a < y.a AND x.a[1:4] = y.a[1:4]),
+GUARDED = "n AS (SELECT DISTINCT p_type || p_size AS label FROM part), s AS (SELECT label, list_distinct([label[k:k + 2] FOR k IN range(1, greatest(length(label) - 2, 1) + 1)]) AS g FROM n), p AS (SELECT x.label AS a, y.label AS b FROM s x JOIN s y ON x.label < y.label AND len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g)))::DOUBLE >= 0.6 - 1e-9)"
+
+
+@query(f"""WITH {GUARDED},
 q AS (SELECT a, b, list_sort(list_transform(regexp_extract_all(a, '[0-9]+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0'))) AS na, list_sort(list_transform(regexp_extract_all(b, '[0-9]+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0'))) AS nb,
-regexp_extract(lower(a), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 1) AS sa, regexp_extract(lower(b), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 1) AS sb, regexp_extract(lower(a), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 2) AS ea, regexp_extract(lower(b), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 2) AS eb FROM p)
+regexp_extract(lower(a), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{{2,}})$', 1) AS sa, regexp_extract(lower(b), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{{2,}})$', 1) AS sb, regexp_extract(lower(a), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{{2,}})$', 2) AS ea, regexp_extract(lower(b), '^(.*[a-z])([0-9]+[a-z]*|[a-z]{{2,}})$', 2) AS eb FROM p)
 SELECT a, b, na <> nb AS numbers, greatest(length(a), length(b)) < 12 AND sa <> '' AND sa = sb AND ea <> eb AS variants FROM q""")
 def merge_guards(spark, d):
-    n = table(spark, d, "part").select(F.concat("p_type", F.col("p_size").cast("string")).alias("a")).distinct()
-    p = n.withColumn("k", F.substring("a", 1, 4)).join(n.select(F.col("a").alias("b"), F.substring("a", 1, 4).alias("k")), "k").filter("a < b")
+    n = table(spark, d, "part").select(F.concat("p_type", F.col("p_size").cast("string")).alias("label")).distinct()
+    p = dedup.similar_sets(n.withColumn("g", T.shingles(F.col("label"))), 0.6)
     return p.select("a", "b", T.numbers_differ(F.col("a"), F.col("b")).alias("numbers"), T.variant_pair(F.lower("a"), F.lower("b")).alias("variants"))
 
 

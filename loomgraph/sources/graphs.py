@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import explode_secondary
-from .sinks import node_link
+from .sinks import node_link, put
 
 #: Bytes that a graph in one JSON document may have; beyond, write lines with `sinks.write_graph`.
 MOST_BYTES = 512 << 20
@@ -37,7 +35,8 @@ def read_graph(spark: SparkSession, path: str, tolerant: bool = False, expand: b
     if (size := fs.getContentSummary(at).getLength()) > MOST_BYTES:
         raise ValueError(f"{path} has {size} bytes; a document may have {MOST_BYTES}")
     doc = spark.read.option("multiLine", True).json(path)
-    there = [c for c in ("links", "edges") if c in doc.columns]
+    listed = lambda c: c in doc.columns and doc.schema[c].dataType.simpleString().startswith("array<struct")  # noqa: E731  an empty list has no fields
+    there = [c for c in ("links", "edges") if listed(c)]
     nodes = doc.select(F.explode("nodes").alias("n")).select("n.*")
     edges = doc.select(F.explode(F.coalesce(*[F.col(c) for c in there])).alias("e")).select("e.*") if there else None
     if tolerant:
@@ -72,23 +71,8 @@ def document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def write_whole(df: DataFrame, path: str, backup: str | None = None) -> None:
-    """Write df as text beside path and then put it in its place, so that readers see the old files or the new ones. backup: a
-    name under which what stood there is kept."""
-    spark = df.sparkSession
-    fs, at = _fs(spark, path)
-    fresh = _fs(spark, f"{path}.{uuid.uuid4().hex}")[1]
-    df.write.text(fresh.toString())
-    if fs.exists(at):
-        old = _fs(spark, f"{path}.{backup or uuid.uuid4().hex}")[1]
-        if not fs.rename(at, old):
-            raise OSError(f"{path} can't be moved")
-        if not fs.rename(fresh, at):
-            fs.rename(old, at)
-            raise OSError(f"{path} can't be written")
-        if not backup:
-            fs.delete(old, True)
-    elif not fs.rename(fresh, at):
-        raise OSError(f"{path} can't be written")
+    """Write df as text in the place of what stands at path, see `sinks.put`."""
+    put(df, path, lambda rows, at: rows.write.text(at), backup)
 
 
 def _xml(text: Column) -> Column:

@@ -130,19 +130,30 @@ def code_files(files: DataFrame) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to root, mtime, text) of all files below root."""
+    """(path relative to root, mtime, text) of all files below root, but for those whose name begins with a dot or _, which
+    Spark's readers leave out."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.lit(re.sub(r"^file:/*", "/", root).rstrip("/") + "/")
     plain = F.regexp_replace("path", "^file:/*", "/")
     return f.select(F.replace(plain, base, F.lit("")).alias("path"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("text"))
 
 
-def ignore_rules(files: DataFrame, names: tuple[str, ...] = (".gitignore",)) -> list[tuple[str, str]]:
-    """(folder, line) of the ignore files among files (path, text), outer folders first, in the order of `names` in one folder."""
-    name = F.element_at(F.split("path", "/"), -1)
-    found = files.filter(name.isin(*names)).select("path", "text").collect()
-    rows = sorted(((r["path"].count("/"), r["path"].rpartition("/")[0], names.index(r["path"].rpartition("/")[2]), r["text"] or "") for r in found))
-    return [(folder, line) for _, folder, _, text in rows for line in text.lstrip("﻿").splitlines()]
+def ignore_rules(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitignore",)) -> list[tuple[str, str]]:
+    """(folder, line) of the ignore files below root, outer folders first, in the order of `names` in one folder. They are
+    looked for level by level, and read on the driver: a few lines each."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top, level, out = at(root).toUri().getPath().rstrip("/"), root.rstrip("/"), []
+    while fs.globStatus(at(f"{level}/*")):
+        found = [(s.getPath().getParent().toUri().getPath()[len(top) + 1 :], k, s.getPath()) for k, name in enumerate(names) for s in fs.globStatus(at(f"{level}/{name}")) or []]
+        for folder, _, path in sorted(found, key=lambda x: x[:2]):
+            stream = fs.open(path)
+            text = bytes(stream.readAllBytes()).decode("utf-8-sig", "ignore")
+            stream.close()
+            out += [(folder, line) for line in text.splitlines()]
+        level += "/*"
+    return out
 
 
 def save_manifest(files: DataFrame, path: str, previous: DataFrame | None = None) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,32 @@ def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows(nodes, "node").union(rows(e, "link"))
 
 
+def put(df: DataFrame, path: str, write, backup: str | None = None) -> None:
+    """Write df beside path by write(df, where), then put it in its place: df may be read from path, and readers see the old
+    files or the new ones. backup: a name under which what stood there is kept."""
+    spark = df.sparkSession
+    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fresh, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{backup or uuid.uuid4().hex}"
+    write(df, fresh)
+    was = fs.exists(at(path))
+    if was and not fs.rename(at(path), at(old)):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(at(fresh), at(path)):
+        if was:
+            fs.rename(at(old), at(path))
+        raise OSError(f"{path} can't be written")
+    if was and not backup:
+        fs.delete(at(old), True)
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, previous: DataFrame | None = None, rebuilt: DataFrame | None = None) -> None:
     """Write both kinds below path, in one folder each; refuse if nodes of `previous` are gone whose files weren't rebuilt."""
     if previous is not None:
         lost = unexplained_losses(previous, nodes, rebuilt if rebuilt is not None else previous.limit(0)).limit(1).count()
         if lost:
             raise ValueError("nodes were lost whose files weren't rebuilt")
-    node_link(nodes, edges).write.mode("overwrite").partitionBy("kind").text(path)
+    put(node_link(nodes, edges), path, lambda df, at: df.write.partitionBy("kind").text(at))
 
 
 def _quoted(c: Column) -> Column:

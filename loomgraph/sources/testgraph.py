@@ -106,7 +106,7 @@ def dialogue(spark: SparkSession, d: str) -> Graph:
     """Turns, each leading to the next one of its conversation."""
     t = table(spark, d, "conversations")
     name = lambda turn: F.format_string("t%08d_%06d", F.col("conv_id"), turn)
-    nodes = t.select(name(F.col("turn")).alias("id"), F.substring("text", 1, 40).alias("label"), F.lit("document").alias("file_type"), F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("source_file"), F.lit(None).cast("int").alias("community"))
+    nodes = t.select(name(F.col("turn")).alias("id"), F.col("text").alias("label"), F.lit("document").alias("file_type"), F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("source_file"), F.lit(None).cast("int").alias("community"))
     later = t.select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"))
     edges = t.join(later, (F.col("conv_id") == F.col("c2")) & (F.col("turn") + 1 == F.col("t2"))).select(name(F.col("turn")).alias("src"), name(F.col("turn") + 1).alias("dst"), F.lit("calls").alias("relation"), F.lit("EXTRACTED").alias("confidence"), F.lit("call").alias("context"))
     return Graph(nodes, edges.distinct())

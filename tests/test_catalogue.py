@@ -82,7 +82,7 @@ def test_streams_agree_with_batches(spark, sf, tmp_path):
     assert os.path.isdir(f"{tmp_path}/t")
 
 
-def test_import_cycles_whole(spark, sf, con):
+def test_import_cycles(spark, sf, con):
     pairs = con.sql("SELECT DISTINCT s_nationkey, c_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey").fetchall()
     after = {}
     for a, b in pairs:
@@ -99,7 +99,7 @@ def test_import_cycles_whole(spark, sf, con):
     for a in after:
         walk([a])
     assert max(want)[0] == 5
-    assert sorted(map(tuple, catalogue.queries()["import_cycles_whole"](spark, sf).select("length", "cycle").collect())) == sorted(want)
+    assert sorted(map(tuple, catalogue.queries()["import_cycles"](spark, sf).select("length", "cycle").collect())) == sorted(want)
 
 
 def test_pagerank_converges(spark, sf):
@@ -122,7 +122,7 @@ def test_pagerank_converges(spark, sf):
         change, rank, rounds = sum(abs(new[x] - rank[x]) for x in ids), new, rounds + 1
         if change < 1e-6 * len(ids):
             break
-    got = {r["id"]: r["score"] for r in catalogue.queries()["personalized_pagerank_converged"](spark, sf).collect()}
+    got = {r["id"]: r["score"] for r in catalogue.queries()["personalized_pagerank"](spark, sf).collect()}
     assert rounds > 5 and got.keys() == rank.keys()
     assert all(abs(got[x] - rank[x]) < 2e-7 for x in ids)
 
@@ -130,7 +130,7 @@ def test_pagerank_converges(spark, sf):
 def test_communities_of_chains_are_whole(spark, sf, con):
     chains = con.sql("SELECT conv_id, min(turn), count(*), max(turn) - min(turn) + 1 FROM conversations GROUP BY conv_id").fetchall()
     assert all(n == span for _, _, n, span in chains) and max(n for _, _, n, _ in chains) > 6
-    for name in ("label_propagation_stable", "louvain_communities"):
+    for name in ("label_propagation", "louvain_communities"):
         got = {}
         for r in catalogue.queries()[name](spark, sf).collect():
             got.setdefault(r["community"], set()).add(r["id"])
