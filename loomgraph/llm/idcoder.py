@@ -39,7 +39,7 @@ LANES, LANE = 4096, 256
 #: Ids that a record holds before it is closed at the end of a document.
 RECORD = 1 << 21
 HASH_BITS = 18
-REFRESH = 16
+REFRESH = 64
 GAIN = 32
 #: The weights of the three orders add up to 2 ** WEIGHTS, the lengths of all ids in order 0 to 2 ** ALL at most. A range of
 #: 2 ** 32 or more keeps 2 ** (32 - WEIGHTS - ALL) after a step at least, so that one 32-bit word, put out where it is under
@@ -49,15 +49,15 @@ SCALE, UALL = np.uint64(WEIGHTS + ALL), np.uint64(ALL)
 MOST = (1 << WEIGHTS + ALL) - 1
 BOT, LOW32 = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
 U0, U32 = np.uint64(0), np.uint64(32)
-#: What one more hit adds to a count of seven at most; by hits of order 1 and twice those of order 2: which order was right.
-MORE = np.array([1] * 7 + [0], np.int32)
+#: By hits of order 1 and twice those of order 2: which order was right.
 CASE = np.array([2, 1, 0, 0], np.int64) << 7
-PIECES_KEPT = 250_000
+PIECES_KEPT = 500_000
 #: Characters of texts that are cut into pieces together, and new pieces that the library gets as one text.
 AT_ONCE, NEW_AT_ONCE = 4 << 20, 500
 #: Characters, in lower case or not, and pieces for which the tokenizer file's rules are these.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
 NONE = re.compile("(?!)")
+NOT_PLAIN = "[^\t\n\r\x20-\x7e\xa1-\xff]"
 NOT_LETTERS = "'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾ \t\n\r]+"
 
 
@@ -112,31 +112,37 @@ class Model:
         self.state = ((self.e2 & 7) << 3 | self.e1 & 7 | self.same.view(np.int8) << np.int32(6)).astype(np.int64)
 
     def interval(self, x: np.ndarray, w2: np.ndarray, w1: np.ndarray, w0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length of x in the mixture, of 2 ** SCALE."""
-        part, y = self.ids[x], x.astype(np.int32)
-        return w0 * (part >> U32) + w2 * (self.p2 < y) + w1 * (self.p1 < y), w0 * (part & LOW32) + w2 * (self.p2 == y) + w1 * (self.p1 == y)
+        """Start and length of x (i32) in the mixture, of 2 ** SCALE; which orders foresaw it is noted."""
+        part = self.ids[x]
+        self.hit1, self.hit2 = self.p1 == x, self.p2 == x
+        return w0 * (part >> U32) + w2 * (self.p2 < x) + w1 * (self.p1 < x), w0 * (part & LOW32) + w2 * self.hit2 + w1 * self.hit1
 
-    def id_in(self, t: np.ndarray, w2: np.ndarray, w1: np.ndarray, w0: np.ndarray) -> np.ndarray:
-        """The id whose interval in the mixture holds t."""
+    def found(self, t: np.ndarray, w2: np.ndarray, w1: np.ndarray, w0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id (i64) whose interval in the mixture holds t, and that interval; which orders foresaw it is noted."""
         one, two = self.ids[self.p1], self.ids[self.p2]
         less = self.p2 < self.p1
         from1, from2 = w0 * (one >> U32) + w2 * less, w0 * (two >> U32) + w1 * ~(less | self.same)
-        to1, to2 = from1 + w0 * (one & LOW32) + w1 + w2 * self.same, from2 + w0 * (two & LOW32) + w2 + w1 * self.same
-        over1, over2 = t >= to1, t >= to2
-        v = ((t - w1 * over1 - w2 * over2).astype(np.float64) / w0.astype(np.float64)).astype(np.int64)  # both are exact, under 2 ** 30
+        size1, size2 = w0 * (one & LOW32) + w1 + w2 * self.same, w0 * (two & LOW32) + w2 + w1 * self.same
+        over1, over2 = t >= from1 + size1, t >= from2 + size2
+        start = w1 * over1 + w2 * over2
+        v = ((t - start).astype(np.float64) / w0.astype(np.float64)).astype(np.int64)  # both are exact, under 2 ** 30
         y = self.id_at(np.minimum(v, (1 << ALL) - 1))
-        np.copyto(y, self.p1, where=(t >= from1) & ~over1)
-        np.copyto(y, self.p2, where=(t >= from2) & ~over2)
-        return y
-
-    def learn(self, ids: np.ndarray) -> None:
-        """ids: what came (i64)."""
-        n, x = len(ids), ids.astype(np.int32)
+        part = self.ids[y]
+        start += w0 * (part >> U32)
+        size = w0 * (part & LOW32)
+        self.hit1, self.hit2 = (t >= from1) & ~over1, (t >= from2) & ~over2
+        for hit, p, begin, length in ((self.hit1, self.p1, from1, size1), (self.hit2, self.p2, from2, size2)):
+            w = np.flatnonzero(hit)
+            y[w], start[w], size[w] = p[w], begin[w], length[w]
+        return y, start, size
+
+    def learn(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """ids: what came (i64), x: the same (i32)."""
+        n = len(ids)
         first, a = x << 3 | 1, self.a[:n]
-        hit1, hit2 = self.p1 == x, self.p2 == x
-        self.one[a] = np.where(hit1, MORE[self.e1 & 7] + self.e1, first)
-        self.two[self.slot] = np.where(hit2, MORE[self.e2 & 7] + self.e2, first)
-        self.keys.append(self.state | CASE[hit1.view(np.int8) + 2 * hit2.view(np.int8)])
+        self.one[a] = np.where(self.hit1, self.e1 + ((self.e1 & 7) < 7), first)
+        self.two[self.slot] = np.where(self.hit2, self.e2 + ((self.e2 & 7) < 7), first)
+        self.keys.append(self.state | CASE[self.hit1.view(np.int8) + 2 * self.hit2.view(np.int8)])
         self.waiting.append(ids)
         self.b[:n] = a
         self.a[:n] = ids
@@ -170,6 +176,7 @@ def encode_block(ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
     rows[:full] = ids[: full * steps].reshape(full, steps)
     rows[full:, : steps - 1] = ids[full * steps :].reshape(lanes - full, steps - 1)
     columns = np.ascontiguousarray(rows.T)
+    short = columns.astype(np.int32)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     width = steps + 2  # a step gives a word at most, the end two
     out = np.zeros(lanes * width, np.uint32)
@@ -180,7 +187,7 @@ def encode_block(ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
         k = lanes if s < steps - 1 else full
         x = columns[s, :k]
         model.predict(k)
-        start, length = model.interval(x, model.w2[model.state], model.w1[model.state], model.w0[model.state])
+        start, length = model.interval(short[s, :k], model.w2[model.state], model.w1[model.state], model.w0[model.state])
         r = rng[:k] >> SCALE
         up = r * start
         r *= length
@@ -199,7 +206,7 @@ def encode_block(ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
             lo[w] = top << U32
             r[w] <<= U32
         rng[:k] = r
-        model.learn(x)
+        model.learn(x, short[s, :k])
     out[at], out[at + 1] = (low >> U32).astype(np.uint32), (low & LOW32).astype(np.uint32)
     filled = at + 2 - base
     body = filled.astype("<u4").tobytes() + out.reshape(lanes, width)[np.arange(width)[None, :] < filled[:, None]].astype("<u4").tobytes()
@@ -235,8 +242,7 @@ def decode_block(data: bytes, at: int = 0, vocabulary: int = VOCABULARY) -> tupl
             t = np.minimum(d.astype(np.float64) / r.astype(np.float64), MOST).astype(np.uint64)
             if len(w := np.flatnonzero(d - r * t >= r)):  # the floating-point quotient was off by one, or the end was met
                 t[w] = np.minimum(d[w] // r[w], np.uint64(MOST))
-            x = model.id_in(t, w2, w1, w0)
-            start, length = model.interval(x, w2, w1, w0)
+            x, start, length = model.found(t, w2, w1, w0)
             rest = d - r * start
             length *= r
             if len(w := np.flatnonzero(length < BOT)):
@@ -246,7 +252,7 @@ def decode_block(data: bytes, at: int = 0, vocabulary: int = VOCABULARY) -> tupl
                 length[w] <<= U32
             above[:k], rng[:k] = rest, length
             columns[s, :k] = x
-            model.learn(x)
+            model.learn(x, x.astype(np.int32))
         rows = columns.T
         ids[: full * steps] = rows[:full].ravel()
         ids[full * steps :] = rows[full:, : steps - 1].ravel()
@@ -282,19 +288,6 @@ def unpack(data: bytes, vocabulary: int = VOCABULARY) -> tuple[list, list[np.nda
     return doc_ids, np.split(flat, np.cumsum(lengths)[:-1]) if n else []
 
 
-class Numbers(dict):
-    """piece -> its number, the next one for a new piece, which is then noted."""
-
-    def __init__(self, known: dict[str, int]):
-        super().__init__(known)
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        self[piece] = n = len(self)
-        return n
-
-
 class Pieces:
     """Ids of whole texts, through ids that the library gave for their pieces.
 
@@ -318,7 +311,7 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.known = Numbers({"": 0})  # what white space at either end of a text leaves has no ids
+        self.known = pa.array([""], pa.large_string())  # pieces by number; what white space at either end of a text leaves has no ids
         self.starts, self.sizes, self.store = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.int32)
 
     def add(self, new: list[str]) -> None:
@@ -332,30 +325,37 @@ class Pieces:
         self.starts = np.append(self.starts, starts + len(self.store))
         self.store = np.append(self.store, ids)
 
-    def cut(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    def cut(self, texts: pa.Array) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Which texts go to the library whole; of the others the numbers of their pieces, and where each text's begin and end."""
         if len(self.known) > PIECES_KEPT:
             self.clear()
-        whole = [k for k, t in enumerate(texts) if "<|" in t or not self.plain.fullmatch(t)]
-        skip = set(whole)
-        lower = pc.utf8_lower(pa.array(["" if k in skip else t for k, t in enumerate(texts)], pa.large_string()))
+        odd = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, NOT_PLAIN)) if self.plain is PLAIN else pa.array([True] * len(texts), pa.bool_())
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        lower = pc.utf8_lower(pc.if_else(odd, pa.scalar("", texts.type), texts) if whole else texts)
         parts = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, NOT_LETTERS, r" \0 "))
         pieces = parts.flatten().dictionary_encode()
-        number = np.array([self.known[p] for p in pieces.dictionary.to_numpy(zero_copy_only=False)], np.int64)
-        self.add(self.known.new)
-        self.known.new = []
+        met = pieces.dictionary.cast(pa.large_string())
+        number = pc.fill_null(pc.index_in(met, value_set=self.known), -1).to_numpy().astype(np.int64)
+        if len(new := np.flatnonzero(number < 0)):
+            number[new] = len(self.known) + np.arange(len(new))
+            fresh = met.take(pa.array(new))
+            self.add(fresh.to_pylist())
+            self.known = pa.concat_arrays([self.known, fresh])
         return whole, number[pieces.indices.to_numpy()], np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def encoded(self, texts: pa.Array, whole: list[int]) -> list:
+        return self.tok.encode_batch_fast(texts.take(pa.array(whole, pa.int64())).to_pylist(), add_special_tokens=False)
+
+    def counts(self, texts: pa.Array) -> list[int]:
         """Ids of each text."""
         whole, number, ends = self.cut(texts)
         upto = np.concatenate([[0], np.cumsum(self.sizes[number])])[ends]
         out = np.diff(upto).tolist()
-        for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
+        for k, e in zip(whole, self.encoded(texts, whole)):
             out[k] = len(e)
         return out
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text and the end id."""
         whole, number, ends = self.cut(texts)
         size = self.sizes[number]
@@ -363,7 +363,7 @@ class Pieces:
         flat = self.store[np.repeat(self.starts[number] - upto[:-1], size) + np.arange(upto[-1])]
         cuts = upto[ends]
         out = [np.append(flat[a:b], np.int32(END)) for a, b in zip(cuts[:-1], cuts[1:])]
-        for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
+        for k, e in zip(whole, self.encoded(texts, whole)):
             out[k] = np.array([*e.ids, END], np.int32)
         return out
 
@@ -374,16 +374,21 @@ def pieces_of(path: str, whole_texts: bool = False) -> Pieces:
     return Pieces(path, whole_texts)
 
 
-def by_bytes(texts: list[str], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
-    """Slices of texts of about as many characters at most; a longer text is one by itself."""
+def by_bytes(sizes: list[int], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Slices of texts of about as many bytes at most; a longer text is one by itself."""
     first = size = 0
-    for k, t in enumerate(texts):
-        if k > first and size + len(t) > most:
+    for k, n in enumerate(sizes):
+        if k > first and size + n > most:
             yield first, k
             first, size = k, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+        size += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def slices_of(texts: pa.Array) -> Iterator[pa.Array]:
+    for a, b in by_bytes(pc.binary_length(texts).to_pylist()):
+        yield texts.slice(a, b - a)
 
 
 def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None, whole_texts: bool = False) -> DataFrame:
@@ -407,15 +412,13 @@ def write_ids(docs: DataFrame, path: str | None = None, at: str | None = None, w
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([record], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(doc_ids, ids)], pa.binary())], names=["part", "record", "n_docs", "n_tokens", "payload"])
 
         for b in batches:
-            all_ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for k, far in by_bytes(texts):
-                for d, x in zip(all_ids[k:far], ids_of.batch(texts[k:far])):
-                    doc_ids.append(d)
-                    ids.append(x)
-                    size += len(x)
-                    if size >= RECORD:
-                        yield close()
-                        doc_ids, ids, size, record = [], [], 0, record + 1
+            for d, x in zip(b.column("doc_id").to_pylist(), (x for texts in slices_of(b.column("text")) for x in ids_of.batch(texts))):
+                doc_ids.append(d)
+                ids.append(x)
+                size += len(x)
+                if size >= RECORD:
+                    yield close()
+                    doc_ids, ids, size, record = [], [], 0, record + 1
         if ids:
             yield close()
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean, materialise, small_batches
-from .idcoder import Pieces, by_bytes
+from .idcoder import Pieces, slices_of
 from .tokens import default_path
 
 BUNDLES = 16384
@@ -61,8 +61,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, path: str | None = None)
         def run(batches):
             pieces = Pieces(path)
             for b in batches:
-                texts = b.to_pylist()
-                yield pa.array([n for a, z in by_bytes(texts) for n in pieces.counts(texts[a:z])], pa.int64())
+                yield pa.array([n for texts in slices_of(b) for n in pieces.counts(texts)], pa.int64())
 
         return lean(run)(batches)
 
