@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
+
 # Which relations prove which kind of claim.
 GROUPS = {"calls": ("calls", "indirect_call"), "imports": ("imports", "imports_from", "uses"), "inherits": ("inherits", "extends", "implements", "overrides", "mixes_in"), "method_of": ("method", "contains", "defines")}
 SUPPORTED, CONTRADICTED, UNKNOWN = "SUPPORTED", "CONTRADICTED", "UNKNOWN"
@@ -20,32 +22,67 @@ def bare_name(label: Column) -> Column:
     return F.element_at(F.split(F.element_at(F.split(F.regexp_replace(F.trim(label), r"\(\)$", ""), r"\."), -1), "/"), -1)
 
 
+#: Lengths of the windows that parts of names are looked up by; two windows of the greatest that fits cover a name under the next.
+WINDOWS = (1, 2, 3, 6, 12, 24, 48, 96)
+
+
+def _windows(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of each of the given lengths in a text."""
+    none = F.array().cast("array<string>")
+
+    def runs(k: int) -> Column:
+        return F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))).otherwise(none)
+
+    return F.array_distinct(F.concat(*map(runs, sizes)))
+
+
+def _ends(text: Column) -> Column:
+    """The first and the last window of a name, of the greatest length in WINDOWS that fits; none of an empty one."""
+    size = F.coalesce(*[F.when(F.length(text) >= k, F.lit(k)) for k in reversed(WINDOWS)])
+    return F.when(size.isNotNull(), F.array_distinct(F.array(F.substring(text, F.lit(1), size), F.substring(text, F.length(text) - size + 1, size))))
+
+
+def _parts(q: DataFrame, n: DataFrame) -> DataFrame:
+    """(name, id) where the label or id holds q, or the last part of the label bq. Windows of nodes that a name begins or ends with
+    are kept and counted; then a name is tried on the nodes that have the rarer one of its two, be they many for the other."""
+    want = q.select("name", F.explode(F.array(F.struct(F.lit(False).alias("bare"), F.col("q").alias("text")), F.struct(F.lit(True).alias("bare"), F.col("bq").alias("text")))).alias("w")).select("name", "w.*")
+    want = materialise(want.filter("text <> ''").select("name", "bare", "text", F.explode(_ends(F.col("text"))).alias("gram")), "wanted")
+    sizes = sorted(r[0] for r in want.select(F.length("gram")).distinct().collect())  # of WINDOWS
+    if not sizes:
+        return q.select("name", F.lit("").alias("id")).limit(0)
+    where = F.array_union(F.array_union(_windows(F.col("label"), sizes), _windows(F.col("nid"), sizes)), _windows(F.col("bare"), sizes))
+    n = n.repartition(int(n.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")  # a small file is one task, its windows are many
+    places = n.select("id", "label", "nid", F.col("bare").alias("own"), F.explode(where).alias("gram"))
+    places = materialise(places.join(want.select("gram").distinct(), "gram", "left_semi"), "windows")
+    rows = places.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = want.join(rows, "gram").groupBy("name", "bare", "text").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("there"), F.min("n").alias("n"))
+    rare = rare.join(want.groupBy("name", "bare").agg(F.count("*").alias("of")), ["name", "bare"]).filter("there = of")  # else no node has both
+    inside = F.when(F.col("bare"), F.contains("own", "text")).otherwise(F.contains("label", "text") | F.contains("nid", "text"))
+    return places.join(materialise(rare.select("name", "bare", "text", "gram"), "rare"), "gram").filter(inside).select("name", "id")
+
+
 def candidates(names: DataFrame, nodes: DataFrame, most: int = 8) -> DataFrame:
     """(name, id, tier, place): the nodes that a name may mean, `most` at most: by id (0), label (1), last part of the label (2),
     ending of the file's path (3), part of the label or id (4); ties by id.
 
-    Names and nodes meet by keys: whole ones, up to twelve last characters of paths, and for parts the first three characters
-    of the name among those of the label; the rest is verified. Names under three characters are tried on all nodes.
+    Names and nodes meet by keys: whole ones, up to twelve last characters of paths, and for parts the rarer of the windows that
+    a name begins and ends with; the rest is verified. Names are written first, so that a few are sent to the nodes, and
+    never the nodes to them.
     """
     n = nodes.select("id", norm(F.col("id")).alias("nid"), norm(F.coalesce("label", "id")).alias("label"), norm(bare_name(F.coalesce("label", "id"))).alias("bare"), norm(F.coalesce("source_file", F.lit(""))).alias("file"))
     q = names.select("name").distinct().select("name", norm(F.col("name")).alias("q"), norm(bare_name(F.col("name"))).alias("bq")).filter("q <> ''")
+    q = materialise(q, "names")
     k = lambda tier, key: F.struct(F.lit(tier).alias("tier"), key.alias("key"))
-    keys = n.select("id", F.explode(F.array(k(0, F.col("nid")), k(0, F.lower("id")), k(1, F.col("label")), k(1, F.regexp_replace("label", r"[()]+$", "")))).alias("k")).select("id", "k.*")
+    keys = n.select("id", F.explode(F.array(k(0, F.col("nid")), k(0, F.lower("id")), k(1, F.col("label")), k(1, F.regexp_replace("label", r"[()]+$", "")))).alias("k")).select("id", "k.*").distinct()
     exact = q.join(keys, F.col("q") == F.col("key")).select("name", "id", "tier")
     by_bare = q.filter("bq <> ''").join(n.select("id", "bare"), F.col("bq") == F.col("bare")).select("name", "id", F.lit(2).alias("tier"))
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
-    places = n.select("id", "nid", "label", "bare", F.explode(F.array_distinct(F.concat(grams(F.col("label")), grams(F.col("nid"))))).alias("gram"))
-    inside = F.contains("label", F.col("q")) | F.contains("nid", F.col("q")) | ((F.col("bq") != "") & F.contains("bare", F.col("bq")))
-    starts = q.select("name", "q", "bq", F.explode(F.array_distinct(F.array(F.substring("q", 1, 3), F.substring("bq", 1, 3)))).alias("gram"))
-    part = starts.filter(F.length("gram") == 3).join(places, "gram").filter(inside).select("name", "id", F.lit(4).alias("tier"))
-    short = q.filter((F.length("q") < 3) | ((F.length("bq") < 3) & (F.col("bq") != "")))
-    few = short.join(n, inside).select("name", "id", F.lit(4).alias("tier"))
+    part = _parts(q, n).select("name", "id", F.lit(4).alias("tier"))
     tail = q.select("name", "q", F.substring("q", -12, 12).alias("t"))
     files = n.filter("file <> ''").select("file").distinct()
     files = files.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("file"), F.lit(12))), lambda i: F.substring(F.col("file"), -i, i))).alias("t"))
     ended = tail.join(files, "t").filter(F.endswith("file", F.col("q"))).select("name", "file").distinct()
     cut = ended.join(n.select("id", "file"), "file").select("name", "id", F.lit(3).alias("tier"))
-    hit = exact.union(by_bare).union(part).union(few).union(cut).groupBy("name", "id").agg(F.min("tier").alias("tier"))
+    hit = exact.union(by_bare).union(part).union(cut).groupBy("name", "id").agg(F.min("tier").alias("tier"))
     salt = F.pmod(F.xxhash64("id"), F.lit(32))  # a common name's nodes are ranked in parts first
     first = hit.withColumn("p", F.row_number().over(Window.partitionBy("name", salt).orderBy("tier", "id"))).filter(F.col("p") <= most)
     best = first.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("tier", "id")))
@@ -62,17 +99,23 @@ def check(claims: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     resolves; a relation one if some candidates are joined by a proving relation, in its direction. `inherits` and
     `method_of` are contradicted if both ends resolve and the first has such relations, only to others."""
     names = claims.select(F.col("source").alias("name")).union(claims.select("target")).dropna()
-    found = resolve(names, nodes)
+    found = materialise(resolve(names, nodes), "found")
+    ids = found.select("id").distinct()
+    # only edges between nodes that a claim may mean decide whether one holds
+    near = edges.select("src", "dst", "relation").join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    near = materialise(near.distinct(), "near")
     ends = claims.join(found.select(F.col("name").alias("source"), F.col("id").alias("s")), "source", "left").join(found.select(F.col("name").alias("target"), F.col("id").alias("t")), "target", "left")
     proof = [(k, r) for k, rs in GROUPS.items() for r in rs]
     spark = claims.sparkSession
     proves = F.broadcast(spark.createDataFrame(proof, "type string, relation string"))  # a fixed list
-    typed = edges.join(proves, "relation").select("type", F.when(F.col("type") == "method_of", F.col("dst")).otherwise(F.col("src")).alias("s"), F.when(F.col("type") == "method_of", F.col("src")).otherwise(F.col("dst")).alias("t"))
-    own = edges.select(F.lit("relation").alias("type"), "src", "dst", "relation")
+    typed = near.join(proves, "relation").select("type", F.when(F.col("type") == "method_of", F.col("dst")).otherwise(F.col("src")).alias("s"), F.when(F.col("type") == "method_of", F.col("src")).otherwise(F.col("dst")).alias("t"))
+    own = near.select(F.lit("relation").alias("type"), "src", "dst", "relation")
     hit = ends.join(typed.distinct().withColumn("hit", F.lit(True)), ["type", "s", "t"], "left")
     hit = hit.join(own.select("type", F.col("src").alias("s"), F.col("dst").alias("t"), "relation").distinct().withColumn("named", F.lit(True)), ["type", "s", "t", "relation"], "left")
-    # what the owner of a claim has of that kind at all: for inherits its own edges, for method_of those of the target
-    has = typed.select("type", F.when(F.col("type") == "method_of", F.col("t")).otherwise(F.col("s")).alias("owner")).distinct().withColumn("has", F.lit(True))
+    # what the owner of a claim has of that kind at all: for inherits its own edges, for method_of those of the target, which
+    # stand at the same end; of other kinds nothing is contradicted
+    owns = edges.filter(F.col("relation").isin(*[r for k, r in proof if k in ("inherits", "method_of")])).join(ids.select(F.col("id").alias("src")), "src", "left_semi")
+    has = owns.join(proves, "relation").select("type", F.col("src").alias("owner")).distinct().withColumn("has", F.lit(True))
     hit = hit.withColumn("owner", F.when(F.col("type") == "method_of", F.col("t")).otherwise(F.col("s"))).join(has, ["type", "owner"], "left")
     by = hit.groupBy("claim_id", "type").agg(
         F.max(F.coalesce("hit", "named", F.lit(False))).alias("hit"), F.max(F.col("s").isNotNull()).alias("s"), F.max(F.col("t").isNotNull()).alias("t"), F.max(F.coalesce("has", F.lit(False))).alias("has")

@@ -168,3 +168,21 @@ def test_files_and_communities_decide_what_merges(spark):
     assert got == [0, 1, 1, 0]
     n = spark.createDataFrame([("d1", "Overview of the service", "document", "a.md"), ("d2", "Overview of the service", "document", "b.md"), ("d3", "overview of the service", "document", "a.md"), ("c1", "Storage of the service", "concept", "a.md"), ("c2", "storage of the service", "concept", "b.md")], "id string, label string, file_type string, source_file string")
     assert {r["id"]: r["survivor"] for r in dedup.dedup_entities(n).collect()} == {"d1": "d1", "d3": "d1", "c1": "c1", "c2": "c1"}
+
+
+def test_parts_of_names_meet_few_nodes(spark):
+    labels = [f"Customer#{k:09}" for k in range(400)]
+    nodes = spark.createDataFrame([(f"c{k}", x, "a/b.py") for k, x in enumerate(labels)] + [("d1", "my.Customer#000000007()", "q.go"), ("d2", "xy", ""), ("d3", None, None)], "id string, label string, source_file string")
+    asked = [*labels, "omer#00000000", "7", "xy", "b.py", "pkg.Customer#000000007", "D3", "no one"]
+    q = spark.createDataFrame([(x,) for x in asked], "name string")
+    got = {}
+    for r in claims.candidates(q, nodes, most=1000).collect():
+        got.setdefault(r["name"], set()).add((r["id"], r["tier"]))
+    assert {(i, t) for i, t in got["Customer#000000007"]} == {("c7", 1), ("d1", 2)} and got["Customer#000000008"] == {("c8", 1)}
+    assert got["omer#00000000"] == {(f"c{k}", 4) for k in range(10)} | {("d1", 4)}
+    assert got["7"] == {(f"c{k}", 4) for k in range(400) if "7" in str(k)} | {("d1", 4)}
+    assert got["xy"] == {("d2", 1)} and got["pkg.Customer#000000007"] == {("c7", 2), ("d1", 2)} and got["D3"] == {("d3", 0)} and "no one" not in got
+    assert got["b.py"] == {(f"c{k}", 3) for k in range(400)} | set()
+    pairs = claims._parts(spark.createDataFrame([(x, x.lower(), x.lower()) for x in labels], "name string, q string, bq string"), nodes.filter("label IS NOT NULL").select("id", F.lower("id").alias("nid"), F.lower("label").alias("label"), F.lower("label").alias("bare")))
+    joins = [x for x in pairs._jdf.queryExecution().executedPlan().toString().splitlines() if "NestedLoop" in x or "Cartesian" in x]
+    assert pairs.distinct().count() == 401 and not joins
