@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.weights import relation_importance
+from ..sources.storage import materialise
 from .graph import degrees, with_importance
 
 
@@ -102,9 +103,18 @@ def review_status(base: str, now: Column, stale_days: int = 14) -> Column:
 
 def review_conflicts(touched: DataFrame) -> DataFrame:
     """(a, b, shared): changes that touch communities (change, community) in common, and in how many."""
-    t = touched.select("change", "community").distinct()
-    pairs = t.select(F.col("change").alias("a"), "community").join(t.select(F.col("change").alias("b"), "community"), "community").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sets = touched.filter("community IS NOT NULL").groupBy("community").agg(F.sort_array(F.collect_set("change")).alias("members"))
+    sets = materialise(sets.filter("size(members) > 1").select("members"), "touched")
+    n = F.size("members").cast("long")
+    pairs = sets.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    # each change with those after it, as one row for a community: pairs are made and counted where their first change is
+    after = sets.select(F.posexplode("members").alias("k", "a"), "members").filter(F.col("k") + 1 < F.size("members")).select("a", F.slice("members", F.col("k") + 2, F.size("members")).alias("after"))
+    parts = max(int(touched.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // PAIRS_A_TASK) + 1)
+    return after.repartition(parts, "a").select("a", F.explode("after").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+#: Pairs that one task of `review_conflicts` counts, some 100 bytes each if none repeats.
+PAIRS_A_TASK = 4_000_000
 
 
 def overlay(nodes: DataFrame, learned: DataFrame) -> DataFrame:
