@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialise
+from ..sources.storage import materialise, spread
 from .graph import family
 
 
@@ -26,7 +26,7 @@ def resolve_calls(calls: DataFrame, defs: DataFrame) -> DataFrame:
     no pairs of them are made.
     """
     fam = lambda c: family(F.col(c))
-    d = defs.select("id", F.col("label").alias("callee"), F.explode(F.array(F.coalesce(fam("source_file"), F.lit("none")), F.lit("any"))).alias("fam"), "source_file")
+    d = spread(defs, "id").select("id", F.col("label").alias("callee"), F.explode(F.array(F.coalesce(fam("source_file"), F.lit("none")), F.lit("any"))).alias("fam"), "source_file")
     d = d.select("id", "callee", "fam", F.explode(_places(F.col("source_file"))).alias("p"))
     d = d.groupBy("callee", "fam", "p.near", "p.place").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     c = calls.select("callee", "source_file").distinct()
@@ -35,8 +35,10 @@ def resolve_calls(calls: DataFrame, defs: DataFrame) -> DataFrame:
     c = c.select("callee", "source_file", "fam", "p.near", "p.place")
     best = c.join(d, ["callee", "fam", "near", "place"]).groupBy("callee", "source_file", "near").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
     best = best.groupBy("callee", "source_file").agg(F.max_by(F.struct("near", "n", "id"), F.col("near")).alias("b")).select("callee", "source_file", "b.*")
+    best = materialise(best, "best")  # its size is known then: names are few beside calls, which need not be sorted by them
     # rows of one call_id are one call
-    rows = calls.select("call_id", "callee", "source_file").join(best, ["callee", "source_file"]).groupBy("call_id", "near").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+    rows = calls.select("call_id", "callee", "source_file").join(best, ["callee", "source_file"])
+    rows = spread(rows.select("call_id", "near", "n", "id"), "call_id").groupBy("call_id", "near").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
     return rows.groupBy("call_id").agg(F.max_by(F.struct("n", "id"), F.col("near")).alias("b")).filter("b.n = 1").select("call_id", "b.id")
 
 
