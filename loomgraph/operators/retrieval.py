@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shingles, tokens
+from ..sources.storage import materialise
 
 BM25_K, BM25_B, RRF_K = 1.2, 0.75, 60
 
@@ -179,11 +180,13 @@ def retrieve(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 2,
     from .graph import degrees, in_context
     from .traverse import expand
 
+    # what follows looks at edges four times: they are made once
+    edges = materialise(edges.select("src", "dst", "relation", "confidence", "context"), "edges")
     seeds = all_seeds(nodes, edges, query_terms(question))
     spark = nodes.sparkSession
     if not seeds:
         return spark.createDataFrame([], "place bigint, id string, line string")
-    near = expand(nodes, in_context(edges, contexts or []), seeds, depth, weighted)
+    near = expand(nodes, in_context(edges, contexts or []), seeds, depth, weighted, written=True)
     place = F.array_position(F.array(*map(F.lit, seeds)), F.col("id"))
     ranked = near.join(nodes.select("id", "label", "source_file"), "id").join(degrees(edges), "id", "left")
     order = [F.when(place > 0, place).otherwise(len(seeds) + 1), "distance", F.desc("importance"), F.desc(F.coalesce("degree", F.lit(0))), "id"]
