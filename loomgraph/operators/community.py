@@ -81,7 +81,7 @@ def scores(nodes: DataFrame, edges: DataFrame, seeds: list[str], terms: list[str
     1 for each in up to 8 other members, by id."""
     hits = lambda c: sum((F.contains(F.lower(c), F.lit(t.lower())).cast("int") for t in terms), F.lit(0))
     reps = materialise(representatives(nodes, edges), "reps")
-    name = hub_labels(nodes, edges).select("community", (3 * hits(F.col("label"))).alias("x"))
+    name = reps.filter("place = 1").select("community", (3 * hits(F.col("label"))).alias("x"))  # the best member names the community
     rep = reps.groupBy("community").agg(F.sum(2 * hits(F.col("label"))).alias("x"))
     salt = F.pmod(F.xxhash64("id"), F.lit(64))
     others = nodes.filter("community IS NOT NULL").join(reps.select("id"), "id", "left_anti").withColumn("salt", salt)
@@ -154,6 +154,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, levels: int | None = None, resol
     w = edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").cast("double").alias("w"))
     links = materialise(w.union(w.select("b", "a", "w")), "links")  # symmetric; loops are (a, a, 2 * inner weight)
     total = links.agg(F.sum("w")).first()[0] or 0.0
+    merge = lambda df: df.hint("merge")  # noqa: E731  no table of nodes goes to the driver, however small it is: rounds are many
     home = materialise(nodes.select("id", F.col("id").alias("community")), "home")
     if not total:
         return home
@@ -164,11 +165,11 @@ def louvain(nodes: DataFrame, edges: DataFrame, levels: int | None = None, resol
         label = materialise(strength.select(F.col("a").alias("id"), F.col("a").alias("c")), "label")
         moved_any, r = False, 0
         while True:
-            sums = label.join(strength, F.col("id") == F.col("a")).groupBy("c").agg(F.sum("k").alias("tot"))
-            toward = links.filter("a <> b").join(label.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("kin"))
+            sums = label.join(merge(strength), F.col("id") == F.col("a")).groupBy("c").agg(F.sum("k").alias("tot"))
+            toward = links.filter("a <> b").join(merge(label.select(F.col("id").alias("b"), "c")), "b").groupBy("a", "c").agg(F.sum("w").alias("kin"))
             own = label.select(F.col("id").alias("a"), F.col("c").alias("mine"))
             stay = own.select("a", F.col("mine").alias("c"), F.lit(0.0).alias("kin"))
-            options = toward.union(stay).groupBy("a", "c").agg(F.sum("kin").alias("kin")).join(sums, "c").join(strength, "a").join(own, "a")
+            options = toward.union(stay).groupBy("a", "c").agg(F.sum("kin").alias("kin")).join(merge(sums), "c").join(merge(strength), "a").join(merge(own), "a")
             rest = F.col("tot") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)
             gain = F.round(F.col("kin") - resolution * F.col("k") * rest / total, 9)
             best = options.withColumn("gain", gain).groupBy("a", "mine").agg(F.min_by("c", F.struct((-F.col("gain")).alias("g"), (F.col("c") != F.col("mine")).alias("m"), "c")).alias("new"))
@@ -181,8 +182,8 @@ def louvain(nodes: DataFrame, edges: DataFrame, levels: int | None = None, resol
         if not moved_any:
             break
         name = label.groupBy("c").agg(F.min("id").alias("name"))
-        label = materialise(label.join(name, "c").select("id", F.col("name").alias("c")), "label")
-        home = materialise(home.join(label.withColumnsRenamed({"id": "community", "c": "up"}), "community", "left").select("id", F.coalesce("up", "community").alias("community")), "home")
+        label = materialise(label.join(merge(name), "c").select("id", F.col("name").alias("c")), "label")
+        home = materialise(home.join(merge(label.withColumnsRenamed({"id": "community", "c": "up"})), "community", "left").select("id", F.coalesce("up", "community").alias("community")), "home")
         up = label.select(F.col("id").alias("a"), F.col("c").alias("ca"))
-        links = materialise(links.join(up, "a").join(up.withColumnsRenamed({"a": "b", "ca": "cb"}), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "links")
+        links = materialise(links.join(merge(up), "a").join(merge(up.withColumnsRenamed({"a": "b", "ca": "cb"})), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "links")
     return home
