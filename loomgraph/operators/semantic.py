@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_id
+from ..sources.storage import materialise, spread
 from .claims import GROUPS
 
 # Relations that a model may state, how sure it may be, and what it may claim.
@@ -35,10 +36,11 @@ def parse_relations(responses: DataFrame, nodes: DataFrame) -> tuple[DataFrame,
     and the concept nodes (id, label) they need. Of each response the first MOST_RELATIONS count; unknown kinds, missing
     ends and loops go. An end is the node with that id, or with its normal form, else a new concept."""
     kind = "struct<relations:array<struct<source:string,relation:string,target:string,confidence:string,rationale:string>>>"
-    r = responses.select("response_id", F.from_json(json_blob(F.col("text")), kind).alias("j")).select("response_id", F.posexplode(F.slice("j.relations", 1, MOST_RELATIONS)).alias("place", "r"))
+    r = spread(responses, "response_id").select("response_id", F.from_json(json_blob(F.col("text")), kind).alias("j")).select("response_id", F.posexplode(F.slice("j.relations", 1, MOST_RELATIONS)).alias("place", "r"))
     r = r.select("response_id", F.col("place").cast("long").alias("place"), F.trim("r.source").alias("source"), F.lower(F.trim("r.relation")).alias("relation"), F.trim("r.target").alias("target"), F.upper(F.trim("r.confidence")).alias("confidence"), F.substring("r.rationale", 1, 280).alias("rationale"))
     r = r.filter((F.col("source") != "") & (F.col("target") != "") & F.col("relation").isin(*RELATIONS))
     r = r.withColumn("confidence", F.when(F.col("confidence").isin(*CONFIDENCES), F.col("confidence")).otherwise("INFERRED"))
+    r = materialise(r, "relations")  # parsed once, over all tasks, though ends and rows are looked at apart
     names = r.select(F.col("source").alias("name")).union(r.select("target")).distinct().withColumn("normal", normal_id(F.col("name")))
     known = nodes.select("id").distinct()
     names = names.join(known.select(F.col("id").alias("exact")), F.col("name") == F.col("exact"), "left").join(known.select(F.col("id").alias("like")), F.col("normal") == F.col("like"), "left")
