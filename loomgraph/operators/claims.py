@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialise
+from ..sources.storage import materialise, spread
 
 # Which relations prove which kind of claim.
 GROUPS = {"calls": ("calls", "indirect_call"), "imports": ("imports", "imports_from", "uses"), "inherits": ("inherits", "extends", "implements", "overrides", "mixes_in"), "method_of": ("method", "contains", "defines")}
@@ -51,8 +51,7 @@ def _parts(q: DataFrame, n: DataFrame) -> DataFrame:
     if not sizes:
         return q.select("name", F.lit("").alias("id")).limit(0)
     where = F.array_union(F.array_union(_windows(F.col("label"), sizes), _windows(F.col("nid"), sizes)), _windows(F.col("bare"), sizes))
-    n = n.repartition(int(n.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")  # a small file is one task, its windows are many
-    places = n.select("id", "label", "nid", F.col("bare").alias("own"), F.explode(where).alias("gram"))
+    places = spread(n, "id").select("id", "label", "nid", F.col("bare").alias("own"), F.explode(where).alias("gram"))
     places = materialise(places.join(want.select("gram").distinct(), "gram", "left_semi"), "windows")
     rows = places.groupBy("gram").agg(F.count("*").alias("n"))
     rare = want.join(rows, "gram").groupBy("name", "bare", "text").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("there"), F.min("n").alias("n"))
@@ -135,20 +134,23 @@ def evidence(items: DataFrame, texts: DataFrame, grams: int = 8) -> DataFrame:
     item's first words, or all if it has fewer than `grams`, finds the candidates by number; only then texts are looked at."""
     from ..functions.text import tokens
 
-    key = lambda words, start, n: F.xxhash64(n, F.array_join(F.slice(words, start, n), " "))
     i = items.select("item_id", tokens(F.coalesce("text", F.lit(""))).alias("w")).filter(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(grams)))
-    i = i.select("item_id", F.array_join("w", " ").alias("phrase"), "n", key(F.col("w"), F.lit(1), F.col("n")).alias("key"))
+    i = i.select("item_id", F.array_join("w", " ").alias("phrase"), "n", "w")
     sizes = sorted(r[0] for r in i.select("n").distinct().collect())  # grams numbers at most
+    key = lambda words, start, n: F.xxhash64(F.lit(n), *[F.get(words, start + k) for k in range(n)])  # noqa: E731  no text is put together
+    first = F.coalesce(*[F.when(F.col("n") == n, key(F.col("w"), F.lit(0), n)) for n in sizes]) if sizes else F.lit(0)
+    i = i.select("item_id", "phrase", first.alias("key"))
     d = texts.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
 
     def windows_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
-        return F.when(F.size("w") >= n, F.transform(starts, lambda s: key(F.col("w"), s, F.lit(n)))).otherwise(F.array().cast("array<bigint>"))
+        starts = F.sequence(F.lit(0), F.size("w") - n)
+        return F.when(F.size("w") >= n, F.transform(starts, lambda s: key(F.col("w"), s, n))).otherwise(F.array().cast("array<bigint>"))
 
     windows = [windows_of(n) for n in sizes]
     if not windows:
         return i.select("item_id").crossJoin(d.select("doc_id")).limit(0)
     found = d.select("doc_id", F.explode(F.array_distinct(F.concat(*windows))).alias("key")).join(i.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
-    body = d.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("body"))
-    both = found.join(i.select("item_id", "phrase"), "item_id").join(body, "doc_id")
+    # only texts with a candidate are taken apart again
+    both = found.join(i.select("item_id", "phrase"), "item_id").join(texts.select("doc_id", "text"), "doc_id")
+    both = both.withColumn("body", F.concat(F.lit(" "), F.array_join(tokens(F.coalesce("text", F.lit(""))), " "), F.lit(" ")))
     return both.filter(F.contains("body", F.concat(F.lit(" "), "phrase", F.lit(" ")))).select("item_id", "doc_id").distinct()
