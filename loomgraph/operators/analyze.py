@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
 from .graph import degrees, is_concept_node, is_file_node
 
 PLAIN = ("imports", "imports_from", "contains", "method")
@@ -32,7 +33,8 @@ def surprises(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     folder, community, and a quiet node beside a busy one; none of them for inferred calls and uses across languages or
     between code and prose."""
     side = lambda p: nodes.select(F.col("id").alias(f"{p}_id"), F.col("label").alias(f"{p}_label"), F.col("source_file").alias(f"{p}_file"), F.col("community").alias(f"{p}_community"))
-    deg = lambda p: degrees(edges).select(F.col("id").alias(f"{p}_deg_id"), F.col("degree").alias(f"{p}_degree"))
+    degree = materialise(degrees(edges), "degrees")
+    deg = lambda p: degree.select(F.col("id").alias(f"{p}_deg_id"), F.col("degree").alias(f"{p}_degree"))
     e = edges.filter(~F.col("relation").isin(*PLAIN)).join(side("s"), F.col("src") == F.col("s_id")).join(side("t"), F.col("dst") == F.col("t_id")).filter("s_file <> t_file AND s_file <> '' AND t_file <> ''")
     e = e.join(deg("s"), F.col("src") == F.col("s_deg_id")).join(deg("t"), F.col("dst") == F.col("t_deg_id"))
     for p in ("s", "t"):
