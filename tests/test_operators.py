@@ -186,3 +186,79 @@ def test_parts_of_names_meet_few_nodes(spark):
     pairs = claims._parts(spark.createDataFrame([(x, x.lower(), x.lower()) for x in labels], "name string, q string, bq string"), nodes.filter("label IS NOT NULL").select("id", F.lower("id").alias("nid"), F.lower("label").alias("label"), F.lower("label").alias("bare")))
     joins = [x for x in pairs._jdf.queryExecution().executedPlan().toString().splitlines() if "NestedLoop" in x or "Cartesian" in x]
     assert pairs.distinct().count() == 401 and not joins
+
+
+def test_shuffles_grow_with_tables_and_statuses_are_hashed(spark, sf, monkeypatch):
+    from loomgraph.sources import storage, testgraph
+
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(storage, "BYTES_A_PARTITION", 10_000)
+    try:
+        lines = storage.table(spark, sf, "lineitem")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert parts > int(had) and storage.table(spark, sf, "region") is not None and int(spark.conf.get("spark.sql.shuffle.partitions")) == parts
+        assert storage.spread(lines, "l_orderkey").rdd.getNumPartitions() == parts
+        plan = testgraph.trade(spark, sf).edges._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    d = spark.createDataFrame([(x,) for x in ("", "A", "B", "F", "G", "N", "NN", "O", "P", None)], "s string")
+    ranks = [r[0] for r in d.select(testgraph._rank("s")).collect()]
+    assert ranks == [0, 1, 2, 3, 4, 5, 6, 7, 8, None]
+    assert [r[0] for r in d.select(testgraph._confidence_of(testgraph._rank("s"))).collect()] == [r[0] for r in d.select(testgraph._confidence(F.col("s"))).collect()]
+
+
+def test_pairs_are_made_where_they_are_counted(spark):
+    from loomgraph.operators import answers, build
+
+    t = spark.createDataFrame([("x", 1), ("y", 1), ("z", 1), ("x", 2), ("y", 2), ("y", 2), ("z", None), ("x", None), (None, 1)], "change string, community int")
+    out = answers.review_conflicts(t)
+    assert sorted(map(tuple, out.collect())) == [("x", "y", 2), ("x", "z", 1), ("y", "z", 1)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    i = spark.createDataFrame([("f", "m", "n"), ("f", "m", "n"), ("g", "m", "n")], "source_file string, module string, name string")
+    c = spark.createDataFrame([("a", "f"), ("a", "g"), ("b", "f"), ("b", "f"), ("c", None)], "id string, source_file string")
+    e = spark.createDataFrame([("t", "m", "n"), ("a", "m", "n"), ("t", "m", "n")], "id string, module string, name string")
+    uses = build.import_uses(i, c, e)
+    assert sorted(map(tuple, uses.collect())) == [("a", "t"), ("b", "a"), ("b", "t")]
+    assert uses._jdf.queryExecution().optimizedPlan().toString().splitlines()[0].startswith("Union")  # pairs aren't made distinct all together
+
+
+def test_no_broadcast_in_rounds(spark, monkeypatch):
+    from loomgraph.operators import community
+
+    seen, real = [], community.materialise
+
+    def watch(df, name="step"):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(community, "materialise", watch)
+    nodes = spark.createDataFrame([(x,) for x in "abcdef"], "id string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f"), ("c", "d")], "src string, dst string")
+    assert community.louvain(nodes, edges).select("community").distinct().count() == 2
+    assert seen and not any("BroadcastHashJoin" in p for p in seen)
+
+
+def test_edges_of_a_question_are_made_once(spark, monkeypatch):
+    from loomgraph.operators import retrieval
+
+    made, real = [], retrieval.materialise
+    monkeypatch.setattr(retrieval, "materialise", lambda df, name="step": made.append(name) or real(df, name))
+    nodes = spark.createDataFrame([("n0", "token", "code", "s.py", 0), ("n1", "other", "code", "s.py", 0)], NODE)
+    edges = spark.createDataFrame([("n0", "n1", "calls", "EXTRACTED", "call")], EDGE)
+    assert {r["id"] for r in retrieval.retrieve(nodes, edges, "token").collect()} == {"n0", "n1"} and made == ["edges"]
+
+
+def test_evidence_of_short_and_long_items(spark):
+    items = spark.createDataFrame([(1, "Red ring"), (2, "a b c d e f g h i j"), (3, "a b c d e f g h x"), (4, ""), (5, None)], "item_id int, text string")
+    texts = spark.createDataFrame([(1, "the red  ring, here"), (2, "z a b c d e f g h i j"), (3, None), (4, "redring red")], "doc_id int, text string")
+    assert sorted(map(tuple, claims.evidence(items, texts).collect())) == [(1, 1), (2, 2)]
+
+
+def test_best_edge_in_either_direction_scores_a_path(spark):
+    from math import exp, log
+
+    edges = spark.createDataFrame([("a", "b", "imports", "EXTRACTED", None), ("b", "a", "calls", "EXTRACTED", None), ("b", "c", "imports", "EXTRACTED", None), ("x", "y", "calls", "EXTRACTED", None)], EDGE)
+    paths = spark.createDataFrame([("p", "a", "b"), ("p", "c", "b"), ("q", "c", "a")], "path string, src string, dst string")
+    got = {r["path"]: r["score"] for r in traverse.path_score(edges, paths).collect()}
+    assert got == {"p": pytest.approx(exp((log(1.0) + log(0.4)) / 2))}
