@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean, materialise, parts_for, plan_bytes, small_batches, text_of
-from .tokens import default_path, load, rules_known
+from .tokens import default_path, load, rules_known, whole_of
 
 MAGIC = b"LGTK0003"
 VOCABULARY = 49_408
@@ -300,7 +300,7 @@ class Pieces:
     def __init__(self, path: str, whole_texts: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok = load(path)
+        self.tok, self.whole = load(path), whole_of(path)
         config = json.loads(self.tok.to_str())
         suffix = config["model"].get("end_of_word_suffix")
         self.plain = PLAIN if not whole_texts and bool(suffix) and config["model"]["type"] == "BPE" and rules_known(path) and all(t["content"].startswith("<|") for t in config["added_tokens"]) else NONE
@@ -343,31 +343,34 @@ class Pieces:
             self.known = pa.concat_arrays([self.known, fresh])
         return whole, number[pieces.indices.to_numpy()], np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])
 
-    def encoded(self, texts: pa.Array, whole: list[int]) -> list:
-        return self.tok.encode_batch_fast(texts.take(pa.array(whole, pa.int64())).to_pylist(), add_special_tokens=False)
-
     def counts(self, texts: pa.Array) -> list[int]:
         """Ids of each text."""
         whole, number, ends = self.cut(texts)
         upto = np.concatenate([[0], np.cumsum(self.sizes[number])])[ends]
         out = np.diff(upto).tolist()
-        for k, e in zip(whole, self.encoded(texts, whole)):
-            out[k] = len(e)
+        for k, n in zip(whole, self.whole.each(texts.take(pa.array(whole, pa.int64())).to_pylist(), len)):
+            out[k] = n
         return out
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text and the end id."""
+        if self.plain is NONE:
+            return self.whole.each(texts.to_pylist(), with_end)
         whole, number, ends = self.cut(texts)
         size = self.sizes[number]
         upto = np.concatenate([[0], np.cumsum(size)])
         flat = self.store[np.repeat(self.starts[number] - upto[:-1], size) + np.arange(upto[-1])]
         cuts = upto[ends]
         out = [np.append(flat[a:b], np.int32(END)) for a, b in zip(cuts[:-1], cuts[1:])]
-        for k, e in zip(whole, self.encoded(texts, whole)):
-            out[k] = np.array([*e.ids, END], np.int32)
+        for k, x in zip(whole, self.whole.each(texts.take(pa.array(whole, pa.int64())).to_pylist(), with_end)):
+            out[k] = x
         return out
 
 
+def with_end(encoding) -> np.ndarray:
+    return np.array([*encoding.ids, END], np.int32)
+
+
 @lru_cache(maxsize=1)
 def pieces_of(path: str, whole_texts: bool = False) -> Pieces:
     """Pieces that the tasks of a process share; at most PIECES_KEPT stay known after a slice of texts."""

@@ -25,7 +25,7 @@ def op4_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_token_ids(spark: SparkSession, d: str) -> DataFrame:
-    return idcoder.read_ids(idcoder.write_ids(table(spark, d, "documents")))
+    return idcoder.read_ids(idcoder.write_ids(table(spark, d, "documents"), whole_texts=True))
 
 
 def op6_url_filter(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,9 @@ overlap that is proven stable: both encodings have the same tokens on either sid
 splitter of the tokenizer can't but cut there, whatever stands further off (`boundaries`). A chunk goes on to such a place.
 Where the encodings don't agree the overlap is doubled, at last the chunk: the time stays in proportion to the text.
 
-The rules of `boundaries` hold for a tokenizer whose file has the normaliser and the splitter in EXPECTED; the texts of any
+All else goes to the library whole, with its own splitter and model; `Whole` only has it leave out steps that can't change an id.
+
+The rules of `boundaries` and `Whole` hold for a tokenizer whose file has the normaliser and the splitter in EXPECTED; the texts of any
 other go to the library whole, as those up to CHUNK do.
 """
 
@@ -13,8 +15,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +34,10 @@ AGREE = 4
 #: Characters given to the library at once, and those looked at on each side of a boundary for normalisation.
 AT_ONCE, AROUND = 1 << 20, 16
 LIMIT = 2048
+#: Words of which the library keeps the tokens; it keeps 10,000 by default.
+WORDS_KEPT = 500_000
+#: A character that NFC may change, or that may be composed with one before it. NFC leaves texts without any as they are.
+NFC_MATTERS = re.compile("[\u0300-\U0010ffff]")
 SPACE = frozenset(" \t\n\r\x0b\x0c")
 #: The rules of the tokenizer file for which `boundaries` is proven.
 EXPECTED = [
@@ -69,6 +76,56 @@ def rules_known(path: str) -> bool:
     return [config["normalizer"], config["pre_tokenizer"]] == EXPECTED
 
 
+class Whole:
+    """What the library gives for whole texts, in fewer steps where the tokenizer's rules are EXPECTED.
+
+    White space is in no match of the splitter, so it isn't first made a blank; texts without NFC_MATTERS aren't composed. The
+    library lowers, splits and encodes as the file says. It keeps the tokens of more words; both tokenizers share them.
+    """
+
+    def __init__(self, tok, known: bool = False):
+        from tokenizers import Tokenizer, normalizers
+
+        self.any = self.composed = tok
+        if known and not any(t.normalized for t in tok.get_added_tokens_decoder().values()):
+            self.any, self.composed = Tokenizer.from_str(tok.to_str()), Tokenizer.from_str(tok.to_str())
+            self.any.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+            self.composed.normalizer = normalizers.Lowercase()
+            model = self.any.model
+            if hasattr(model, "_resize_cache"):
+                model._resize_cache(WORDS_KEPT)
+            self.any.model = self.composed.model = model
+
+    def each(self, texts: list[str], of: Callable) -> list:
+        """of(encoding) of each text; the library gets AT_ONCE characters or one text at once."""
+        out: list = [None] * len(texts)
+        batches: dict[bool, list[int]] = {True: [], False: []}
+        sizes = {True: 0, False: 0}
+
+        def flush(matters: bool) -> None:
+            batch = batches[matters]
+            tok = self.any if matters else self.composed
+            for k, e in zip(batch, tok.encode_batch_fast([texts[k] for k in batch], add_special_tokens=False)):
+                out[k] = of(e)
+            batches[matters], sizes[matters] = [], 0
+
+        for k, t in enumerate(texts):
+            matters = not t.isascii() and NFC_MATTERS.search(t) is not None
+            batches[matters].append(k)
+            sizes[matters] += len(t)
+            if sizes[matters] > AT_ONCE:
+                flush(matters)
+        flush(True)
+        flush(False)
+        return out
+
+
+@lru_cache(maxsize=4)
+def whole_of(path: str) -> Whole:
+    """One a process."""
+    return Whole(load(path), rules_known(path))
+
+
 def kind(c: str) -> str:
     """L, N or O as the splitter sees the character, S if it is ASCII white space, ? where normalisation could change that."""
     if c in SPACE:

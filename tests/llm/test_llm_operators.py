@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import itertools
+import json
 import random
 import re
 import time
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontamination, htmlcut, idcoder, jaccard, mixing, quality, repetition, sharding, tokens, urlfilter
+from loomgraph.llm import decontamination, htmlcut, idcoder, jaccard, mixing, quality, queries, repetition, sharding, tokens, urlfilter
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, shard string, words string, key int"
 RNG = random.Random(5)
@@ -220,6 +221,31 @@ def test_token_counts(docs, empty):
     assert tokens.count_tokens(empty).count() == 0
 
 
+def test_whole_texts_in_fewer_steps():
+    tok, whole, r = tokens.load(tokens.default_path()), tokens.whole_of(tokens.default_path()), random.Random(6)
+    steps = [json.loads(t.to_str())["normalizer"] for t in (whole.any, whole.composed)]
+    assert steps == [{"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Lowercase"}]}, {"type": "Lowercase"}]
+    blanks = [c for c in map(chr, range(0x3001)) if c.isspace()] + ["\u200b", "\u180e"]
+    low = [chr(c) for c in range(0x300)]
+    high = [chr(c) for c in (*range(0x300, 0x370), *range(0x1E00, 0x2000), 0x3A3, 0x1100, 0x1161, 0x11A8, 0x212B, 0x2126)]
+    texts = ["".join(r.choices(some, k=r.randint(0, 50))) for some in (blanks + low, low, blanks + high, low + high) for _ in range(500)]
+    texts += [f"a{c}'S{c}{c}'ll <|endoftext|>{c}B" for c in blanks] + ["e\u0301 \u00e9 É", "ẞß İ Σ", ""]
+    ids = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert whole.each(texts, lambda e: e.ids) == ids
+    other = tokens.Whole(tok)  # of a tokenizer with other rules nothing is left out
+    assert other.any is other.composed is tok and other.each(texts[:20], len) == list(map(len, ids[:20]))
+
+
+def test_token_ids_gives_the_library_whole_texts(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(2, "It's a text"), (1, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked, write = [], idcoder.write_ids
+    monkeypatch.setattr(idcoder, "write_ids", lambda *a, **k: asked.append(k) or write(*a, **k))
+    out = queries.op5_token_ids(spark, str(tmp_path)).collect()
+    ids = [*tokens.load(tokens.default_path()).encode("It's a text", add_special_tokens=False).ids, 2]
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in out) == [(1, 0, 1), (2, 1, len(ids))]
+    assert asked == [{"whole_texts": True}] and idcoder.Pieces(tokens.default_path(), True).plain is idcoder.NONE
+
+
 def test_spliced_ids_are_those_of_the_whole():
     tok = tokens.load(tokens.default_path())
     r = random.Random(2)
