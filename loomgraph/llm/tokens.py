@@ -221,26 +221,17 @@ def encode_long(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> l
     return done + left.encoding.ids[left.first :]
 
 
-def counts(tok, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP, known: bool = True) -> list[int]:
-    """Tokens of each text. known: the tokenizer's rules are EXPECTED."""
+def counts(tok, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP, known: bool = True, whole: Whole | None = None) -> list[int]:
+    """Tokens of each text. known: the tokenizer's rules are EXPECTED. whole: takes the texts up to CHUNK, tok if not given."""
     out = [0] * len(texts)
-    batch: list[int] = []
-    size = 0
-
-    def flush() -> None:
-        for k, e in zip(batch, tok.encode_batch_fast([texts[k] for k in batch], add_special_tokens=False)):
-            out[k] = len(e)
-
+    short = []
     for k, t in enumerate(texts):
         if len(t) > chunk and known:
             out[k] = len(encode_long(tok, t, chunk, overlap))
-            continue
-        batch.append(k)
-        size += len(t)
-        if size > AT_ONCE:
-            flush()
-            batch, size = [], 0
-    flush()
+        else:
+            short.append(k)
+    for k, n in zip(short, (whole or Whole(tok)).each([texts[k] for k in short], len)):
+        out[k] = n
     return out
 
 
@@ -256,9 +247,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, known = load(path), rules_known(path)
+        tok, known, whole = load(path), rules_known(path), whole_of(path)
         for b in batches:
-            n = counts(tok, b.column("text").to_pylist(), chunk, overlap, known)
+            n = counts(tok, b.column("text").to_pylist(), chunk, overlap, known, whole)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = text_of(docs, "doc_id").withColumn("n_bytes", F.octet_length("text").cast("long"))

@@ -232,6 +232,7 @@ def test_whole_texts_in_fewer_steps():
     texts += [f"a{c}'S{c}{c}'ll <|endoftext|>{c}B" for c in blanks] + ["e\u0301 \u00e9 É", "ẞß İ Σ", ""]
     ids = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert whole.each(texts, lambda e: e.ids) == ids
+    assert tokens.counts(tok, texts, whole=whole) == tokens.counts(tok, texts) == list(map(len, ids))
     other = tokens.Whole(tok)  # of a tokenizer with other rules nothing is left out
     assert other.any is other.composed is tok and other.each(texts[:20], len) == list(map(len, ids[:20]))
 
