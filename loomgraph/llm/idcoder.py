@@ -19,7 +19,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -300,7 +300,7 @@ class Pieces:
     def __init__(self, path: str, whole_texts: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok, self.whole = load(path), whole_of(path)
+        self.path, self.tok = path, load(path)
         config = json.loads(self.tok.to_str())
         suffix = config["model"].get("end_of_word_suffix")
         self.plain = PLAIN if not whole_texts and bool(suffix) and config["model"]["type"] == "BPE" and rules_known(path) and all(t["content"].startswith("<|") for t in config["added_tokens"]) else NONE
@@ -343,26 +343,29 @@ class Pieces:
             self.known = pa.concat_arrays([self.known, fresh])
         return whole, number[pieces.indices.to_numpy()], np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])
 
+    def encoded(self, texts: pa.Array, whole: list[int], of: Callable) -> list:
+        return whole_of(self.path).each(texts.take(pa.array(whole, pa.int64())).to_pylist(), of) if whole else []
+
     def counts(self, texts: pa.Array) -> list[int]:
         """Ids of each text."""
         whole, number, ends = self.cut(texts)
         upto = np.concatenate([[0], np.cumsum(self.sizes[number])])[ends]
         out = np.diff(upto).tolist()
-        for k, n in zip(whole, self.whole.each(texts.take(pa.array(whole, pa.int64())).to_pylist(), len)):
+        for k, n in zip(whole, self.encoded(texts, whole, len)):
             out[k] = n
         return out
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text and the end id."""
         if self.plain is NONE:
-            return self.whole.each(texts.to_pylist(), with_end)
+            return whole_of(self.path).each(texts.to_pylist(), with_end)
         whole, number, ends = self.cut(texts)
         size = self.sizes[number]
         upto = np.concatenate([[0], np.cumsum(size)])
         flat = self.store[np.repeat(self.starts[number] - upto[:-1], size) + np.arange(upto[-1])]
         cuts = upto[ends]
         out = [np.append(flat[a:b], np.int32(END)) for a, b in zip(cuts[:-1], cuts[1:])]
-        for k, x in zip(whole, self.whole.each(texts.take(pa.array(whole, pa.int64())).to_pylist(), with_end)):
+        for k, x in zip(whole, self.encoded(texts, whole, with_end)):
             out[k] = x
         return out
 
