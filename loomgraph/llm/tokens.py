@@ -39,6 +39,10 @@ WORDS_KEPT = 500_000
 #: A character that NFC may change, or that may be composed with one before it. NFC leaves texts without any as they are.
 NFC_MATTERS = re.compile("[\u0300-\U0010ffff]")
 SPACE = frozenset(" \t\n\r\x0b\x0c")
+#: Visible ASCII, which stands for itself among the symbols of bytes, and white space, which the splitter drops.
+AS_THEY_ARE = bytes([*range(9, 14), *range(32, 127)])
+#: The tokenizers of `Whole`, and those that take texts in lower case.
+WAYS, LOW = ("any", "composed", "lowered", "visible"), ("lowered", "visible")
 #: The rules of the tokenizer file for which `boundaries` is proven.
 EXPECTED = [
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -79,15 +83,20 @@ def rules_known(path: str) -> bool:
 class Whole:
     """What the library gives for whole texts, in fewer steps where the tokenizer's rules are EXPECTED.
 
-    White space is in no match of the splitter, so it isn't first made a blank; texts without NFC_MATTERS aren't composed. The
-    library lowers, splits and encodes as the file says. It keeps the tokens of more words; both tokenizers share them.
+    White space is in no match of the splitter, so it isn't first made a blank; texts without NFC_MATTERS aren't composed. Those
+    without "<|", which begins each added token, are lowered before, letter by letter as the library does. If they hold only
+    bytes of AS_THEY_ARE, these aren't mapped to symbols either. The library splits and encodes as the file says. It keeps the
+    tokens of more words; all tokenizers share them.
     """
 
     def __init__(self, tok, known: bool = False):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
-        self.any = self.composed = tok
-        if known and not any(t.normalized for t in tok.get_added_tokens_decoder().values()):
+        self.any = self.composed = self.lowered = self.visible = tok
+        added = tok.get_added_tokens_decoder().values()
+        self.known = known and not any(t.normalized for t in added)
+        self.marked = self.known and all(t.content.startswith("<|") for t in added)
+        if self.known:
             self.any, self.composed = Tokenizer.from_str(tok.to_str()), Tokenizer.from_str(tok.to_str())
             self.any.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
             self.composed.normalizer = normalizers.Lowercase()
@@ -95,28 +104,39 @@ class Whole:
             if hasattr(model, "_resize_cache"):
                 model._resize_cache(WORDS_KEPT)
             self.any.model = self.composed.model = model
+            self.lowered, self.visible = Tokenizer(model), Tokenizer(model)
+            self.lowered.pre_tokenizer = self.any.pre_tokenizer
+            self.visible.pre_tokenizer = pre_tokenizers.Split(Regex(EXPECTED[1]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
+
+    def way(self, text: str) -> str:
+        """Which tokenizer takes the text; lowered and visible take it in lower case."""
+        if not self.known or not text.isascii() and NFC_MATTERS.search(text):
+            return "any"
+        if not self.marked or "<|" in text:
+            return "composed"
+        return "visible" if text.isascii() and not text.encode().translate(None, AS_THEY_ARE) else "lowered"
 
     def each(self, texts: list[str], of: Callable) -> list:
         """of(encoding) of each text; the library gets AT_ONCE characters or one text at once."""
         out: list = [None] * len(texts)
-        batches: dict[bool, list[int]] = {True: [], False: []}
-        sizes = {True: 0, False: 0}
+        batches: dict[str, list[int]] = {way: [] for way in WAYS}
+        sizes = dict.fromkeys(WAYS, 0)
 
-        def flush(matters: bool) -> None:
-            batch = batches[matters]
-            tok = self.any if matters else self.composed
-            for k, e in zip(batch, tok.encode_batch_fast([texts[k] for k in batch], add_special_tokens=False)):
+        def flush(way: str) -> None:
+            batch = batches[way]
+            some = [texts[k].lower() if way in LOW else texts[k] for k in batch]
+            for k, e in zip(batch, getattr(self, way).encode_batch_fast(some, add_special_tokens=False)):
                 out[k] = of(e)
-            batches[matters], sizes[matters] = [], 0
+            batches[way], sizes[way] = [], 0
 
         for k, t in enumerate(texts):
-            matters = not t.isascii() and NFC_MATTERS.search(t) is not None
-            batches[matters].append(k)
-            sizes[matters] += len(t)
-            if sizes[matters] > AT_ONCE:
-                flush(matters)
-        flush(True)
-        flush(False)
+            way = self.way(t)
+            batches[way].append(k)
+            sizes[way] += len(t)
+            if sizes[way] > AT_ONCE:
+                flush(way)
+        for way in WAYS:
+            flush(way)
         return out
 
 

@@ -237,6 +237,20 @@ def test_whole_texts_in_fewer_steps():
     assert other.any is other.composed is tok and other.each(texts[:20], len) == list(map(len, ids[:20]))
 
 
+def test_whole_texts_are_lowered_before_and_visible_ones_not_mapped():
+    tok, whole, r = tokens.load(tokens.default_path()), tokens.whole_of(tokens.default_path()), random.Random(7)
+    low, steps = [chr(c) for c in range(0x300)], json.loads(tok.to_str())["normalizer"]["normalizers"]
+    assert [c.lower() for c in low] == [whole.composed.normalizer.normalize_str(c) for c in low] and steps[2] == {"type": "Lowercase"}
+    assert json.loads(whole.visible.to_str())["pre_tokenizer"] == tokens.EXPECTED[1]["pretokenizers"][0]
+    assert [json.loads(t.to_str())["normalizer"] for t in (whole.lowered, whole.visible)] == [None, None]
+    ways = {"It'S\ta\x0bTEXT!": "visible", "": "visible", "a\x1cB": "lowered", "\x7f": "lowered", "É": "lowered", "<|STARTOFTEXT|>": "composed", "É<|endoftext|>": "composed", "e\u0301": "any", "<|endoftext|>Σ": "any"}
+    assert {t: whole.way(t) for t in ways} == ways
+    ascii_ = [chr(c) for c in (*range(9, 14), *range(32, 127))]
+    texts = [*ways, *low, *(f"{a}{b}" for a in map(chr, range(128)) for b in map(chr, range(128)))]
+    texts += ["".join(r.choices(some, k=r.randint(0, 80))) for some in (ascii_, "'SsTRrEe VvMLlDd19?", low, [*"<|>aE ", "<|endoftext|>", "<|StartOfText|>"]) for _ in range(1000)]
+    assert whole.each(texts, lambda e: e.ids) == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_ids_gives_the_library_whole_texts(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(2, "It's a text"), (1, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     asked, write = [], idcoder.write_ids
