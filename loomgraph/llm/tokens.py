@@ -116,6 +116,11 @@ class Whole:
             return "composed"
         return "visible" if text.isascii() and not text.encode().translate(None, AS_THEY_ARE) else "lowered"
 
+    def fit(self, text: str) -> tuple:
+        """The tokenizer that takes the text, and the text as it takes it."""
+        way = self.way(text)
+        return getattr(self, way), text.lower() if way in LOW else text
+
     def each(self, texts: list[str], of: Callable) -> list:
         """of(encoding) of each text; the library gets AT_ONCE characters or one text at once."""
         out: list = [None] * len(texts)
@@ -242,15 +247,15 @@ def encode_long(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> l
 
 
 def counts(tok, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP, known: bool = True, whole: Whole | None = None) -> list[int]:
-    """Tokens of each text. known: the tokenizer's rules are EXPECTED. whole: takes the texts up to CHUNK, tok if not given."""
-    out = [0] * len(texts)
+    """Tokens of each text. known: the tokenizer's rules are EXPECTED. whole: takes the texts and chunks, tok if not given."""
+    out, whole = [0] * len(texts), whole or Whole(tok)
     short = []
     for k, t in enumerate(texts):
         if len(t) > chunk and known:
-            out[k] = len(encode_long(tok, t, chunk, overlap))
+            out[k] = len(encode_long(*whole.fit(t), chunk, overlap))
         else:
             short.append(k)
-    for k, n in zip(short, (whole or Whole(tok)).each([texts[k] for k in short], len)):
+    for k, n in zip(short, whole.each([texts[k] for k in short], len)):
         out[k] = n
     return out
 

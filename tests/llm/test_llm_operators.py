@@ -273,6 +273,21 @@ def test_spliced_ids_are_those_of_the_whole():
         assert idcoder.Pieces(tokens.default_path()).batch(pa.array([t]))[0].tolist() == [*whole, 2]
 
 
+def test_chunks_go_to_the_tokenizer_with_the_fewest_steps(monkeypatch):
+    tok, whole, r = tokens.load(tokens.default_path()), tokens.whole_of(tokens.default_path()), random.Random(8)
+    used, encode = [], tokens.encode_long
+    monkeypatch.setattr(tokens, "encode_long", lambda t, *a: used.append(t) or encode(t, *a))
+    for way, some in (("visible", "aBe  \n1'sS!?"), ("lowered", "aÉß İ \x1c\xa0'S1!"), ("composed", [*"aBÉ 1!", "<|endoftext|>", "<|EndOfText|>", "<|"]), ("any", [*"aB é1!İ", "\u0301", "漢", "Σ", "<|endoftext|>"])):
+        texts = ["".join(r.choices(some, k=r.randint(200, 900))) for _ in range(60)]
+        used.clear()
+        assert tokens.counts(tok, texts, 60, 12, True, whole) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert all(a is b for a, b in zip(used, [getattr(whole, way)] * len(texts), strict=True))
+        assert [encode(*whole.fit(t), 60, 12) for t in texts] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    t = "Visible text, " * 5000
+    used.clear()
+    assert tokens.counts(tok, [t], whole=whole) == [len(tok.encode(t, add_special_tokens=False).ids)] and len(used) == 1 and used[0] is whole.visible
+
+
 def test_long_texts_of_the_default_sizes():
     tok, r = tokens.load(tokens.default_path()), random.Random(4)
     kana = "".join(chr(0x3041 + k) for k in range(80))
