@@ -261,6 +261,17 @@ def test_token_ids_gives_the_library_whole_texts(spark, tmp_path, monkeypatch):
     assert asked == [{"whole_texts": True}] and idcoder.Pieces(tokens.default_path(), True).plain is idcoder.NONE
 
 
+def test_token_ids_come_from_the_tokenizer_with_the_fewest_steps(monkeypatch):
+    path = tokens.default_path()
+    tok, whole, texts = tokens.load(path), tokens.Whole(tokens.load(path), True), ["It's A\tTEXT 12!", "É a", "e\u0301", "<|EndOfText|>", ""]
+    monkeypatch.setattr(idcoder, "whole_of", lambda _: whole)
+    want = [[*e.ids, 2] for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in idcoder.Pieces(path, True).batch(pa.array(texts))] == want
+    got, inner = [], whole.visible
+    whole.visible = type("Spy", (), {"encode_batch_fast": lambda _, some, **k: got.extend(some) or inner.encode_batch_fast(some, **k)})()
+    assert [x.tolist() for x in idcoder.Pieces(path, True).batch(pa.array(texts))] == want and got == ["it's a\ttext 12!", ""]
+
+
 def test_spliced_ids_are_those_of_the_whole():
     tok = tokens.load(tokens.default_path())
     r = random.Random(2)
